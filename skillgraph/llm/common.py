@@ -84,12 +84,15 @@ def lower_bytes(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, and where each text's words begin among them."""
+def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _INSIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts, and where each text's words begin among them.
+
+    ``table`` tells which bytes stand in words; by default the words are ``[^\\x20\\x09-\\x0D]+``.
+    """
     n = len(data)
     inside = np.empty(n + 2, bool)
     inside[0] = inside[-1] = False
-    np.take(_INSIDE, data, out=inside[1:-1])
+    np.take(table, data, out=inside[1:-1])
     begins = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     cuts = offsets[(offsets > 0) & (offsets < n)]

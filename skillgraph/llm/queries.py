@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgraph.llm import langid, packing, simhash, substring_dedup, toxicity
+from skillgraph.llm import embedding_dedup, langid, licenses, packing, simhash, substring_dedup, toxicity
 from skillgraph.llm.common import remainder
 
 
@@ -41,9 +41,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_language_id, op4_substring_dedup, op5_toxicity, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_language_id, op4_substring_dedup, op5_toxicity, op8_license_scan, op9_embedding_near_dedup, op10_simhash_near_dedup)}

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillgraph.llm.common import find_words, lower_bytes, stored, text_slices
+from skillgraph.llm.common import lower_bytes, stored, text_slices
 from skillgraph.llm.components import components
 
 SEED = 42
@@ -118,7 +118,7 @@ def _links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
     return np.concatenate(left), np.concatenate(right)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from every end to the least one it is joined with."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = ends[: len(a)], ends[len(a) :]
@@ -155,7 +155,7 @@ def _cells(radius: int, tile: int):
         if len(group) <= tile:
             a, b = _links(group, None, radius)
             if len(a):
-                yield _work(_forest(a, b), [])
+                yield _work(forest(a, b), [])
             return
         tiles = [group[s : s + tile].tobytes() for s in range(0, len(group), tile)]
         for i, left in enumerate(tiles):
@@ -198,7 +198,7 @@ def _tiles(radius: int):
             for left, right in zip(rest.column("left").to_pylist(), rest.column("right").to_pylist(), strict=True):
                 a, b = _links(np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64) if right else None, radius)
                 if len(a):
-                    x, y = _forest(a, b)
+                    x, y = forest(a, b)
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
     return run
