@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgraph.llm import embedding_dedup, langid, licenses, packing, simhash, substring_dedup, toxicity
+from skillgraph.llm import decontamination, embedding_dedup, langid, licenses, line_dedup, packing, simhash, substring_dedup, toxicity
 from skillgraph.llm.common import remainder
 
 
@@ -41,6 +41,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_lines_").alias("n_lines"), F.col("_n_removed_").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -54,4 +64,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_language_id, op4_substring_dedup, op5_toxicity, op8_license_scan, op9_embedding_near_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_language_id, op4_substring_dedup, op5_toxicity, op6_line_dedup, op7_decontamination, op8_license_scan, op9_embedding_near_dedup, op10_simhash_near_dedup)}
