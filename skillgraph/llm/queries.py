@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgraph.llm import decontamination, embedding_dedup, langid, licenses, line_dedup, packing, simhash, substring_dedup, toxicity
+from skillgraph.llm import decontamination, embedding_dedup, langid, licenses, line_dedup, lm_scoring, packing, simhash, substring_dedup, toxicity
 from skillgraph.llm.common import remainder
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -64,4 +68,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_language_id, op4_substring_dedup, op5_toxicity, op6_line_dedup, op7_decontamination, op8_license_scan, op9_embedding_near_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op3_language_id, op4_substring_dedup, op5_toxicity, op6_line_dedup, op7_decontamination, op8_license_scan, op9_embedding_near_dedup, op10_simhash_near_dedup)}
