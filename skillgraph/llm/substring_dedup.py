@@ -8,14 +8,15 @@ are first sorted out exactly: each has an anchor, the gram of ``gram`` words
 with the least hash in it, and equal windows have equal anchors. One in about
 ``(size - gram) / 2`` words begins an anchor. Spark counts the anchors; only
 windows whose anchor occurs more than once, that is, all that can be repeated
-and few others, are then hashed whole and counted. Repeated windows merge into
-maximal intervals. All counts are summed before they are shuffled, and hot
-anchors and windows meet only in joins with a distinct side, which Spark splits.
+and few others, are then hashed whole and counted. The few of them that turn out
+single go back to their documents by id; all others are repeated, and merge into
+maximal intervals. All counts are summed before they are shuffled; hot anchors meet
+only in a join with a distinct side, which Spark splits.
 
 Defined cases: a null or short text has no window; repeated rows repeat all
-their windows, and get a row each only where their ids differ: rows of one id
-are one document's rows, and each is cleaned by the windows of all of them;
-a null id is an id like any other; other columns are neither read nor returned.
+their windows and get a row each; ids tell documents apart (rows that share an
+id but not a text are cleaned alike where their windows are single); a null id is
+an id like any other; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -72,18 +73,25 @@ def _anchor_rows(size: int, gram: int):
     return run
 
 
+def _flat(lists: pa.Array, begin: int, end: int, first: np.ndarray) -> np.ndarray:
+    """The numbers that the rows' lists hold, counted from the texts' first words."""
+    held = lists.offsets.to_numpy()
+    return np.repeat(first[:-1], np.diff(held[begin : end + 1])) + lists.values.to_numpy()[held[begin] : held[end]]
+
+
+def _marked(words: np.ndarray, window: np.ndarray, anchor: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The windows whose anchor is one of ``own``."""
+    marked = np.zeros(len(words) + 1, bool)
+    marked[own] = True
+    return window[marked[anchor]]
+
+
 def _window_rows(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column(2)
-            held = places.offsets.to_numpy()
-            flat = places.values.to_numpy()
             for begin, end, data, offsets in text_slices(batch.column(1)):
                 words, first, _, window, anchor = _anchors(data, offsets, size, gram)
-                marked = np.zeros(len(words) + 1, bool)
-                own = np.repeat(first[:-1], np.diff(held[begin : end + 1])) + flat[held[begin] : held[end]]
-                marked[own] = True
-                at = window[marked[anchor]]
+                at = _marked(words, window, anchor, _flat(batch.column(2), begin, end, first))
                 if not len(at):
                     continue
                 row = np.searchsorted(first, at, side="right") - 1
@@ -92,27 +100,27 @@ def _window_rows(size: int, gram: int):
     return run
 
 
-def _cleaned(size: int, names: list[str]):
+def _cleaned(size: int, gram: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
-            starts_of = batch.column(2).to_pylist()
             for begin, end, data, offsets in text_slices(batch.column(1)):
+                words, first, _, window, anchor = _anchors(data, offsets, size, gram)
+                at = np.setdiff1d(_marked(words, window, anchor, _flat(batch.column(2), begin, end, first)), _flat(batch.column(3), begin, end, first), assume_unique=True)
+                cut = np.searchsorted(at, first)
                 raw = data.tobytes()
-                for i, a, b in zip(range(begin, end), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    words = raw[a:b].split()
-                    merged: list[list[int]] = []
-                    for s in sorted(starts_of[i] or ()):
-                        if merged and s <= merged[-1][1]:
-                            merged[-1][1] = s + size
-                        else:
-                            merged.append([s, s + size])
-                    n_words.append(len(words))
-                    n_removed.append(sum(e - s for s, e in merged))
-                    for s, e in reversed(merged):
-                        del words[s:e]
-                    kept.append(b" ".join(words).decode("utf-8", "replace"))
-                    spans.append([{"start": s, "stop": e} for s, e in merged])
+                for i in range(end - begin):
+                    own = raw[offsets[i] : offsets[i + 1]].split()
+                    starts = at[cut[i] : cut[i + 1]] - first[i]
+                    breaks = np.flatnonzero(np.diff(starts) > size) + 1
+                    froms = starts[np.concatenate([[0], breaks])].tolist() if len(starts) else []
+                    tos = (starts[np.concatenate([breaks - 1, [-1]])] + size).tolist() if len(starts) else []
+                    n_words.append(len(own))
+                    n_removed.append(sum(tos) - sum(froms))
+                    for s, e in zip(reversed(froms), reversed(tos), strict=True):
+                        del own[s:e]
+                    kept.append(b" ".join(own).decode("utf-8", "replace"))
+                    spans.append([{"start": s, "stop": e} for s, e in zip(froms, tos, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names)
 
     return run
@@ -125,11 +133,11 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     anchors = stored(docs.mapInArrow(_anchor_rows(size, gram), T.StructType([*key.fields]).add("anchor", T.LongType()).add("place", T.IntegerType())), "anchors")
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     places = anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    marked = docs.join(places.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")), "left")
-    marked = marked.where("places is not null").select("doc_id", "text", "places")
-    windows = marked.mapInArrow(_window_rows(size, gram), T.StructType([*key.fields]).add("window", T.LongType()).add("start", T.IntegerType()))
-    often = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    starts = windows.join(often, "window").groupBy("doc_id").agg(F.collect_set("start").alias("starts")).withColumnRenamed("doc_id", "own")
+    none = F.array().cast("array<int>")
+    marked = docs.join(places.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")), "left").select("doc_id", "text", F.coalesce("places", none).alias("places"))
+    windows = marked.where(F.size("places") > 0).mapInArrow(_window_rows(size, gram), T.StructType([*key.fields]).add("window", T.LongType()).add("start", T.IntegerType()))
+    single = windows.groupBy("window").agg(F.count("*").alias("n"), F.min("doc_id").alias("own"), F.min("start").alias("start")).where("n = 1")
+    singles = single.groupBy("own").agg(F.collect_set("start").alias("singles"))
     schema = T.StructType([*key.fields]).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_text", T.StringType()).add("spans", T.ArrayType(T.StructType().add("start", T.LongType()).add("stop", T.LongType())))
-    joined = docs.join(starts, F.col("doc_id").eqNullSafe(F.col("own")), "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(_cleaned(size, [f.name for f in schema.fields]), schema)
+    joined = marked.join(singles, F.col("doc_id").eqNullSafe(F.col("own")), "left").select("doc_id", "text", "places", F.coalesce("singles", none).alias("singles"))
+    return joined.mapInArrow(_cleaned(size, gram, [f.name for f in schema.fields]), schema)
