@@ -6,7 +6,7 @@ others by best fit, longest first, where a segment tree over the remaining
 capacities finds the tightest open window. Packing needs only lengths and
 runs on groups of about ``group_pieces`` pieces, dealt by a hash, so that any
 number of groups are packed side by side; a group leaves about one window
-partly filled.
+partly filled. The pieces, with their ids, then take their places in a join.
 
 Defined cases: a null or empty text is the end id alone; a null id is kept;
 repeated rows are packed each; other columns of pieces are carried along.
@@ -29,8 +29,8 @@ from skillgraph.llm.common import stored, text_slices
 
 END_ID = 2
 WINDOW = 4096
-#: Between a letter and the punctuation that ends a word the tokenizer always cuts; apostrophes may begin a piece like 's.
-_TAIL = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~]+(?:[ \t-\r]|\Z))")
+#: Punctuation that ends a word after a letter is always cut off by the tokenizer; apostrophes may begin a piece like 's.
+_TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)[!-&(-/:-@\[-`{-~]*(?=[ \t-\r]|\Z)", re.DOTALL)
 _encoders: dict[str, "_Encoder"] = {}
 
 
@@ -42,27 +42,41 @@ class _Encoder:
     token's brackets are encoded as a whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a piece
+        self.last[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of plain letters are one piece each: they are encoded in runs, and cut where pieces end."""
+        plain, other = [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            (plain if text.isalpha() and text.islower() and max(text) < "\u0250" else other).append((w, text))
+        for a in range(0, len(plain), 256):
+            part = plain[a : a + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.last[ids]) + 1
+            raw, froms, tos = ids.tobytes(), [0, *(4 * cuts[:-1]).tolist()], (4 * cuts).tolist()
+            self.known.update((w, raw[s:e]) for (w, _), s, e in zip(part, froms, tos, strict=True))
+        for a in range(0, len(other), 4096):
+            part = other[a : a + 4096]
+            self.known.update(zip((w for w, _ in part), self._ids([t for _, t in part]), strict=True))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [None if b"<|" in t else _TAIL.sub(b" ", t.lower()).split() for t in texts]
+        words = [None if b"<|" in t else _TAIL.sub(rb" \g<0>", t.lower()).split() for t in texts]
         if len(self.known) > self.limit:
             self.known.clear()
-        known = self.known
-        new = list({w for ws in words if ws for w in ws if w not in known})
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            known.update(zip(part, self._ids([w.decode("utf-8", "replace") for w in part]), strict=True))
-        get = known.__getitem__
+        self._learn(list(set().union(*filter(None, words)).difference(self.known)))
+        get = self.known.__getitem__
         return [b"".join(map(get, ws)) if ws is not None else self._ids([t.decode("utf-8", "replace")])[0] for ws, t in zip(words, texts, strict=True)]
 
 
@@ -164,14 +178,14 @@ def pack(pieces: DataFrame, window: int = WINDOW, group_pieces: int = 16_384) ->
 
     Groups are numbered, and a sequence's number is group * 2^32 + its place there.
     """
-    pieces = stored(pieces, "pieces")
+    pieces = stored(pieces.withColumn("_piece_", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    schema = T.StructType([*pieces.schema.fields]).add("sequence_id", T.LongType()).add("offset", T.LongType())
+    schema = T.StructType().add("_piece_", T.LongType()).add("sequence_id", T.LongType()).add("offset", T.LongType())
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop(columns="_group_").sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
         sequence, offset = best_fit_decreasing(group["length"].to_numpy(), window)
-        return group.assign(sequence_id=(key[0] << 32) + sequence, offset=offset)
+        return pd.DataFrame({"_piece_": group["_piece_"], "sequence_id": (int(key[0]) << 32) + sequence, "offset": offset})
 
-    grouped = pieces.withColumn("_group_", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    return grouped.groupBy("_group_").applyInPandas(run, schema)
+    lengths = pieces.select("_piece_", "doc_id", "start", "length", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("_group_"))
+    return pieces.join(lengths.groupBy("_group_").applyInPandas(run, schema), "_piece_").drop("_piece_")
