@@ -1,6 +1,562 @@
-"""Registered queries over the driver's tables, and the SQL that gives the same rows."""
+"""Registered queries over the driver's tables, and the SQL that gives the same rows.
+
+Orders (or customers, suppliers, users) stand for entities, parts for features, and
+quantities for weights, so the operators run over tables of any size.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skillgraph.functions import cells, text
+from skillgraph.operators import entities, events, export, graph, lookup, paths, projection, quality, subset
+from skillgraph.operators.components import connected
+from skillgraph.sources import tabular
+from skillgraph.storage import stored
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _register(sql: str | None = None):
+    def add(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[query.__name__] = query
+        if sql is not None:
+            ORACLES[query.__name__] = sql
+        return query
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- the bipartite reading -------------------------------------------------
+
+_EDGES = "SELECT CAST(l_orderkey AS VARCHAR) AS entity, CAST(l_partkey AS VARCHAR) AS feature, MAX(CAST(l_quantity AS DECIMAL(18,6))) AS weight FROM lineitem GROUP BY 1, 2"
+_WITH = f"WITH e AS ({_EDGES})"
+_PAIRS = "SELECT x.entity AS a, y.entity AS b, COUNT(*) AS shared_count, SUM(LEAST(x.weight, y.weight)) AS weighted_score FROM {e} x JOIN {e} y ON x.feature = y.feature AND x.entity < y.entity GROUP BY 1, 2"
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as items: an order is a row, a line its place there."""
+    return _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("entity"), F.col("l_partkey").cast("string").alias("feature"), F.col("l_quantity").cast("decimal(18,6)").alias("weight"), F.col("l_orderkey").alias("row_idx"), F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("place"), F.col("l_suppkey").alias("supplier")
+    )
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.best_edges(_items(spark, sf_dir), "entity", "feature", "weight", ("row_idx", "place"))
+
+
+def _customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and parts: far fewer entities, with many shared parts."""
+    own = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("entity"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("feature"), F.col("l_quantity").cast("decimal(18,6)").alias("weight"))
+    return lines.join(own, "l_orderkey").groupBy("entity", "feature").agg(F.max("weight").alias("weight"))
+
+
+_CUSTOMER_EDGES = "SELECT CAST(o_custkey AS VARCHAR) AS entity, CAST(l_partkey AS VARCHAR) AS feature, MAX(CAST(l_quantity AS DECIMAL(18,6))) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"
+
+
+@_register("SELECT entity, feature, CAST(weight AS DOUBLE) AS weight, place FROM (SELECT CAST(l_orderkey AS VARCHAR) AS entity, CAST(l_partkey AS VARCHAR) AS feature, l_quantity AS weight, CAST(l_linenumber AS BIGINT) AS place, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_quantity DESC, l_linenumber) AS n FROM lineitem) WHERE n = 1")
+def edge_dedup_max_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).select("entity", "feature", F.col("weight").cast("double").alias("weight"), F.col("place.l_linenumber").cast("long").alias("place"))
+
+
+@_register("""WITH w AS (SELECT MAX(l_quantity) OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m, l_quantity AS q FROM lineitem),
+c AS (SELECT COUNT(DISTINCT l_orderkey) - 1 AS n FROM lineitem GROUP BY l_orderkey, l_partkey)
+SELECT CAST((SELECT COUNT(*) FROM w WHERE m >= q) + (SELECT SUM(n) FROM c) AS BIGINT) AS duplicate_edges""")
+def edge_duplicate_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.duplicate_edges(_items(spark, sf_dir), "entity", "feature", "weight", "row_idx", "place")
+
+
+_UPSERT = "SELECT CAST(user_id AS VARCHAR) AS entity, event_id AS row_idx, CASE WHEN event_id % 3 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 5 <> 0 THEN value END AS amount FROM events"
+
+
+@_register(f"""WITH r AS ({_UPSERT}), f AS (SELECT entity, MIN(row_idx) AS first_order, COUNT(*) AS n_rows, MIN(CASE WHEN kind IS NOT NULL THEN row_idx END) AS k, MIN(CASE WHEN amount IS NOT NULL THEN row_idx END) AS a FROM r GROUP BY entity)
+SELECT f.entity, x.kind, y.amount, f.first_order, f.n_rows FROM f LEFT JOIN r x ON x.row_idx = f.k LEFT JOIN r y ON y.row_idx = f.a""")
+def entity_upsert_first_non_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("entity"), F.col("event_id").alias("row_idx"), F.expr("case when event_id % 3 <> 0 then event_type end").alias("kind"), F.expr("case when event_id % 5 <> 0 then value end").alias("amount"))
+    return entities.first_known(rows, "entity", "row_idx", ("kind", "amount"))
+
+
+@_register("SELECT feature, example FROM (SELECT CAST(l_partkey AS VARCHAR) AS feature, l_suppkey AS example, ROW_NUMBER() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS n FROM lineitem) WHERE n = 1")
+def feature_catalog_first_example(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.feature_catalog(_items(spark, sf_dir), "feature", "supplier", ("row_idx", "place"))
+
+
+@_register("""SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE t IS NULL) AS missing_title, COUNT(*) FILTER (WHERE t IS NOT NULL AND blank) AS missing_cell, COUNT(*) FILTER (WHERE t IS NOT NULL AND NOT blank) AS valid_rows FROM (
+SELECT CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS t, event_id % 5 = 0 AS blank FROM events)""")
+def validation_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("event_id") % 7 == 0, " None ").when(F.col("event_id") % 11 == 0, "  ").otherwise(F.col("event_type"))
+    rows = _table(spark, sf_dir, "events").select(text.clean(raw).alias("t"), (F.col("event_id") % 5 == 0).alias("blank"))
+    return rows.agg(F.count("*").alias("total_rows"), F.count_if(F.col("t").isNull()).alias("missing_title"), F.count_if(F.col("t").isNotNull() & F.col("blank")).alias("missing_cell"), F.count_if(F.col("t").isNotNull() & ~F.col("blank")).alias("valid_rows"))
+
+
+# --- cells -----------------------------------------------------------------
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell for each order: its lines as a JSON list."""
+    item = F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("Part "), "l_partkey").alias("skill"), F.element_at(F.array(*map(F.lit, ("Advanced", "Proficient", "critical"))), F.col("l_linenumber").cast("int") % 3 + 1).alias("bucket"), (F.col("l_discount") * 10).alias("mapping_similarity"))
+    grouped = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("i"))
+    return grouped.select(F.col("l_orderkey").alias("row_idx"), F.to_json(F.transform("i", lambda x: F.struct(x["skill"].alias("skill"), x["bucket"].alias("bucket"), x["mapping_similarity"].alias("mapping_similarity")))).alias("skills"))
+
+
+@_register("""SELECT l_orderkey AS row_idx, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'Part ' || l_partkey, l_discount) - 1 AS BIGINT) AS place, 'part ' || l_partkey AS feature, CASE CAST(l_linenumber AS INT) % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 4 END AS bucket_score,
+ROUND(0.7 * LEAST(1.0, GREATEST(0.0, l_discount * 10)) + 0.3 * (CASE CAST(l_linenumber AS INT) % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 4 END) / 4.0, 6) AS edge_weight FROM lineitem""")
+def parse_feature_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = cells.parse_cells(_cells(spark, sf_dir)).select("row_idx", F.posexplode("items").alias("place", "i"))
+    score = text.bucket(F.col("i.bucket"))["score"]
+    return parsed.select("row_idx", F.col("place").cast("long").alias("place"), text.normalize_text(F.col("i.text")).alias("feature"), score.alias("bucket_score"), text.edge_weight(score, F.col("i.similarity")).alias("edge_weight"))
+
+
+@_register("SELECT o_orderkey AS row_id, CASE CAST(o_orderkey % 4 AS INT) WHEN 1 THEN 'unable_to_parse_skills' ELSE 'parsed_but_no_valid_skill_objects' END AS reason, CASE CAST(o_orderkey % 4 AS INT) WHEN 1 THEN 'order ' || o_orderkey ELSE '[1, ' || o_orderkey || ']' END AS snippet FROM orders WHERE o_orderkey % 4 IN (1, 2)")
+def parse_error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    cell = F.when(key % 4 == 1, F.concat(F.lit("order "), key)).when(key % 4 == 2, F.concat(F.lit("[1, "), key, F.lit("]"))).when(key % 4 == 3, F.concat(F.lit("see {'skill': 'Part "), key, F.lit("', bucket: Advanced} there"))).otherwise(F.concat(F.lit("[{'skill': 'Part "), key, F.lit("', 'bucket': None}]")))
+    parsed = cells.parse_cells(_table(spark, sf_dir, "orders").select(key.alias("row_id"), cell.alias("skills")))
+    return parsed.where("reason is not null").select("row_id", "reason", F.substring("skills", 1, 500).alias("snippet"))
+
+
+@_register("SELECT o_orderkey AS row_id, 'Part ' || o_orderkey AS feature, CASE WHEN o_orderkey % 2 = 1 THEN 'Advanced' END AS bucket FROM orders")
+def parse_broken_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    cell = F.when(key % 2 == 1, F.concat(F.lit("see {'skill': 'Part "), key, F.lit("', bucket: Advanced} there"))).otherwise(F.concat(F.lit("[{'skill': 'Part "), key, F.lit("', 'bucket': None}]")))
+    parsed = cells.parse_cells(_table(spark, sf_dir, "orders").select(key.alias("row_id"), cell.alias("skills")))
+    return parsed.select("row_id", F.explode("items").alias("i")).select("row_id", F.col("i.text").alias("feature"), F.col("i.bucket").alias("bucket"))
+
+
+# --- scalars ---------------------------------------------------------------
+
+
+@_register("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim('  ' || p_name || '  ' || p_brand || ' .;- ')), '\\s+', ' ', 'g'), '[\\s.,;:!?\\-_/]+$', '') AS normalized FROM part")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("  "), "p_name", F.lit("  "), "p_brand", F.lit(" .;- "))
+    return _table(spark, sf_dir, "part").select("p_partkey", text.normalize_text(raw).alias("normalized"))
+
+
+@_register("SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM part")
+def pretty_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", text.pretty_label(F.lower("p_name")).alias("label"))
+
+
+@_register("SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(p_type || ' - ' || p_brand), '[-/]+', '_', 'g'), '\\s+', '_', 'g'), '[^0-9a-zA-Z_]', '', 'g'), '_+', '_', 'g'), '_')) AS header FROM part")
+def header_snake_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", text.header_expression(F.concat("p_type", F.lit(" - "), "p_brand")).alias("header"))
+
+
+@_register("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'mission-critical' WHEN '2-HIGH' THEN 'advanced' WHEN '3-MEDIUM' THEN 'more proficient' WHEN '5-LOW' THEN 'unknown' ELSE '4 not specified' END AS bucket,
+CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 2 ELSE 0 END AS score FROM orders""")
+def bucket_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("o_orderpriority")
+    raw = F.when(p == "1-URGENT", " Mission-Critical ").when(p == "2-HIGH", "ADVANCED").when(p == "3-MEDIUM", "more_proficient!").when(p == "5-LOW", "???").otherwise("4-Not  Specified")
+    found = text.bucket(raw)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", found["text"].alias("bucket"), found["score"].alias("score"))
+
+
+@_register("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 0 THEN ROUND(0.5 * (CAST(l_linenumber AS INT) % 5) / 4.0 + 0.25, 6) ELSE ROUND(0.7 * LEAST(1.0, GREATEST(0.0, l_discount * 20 - 0.5)) + 0.3 * (CAST(l_linenumber AS INT) % 5) / 4.0, 6) END AS w FROM lineitem""")
+def edge_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    similarity = F.when(F.col("l_linenumber") % 4 != 0, F.col("l_discount") * 20 - 0.5)
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.edge_weight(F.col("l_linenumber").cast("int") % 5, similarity).alias("w"))
+
+
+@_register("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE FLOOR(ABS(c_acctbal) * 100) END AS amount, CASE WHEN c_custkey % 3 = 0 THEN 'unknown' WHEN FLOOR(ABS(c_acctbal) * 100) < 10000 THEN 'lt_10k' WHEN FLOOR(ABS(c_acctbal) * 100) < 20000 THEN '10k_20k' WHEN FLOOR(ABS(c_acctbal) * 100) < 50000 THEN '20k_50k' ELSE 'ge_50k' END AS band FROM customer")
+def numeric_parse_salary_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.when(F.col("c_custkey") % 3 == 0, "about 5k").otherwise(F.concat(F.lit(" "), F.format_number(F.floor(F.abs("c_acctbal") * 100), 0), F.lit(" ")))
+    return _table(spark, sf_dir, "customer").select("c_custkey", cell.alias("t")).select("c_custkey", text.parse_number(F.col("t")).alias("amount"), text.salary_band(F.col("t")).alias("band"))
+
+
+@_register("SELECT c_custkey, 'skill::' || substr(sha1(lower(c_name)), 1, 16) AS id, CASE WHEN c_custkey % 5 = 0 THEN 'row_' || c_custkey ELSE 'job_fallback::' || substr(sha1(lower(c_name) || '|' || lower(c_mktsegment) || '|'), 1, 20) END AS fallback, CAST(('0x' || substr(sha1('42:' || c_custkey), 1, 8)) AS UBIGINT)::DOUBLE / 4294967295 AS u FROM customer")
+def deterministic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = F.col("c_custkey") % 5 == 0
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.hashed_id("skill", F.lower("c_name")).alias("id"), text.fallback_id(F.when(~blank, F.col("c_name")), F.when(~blank, F.concat(F.lit(" "), "c_mktsegment")), F.lit(None).cast("string"), F.col("c_custkey")).alias("fallback"), text.unit_hash(42, F.col("c_custkey")).alias("u"))
+
+
+@_register("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+def json_attribute_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("k"))
+
+
+@_register("""SELECT p_partkey, '{"name":"' || p_name || '"' || CASE WHEN p_partkey % 2 = 0 THEN ',"size":' || p_size ELSE '' END || '}' AS attributes_json FROM part""")
+def compact_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", text.compact_json(F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).alias("size")).alias("attributes_json"))
+
+
+@_register("SELECT 'cell' AS inferred")
+def feature_column_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _cells(spark, sf_dir).select(F.col("row_idx").cast("string").alias("id"), F.lit("plain text").alias("note"), F.col("skills").alias("cell"))
+    return spark.createDataFrame([(tabular.infer_cell_column(rows, rows.columns),)], "inferred string")
+
+
+# --- projection ------------------------------------------------------------
+
+
+@_register(f"{_WITH} SELECT node, COUNT(*) AS degree, CAST(SUM(weight) AS DOUBLE) AS strength FROM (SELECT 'e' || entity AS node, weight FROM e UNION ALL SELECT 'f' || feature, weight FROM e) GROUP BY node")
+def bipartite_degree_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _edges(spark, sf_dir).select(F.concat(F.lit("e"), "entity").alias("a"), F.concat(F.lit("f"), "feature").alias("b"), "weight")
+    return graph.degrees(links).select("node", "degree", F.col("strength").cast("double").alias("strength"))
+
+
+@_register(f"{_WITH} SELECT a, b, shared_count, CAST(weighted_score AS DOUBLE) AS weighted_score FROM ({_PAIRS.format(e='e')})")
+def projection_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.pair_scores(_edges(spark, sf_dir)).withColumn("weighted_score", F.col("weighted_score").cast("double"))
+
+
+_SUPPLIER_EDGES = "SELECT CAST(l_suppkey AS VARCHAR) AS entity, CAST(l_partkey AS VARCHAR) AS feature, MAX(CAST(l_quantity AS DECIMAL(18,6))) AS weight FROM lineitem GROUP BY 1, 2"
+
+
+def _supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("entity"), F.col("l_partkey").cast("string").alias("feature")).agg(F.max(F.col("l_quantity").cast("decimal(18,6)")).alias("weight"))
+
+
+def _guard_sql(verdict: str) -> str:
+    return f"""WITH e AS ({_SUPPLIER_EDGES}), d AS (SELECT feature, COUNT(DISTINCT entity) AS degree FROM e GROUP BY feature), j AS (SELECT feature, degree, degree * (degree - 1) // 2 AS pairs, {verdict} AS verdict FROM d) SELECT feature, degree, CAST(pairs AS BIGINT) AS pairs, verdict FROM j"""
+
+
+@_register(_guard_sql("CASE WHEN degree < 2 THEN 'single' WHEN degree > 28 THEN 'degree' ELSE 'used' END"))
+def projection_guarded_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.guarded(_supplier_edges(spark, sf_dir), max_degree=28, max_pairs=0, max_total=0).select("feature", "degree", "pairs", "verdict")
+
+
+@_register(_guard_sql("CASE WHEN degree < 2 THEN 'single' WHEN degree * (degree - 1) // 2 > 300 THEN 'pairs' ELSE 'used' END"))
+def projection_guarded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.guarded(_supplier_edges(spark, sf_dir), max_degree=2_000, max_pairs=300, max_total=0).select("feature", "degree", "pairs", "verdict")
+
+
+@_register(f"""WITH RECURSIVE e AS ({_SUPPLIER_EDGES}), d AS (SELECT feature, COUNT(DISTINCT entity) AS degree FROM e GROUP BY feature), o AS (SELECT feature, degree, CAST(degree * (degree - 1) // 2 AS BIGINT) AS pairs, ROW_NUMBER() OVER (ORDER BY degree < 2, feature) AS n FROM d),
+f(n, used, taken) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), false UNION ALL SELECT o.n, CASE WHEN f.used + o.pairs <= 5000 THEN f.used + o.pairs ELSE f.used END, f.used + o.pairs <= 5000 FROM f JOIN o ON o.n = f.n + 1 AND o.degree >= 2)
+SELECT o.feature, o.degree, o.pairs, CASE WHEN o.degree < 2 THEN 'single' WHEN f.taken THEN 'used' ELSE 'total' END AS verdict FROM o LEFT JOIN f ON f.n = o.n""")
+def projection_guarded_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.guarded(_supplier_edges(spark, sf_dir), max_degree=1_000_000, max_pairs=0, max_total=5_000).select("feature", "degree", "pairs", "verdict")
+
+
+@_register(f"""WITH e AS ({_SUPPLIER_EDGES}), d AS (SELECT feature, COUNT(DISTINCT entity) AS degree FROM e GROUP BY feature), j AS (SELECT degree, degree * (degree - 1) // 2 AS pairs, CASE WHEN degree < 2 THEN 'single' WHEN degree > 28 THEN 'degree' WHEN degree * (degree - 1) // 2 > 300 THEN 'pairs' ELSE 'used' END AS v FROM d)
+SELECT COUNT(*) AS features, COUNT(*) FILTER (WHERE v = 'used') AS features_used, COUNT(*) FILTER (WHERE v = 'degree') AS skipped_by_degree, COUNT(*) FILTER (WHERE v = 'pairs') AS skipped_by_pairs, CAST(COALESCE(SUM(pairs) FILTER (WHERE v = 'used'), 0) AS BIGINT) AS pairs_used, MAX(degree) AS max_degree FROM j""")
+def projection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = projection.guarded(_supplier_edges(spark, sf_dir), max_degree=28, max_pairs=300, max_total=0)
+    return projection.projection_stats(judged).select("features", "features_used", "skipped_by_degree", "skipped_by_pairs", "pairs_used", "max_degree")
+
+
+def _topk_sql(edges: str, score: str, k: int, threshold: float, method: str) -> str:
+    return f"""SELECT entity, neighbor, ROUND(CAST(s AS DOUBLE), 6) AS similarity_score, CAST(r AS INT) AS rank, '{method}' AS method FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY s DESC, neighbor) AS r FROM (
+SELECT a AS entity, b AS neighbor, {score} AS s FROM p WHERE {score} >= {threshold} UNION ALL SELECT b, a, {score} FROM p WHERE {score} >= {threshold})) WHERE r <= {k}"""
+
+
+def _with_pairs(edges: str) -> str:
+    return f"WITH e AS ({edges}), p AS ({_PAIRS.format(e='e')})"
+
+
+@_register(f"{_with_pairs(_EDGES)} {_topk_sql('e', 'shared_count', 20, 0, 'unweighted')}")
+def topk_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.similarity(projection.pair_scores(_edges(spark, sf_dir)), "unweighted", 20)
+
+
+@_register(f"{_with_pairs(_EDGES)} {_topk_sql('e', 'weighted_score', 5, 0, 'weighted')}")
+def topk_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.similarity(projection.pair_scores(_edges(spark, sf_dir)), "weighted", 5)
+
+
+@_register(f"{_with_pairs(_CUSTOMER_EDGES)} {_topk_sql('e', 'shared_count', 10, 3, 'unweighted')} UNION ALL {_topk_sql('e', 'weighted_score', 10, 3, 'weighted')}")
+def topk_both_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = stored(projection.pair_scores(_customer_edges(spark, sf_dir)), "pairs")
+    return projection.similarity(pairs, "both", 10, 3.0)
+
+
+# --- lookups ---------------------------------------------------------------
+
+_JOBS_SQL = "SELECT CAST(c_custkey AS VARCHAR) AS job_id, c_name AS job_title, c_mktsegment AS company_name FROM customer"
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("job_id"), F.col("c_name").alias("job_title"), F.col("c_mktsegment").alias("company_name"), F.lit("").alias("district"))
+    return jobs.withColumn("job_title_norm", F.lower(F.trim("job_title")))
+
+
+def _job_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customer_edges(spark, sf_dir).select(F.col("entity").alias("job_id"), F.col("feature").alias("skill_id"), F.col("weight").cast("double").alias("edge_weight"), F.concat(F.lit("part "), "feature").alias("skill_text_normalized"), F.lit("").alias("bucket_normalized"), F.lit(None).cast("double").alias("mapping_similarity"))
+
+
+def _similarity_of(spark: SparkSession, sf_dir: str, job_id: str) -> DataFrame:
+    """Closest jobs of one job: its filter is pushed below the self-join."""
+    edges = _customer_edges(spark, sf_dir)
+    mine = edges.where(F.col("entity") == job_id).select("feature", F.col("weight").alias("v"))
+    scores = edges.where(F.col("entity") != job_id).join(mine, "feature").groupBy("entity").agg(F.count("*").alias("s"))
+    ranked = scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "entity"))).where("rank <= 20")
+    return ranked.select(F.lit(job_id).alias("job_id"), F.col("entity").alias("neighbor_job_id"), F.col("s").cast("double").alias("similarity_score"), "rank", F.lit("unweighted").alias("method"))
+
+
+_CLOSE = f"""WITH e AS ({_CUSTOMER_EDGES}), m AS (SELECT feature FROM e WHERE entity = '7'), s AS (SELECT e.entity, COUNT(*) AS s FROM e JOIN m USING (feature) WHERE e.entity <> '7' GROUP BY 1),
+r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY s DESC, entity) AS rank FROM s), j AS ({_JOBS_SQL})"""
+
+
+@_register(f"{_CLOSE} SELECT '7' AS job_id, q.job_title AS query_job_title, r.entity AS neighbor_job_id, n.job_title AS neighbor_job_title, n.company_name AS neighbor_company_name, CAST(r.s AS DOUBLE) AS similarity_score, CAST(rank AS INT) AS rank, 'unweighted' AS method FROM r LEFT JOIN j q ON q.job_id = '7' LEFT JOIN j n ON n.job_id = r.entity WHERE rank <= 10")
+def closest_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.closest_jobs(_similarity_of(spark, sf_dir, "7"), _jobs(spark, sf_dir), "7", "unweighted", 10)
+
+
+@_register(f"""{_CLOSE}, x AS (SELECT e.entity, COUNT(DISTINCT feature) AS c, LIST(DISTINCT 'part ' || feature ORDER BY 'part ' || feature) AS l FROM e JOIN m USING (feature) GROUP BY 1)
+SELECT '7' AS job_id, q.job_title AS query_job_title, r.entity AS neighbor_job_id, n.job_title AS neighbor_job_title, n.company_name AS neighbor_company_name, CAST(r.s AS DOUBLE) AS similarity_score, CAST(rank AS INT) AS rank, 'unweighted' AS method, c AS shared_skill_count, array_to_string(l[1:5], ', ') AS shared_skills_preview FROM r LEFT JOIN j q ON q.job_id = '7' LEFT JOIN j n ON n.job_id = r.entity JOIN x USING (entity) WHERE rank <= 10""")
+def closest_entities_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.closest_jobs(_similarity_of(spark, sf_dir, "7"), _jobs(spark, sf_dir), "7", "unweighted", 10, _job_edges(spark, sf_dir))
+
+
+def _resolved(found: tuple[str | None, DataFrame, str]) -> DataFrame:
+    job_id, rows, reason = found
+    return rows.select("job_id", "job_title", F.lit(job_id).cast("string").alias("resolved"), F.lit(reason).alias("reason"))
+
+
+@_register(f"SELECT job_id, job_title, job_id AS resolved, 'resolved_by_exact_title' AS reason FROM ({_JOBS_SQL}) WHERE job_title = (SELECT c_name FROM customer WHERE c_custkey = 42)")
+def resolve_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = _table(spark, sf_dir, "customer").where("c_custkey = 42").select("c_name").first()[0]
+    return _resolved(lookup.resolve_job(_jobs(spark, sf_dir), title=f" {name.upper()} "))
+
+
+@_register(f"SELECT job_id, job_title, CAST(NULL AS VARCHAR) AS resolved, 'ambiguous_partial_title' AS reason FROM ({_JOBS_SQL}) WHERE lower(job_title) LIKE '%00001%' ORDER BY job_id LIMIT 10")
+def resolve_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(lookup.resolve_job(_jobs(spark, sf_dir), title="00001"))
+
+
+@_register()
+def resolve_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(lookup.resolve_job(_jobs(spark, sf_dir), title="Costumer#00000042x"))
+
+
+def _skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("skill_id"), text.normalize_text(F.col("p_name")).alias("skill_text_normalized"))
+    return parts.withColumn("label", text.pretty_label(F.col("skill_text_normalized")))
+
+
+@_register()
+def suggest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = _table(spark, sf_dir, "part").agg(F.min("p_name")).first()[0]
+    return lookup.resolve_skills([name + "x", "nothing like it"], _skills(spark, sf_dir), 70)[1]
+
+
+_IDS = ("1", "3", "5", "8", "13", "21", "34", "55", "89", "144")
+_IN = ", ".join(f"'{i}'" for i in _IDS)
+
+
+@_register(f"""WITH e AS ({_CUSTOMER_EDGES}), c AS (SELECT entity, COUNT(DISTINCT feature) AS n, ROUND(CAST(SUM(weight) AS DOUBLE), 6) AS w, array_to_string(LIST(DISTINCT 'part ' || feature ORDER BY 'part ' || feature), ', ') AS m FROM e WHERE feature IN ({_IN}) GROUP BY 1)
+SELECT entity AS job_id, c_name AS job_title, n AS matched_skill_count, 10 AS total_query_skills, ROUND(n / 10, 6) AS matched_ratio, w AS matched_weight_sum, m AS matched_skills, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, w DESC, entity) AS INT) AS rank FROM c LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = entity QUALIFY rank <= 20""")
+def rank_for_features_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.rank_for_skills(_job_edges(spark, sf_dir), _jobs(spark, sf_dir), list(_IDS), len(_IDS))
+
+
+@_register(f"""WITH e AS ({_CUSTOMER_EDGES}) SELECT '7' AS job_id, (SELECT c_name FROM customer WHERE c_custkey = 7) AS job_title, feature AS skill_id, 'part ' || feature AS skill_text_normalized, CAST(weight AS DOUBLE) AS edge_weight, CAST(ROW_NUMBER() OVER (ORDER BY weight DESC, 'part ' || feature, feature) AS INT) AS rank FROM e WHERE entity = '7' QUALIFY rank <= 15""")
+def entity_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.top_skills(_job_edges(spark, sf_dir), _jobs(spark, sf_dir), _skills(spark, sf_dir), "7", 15).select("job_id", "job_title", "skill_id", "skill_text_normalized", "edge_weight", "rank")
+
+
+@_register(f"WITH e AS ({_CUSTOMER_EDGES}) SELECT CAST(p_partkey AS VARCHAR) AS node, p_name AS label, COUNT(feature) AS global_degree FROM part LEFT JOIN e ON feature = CAST(p_partkey AS VARCHAR) GROUP BY 1, 2 ORDER BY 3 DESC, 2, 1 LIMIT 300")
+def feature_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("node"), F.lit("skill").alias("node_type"), F.col("p_name").alias("label"))
+    return graph.hubs(_customer_edges(spark, sf_dir).select(F.concat(F.lit("c"), "entity").alias("a"), F.col("feature").alias("b")), nodes)
+
+
+@_register(f"WITH e AS ({_CUSTOMER_EDGES}) SELECT entity AS job_id, c_name AS job_title FROM (SELECT DISTINCT entity FROM e WHERE feature = '9') LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = entity ORDER BY 1 LIMIT 200")
+def feature_linked_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.linked_jobs(_job_edges(spark, sf_dir), _jobs(spark, sf_dir), "9")
+
+
+# --- graph -----------------------------------------------------------------
+
+_SPARSE = "SELECT DISTINCT 'e' || l_orderkey AS a, 'f' || l_partkey AS b FROM lineitem WHERE l_quantity >= 49"
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and parts joined by large quantities: many components."""
+    lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    return lines.groupBy(F.concat(F.lit("e"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("b")).agg(F.max("l_quantity").alias("weight"))
+
+
+_COMPONENTS = f"""WITH RECURSIVE e AS ({_SPARSE}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node), c AS (SELECT node, MIN(root) AS component FROM r GROUP BY node)"""
+
+
+@_register(f"{_COMPONENTS} SELECT node, component FROM c")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected(_sparse(spark, sf_dir))
+
+
+@_register(f"{_COMPONENTS} SELECT component, COUNT(*) AS size, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, component) AS INT) AS rank FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.top_components(graph.component_sizes(_sparse(spark, sf_dir)), 20)
+
+
+@_register(f"{_COMPONENTS}, t AS (SELECT component FROM c GROUP BY 1 ORDER BY COUNT(*) DESC, component LIMIT 1) SELECT c.node, COUNT(*) AS degree FROM c JOIN t USING (component) JOIN u ON u.a = c.node GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+def component_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = stored(_sparse(spark, sf_dir), "edges")
+    members = stored(connected(edges), "members")
+    top = graph.top_components(members.groupBy("component").agg(F.count("*").alias("size")), 1).first()[0]
+    return graph.component_part(edges, members, top, 8)
+
+
+@_register(f"""WITH e AS ({_SPARSE}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), s AS (SELECT MIN(a) AS n FROM e), h1 AS (SELECT DISTINCT b AS n FROM u JOIN s ON a = n), h2 AS (SELECT DISTINCT b AS n FROM u JOIN h1 ON a = n WHERE b NOT IN (SELECT n FROM s UNION SELECT n FROM h1)), h3 AS (SELECT DISTINCT b AS n FROM u JOIN h2 ON a = n WHERE b NOT IN (SELECT n FROM s UNION SELECT n FROM h1 UNION SELECT n FROM h2))
+SELECT n AS node, 0 AS hop FROM s UNION ALL SELECT n, 1 FROM h1 UNION ALL SELECT n, 2 FROM h2 UNION ALL SELECT n, 3 FROM h3""")
+def ego_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = stored(_sparse(spark, sf_dir), "edges")
+    return graph.ego(edges, edges.agg(F.min("a")).first()[0], 3, 5_000).select("node", "hop")
+
+
+@_register("SELECT a, b, weight FROM (SELECT 'e' || l_orderkey AS a, 'f' || l_partkey AS b, MAX(l_quantity) AS weight FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2) WHERE b < 'f5' AND a < 'e5' ORDER BY weight DESC, a, b LIMIT 25")
+def induced_subgraph_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = stored(_sparse(spark, sf_dir), "edges")
+    nodes = edges.select(F.col("a").alias("node")).where("node < 'e5'").unionByName(edges.select(F.col("b").alias("node")).where("node < 'f5'")).distinct()
+    return graph.induced(edges, nodes, 25)
+
+
+@_register()
+def stratified_node_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = stored(_sparse(spark, sf_dir), "edges")
+    nodes = edges.select(F.col("a").alias("node")).distinct().withColumn("node_type", F.lit("job")).unionByName(edges.select(F.col("b").alias("node")).distinct().withColumn("node_type", F.lit("skill")))
+    return graph.sample_nodes(nodes, edges, 200)
+
+
+def _customer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers who share five parts or more."""
+    pairs = projection.pair_scores(_customer_edges(spark, sf_dir)).where("shared_count >= 5")
+    return stored(pairs.select("a", "b", F.col("shared_count").cast("double").alias("weight")), "graph")
+
+
+_CUSTOMER_GRAPH = f"{_with_pairs(_CUSTOMER_EDGES)}, g AS (SELECT a, b, shared_count FROM p WHERE shared_count >= 5)"
+
+
+@_register(f"{_CUSTOMER_GRAPH} SELECT CAST(c_custkey AS VARCHAR) AS node, COUNT(w) AS degree, CAST(COALESCE(SUM(w), 0) AS DOUBLE) AS strength FROM customer LEFT JOIN (SELECT a AS n, shared_count AS w FROM g UNION ALL SELECT b, shared_count FROM g) ON n = CAST(c_custkey AS VARCHAR) GROUP BY 1")
+def projected_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("node"))
+    return graph.degrees(_customer_graph(spark, sf_dir), nodes)
+
+
+@_register(_CUSTOMER_GRAPH.replace("WITH e", "WITH RECURSIVE e") + """, u AS (SELECT a, b FROM g UNION ALL SELECT b, a FROM g), d(s, t, k) USING KEY (s, t) AS (SELECT a, a, 0 FROM u UNION SELECT d.s, u.b, MIN(d.k) + 1 FROM d JOIN u ON u.a = d.t LEFT JOIN recurring.d o ON o.s = d.s AND o.t = u.b WHERE o.s IS NULL GROUP BY d.s, u.b),
+m AS (SELECT s, MIN(t) AS c, COUNT(*) AS n, SUM(k) AS total FROM d GROUP BY s), top AS (SELECT c FROM m GROUP BY c ORDER BY COUNT(*) DESC, c LIMIT 1) SELECT s AS node, ROUND((n - 1) / total, 9) AS closeness FROM m JOIN top USING (c)""")
+def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _customer_graph(spark, sf_dir)
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    table, _ = paths.centrality(edges, nodes, None, (60_000, 4_000_000))
+    return table.where("closeness is not null").select("node", F.round("closeness", 9).alias("closeness"))
+
+
+@_register()
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _customer_graph(spark, sf_dir)
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    return paths.centrality(edges, nodes, (15_000, 1_000_000), None)[0].select("node", "degree", "betweenness")
+
+
+# --- subset ----------------------------------------------------------------
+
+_STRATA = "SELECT o_orderkey AS row_idx, o_orderpriority || '||' || CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice < 250000 THEN 'mid' ELSE 'high' END AS stratum FROM orders"
+_QUOTAS = f"""s AS ({_STRATA}), n AS (SELECT stratum, COUNT(*) AS n FROM s GROUP BY 1), x AS (SELECT stratum, n, n / SUM(n) OVER () * 1000.0 AS exact FROM n), f AS (SELECT *, CAST(FLOOR(exact) AS BIGINT) AS q FROM x),
+quota AS (SELECT stratum, n, q + CASE WHEN ROW_NUMBER() OVER (ORDER BY exact - q DESC, n DESC, stratum DESC) <= 1000 - SUM(q) OVER () THEN 1 ELSE 0 END AS quota FROM f)"""
+
+
+def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    band = F.when(F.col("o_totalprice") < 100_000, "low").when(F.col("o_totalprice") < 250_000, "mid").otherwise("high")
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_idx"), F.concat_ws("||", "o_orderpriority", band).alias("stratum"))
+
+
+@_register(f"WITH {_QUOTAS} SELECT stratum, n, CAST(quota AS BIGINT) AS quota FROM quota")
+def subset_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subset.quotas(_strata(spark, sf_dir).groupBy("stratum").agg(F.count("*").alias("n")), 1_000)
+
+
+@_register(f"""WITH {_QUOTAS}, k AS (SELECT row_idx, stratum, ROW_NUMBER() OVER (PARTITION BY stratum ORDER BY CAST(('0x' || substr(sha1('42:' || row_idx), 1, 8)) AS UBIGINT)::DOUBLE / 4294967295 DESC, row_idx DESC) AS r FROM s) SELECT row_idx, stratum FROM k JOIN quota USING (stratum) WHERE r <= quota""")
+def subset_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _strata(spark, sf_dir).withColumn("score", text.unit_hash(42, F.col("row_idx")))
+    share = subset.quotas(rows.groupBy("stratum").agg(F.count("*").alias("n")), 1_000)
+    return subset.choose(rows, share, 1_000)
+
+
+@_register("""WITH f AS (SELECT l_partkey, COUNT(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1), l AS (SELECT LIST(n ORDER BY n) AS l, COUNT(*) AS c FROM f)
+SELECT GREATEST(1, l[GREATEST(1, CAST(FLOOR(c * 0.1) AS BIGINT))]) AS rare, GREATEST(1, l[GREATEST(1, CAST(FLOOR(c * 0.9) AS BIGINT))]) AS common FROM l""")
+def frequency_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n"))
+    return spark.createDataFrame([subset.frequency_cutoffs(stored(counts, "frequency"))], "rare long, common long")
+
+
+@_register("SELECT c_custkey, CAST(1 + length(c_name) + CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE length(c_mktsegment) END AS BIGINT) AS size FROM customer")
+def row_size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 2 != 0, F.col("c_mktsegment")).alias("segment"))
+    return rows.select("c_custkey", subset.row_size(["c_name", "segment"]).cast("long").alias("size"))
+
+
+# --- quality, exports and summaries ---------------------------------------
+
+
+def _broken_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their customers as edges, some without an end, some to nobody."""
+    key = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select(F.when(key % 10 != 0, key.cast("string")).alias("source"), F.when(key % 7 == 0, "").when(key % 5 == 1, F.concat(F.lit("x"), "o_custkey")).otherwise(F.col("o_custkey").cast("string")).alias("target"))
+
+
+@_register("SELECT COUNT(*) FILTER (WHERE o_orderkey % 10 = 0) AS null_source, COUNT(*) FILTER (WHERE o_orderkey % 7 = 0) AS null_target FROM orders")
+def qa_null_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.null_endpoints(_broken_edges(spark, sf_dir))
+
+
+@_register("""WITH n AS (SELECT CAST(o_orderkey AS VARCHAR) AS i FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT CAST(c_custkey AS VARCHAR) FROM customer), e AS (SELECT CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS s, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 5 = 1 THEN 'x' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS t FROM orders)
+SELECT 'source' AS endpoint, COUNT(*) AS orphans FROM e WHERE s IS NOT NULL AND s NOT IN (SELECT i FROM n) UNION ALL SELECT 'target', COUNT(*) FROM e WHERE t NOT IN (SELECT i FROM n)""")
+def qa_orphan_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    nodes = orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("node_id")).union(customers.select(F.col("c_custkey").cast("string"))).distinct()
+    return quality.orphan_endpoints(_broken_edges(spark, sf_dir), nodes)
+
+
+@_register("SELECT CAST(l_orderkey AS VARCHAR) AS job_id, MIN(l_linenumber) AS least, MAX(l_linenumber) AS most, COUNT(*) AS n, COUNT(DISTINCT l_linenumber) AS n_distinct FROM lineitem GROUP BY 1 HAVING MIN(l_linenumber) <> 1 OR MAX(l_linenumber) <> COUNT(*) OR COUNT(DISTINCT l_linenumber) <> COUNT(*)")
+def qa_rank_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.broken_ranks(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("job_id"), F.col("l_linenumber").alias("rank")), ("job_id",))
+
+
+@_register(f"{_WITH} SELECT COUNT(DISTINCT entity) AS entities, COUNT(DISTINCT feature) AS features, COUNT(*) AS edges, ROUND(COUNT(*) / (COUNT(DISTINCT entity) * COUNT(DISTINCT feature)), 8) AS density FROM e")
+def graph_summary_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _edges(spark, sf_dir).agg(F.count_distinct("entity").alias("entities"), F.count_distinct("feature").alias("features"), F.count("*").alias("edges"))
+    return counts.withColumn("density", F.round(F.col("edges") / (F.col("entities") * F.col("features")), 8))
+
+
+def _typed_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir)
+    return edges.groupBy("entity").agg(F.count("*").alias("degree")).select(F.lit("job").alias("node_type"), "degree").unionByName(edges.groupBy("feature").agg(F.count("*").alias("degree")).select(F.lit("skill").alias("node_type"), "degree"))
+
+
+_DEGREES = f"{_WITH}, d AS (SELECT 'job' AS node_type, COUNT(*) AS degree FROM e GROUP BY entity UNION ALL SELECT 'skill', COUNT(*) FROM e GROUP BY feature)"
+
+
+@_register(f"{_DEGREES} SELECT node_type, COUNT(*) AS n FROM d GROUP BY 1")
+def node_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed_degrees(spark, sf_dir).groupBy("node_type").agg(F.count("*").alias("n"))
+
+
+@_register(f"{_DEGREES}, r AS (SELECT MIN(degree) AS lo, (MAX(degree) - MIN(degree)) / 40 AS w FROM d) SELECT node_type, CAST(LEAST(40, FLOOR((degree - lo) / w) + 1) AS INT) AS bin, COUNT(*) AS n FROM d, r GROUP BY 1, 2")
+def degree_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degree_histogram(stored(_typed_degrees(spark, sf_dir), "degrees"))
+
+
+@_register("""SELECT 'p' || p_partkey AS node_id, 'skill' AS node_type, p_name AS label, '{"skill_text_normalized":"' || lower(p_name) || '","skill_text_raw_example":"' || p_name || '"}' AS attributes_json FROM part
+UNION ALL SELECT 'c' || c_custkey, 'job', c_name, '{"company_name":"' || c_mktsegment || '"}' FROM customer""")
+def nodes_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    jobs = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("job_id"), F.col("c_name").alias("job_title"), F.col("c_mktsegment").alias("company_name"), *[none.alias(c) for c in export.JOB_ATTRIBUTES if c != "company_name"])
+    skills = _table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("skill_id"), F.col("p_name").alias("label"), F.lower("p_name").alias("skill_text_normalized"), F.col("p_name").alias("skill_text_raw_example"))
+    return export.nodes_table(jobs, skills)
+
+
+@_register("SELECT event_id, user_id FROM events WHERE event_type = (SELECT MIN(event_type) FROM events) ORDER BY event_id LIMIT 1")
+def job_queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events")
+    kind = rows.agg(F.min("event_type")).first()[0]
+    return events.oldest(rows, F.col("event_type") == kind, "event_id", "event_id", "user_id")
+
+
+@_register("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 200")
+def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.latest(_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", 200)
+
+
+@_register("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.current(_table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
