@@ -1,5 +1,46 @@
-"""SQL for those registered queries that SQL can express."""
+"""SQL for those registered queries that SQL can express.
+
+Tokenizers, 64-bit XXH64 with a seed, trained models and all-pairs shingle sets can't be
+expressed in bounded time; those queries are tested against brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP4 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS s, w FROM w WHERE len(w) >= 35),
+h AS (SELECT doc_id, s, array_to_string(w[s:s + 34], ' ') AS k FROM g),
+r AS (SELECT k FROM h GROUP BY k HAVING COUNT(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM h JOIN r USING (k)),
+t AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w),
+k AS (SELECT t.doc_id, COUNT(c.p) AS n_removed, string_agg(x, ' ' ORDER BY t.p) FILTER (WHERE c.p IS NULL) AS kept FROM t LEFT JOIN c ON c.doc_id = t.doc_id AND c.p = t.p GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+_OP7 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item_id, least(10, len(w)) AS n, unnest(range(1, greatest(2, len(w) - 8))) AS s, w FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM i),
+z AS (SELECT DISTINCT n FROM g),
+x AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, w FROM d JOIN z ON len(w) >= n),
+h AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM x),
+m AS (SELECT doc_id, s, h.n, item_id FROM h JOIN g ON g.n = h.n AND g.k = h.k),
+p AS (SELECT doc_id, COUNT(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS q FROM m) GROUP BY 1),
+t AS (SELECT doc_id, COUNT(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+_OP9 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, MIN(root) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a AS vec_id, COUNT(*) AS n_links FROM l GROUP BY 1)
+SELECT c.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_substring_dedup": _OP4, "op7_decontamination": _OP7, "op9_embedding_near_dedup": _OP9}
