@@ -2,8 +2,8 @@
 
 1. Over all labelled training rows Spark counts, for each hashed n-gram, the
    toxic and the other texts that have it.
-2. The ``n_features`` n-grams whose rates differ most surely between the two
-   classes stay, each scaled by its log-count ratio.
+2. The ``n_features`` n-grams that are most surely more frequent in toxic texts
+   stay, each scaled by its log-count ratio.
 3. A logistic regression on those features (present or absent) is fitted on
    a bounded sample, ``sample_rows`` labelled rows with the least hash of
    their id; the bound keeps what comes to the driver small.
@@ -94,7 +94,7 @@ def _logistic(rows: list[list[int]], labels: np.ndarray, scale: np.ndarray, pena
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", orders: tuple[int, ...] = (4, 5), bits: int = 18, n_features: int = 4096, sample_rows: int = 20_000, penalty: float = 1e-4, steps: int = 200) -> ToxicityModel:
+def fit(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", orders: tuple[int, ...] = (5, 6), bits: int = 20, n_features: int = 4096, sample_rows: int = 20_000, penalty: float = 3e-4, steps: int = 200) -> ToxicityModel:
     """Learns from every row with an id and a label of 0 or 1; the regression from ``sample_rows`` of them at most."""
     labelled = labelled.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     sizes = dict(labelled.groupBy("toxic").count().collect())
@@ -105,7 +105,7 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", labe
     schema = T.StructType().add("bucket", T.IntegerType()).add("toxic", T.LongType()).add("other", T.LongType())
     counts = labelled.select("text", "toxic").mapInArrow(_counter(orders, bits), schema).groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas()
     p, q = ((counts[k].to_numpy() + 0.5) / (sizes[c] + 1) for k, c in (("toxic", 1), ("other", 0)))
-    surety = np.abs(p - q) / np.sqrt(p * (1 - p).clip(1e-9) / sizes[1] + q * (1 - q).clip(1e-9) / sizes[0])
+    surety = (p - q) / np.sqrt(p * (1 - p).clip(1e-9) / sizes[1] + q * (1 - q).clip(1e-9) / sizes[0])
     best = np.lexsort((counts["bucket"].to_numpy(), -surety))[:n_features]
     buckets = counts["bucket"].to_numpy()[best]
     ratio = np.log(p[best] / q[best])
