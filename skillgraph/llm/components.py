@@ -21,7 +21,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     Defined cases: null ends are left out, repeated edges count once, an edge
     from a node to itself gives that node as its own root.
     """
-    edges = edges.select("a", "b").where("a is not null and b is not null")
+    edges = stored(edges.select("a", "b").where("a is not null and b is not null"), "links")
     loops = edges.where("a = b").select(F.col("a").alias("node"))
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
