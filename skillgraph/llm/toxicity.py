@@ -103,12 +103,12 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", labe
         rate = np.clip(sizes.get(1, 0) / max(1, sum(sizes.values())), 1e-9, 1 - 1e-9)
         return ToxicityModel(orders, bits, empty.weights, float(np.log(rate / (1 - rate))))
     schema = T.StructType().add("bucket", T.IntegerType()).add("toxic", T.LongType()).add("other", T.LongType())
-    counts = labelled.select("text", "toxic").mapInArrow(_counter(orders, bits), schema).groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas()
-    p, q = ((counts[k].to_numpy() + 0.5) / (sizes[c] + 1) for k, c in (("toxic", 1), ("other", 0)))
-    surety = (p - q) / np.sqrt(p * (1 - p).clip(1e-9) / sizes[1] + q * (1 - q).clip(1e-9) / sizes[0])
-    best = np.lexsort((counts["bucket"].to_numpy(), -surety))[:n_features]
-    buckets = counts["bucket"].to_numpy()[best]
-    ratio = np.log(p[best] / q[best])
+    counts = labelled.select("text", "toxic").mapInArrow(_counter(orders, bits), schema).groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    p, q = ((F.col(k) + 0.5) / (sizes[c] + 1) for k, c in (("toxic", 1), ("other", 0)))
+    surety = (F.col("p") - F.col("q")) / F.sqrt(F.col("p") * F.greatest(1 - F.col("p"), F.lit(1e-9)) / sizes[1] + F.col("q") * F.greatest(1 - F.col("q"), F.lit(1e-9)) / sizes[0])
+    best = counts.select("bucket", p.alias("p"), q.alias("q")).orderBy(F.desc(surety), "bucket").limit(n_features).collect()
+    buckets = np.array([r["bucket"] for r in best], np.int64)
+    ratio = np.log([r["p"] / r["q"] for r in best])
     marked = np.zeros(1 << bits, bool)
     marked[buckets] = True
     shared = labelled.sparkSession.sparkContext.broadcast(marked)
