@@ -287,7 +287,7 @@ def _similarity_of(spark: SparkSession, sf_dir: str, job_id: str) -> DataFrame:
     edges = _customer_edges(spark, sf_dir)
     mine = edges.where(F.col("entity") == job_id).select("feature", F.col("weight").alias("v"))
     scores = edges.where(F.col("entity") != job_id).join(mine, "feature").groupBy("entity").agg(F.count("*").alias("s"))
-    ranked = scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "entity"))).where("rank <= 20")
+    ranked = scores.orderBy(F.desc("s"), "entity").limit(20).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "entity")))
     return ranked.select(F.lit(job_id).alias("job_id"), F.col("entity").alias("neighbor_job_id"), F.col("s").cast("double").alias("similarity_score"), "rank", F.lit("unweighted").alias("method"))
 
 
