@@ -9,9 +9,12 @@
    the shingle's hash under another XOR mask; the least value under each makes the
    signature.
 3. ``bands`` bands of ``rows`` values retrieve candidates. Lines of a small bucket
-   all meet; lines of a bucket of more than ``small`` distinct lines meet its
-   leaders, the least lines under ``leaders`` hash functions, so work stays in
-   proportion and no bucket is gathered.
+   all meet. Lines of a bucket of more than ``small`` distinct lines first meet its
+   leaders, the least lines under ``leaders`` hash functions of its own; then all
+   pairs of the bucket that no links connect yet meet in tiles, where sizes and
+   sketches leave out pairs that are certainly too unlike. So the size of a bucket
+   changes no component; the pairs left grow with the square of a bucket whose
+   lines are mostly unlike.
 4. Candidates are verified by the exact Jaccard similarity of all shingles: their texts
    travel, and the shingles are made where a pair meets.
 5. Components of the verified links (distributed union-find) keep their first
@@ -36,6 +39,10 @@ from skillgraph.llm.components import components
 _SAMPLED = "(?s)(?<![a-zA-Z\u00C0-\u024F])(?=(\\S.{%d}))"
 
 
+#: Longs of a sketch; a power of two.
+_SKETCH = 8
+
+
 def _masks(n: int) -> list[int]:
     """n fixed 32-bit masks."""
     out = []
@@ -68,27 +75,46 @@ def signatures(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFra
     return least.select("h", keys.alias("keys"))
 
 
-def candidates(signed: DataFrame, small: int, leaders: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of lines to be verified."""
-    banded = signed.select("h", F.explode("keys").alias("key"))
-    chosen = [F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("r"), F.col("h").alias("h"))).getField("h") for i in range(leaders)]
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(banded.join(sizes, "key"), "members")
+def _star_pairs(many: DataFrame, leaders: int, salt: int) -> DataFrame:
+    """Pairs (a, b) of the lines of buckets (key, h) with their bucket's leaders."""
+    chosen = [F.min(F.struct(F.xxhash64("h", "key", F.lit(salt * leaders + i)).alias("r"), F.col("h").alias("h"))).getField("h") for i in range(leaders)]
+    led = many.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
+    return many.join(led, "key").select("h", F.explode("leaders").alias("leader")).where("h <> leader").select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b"))
+
+
+def banded(signed: DataFrame) -> DataFrame:
+    """key, h, n: the buckets of more than one line, and how many lines each has."""
+    each = signed.select("h", F.explode("keys").alias("key"))
+    return each.join(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def candidates(members: DataFrame, small: int, leaders: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of lines to be verified at first."""
     few = members.where(F.col("n") <= small).select("key", "h")
     pairs = few.join(few.withColumnRenamed("h", "b"), "key").where("h < b").select(F.col("h").alias("a"), "b")
-    many = members.where(F.col("n") > small)
-    led = many.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
-    stars = many.join(led, "key").select("h", F.explode("leaders").alias("leader")).where("h <> leader").select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(_star_pairs(members.where(F.col("n") > small), leaders, 0)).distinct()
 
 
-def links(lines: DataFrame, shingle: int = 12, bands: int = 8, rows: int = 4, least: float = 0.8, small: int = 24, leaders: int = 8, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(a, b): hashes of different lines whose shingles' Jaccard similarity is at least ``least``."""
-    signed = stored(signatures(lines, shingle, bands, rows), "signatures")
-    pairs = stored(candidates(signed, small, leaders), "pairs")
-    needed = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "needed")
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """h, size, k0, k1, ...: of each text how many shingles it has, and the parity of their number at each of 64 * _SKETCH places.
+
+    Two texts' parities differ at no more places than there are shingles that only one of the two has.
+    """
+    each = texts.select("h", F.explode(_shingles(F.col("line"), shingle)).alias("s")).select("h", F.xxhash64("s").alias("x"))
+    bit, at = F.expr("shiftleft(1L, cast(x & 63 as int))"), F.shiftrightunsigned("x", 6) % _SKETCH
+    return each.groupBy("h").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(at == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{i}") for i in range(_SKETCH)])
+
+
+def _texts(lines: DataFrame, needed: DataFrame, broadcast_rows: int) -> DataFrame:
+    """h, line of the lines whose hashes are needed."""
     wanted = F.broadcast(needed) if needed.count() <= broadcast_rows else needed  # 16 bytes a row, 32 MB
-    texts = stored(lines.select(F.xxhash64("line").alias("h"), "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.max("line").alias("line")), "texts")
+    return stored(lines.select(F.xxhash64("line").alias("h"), "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.max("line").alias("line")), "texts")
+
+
+def verified(pairs: DataFrame, lines: DataFrame, shingle: int, least: float, broadcast_rows: int) -> DataFrame:
+    """The stored pairs (a, b) whose lines' shingles have a Jaccard similarity of at least ``least``."""
+    needed = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "needed")
+    texts = _texts(lines, needed, broadcast_rows)
     met = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     # Exploding one struct keeps the sets from being made anew for each use.
     sets = met.select("a", "b", F.explode(F.array(F.struct(_shingles(F.col("x"), shingle).alias("x"), _shingles(F.col("y"), shingle).alias("y")))).alias("s")).select("a", "b", "s.*")
@@ -97,6 +123,62 @@ def links(lines: DataFrame, shingle: int = 12, bands: int = 8, rows: int = 4, le
     return sets.where(bound).where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _apart(many: DataFrame, found: DataFrame) -> DataFrame:
+    """key, n, h, root, rest of the buckets whose lines are not all of one component yet; rest: outside the bucket's largest one."""
+    placed = stored(many.join(components(found).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")), "placed")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    main = parts.groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return stored(placed.join(main, "key").select("key", "n", "h", "root", (F.col("root") != F.col("main")).alias("rest")), "apart")
+
+
+def remaining(apart: DataFrame, sketched: DataFrame, least: float, tile: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of lines of one bucket and different components that can be as similar as ``least``.
+
+    Every line outside a bucket's largest component meets every line of the bucket, in tiles of about ``tile`` lines;
+    sizes and sketches leave out only pairs that are certainly less similar.
+    """
+    names = ["h", "root", "size", *[f"k{i}" for i in range(_SKETCH)]]
+    full = apart.join(sketched, "h").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    left = full.where("rest").select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), *[F.col(c).alias(f"{c}_") for c in names])
+    right = full.select("key", F.pmod(F.xxhash64("h", F.lit(-1)), F.col("tiles")).cast("int").alias("tile"), "rest", *names)
+    differ = sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"k{i}_"))) for i in range(_SKETCH)), F.lit(0))
+    sizes = F.col("size") + F.col("size_")
+    can = (F.least("size", "size_") >= least * F.greatest("size", "size_")) & (differ <= (1 - least) / (1 + least) * sizes + 1e-6)
+    met = left.join(right, ["key", "tile"]).where((F.col("root") != F.col("root_")) & (~F.col("rest") | (F.col("h_") < F.col("h"))) & can)
+    return met.select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b")).distinct()
+
+
+def links(lines: DataFrame, shingle: int = 12, bands: int = 8, rows: int = 4, least: float = 0.8, small: int = 24, leaders: int = 8, broadcast_rows: int = 2_000_000, tile: int = 1024, direct: int = 20_000_000) -> DataFrame:
+    """(a, b): hashes of different lines whose shingles' Jaccard similarity is at least ``least``.
+
+    All that share a bucket of up to ``small`` lines; of larger buckets, as many as make the same components as all.
+    """
+    members = stored(banded(stored(signatures(lines, shingle, bands, rows), "signatures")), "members")
+    found = stored(verified(stored(candidates(members, small, leaders), "pairs"), lines, shingle, least, broadcast_rows), "found")
+    many = members.where(F.col("n") > small)
+    if many.isEmpty():
+        return found
+    # Other leaders as long as they spare much of what is left; then all that is left.
+    left = None
+    for salt in range(1, 16):
+        apart = _apart(many, found)
+        work = apart.where("rest").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not work:
+            return found
+        if work <= direct or (left is not None and work > 0.7 * left):
+            break
+        left = work
+        roots = apart.select("h", "root").distinct()
+        stars = _star_pairs(apart.select("key", "h"), leaders, salt).distinct()
+        stars = stars.join(roots.select(F.col("h").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("h").alias("b"), F.col("root").alias("y")), "b").where("x <> y").select("a", "b")
+        found = stored(found.unionByName(verified(stored(stars, "pairs"), lines, shingle, least, broadcast_rows)), "found")
+    else:
+        apart = _apart(many, found)
+    sketched = stored(sketches(_texts(lines, stored(apart.select("h").distinct(), "needed"), broadcast_rows), shingle), "sketches")
+    pairs = stored(remaining(apart, sketched, least, tile), "pairs")
+    return found if pairs.isEmpty() else found.unionByName(verified(pairs, lines, shingle, least, broadcast_rows))
+
+
 def removed_lines(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, gone: the numbers of the lines of each document that go. ``docs``: doc_id, text."""
     lines = _lines(docs)

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 from itertools import combinations
@@ -108,3 +109,28 @@ def test_line_dedup(spark, small):
         assert got[i]["_n_removed_"] == len(t.split("\n")) - len(stay)
     assert got[1]["lang"] == "en" and len(got) == len(rows)
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("direct", [0, 20_000_000])
+def test_large_bucket_loses_no_line(spark, direct):
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(60):  # pairs behind one shared signature
+        one = "Internationally" + word(18)
+        lines += [one, one + "s"]
+    base = [word(draw.randrange(4, 9)) for _ in range(80)]
+    for _ in range(80):  # like the base, and mostly unlike each other
+        changed = list(base)
+        for at in draw.sample(range(80), 3):
+            changed[at] = word(6)
+        lines.append(" ".join(changed))
+    lines.append(" ".join(base))
+    sets = {line: shingles(line) for line in lines}
+    roots = components(lines, [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert len(set(roots.values())) < 80
+    first = {}
+    for i, line in enumerate(lines):
+        first.setdefault(roots[line], i)
+    got = line_dedup.dedup_lines(documents(spark, list(enumerate(lines))), direct=direct).collect()
+    assert {r["doc_id"] for r in got if r["_n_removed_"]} == set(range(len(lines))) - set(first.values())
