@@ -2,10 +2,11 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skillgraph.llm import langid, lm_scoring, toxicity
+from skillgraph.llm import bitmix, langid, lm_scoring, toxicity
 from skillgraph.llm.common import remainder
 from tests.llm.helpers import documents, lowered, prose, spaced_words, with_odd_rows
 
@@ -62,3 +63,12 @@ def test_lm_scoring_without_training(spark):
     rows = lm_scoring.score(docs).collect()
     assert rows and {(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in rows} == {(3, 0, 0, 0.0)}
     assert lm_scoring.score(docs.limit(0)).count() == 0
+
+
+def test_every_bit_of_a_code_has_contexts():
+    words = [b"w%04d" % i for i in range(5000)]
+    built = lm_scoring.build_vocabulary(words, [1] * len(words), 0)
+    symbol = np.arange(len(words) + 1)
+    bits, starts = lm_scoring._bits(built, symbol, [symbol.astype(np.uint32)])
+    codes = {bytes(bits.bit[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)}
+    assert len(codes) == len(symbol) and len(bits.contexts[0]) == len(bits.node) and bits.depth.max() < bitmix.DEPTHS
