@@ -148,7 +148,7 @@ def remaining(apart: DataFrame, sketched: DataFrame, least: float, tile: int) ->
     return met.select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b")).distinct()
 
 
-def links(lines: DataFrame, shingle: int = 12, bands: int = 8, rows: int = 4, least: float = 0.8, small: int = 24, leaders: int = 8, broadcast_rows: int = 2_000_000, tile: int = 1024, direct: int = 20_000_000) -> DataFrame:
+def links(lines: DataFrame, shingle: int = 12, bands: int = 8, rows: int = 3, least: float = 0.8, small: int = 24, leaders: int = 8, broadcast_rows: int = 2_000_000, tile: int = 1024, direct: int = 20_000_000) -> DataFrame:
     """(a, b): hashes of different lines whose shingles' Jaccard similarity is at least ``least``.
 
     All that share a bucket of up to ``small`` lines; of larger buckets, as many as make the same components as all.

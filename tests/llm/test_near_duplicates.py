@@ -1,3 +1,4 @@
+import inspect
 import random
 import re
 from collections import defaultdict
@@ -134,3 +135,22 @@ def test_large_bucket_loses_no_line(spark, direct):
         first.setdefault(roots[line], i)
     got = line_dedup.dedup_lines(documents(spark, list(enumerate(lines))), direct=direct).collect()
     assert {r["doc_id"] for r in got if r["_n_removed_"]} == set(range(len(lines))) - set(first.values())
+
+
+def test_bands_meet_lines_near_the_bound(spark):
+    with_default = {n: p.default for n, p in inspect.signature(line_dedup.links).parameters.items()}
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(3, 9)))
+    want = []
+    while len(want) < 1500:
+        one = [word() for _ in range(draw.randrange(20, 60))]
+        two = list(one)
+        for at in draw.sample(range(len(two)), 1 + len(two) // 25):
+            two[at] = word()
+        a, b = " ".join(one), " ".join(two)
+        if 0.8 <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 0.85:
+            want.append((a, b))
+    df = spark.createDataFrame([(x,) for pair in want for x in pair], "line string")
+    name = {r[0]: r[1] for r in df.select("line", F.xxhash64("line")).collect()}
+    keys = {r["h"]: set(r["keys"]) for r in line_dedup.signatures(df, *(with_default[n] for n in ("shingle", "bands", "rows"))).collect()}
+    assert sum(bool(keys[name[a]] & keys[name[b]]) for a, b in want) >= 1495
