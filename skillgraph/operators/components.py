@@ -12,9 +12,11 @@ def connected(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
     """(node, component): component is the least node that can be reached. ``edges``: a, b; ``nodes``: node, for isolated ones.
 
     Large-star and small-star rounds: every node hangs its neighbours on the least of them, so edges shrink to stars in a
-    logarithmic number of rounds. Only minima are taken, summed before the shuffle.
+    logarithmic number of rounds. Only minima are taken, summed before the shuffle, and rounds are written to the shared
+    folder, so no lineage grows. An edge with a null end is left out; a node whose only edge ends in itself is its own component.
     """
-    now = stored(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = stored(edges.select("a", "b").where("a is not null and b is not null"), "links")
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -32,5 +34,6 @@ def connected(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
         raise RuntimeError("components did not settle")
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     if nodes is None:
-        return found
+        loops = edges.where("a = b").select(F.col("a").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+        return found.unionByName(loops.select("node", F.col("node").alias("component")))
     return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
