@@ -2,40 +2,27 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skillgraph.storage import stored as stored
+
 #: Texts are handled in slices of about so many bytes, so that temporaries stay small.
 SLICE_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = context.getCheckpointDir()
-    if not folder:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        folder = tempfile.mkdtemp(prefix="llm-", dir="/tmp/checkpoints")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back: its lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def row_keys(id_column: str, text: str) -> tuple[Column, Column]:
+    """Two longs that tell rows apart by id and text: rows of one id (null too) with other texts have other keys.
+
+    They depend on the row's content alone, so a task that runs again gives them again. Rows with the same id and the same
+    text have the same keys; 128 bits make equal keys of others a matter of 10^-18 among 10^10 rows.
+    """
+    seen, flags = (F.col(id_column), F.col(text)), F.concat(F.col(id_column).isNull().cast("string"), F.col(text).isNull().cast("string"))
+    return F.xxhash64(*seen, flags), F.xxhash64(F.lit(0x5DEECE66D), *reversed(seen), flags)
 
 
 def remainder(id_column: str, divisor: int) -> Column:

@@ -10,13 +10,15 @@
    the window's, one for one (exact containment).
 4. Overlapping occurrences merge, so each hit word counts once.
 
-Prefixes are broadcast only up to ``broadcast_windows`` windows; above that the
-words join by shuffle and texts are met again by id for the last step.
+Prefixes are broadcast only up to ``broadcast_windows`` windows, and which items hold
+which windows up to four times as many rows; above that they join by shuffle, and texts
+are met again by their keys for the last step.
 
 Defined cases: null texts and items have no words; items without words and
 items with a null id match nothing; repeated items are one; repeated rows of
-documents each get a row; a null doc_id is an id like any other; an empty
-benchmark leaves every document clean; other columns are neither read nor returned.
+documents each get a row; rows are told apart by id and text, so rows of one id
+(null too) are judged each by its own text; an empty benchmark leaves every
+document clean; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillgraph.llm.common import ascii_lower, stored
+from skillgraph.llm.common import ascii_lower, row_keys, stored
 
 _GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -41,44 +43,52 @@ def _count(split: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
-    """gram (its words), items (ids as sorted strings) of each distinct window."""
+    """(gram, g1, g2, item): the words of each distinct window, its two hashes, and an item that holds it, as a string."""
     cut = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.filter(words(F.col("text")), lambda w: w != "").alias("w")).where(F.size("w") > 0)
     grams = cut.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1))), lambda i: F.slice("w", i, window))).alias("gram"))
-    return grams.groupBy("gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return grams.select("gram", F.xxhash64("gram").alias("g1"), F.xxhash64(F.size("gram"), F.lit(7), "gram").alias("g2"), "item").distinct()
 
 
 def prefixes(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
-    """(word, place, gram, items): each window by its rarest word in ``docs`` (w)."""
+    """(word, place, gram, g1, g2): each window by its rarest word in ``docs`` (w)."""
     vocabulary = windows.select(F.explode("gram").alias("word")).distinct()
     seen = docs.select(F.explode("w").alias("word")).join(F.broadcast(vocabulary) if small else vocabulary, "word").groupBy("word").count()
-    places = windows.select("gram", "items", F.posexplode("gram").alias("place", "word")).join(seen, "word", "left")
+    places = windows.select("gram", "g1", "g2", F.posexplode("gram").alias("place", "word")).join(seen, "word", "left")
     rarity = F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("place").alias("place"), F.col("word").alias("word"))
-    best = places.groupBy("gram", "items").agg(F.min(rarity).alias("best"))
-    return best.where("best.n > 0").select("best.word", "best.place", "gram", "items")
+    best = places.groupBy("g1", "g2").agg(F.min(rarity).alias("best"), F.first("gram").alias("gram"))
+    return best.where("best.n > 0").select("best.word", "best.place", "gram", "g1", "g2")
 
 
 def hits(docs: DataFrame, found: DataFrame, small: bool) -> DataFrame:
-    """(doc_id, start, stop, items) of every occurrence of a window; start and stop count entries of w."""
+    """(k1, k2, start, stop, g1, g2) of every occurrence of a window; start and stop count entries of w."""
     start = F.col("at") - F.col("place")
     fits = (start >= 0) & (start + F.size("gram") <= F.size("w"))
     same = F.slice("w", start + 1, F.size("gram")) == F.col("gram")
     if small:
-        met = docs.select("doc_id", "w", F.posexplode("w").alias("at", "word")).join(F.broadcast(found), "word")
+        met = docs.select("k1", "k2", "w", F.posexplode("w").alias("at", "word")).join(F.broadcast(found), "word")
     else:
-        near = docs.select("doc_id", F.posexplode("w").alias("at", "word")).join(found, "word").select(F.col("doc_id").alias("own"), "at", "place", "gram", "items").where("at >= place")
-        met = near.join(docs, F.col("own").eqNullSafe(F.col("doc_id")))
-    return met.where(fits).where(same).select("doc_id", start.alias("start"), (start + F.size("gram")).alias("stop"), "items")
+        near = docs.select("k1", "k2", F.posexplode("w").alias("at", "word")).join(found, "word").select("k1", "k2", "at", "place", "gram", "g1", "g2").where("at >= place")
+        met = near.join(docs.select("k1", "k2", "w"), ["k1", "k2"])
+    return met.where(fits).where(same).select("k1", "k2", start.alias("start"), (start + F.size("gram")).alias("stop"), "g1", "g2").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids of items with an occurring window, sorted as strings) of each document."""
-    source = docs.select(F.col(id_column).alias("doc_id"), words(F.col(text)).alias("w"))
-    windows = stored(benchmark_windows(benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text).alias("text")), window), "windows")
+    """doc_id, n_words, n_hit, items (ids of items with an occurring window, sorted as strings) of each row, and the row's keys k1, k2."""
+    keys = ["k1", "k2"]
+    k1, k2 = row_keys(id_column, text)
+    source = docs.select(F.col(id_column).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), words(F.col(text)).alias("w"))
+    holders = stored(benchmark_windows(benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text).alias("text")), window), "windows")
+    windows = holders.select("gram", "g1", "g2").distinct()
     small = windows.count() <= broadcast_windows  # at some 200 bytes a window, 40 MB
     found = stored(prefixes(source, windows, small), "prefixes")
-    before = Window.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    met = stored(hits(source, found, small), "hits")
+    before = Window.partitionBy(*keys).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     covered = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce(F.max("stop").over(before), F.lit(0))))
-    merged = hits(source, found, small).groupBy("doc_id", "start", "stop").agg(F.min("items").alias("items")).withColumn("covered", covered)
-    by_doc = merged.groupBy("doc_id").agg(F.sum("covered").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")).withColumnRenamed("doc_id", "own")
-    counts = source.select("doc_id", _count(F.col("w")).cast("long").alias("n_words"))
-    return counts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("own")), "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    n_hit = met.select(*keys, "start", "stop").distinct().withColumn("covered", covered).groupBy(*keys).agg(F.sum("covered").alias("n_hit"))
+    of_window = holders.select("g1", "g2", "item")
+    if of_window.count() <= 4 * broadcast_windows:  # at some 40 bytes, 32 MB
+        of_window = F.broadcast(of_window)
+    items = met.select(*keys, "g1", "g2").distinct().join(of_window, ["g1", "g2"]).groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    counts = source.select("doc_id", *keys, _count(F.col("w")).cast("long").alias("n_words"))
+    judged = n_hit.join(items, keys)
+    return counts.join(judged, keys, "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *keys)

@@ -98,7 +98,7 @@ def _score(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarra
     total = np.tile(model.prior, (len(texts), 1))
     for n in model.orders:
         grams, starts = char_grams(lowered, n, model.bits)
-        step = max(1, (1 << 22) // len(model.languages))  # so many rows of the matrix are held at once
+        step = max(1, (1 << 20) // len(model.languages))  # so many rows of the matrix are held at once
         for a in range(0, len(grams), step):
             total += segment_sums(model.log_probability[grams[a : a + step]], np.clip(starts - a, 0, len(grams[a : a + step])))
     best = total.argmax(axis=1)
@@ -108,10 +108,11 @@ def _score(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarra
 
 
 def predict(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...], text: str = "text") -> DataFrame:
-    """``columns`` of each row, then lang_pred and score (the posterior probability of lang_pred)."""
+    """``columns`` of each row, then lang_pred and score (the posterior probability of lang_pred). The text travels once, even if it is one of them."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kept = docs.select(*columns)
+    place = columns.index(text) if text in columns else len(columns)
     schema = T.StructType([*kept.schema.fields]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +120,10 @@ def predict(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...], tex
         for batch in batches:
             labels: list[str] = []
             scores = [np.empty(0)]
-            for _, _, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
+            for _, _, data, offsets in text_slices(batch.column(place)):
                 one, score = _score(shared.value, decoded(data, offsets))
                 labels += one
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(np.concatenate(scores))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(labels, pa.string()), pa.array(np.concatenate(scores))], names)
 
-    return docs.select(*columns, F.col(text).alias("_text_")).mapInArrow(run, schema)
+    return (kept if text in columns else docs.select(*columns, F.col(text).alias("_text_"))).mapInArrow(run, schema)

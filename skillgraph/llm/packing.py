@@ -4,8 +4,8 @@
 full windows and a rest. ``pack`` places the pieces: full ones alone, the
 others by best fit, longest first, where a segment tree over the remaining
 capacities finds the tightest open window. Packing needs only lengths and
-runs on groups of about ``group_pieces`` pieces, dealt by a hash, so that any
-number of groups are packed side by side; a group leaves about one window
+runs on groups of about ``group_pieces`` pieces, dealt by a hash of their numbers (so
+repeated rows and ids spread too), so that any number of groups are packed side by side; a group leaves about one window
 partly filled. The pieces, with their ids, then take their places in a join.
 
 Defined cases: a null or empty text is the end id alone; a null id is kept;
@@ -42,7 +42,7 @@ class _Encoder:
     token's brackets are encoded as a whole.
     """
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, limit: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -187,5 +187,5 @@ def pack(pieces: DataFrame, window: int = WINDOW, group_pieces: int = 16_384) ->
         sequence, offset = best_fit_decreasing(group["length"].to_numpy(), window)
         return pd.DataFrame({"_piece_": group["_piece_"], "sequence_id": (int(key[0]) << 32) + sequence, "offset": offset})
 
-    lengths = pieces.select("_piece_", "doc_id", "start", "length", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("_group_"))
+    lengths = pieces.select("_piece_", "doc_id", "start", "length", F.pmod(F.xxhash64("_piece_"), F.lit(groups)).alias("_group_"))
     return pieces.join(lengths.groupBy("_group_").applyInPandas(run, schema), "_piece_").drop("_piece_")

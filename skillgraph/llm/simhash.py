@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillgraph.llm.common import lower_bytes, stored, text_slices
+from skillgraph.llm.common import lower_bytes, row_keys, stored, text_slices
 from skillgraph.llm.components import components
 
 SEED = 42
@@ -51,13 +51,13 @@ def _fingerprint(shingles: list[bytes]) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) of each row; fp is a long with the fingerprint's bits."""
-    schema = T.StructType().add("doc_id", docs.schema[id_column].dataType).add("fp", T.LongType())
+    """(doc_id, k1, k2, fp) of each row: its id, its keys, and a long with the fingerprint's bits."""
+    schema = T.StructType().add("doc_id", docs.schema[id_column].dataType).add("k1", T.LongType()).add("k2", T.LongType()).add("fp", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[int] = []
-            for _, _, data, offsets in text_slices(batch.column(1)):
+            for _, _, data, offsets in text_slices(batch.column(3)):
                 raw = lower_bytes(data).tobytes()
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     words = raw[a:b].split()
@@ -71,9 +71,10 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                     starts = (ends - lengths)[:n].tolist()
                     stops = (ends[min(shingle, len(words)) - 1 :][:n] - 1).tolist()
                     out.append(_fingerprint([joined[s:e] for s, e in zip(starts, stops, strict=True)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int64())], schema.names)
 
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    k1, k2 = row_keys(id_column, text)
+    return docs.select(F.col(id_column).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -228,10 +229,20 @@ def _popcount_column():
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least id that links of ``radius`` differing bits or fewer reach."""
+    """(doc_id, fp, component_id, k1, k2, root): component_id is the least id that links of ``radius`` differing bits or fewer reach.
+
+    k1 and k2 are the row's keys; root names its component, by its least fingerprint as a long.
+    """
     prints = stored(fingerprints(docs, id_column, text, shingle), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     rooted = components(links(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(rooted, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "k1", "k2", "root")
+
+
+def others(found: DataFrame) -> DataFrame:
+    """(k1, k2) of the rows that ``near_duplicates`` found and that aren't the first of their component: by id (null last), then by keys."""
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")
+    first = found.groupBy("root").agg(F.min(place).alias("first"))
+    return found.join(first, "root").where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2"))).select("k1", "k2").distinct()

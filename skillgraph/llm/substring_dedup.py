@@ -9,14 +9,15 @@ with the least hash in it, and equal windows have equal anchors. One in about
 ``(size - gram) / 2`` words begins an anchor. Spark counts the anchors; only
 windows whose anchor occurs more than once, that is, all that can be repeated
 and few others, are then hashed whole and counted. The few of them that turn out
-single go back to their documents by id; all others are repeated, and merge into
-maximal intervals. All counts are summed before they are shuffled; hot anchors meet
-only in a join with a distinct side, which Spark splits.
+single go back to their rows; all others are repeated, and merge into maximal
+intervals. All counts are summed before they are shuffled. Anchors that make up more
+than one in ``1 / hot`` of all occurrences are at most that many: they are broadcast,
+and only the others meet their occurrences in a shuffle.
 
 Defined cases: a null or short text has no window; repeated rows repeat all
-their windows and get a row each; ids tell documents apart (rows that share an
-id but not a text are cleaned alike where their windows are single); a null id is
-an id like any other; other columns are neither read nor returned.
+their windows and get a row each; rows are told apart by id and text, so rows that
+share an id (null too) but not a text are cleaned each by its own windows; other
+columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillgraph.llm.common import find_words, stored, text_slices, window_hashes, word_hashes
+from skillgraph.llm.common import find_words, row_keys, stored, text_slices, window_hashes, word_hashes
 
 _PLACE = np.uint64((1 << 24) - 1)
+_KEYS = T.StructType().add("k1", T.LongType()).add("k2", T.LongType())
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,10 +59,15 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tup
     return words, first, grams, window, place + ((window - place) >> 24 << 24) * (len(grams) >> 24 > 0)
 
 
+def _row_keys(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
+    at = pa.array(rows)
+    return [batch.column("k1").take(at), batch.column("k2").take(at)]
+
+
 def _anchor_rows(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, _, data, offsets in text_slices(batch.column(1)):
+            for begin, _, data, offsets in text_slices(batch.column("text")):
                 _, first, grams, window, anchor = _anchors(data, offsets, size, gram)
                 if not len(window):
                     continue
@@ -68,7 +75,7 @@ def _anchor_rows(size: int, gram: int):
                 new[1:] = anchor[1:] != anchor[:-1]
                 at = anchor[new]
                 row = np.searchsorted(first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begin + row)), pa.array(grams[at].view(np.int64)), pa.array((at - first[row]).astype(np.int32))], ["doc_id", "anchor", "place"])
+                yield pa.RecordBatch.from_arrays([*_row_keys(batch, begin + row), pa.array(grams[at].view(np.int64)), pa.array((at - first[row]).astype(np.int32))], ["k1", "k2", "anchor", "place"])
 
     return run
 
@@ -89,13 +96,13 @@ def _marked(words: np.ndarray, window: np.ndarray, anchor: np.ndarray, own: np.n
 def _window_rows(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, data, offsets in text_slices(batch.column(1)):
+            for begin, end, data, offsets in text_slices(batch.column("text")):
                 words, first, _, window, anchor = _anchors(data, offsets, size, gram)
-                at = _marked(words, window, anchor, _flat(batch.column(2), begin, end, first))
+                at = _marked(words, window, anchor, _flat(batch.column("places"), begin, end, first))
                 if not len(at):
                     continue
                 row = np.searchsorted(first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begin + row)), pa.array(window_hashes(words, size)[at].view(np.int64)), pa.array((at - first[row]).astype(np.int32))], ["doc_id", "window", "start"])
+                yield pa.RecordBatch.from_arrays([*_row_keys(batch, begin + row), pa.array(window_hashes(words, size)[at].view(np.int64)), pa.array((at - first[row]).astype(np.int32))], ["k1", "k2", "window", "start"])
 
     return run
 
@@ -126,18 +133,22 @@ def _cleaned(size: int, gram: int, names: list[str]):
     return run
 
 
-def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 35, gram: int = 12) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 35, gram: int = 12, hot: float = 1e-4) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space), spans (removed word intervals)."""
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    key = T.StructType().add("doc_id", docs.schema["doc_id"].dataType)
-    anchors = stored(docs.mapInArrow(_anchor_rows(size, gram), T.StructType([*key.fields]).add("anchor", T.LongType()).add("place", T.IntegerType())), "anchors")
-    repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    places = anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    k1, k2 = row_keys(id_column, text)
+    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), k1.alias("k1"), k2.alias("k2"))
+    texts, keys = docs.select("k1", "k2", "text"), ["k1", "k2"]
+    anchors = stored(texts.mapInArrow(_anchor_rows(size, gram), T.StructType([*_KEYS.fields]).add("anchor", T.LongType()).add("place", T.IntegerType())), "anchors")
+    repeated = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    most = F.lit(hot * max(1, anchors.count()))
+    often, seldom = (repeated.where(w).select("anchor") for w in (F.col("n") > most, F.col("n") <= most))
+    found = anchors.join(F.broadcast(often), "anchor", "left_semi").unionByName(anchors.join(F.broadcast(often), "anchor", "left_anti").join(seldom, "anchor", "left_semi"))
+    places = found.groupBy(*keys).agg(F.array_sort(F.collect_set("place")).alias("places"))
     none = F.array().cast("array<int>")
-    marked = docs.join(places.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")), "left").select("doc_id", "text", F.coalesce("places", none).alias("places"))
-    windows = marked.where(F.size("places") > 0).mapInArrow(_window_rows(size, gram), T.StructType([*key.fields]).add("window", T.LongType()).add("start", T.IntegerType()))
-    single = windows.groupBy("window").agg(F.count("*").alias("n"), F.min("doc_id").alias("own"), F.min("start").alias("start")).where("n = 1")
-    singles = single.groupBy("own").agg(F.collect_set("start").alias("singles"))
-    schema = T.StructType([*key.fields]).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_text", T.StringType()).add("spans", T.ArrayType(T.StructType().add("start", T.LongType()).add("stop", T.LongType())))
-    joined = marked.join(singles, F.col("doc_id").eqNullSafe(F.col("own")), "left").select("doc_id", "text", "places", F.coalesce("singles", none).alias("singles"))
+    marked = docs.join(places, keys, "left").select("doc_id", *keys, "text", F.coalesce("places", none).alias("places"))
+    windows = marked.where(F.size("places") > 0).drop("doc_id").mapInArrow(_window_rows(size, gram), T.StructType([*_KEYS.fields]).add("window", T.LongType()).add("start", T.IntegerType()))
+    single = windows.groupBy("window").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("k1", "k2", "start")]).where("n = 1")
+    singles = single.groupBy(*keys).agg(F.collect_set("start").alias("singles"))
+    schema = T.StructType([docs.schema["doc_id"]]).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_text", T.StringType()).add("spans", T.ArrayType(T.StructType().add("start", T.LongType()).add("stop", T.LongType())))
+    joined = marked.join(singles, keys, "left").select("doc_id", "text", "places", F.coalesce("singles", none).alias("singles"))
     return joined.mapInArrow(_cleaned(size, gram, [f.name for f in schema.fields]), schema)
