@@ -13,26 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgraph.llm import decontamination, langid, line_dedup, packing, simhash
-from skillgraph.llm.common import stored
+from skillgraph.llm.common import row_keys, stored
 
 #: A document's language must be at least so probable.
 LEAST_LANGUAGE = 0.5
-#: Lists of ids up to so many rows are broadcast (16 bytes each, 32 MB); longer ones join by shuffle.
+#: Lists of keys up to so many rows are broadcast (16 bytes each, 32 MB); longer ones join by shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for those with one of the ids; rows without an id stay."""
-    ids = stored(ids.select(F.col("doc_id").alias("_gone_")).where("_gone_ is not null").distinct(), "ids")
-    listed = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(listed, docs["doc_id"] == F.col("_gone_"), "left_anti")
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the rows with one of the keys (k1, k2)."""
+    gone = stored(gone.select(F.col("k1").alias("_k1_"), F.col("k2").alias("_k2_")).distinct(), "gone")
+    listed = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    k1, k2 = row_keys("doc_id", "text")
+    return docs.withColumns({"_k1_": k1, "_k2_": k2}).join(listed, ["_k1_", "_k2_"], "left_anti").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known; the model learns from the rows that name theirs."""
     model = langid.fit(docs)
-    found = langid.predict(docs.select(F.struct("*").alias("_row_"), "text"), model, ("_row_",))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select("_row_.*")
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name clashes with the model's
+    found = langid.predict(numbered, model, tuple(numbered.columns), f"c{docs.columns.index('text')}")
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*numbered.columns).toDF(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +46,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least id. Repeated ids are one document."""
-    found = simhash.near_duplicates(docs)
-    kept = _without(docs, found.where("doc_id <> component_id"))
-    again = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    """One row of each group of near-duplicates stays: the one with the least id (null last). Rows of one id are told apart by their texts."""
+    kept = _without(docs, simhash.others(simhash.near_duplicates(docs)))
+    k1, k2 = row_keys("doc_id", "text")
+    keyed = kept.withColumns({"_k1_": k1, "_k2_": k2})
+    again = stored(keyed.groupBy("_k1_", "_k2_").count().where("count > 1").select("_k1_", "_k2_"), "again")
     if again.isEmpty():
         return kept
-    return _without(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    # Rows with the same id and text: of those, the one whose other columns have the least hash.
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = keyed.join(again, ["_k1_", "_k2_"], "left_semi").groupBy("_k1_", "_k2_").agg(F.min_by(every, F.xxhash64(every)).alias("_row_")).select("_row_.*")
+    return keyed.join(again, ["_k1_", "_k2_"], "left_anti").select(*docs.columns).unionByName(one)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
