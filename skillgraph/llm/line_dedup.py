@@ -14,8 +14,9 @@
    sketches leave out pairs that are certainly too unlike. So the size of a bucket
    changes no component; the pairs left grow with the square of a bucket whose
    lines are mostly unlike.
-4. Candidates are verified by the Jaccard similarity of all shingles, as 64-bit hashes: their
-   texts travel, and the shingles are made where a pair meets.
+4. Candidates are verified by the Jaccard similarity of all shingles, as 64-bit hashes. First
+   sizes and sketches leave out pairs that are certainly too unlike; then the two texts
+   meet, and the shingles that both have are counted.
 5. Components of the verified links (distributed union-find) keep their first
    line, by document id, the document's keys and line number; the others go.
 
@@ -60,18 +61,20 @@ def _code(line: Column) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
-def _shingle_at(place: Column, size: int, code: str = "code") -> Column:
+def _shingle_at(place: Column, size: int) -> Column:
     """The shingle of ``code`` that begins at a place; the one of a shorter line is the whole."""
-    return F.call_function("substring", F.col(code), 2 * place + 1, F.lit(2 * size))
+    return F.call_function("substring", F.col("code"), 2 * place + 1, F.lit(2 * size))
 
 
-def _last_place(size: int, code: str = "code") -> Column:
-    return F.greatest(F.lit(0), (F.octet_length(code) / 2).cast("int") - size)
+def _last_place(size: int) -> Column:
+    return F.greatest(F.lit(0), (F.octet_length("code") / 2).cast("int") - size)
 
 
-def _shingles(size: int, code: str = "code") -> Column:
-    """Hashes of all shingles of ``code``, each once."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last_place(size, code)), lambda i: F.xxhash64(_shingle_at(i, size, code))))
+def _shingled(coded: DataFrame, size: int) -> DataFrame:
+    """A row for each shingle of ``code``, with its hash x, instead of ``code``."""
+    others = [c for c in coded.columns if c != "code"]
+    placed = coded.select(*coded.columns, F.explode(F.sequence(F.lit(0), _last_place(size))).alias("i"))
+    return placed.select(*others, F.xxhash64(_shingle_at(F.col("i"), size)).alias("x"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -115,11 +118,19 @@ def sketches(texts: DataFrame, shingle: int) -> DataFrame:
 
     Two texts' parities differ at no more places than there are shingles that only one of the two has.
     """
-    each = texts.select("h", _code(F.col("line")).alias("code")).select("h", F.explode(_shingles(shingle)).alias("x"))
+    # All shingles of a line lie in one partition from here on, so none of the two aggregations shuffles.
+    each = _shingled(texts.repartition("h").select("h", _code(F.col("line")).alias("code")), shingle).distinct()
     bit, at = F.expr("shiftleft(1L, cast(x & 63 as int))"), F.shiftrightunsigned("x", 6) % _SKETCH
     return each.groupBy("h").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(at == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{i}") for i in range(_SKETCH)])
 
 
+def _can_be_like(least: float) -> Column:
+    """Whether two sketches (one's columns end in _) leave a similarity of ``least`` open."""
+    differ = sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"k{i}_"))) for i in range(_SKETCH)), F.lit(0))
+    near = F.least("size", "size_") >= least * F.greatest("size", "size_")
+    return near & (differ <= (1 - least) / (1 + least) * (F.col("size") + F.col("size_")) + 1e-6)
+
+
 def _texts(lines: DataFrame, needed: DataFrame, broadcast_rows: int) -> DataFrame:
     """h, line of the lines whose hashes are needed."""
     wanted = F.broadcast(needed) if needed.count() <= broadcast_rows else needed  # 16 bytes a row, 32 MB
@@ -130,13 +141,14 @@ def verified(pairs: DataFrame, lines: DataFrame, shingle: int, least: float, bro
     """The stored pairs (a, b) whose lines' shingles have a Jaccard similarity of at least ``least``."""
     needed = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "needed")
     texts = _texts(lines, needed, broadcast_rows)
-    met = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    # Exploding one struct keeps codes and sets from being made anew for each use.
-    once = lambda df, x, y: df.select("a", "b", F.explode(F.array(F.struct(x.alias("x"), y.alias("y")))).alias("s")).select("a", "b", "s.*")
-    sets = once(once(met, _code(F.col("x")), _code(F.col("y"))), _shingles(shingle, "x"), _shingles(shingle, "y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    bound = F.least(F.size("x"), F.size("y")) >= least * F.greatest(F.size("x"), F.size("y"))
-    return sets.where(bound).where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    sketched = stored(sketches(texts, shingle), "sketches")
+    other = sketched.select(*[F.col(c).alias(f"{c}_") for c in sketched.columns])
+    open_ = pairs.join(sketched, pairs["a"] == sketched["h"]).join(other, pairs["b"] == other["h_"]).where(_can_be_like(least)).select("a", "b", (F.col("size") + F.col("size_")).alias("sizes"))
+    met = open_.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    sides = F.array(*[F.struct(F.lit(n).alias("side"), _code(F.col(c)).alias("code")) for n, c in ((1, "x"), (2, "y"))])
+    coded = met.repartition("a", "b").select("a", "b", "sizes", F.explode(sides).alias("s")).select("a", "b", "sizes", "s.side", "s.code")
+    shared = _shingled(coded, shingle).groupBy("a", "b", "sizes", "x").agg(F.bit_or("side").alias("sides")).groupBy("a", "b", "sizes").agg(F.count_if(F.col("sides") == 3).alias("shared"))
+    return shared.where(F.col("shared") >= least * (F.col("sizes") - F.col("shared"))).select("a", "b")
 
 
 def _apart(many: DataFrame, found: DataFrame) -> DataFrame:
@@ -157,14 +169,11 @@ def remaining(apart: DataFrame, sketched: DataFrame, least: float, tile: int) ->
     full = apart.join(sketched, "h").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     left = full.where("rest").select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), *[F.col(c).alias(f"{c}_") for c in names])
     right = full.select("key", F.pmod(F.xxhash64("h", F.lit(-1)), F.col("tiles")).cast("int").alias("tile"), "rest", *names)
-    differ = sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"k{i}_"))) for i in range(_SKETCH)), F.lit(0))
-    sizes = F.col("size") + F.col("size_")
-    can = (F.least("size", "size_") >= least * F.greatest("size", "size_")) & (differ <= (1 - least) / (1 + least) * sizes + 1e-6)
-    met = left.join(right, ["key", "tile"]).where((F.col("root") != F.col("root_")) & (~F.col("rest") | (F.col("h_") < F.col("h"))) & can)
+    met = left.join(right, ["key", "tile"]).where((F.col("root") != F.col("root_")) & (~F.col("rest") | (F.col("h_") < F.col("h"))) & _can_be_like(least))
     return met.select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b")).distinct()
 
 
-def links(lines: DataFrame, shingle: int = 12, bands: int = 8, rows: int = 3, least: float = 0.8, small: int = 24, leaders: int = 8, broadcast_rows: int = 2_000_000, tile: int = 1024, direct: int = 20_000_000) -> DataFrame:
+def links(lines: DataFrame, shingle: int = 12, bands: int = 8, rows: int = 3, least: float = 0.8, small: int = 24, leaders: int = 8, broadcast_rows: int = 2_000_000, tile: int = 1024, direct: int = 200_000) -> DataFrame:
     """(a, b): hashes of different lines whose shingles' Jaccard similarity is at least ``least``.
 
     All that share a bucket of up to ``small`` lines; of larger buckets, as many as make the same components as all.
