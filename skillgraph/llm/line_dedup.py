@@ -137,18 +137,21 @@ def _texts(lines: DataFrame, needed: DataFrame, broadcast_rows: int) -> DataFram
     return stored(lines.select(F.xxhash64("line").alias("h"), "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.max("line").alias("line")), "texts")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, shingle: int, least: float, broadcast_rows: int) -> DataFrame:
+def verified(pairs: DataFrame, lines: DataFrame, shingle: int, least: float, broadcast_rows: int, task_shingles: int = 2_000_000) -> DataFrame:
     """The stored pairs (a, b) whose lines' shingles have a Jaccard similarity of at least ``least``."""
     needed = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "needed")
     texts = _texts(lines, needed, broadcast_rows)
     sketched = stored(sketches(texts, shingle), "sketches")
     other = sketched.select(*[F.col(c).alias(f"{c}_") for c in sketched.columns])
-    open_ = pairs.join(sketched, pairs["a"] == sketched["h"]).join(other, pairs["b"] == other["h_"]).where(_can_be_like(least)).select("a", "b", (F.col("size") + F.col("size_")).alias("sizes"))
+    like = pairs.join(sketched, pairs["a"] == sketched["h"]).join(other, pairs["b"] == other["h_"]).where(_can_be_like(least))
+    open_ = stored(like.select(F.monotonically_increasing_id().alias("pair"), "a", "b", (F.col("size") + F.col("size_")).alias("sizes")), "open")
     met = open_.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     sides = F.array(*[F.struct(F.lit(n).alias("side"), _code(F.col(c)).alias("code")) for n, c in ((1, "x"), (2, "y"))])
-    coded = met.repartition("a", "b").select("a", "b", "sizes", F.explode(sides).alias("s")).select("a", "b", "sizes", "s.side", "s.code")
-    shared = _shingled(coded, shingle).groupBy("a", "b", "sizes", "x").agg(F.bit_or("side").alias("sides")).groupBy("a", "b", "sizes").agg(F.count_if(F.col("sides") == 3).alias("shared"))
-    return shared.where(F.col("shared") >= least * (F.col("sizes") - F.col("shared"))).select("a", "b")
+    # All shingles of a pair lie in one partition, so neither aggregation shuffles; a task holds about ``task_shingles``.
+    tasks = 1 + (open_.agg(F.sum("sizes")).first()[0] or 0) // task_shingles
+    coded = met.select("pair", "x", "y").repartition(tasks, "pair").select("pair", F.explode(sides).alias("s")).select("pair", "s.side", "s.code")
+    shared = _shingled(coded, shingle).groupBy("pair", "x").agg(F.bit_or("side").alias("sides")).groupBy("pair").agg(F.count_if(F.col("sides") == 3).alias("shared"))
+    return open_.join(shared, "pair").where(F.col("shared") >= least * (F.col("sizes") - F.col("shared"))).select("a", "b")
 
 
 def _apart(many: DataFrame, found: DataFrame) -> DataFrame:
