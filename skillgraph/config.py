@@ -63,6 +63,7 @@ class Options:
     closeness_limit: tuple[int, int] | None = (30_000, 1_500_000)
     warn_edges: int = 1_000_000
     subset_bytes: int | None = None
+    subset_rows: int | None = None
     subset_seed: int = 42
     encodings: tuple[str, ...] = ("utf-8-sig", "utf-8", "latin-1")
 
@@ -72,7 +73,7 @@ class Options:
         key = (name or "").strip().lower()
         between, close, pairs = PROFILES[PROFILE_NAMES.get(key, key if key in PROFILES else "balanced")]
         base = Options(betweenness_limit=between, closeness_limit=close, max_pairs_per_feature=pairs[0], max_total_pairs=pairs[1])
-        kinds = {f.name: type(getattr(base, f.name)) for f in dataclasses.fields(base)}
+        kinds = {f.name: type(getattr(base, f.name)) for f in dataclasses.fields(base)} | {"subset_bytes": int, "subset_rows": int}
         kept = {}
         for field, value in changes.items():
             if value is None or field not in kinds:

@@ -1,8 +1,8 @@
 """Parsing of semi-structured cells: a list of objects that name a skill, a bucket and a similarity.
 
-Well-formed JSON is parsed by Spark's variant functions. Only the cells that
-these can't read (Python literals, text around a list, broken objects) go through
-one Arrow UDF.
+A strict JSON list of flat objects, whose names and buckets are texts and whose
+similarities are numbers, is read by Spark's JSON parser. Only other cells (Python
+literals, text around a list, nested or broken objects) go through one Arrow UDF.
 """
 
 from __future__ import annotations
@@ -92,35 +92,40 @@ def _parse_hard(cells: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"items": [[dict(zip(("text", "bucket", "similarity"), i, strict=True)) for i in items] for items, _ in parsed], "reason": [r for _, r in parsed]})
 
 
-def _native(cell: Column) -> Column:
-    """Array of items of a cell that is strict JSON, else NULL."""
-    value = F.try_parse_json(cell)
-    listed = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.try_parse_json(F.concat(F.lit("["), cell, F.lit("]")))).otherwise(value)
-    array = F.when(F.schema_of_variant(listed).startswith("ARRAY"), listed.cast("array<variant>"))
+_FLAT = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("skill", "name", "skill_name", "bucket", "mapping_similarity")]))
+#: Values that read differently as Python objects: names and buckets that aren't texts, similarities that aren't numbers.
+_TYPED = r'"(?:skill|name|skill_name|bucket)"\s*:\s*[^"\sn]|"mapping_similarity"\s*:\s*["tf\[{]'
 
-    def field(v: Column, *names: str) -> Column:
-        """The first of the fields that isn't empty, zero or false."""
-        texts = [F.try_variant_get(v, f"$.{n}", "string") for n in names]
-        return F.coalesce(*[F.when(~t.isin("", "0", "0.0", "false"), t) for t in texts])
 
-    item = lambda v: F.struct(
-        strip(field(v, "skill", "name", "skill_name")).alias("text"), strip(F.try_variant_get(v, "$.bucket", "string")).alias("bucket"), F.try_variant_get(v, "$.mapping_similarity", "string").try_cast("double").alias("similarity")
-    )
-    return F.transform(F.filter(array, lambda v: F.schema_of_variant(v).startswith("OBJECT")), item), F.size(array)
+def _flat_items(cell: Column) -> Column:
+    """Items of a cell that is a list of flat objects, else NULL. No bracket closes before the last one, so nothing follows the list."""
+    simple = F.startswith(cell, F.lit("[")) & (F.instr(cell, "]") == F.length(cell)) & ~cell.rlike(_TYPED)
+    return F.from_json(F.when(simple, cell), _FLAT, {"allowSingleQuotes": "false"})
+
+
+def _item(x: Column) -> Column:
+    named = F.coalesce(*[F.when(x[n] != "", x[n]) for n in ("skill", "name", "skill_name")])
+    similarity = x["mapping_similarity"].try_cast("double")
+    return F.struct(strip(named).alias("text"), strip(x["bucket"]).alias("bucket"), F.when(~F.isnan(similarity), similarity).alias("similarity"))
 
 
 def parse_cells(df: DataFrame, cell: str = "skills") -> DataFrame:
     """``df`` with items (array of text, bucket, similarity) and reason (NULL, or why a cell has no items)."""
     text = F.replace(F.translate(strip(F.col(cell)), "“”‘’", "\"\"''"), F.lit("\x00"), F.lit(""))
     usable = F.when(~F.lower(text).isin("", "nan", "none", "null"), text)
-    items, size = _native(usable)
-    staged = df.withColumn("_text_", usable).withColumn("_items_", items).withColumn("_size_", size)
-    good = F.filter("_items_", lambda i: i["text"].isNotNull() & (F.length(i["text"]) > 0))
-    easy = staged.where("_text_ is null or _items_ is not null").select(
-        *df.columns, F.coalesce(good, F.array().cast(T.ArrayType(ITEM))).alias("items"), F.when((F.col("_size_") > 0) & (F.size(good) == 0), NO_ITEMS).alias("reason")
-    )
-    hard = staged.where("_text_ is not null and _items_ is null").withColumn("_parsed_", _parse_hard("_text_")).select(*df.columns, F.col("_parsed_.items").alias("items"), F.col("_parsed_.reason").alias("reason"))
-    return easy.unionByName(hard)
+    read = df.withColumn("_text_", usable).withColumn("_flat_", _flat_items(F.col("_text_")))
+    whole = F.col("_flat_").isNotNull() & F.forall("_flat_", lambda x: x.isNotNull())
+    marked = read.withColumn("_easy_", F.coalesce(whole, F.lit(False)))
+    parsed = marked.withColumn("_hard_", _parse_hard(F.when(~F.col("_easy_"), F.col("_text_"))))
+    good = F.filter(F.transform("_flat_", _item), lambda i: i["text"].isNotNull() & (F.length(i["text"]) > 0))
+    items = F.when(F.col("_easy_"), good).otherwise(F.coalesce(F.col("_hard_.items"), F.array().cast(T.ArrayType(ITEM))))
+    reason = F.when(~F.col("_easy_"), F.col("_hard_.reason")).when((F.size("_flat_") > 0) & (F.size("items") == 0), NO_ITEMS)
+    return parsed.withColumn("items", items).withColumn("reason", reason).select(*df.columns, "items", "reason")
+
+
+def items_of(parsed: DataFrame, *columns: str) -> DataFrame:
+    """A row for each item, with its place and the item. An outer explode, for a plain one would have cells parsed again to see if they have items."""
+    return parsed.select(*columns, F.posexplode_outer("items").alias("place", "item")).where("place is not null")
 
 
 def split_query(text: str) -> list[str]:

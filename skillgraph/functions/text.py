@@ -3,30 +3,37 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skillgraph.config import BUCKET_SCORES
 
-_SPACE = "(?U)\\s+"
+#: White space of any script.
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SPACE = f"[{_WHITE}]+"
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value made once however often it is used there."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def strip(c: Column) -> Column:
     """Without white space (of any script) at either end."""
-    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def clean(c: Column) -> Column:
     """Stripped; blank and the words nan, none and null become NULL."""
-    text = strip(c.cast("string"))
-    return F.when(~F.lower(text).isin("", "nan", "none", "null"), text)
+    return once(strip(c.cast("string")), lambda text: F.when(~F.lower(text).isin("", "nan", "none", "null"), text))
 
 
 def normalize_text(c: Column) -> Column:
     """Lower case, single spaces, no space or punctuation at the end; NULL is empty."""
     text = F.regexp_replace(F.lower(strip(F.coalesce(c, F.lit("")))), _SPACE, " ")
-    return F.regexp_replace(text, "[\\s.,;:!?\\-_/]+$", "")
+    return F.rtrim(text, F.lit(" \t\n\x0b\x0c\r.,;:!?-_/"))
 
 
 def pretty_label(c: Column) -> Column:
@@ -66,20 +73,23 @@ def _bucket_score(c: Column) -> Column:
 
 def bucket(c: Column) -> Column:
     """struct(text, score): a bucket's normal spelling and its score of 0 to 4; an unknown one scores by the words in it."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(strip(F.coalesce(c, F.lit("unknown")))), "_", " "), _SPACE, " ")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, "[^0-9a-z ]+", " "), " +", " "))
-    found, plain_found = _bucket_score(text), _bucket_score(plain)
+    text = F.regexp_replace(F.replace(F.lower(strip(F.coalesce(c, F.lit("unknown")))), F.lit("_"), F.lit(" ")), _SPACE, " ")
+    return once(text, lambda t: once(F.trim(F.regexp_replace(t, "[^0-9a-z]+", " ")), lambda plain: _scored(t, plain)))
+
+
+def _scored(text: Column, plain: Column) -> Column:
+    found = _bucket_score(text)
     by_word = (
         F.when(plain.contains("mission") | plain.contains("critical"), 4).when(plain.contains("advanced"), 3).when(plain.contains("proficient"), 2).when(plain.contains("working knowledge"), 1).otherwise(0)
     )
     name = F.when(found.isNotNull(), text).when(plain == "", "unknown").otherwise(plain)
-    return F.struct(name.alias("text"), F.coalesce(found, plain_found, by_word).cast("int").alias("score"))
+    return F.struct(name.alias("text"), F.coalesce(found, _bucket_score(plain), by_word).cast("int").alias("score"))
 
 
 def clip_similarity(c: Column) -> Column:
     """A number within 0 to 1; what isn't one, NaN too, is NULL."""
     x = c.cast("string").try_cast("double")
-    return F.when(~F.isnan(x), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def edge_weight(score: Column, similarity: Column, default: float = 0.5) -> Column:
@@ -99,10 +109,11 @@ def hashed_id(prefix: str, c: Column, digits: int = 16) -> Column:
 
 
 def fallback_id(title: Column, company: Column, posted: Column, row: Column) -> Column:
-    """An id for a row without one: a hash of title, company and date, or the row's number if all are blank."""
+    """An id for a row without one: a hash of title, company and date, or of the row's number if all are blank."""
     parts = [F.lower(strip(F.coalesce(x, F.lit("")))) for x in (title, company, posted)]
     joined = F.concat_ws("|", *parts)
-    return F.when(joined == "||", F.concat(F.lit("row_"), row.cast("string"))).otherwise(hashed_id("job_fallback", joined, 20))
+    seed = F.when(F.replace(joined, F.lit("|"), F.lit("")) == "", F.concat(F.lit("row_"), row.cast("string"))).otherwise(joined)
+    return hashed_id("job_fallback", seed, 20)
 
 
 def unit_hash(seed: int, row: Column) -> Column:
@@ -119,6 +130,8 @@ def salary_band(c: Column, present: bool = True) -> Column:
     return F.when(c.isNull(), "ge_50k").when(x.isNull(), "unknown").when(x < 10_000, "lt_10k").when(x < 20_000, "10k_20k").when(x < 50_000, "20k_50k").otherwise("ge_50k")
 
 
-def compact_json(*columns: Column) -> Column:
-    """A JSON object without the fields that are NULL or NaN."""
-    return F.to_json(F.struct(*columns))
+def compact_json(*names: str, **columns: Column) -> Column:
+    """A JSON object of columns, without those that are NULL or NaN."""
+    fields = {n: F.col(n) for n in names} | columns
+    nan = lambda c: F.typeof(c).isin("double", "float") & (c.cast("string") == "NaN")
+    return F.to_json(F.struct(*[F.when(~F.coalesce(nan(c), F.lit(False)), c).alias(n) for n, c in fields.items()]))

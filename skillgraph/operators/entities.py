@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillgraph.functions.cells import parse_cells
+from skillgraph.functions.cells import items_of, parse_cells
 from skillgraph.functions.text import bucket, clean, clip_similarity, edge_weight, fallback_id, hashed_id, normalize_text, parse_number, pretty_label
 from skillgraph.sources.tabular import Canonical
+from skillgraph.storage import stored
 
 WEIGHT = "decimal(18,6)"
 
@@ -57,20 +58,20 @@ JOB_TEXTS = ("job_title", "company_name", "posted_at", "group", "assigned_occupa
 
 
 def build(source: Canonical, default_similarity: float = 0.5) -> Built:
-    """Jobs, skills and edges of canonical rows. A blank cell keeps its job without edges; one of spaces, or none at all, drops the row."""
+    """Jobs, skills and edges of canonical rows. A blank cell, and one that can't be parsed, keeps its job without edges; a cell of spaces, or no cell column at all, drops the row."""
     cell = F.col("skills")
     skills_there = "skills" in source.present
     lacking = (F.length(F.trim(cell)) == 0) if skills_there else F.lit(True)
     rows = source.rows.withColumn("_title", clean(F.col("job_title"))).withColumn(
         "fault", F.when(F.col("_title").isNull(), "missing_job_title").when(F.coalesce(lacking, F.lit(False)), "missing_skills")
     )
-    parsed = parse_cells(rows.where("fault is null"))
+    parsed = stored(parse_cells(rows.where("fault is null")), "parsed")
     bad = F.col("reason").isNotNull()
     errors = parsed.where(bad).select(F.col("row_idx").alias("row_id"), "reason", F.substring("skills", 1, 500).alias("raw_skills_snippet"))
-    good = parsed.where(~bad).withColumn("job_id", F.coalesce(clean(F.col("job_id")), fallback_id(F.col("_title"), F.col("company_name"), F.col("posted_at"), F.col("row_idx"))))
+    good = parsed.withColumn("job_id", F.coalesce(clean(F.col("job_id")), fallback_id(F.col("_title"), F.col("company_name"), F.col("posted_at"), F.col("row_idx"))))
     texts = [clean(F.col(c)).alias(c) for c in JOB_TEXTS]
     jobs = first_known(good.select("job_id", "row_idx", *texts, parse_number(F.col("salary_mean_inr_month")).alias("salary_mean_inr_month")), "job_id", "row_idx", (*JOB_TEXTS, "salary_mean_inr_month"))
-    items = good.select("job_id", "row_idx", F.posexplode("items").alias("place", "item")).select("job_id", "row_idx", "place", F.col("item.text").alias("skill_text_raw"), F.col("item.bucket").alias("bucket_raw"), clip_similarity(F.col("item.similarity")).alias("mapping_similarity"))
+    items = items_of(good, "job_id", "row_idx").select("job_id", "row_idx", "place", F.col("item.text").alias("skill_text_raw"), F.col("item.bucket").alias("bucket_raw"), clip_similarity(F.col("item.similarity")).alias("mapping_similarity"))
     items = items.withColumn("skill_text_normalized", normalize_text(F.col("skill_text_raw"))).where("length(skill_text_normalized) > 0").withColumn("_b", bucket(F.col("bucket_raw")))
     items = items.withColumns({"bucket_score": F.col("_b.score"), "bucket_normalized": F.col("_b.text"), "skill_id": hashed_id("skill", F.col("skill_text_normalized"))}).drop("_b")
     items = items.withColumn("edge_weight", edge_weight(F.col("bucket_score"), F.col("mapping_similarity"), default_similarity).cast(WEIGHT))
@@ -82,7 +83,7 @@ def build(source: Canonical, default_similarity: float = 0.5) -> Built:
     skills = of_row.groupBy("skill_id").agg(F.min("skill_text_normalized").alias("skill_text_normalized"), F.min_by("skill_text_raw", "row_idx").alias("skill_text_raw_example"))
     skills = skills.withColumn("label", pretty_label(F.col("skill_text_normalized")))
     total = rows.agg(F.count("*").alias("total_rows"), F.count_if(F.col("fault") == "missing_job_title").alias("missing_job_title"), F.count_if(F.col("fault") == "missing_skills").alias("missing_skills"))
-    valid = parsed.agg(F.count_if(~bad).alias("valid_rows"), F.count_if(bad).alias("parse_failure_count"))
+    valid = parsed.agg(F.count("*").alias("valid_rows"), F.count_if(bad).alias("parse_failure_count"))
     again = jobs.agg(F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0)).alias("duplicate_job_rows"))
     double = duplicate_edges(items, "job_id", "skill_id", "edge_weight", "row_idx", "place").withColumnRenamed("duplicate_edges", "duplicate_job_skill_edges")
     counters = reduce(DataFrame.unionByName, [c.unpivot([], c.columns, "counter", "n").withColumn("n", F.col("n").cast("long")) for c in (total, valid, again, double)])

@@ -101,14 +101,12 @@ def hubs(edges: DataFrame, nodes: DataFrame, n: int = 300) -> DataFrame:
 
 
 def matching(nodes: DataFrame, job_id: str | None, pattern: str | None, limit: int) -> DataFrame:
-    """Job nodes by id; else by a regular expression on the label; else the first ones."""
+    """Job nodes by id (none if there is no such id); without one by a regular expression on the label; without that the first ones."""
     jobs = nodes.where("node_type = 'job'")
-    if job_id:
-        exact = jobs.where(F.col("node") == job_id)
-        if not exact.isEmpty():
-            return exact
-    if pattern:
-        jobs = jobs.where(F.lower("label").rlike(pattern.lower()))
+    if job_id and job_id.strip():
+        jobs = jobs.where(F.col("node") == job_id.strip())
+    elif pattern and pattern.strip():
+        jobs = jobs.where(F.lower("label").rlike(pattern.strip().lower()))
     return jobs.orderBy("node").limit(limit)
 
 

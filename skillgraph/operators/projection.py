@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillgraph.storage import stored
+
 
 def guarded(edges: DataFrame, entity: str = "entity", feature: str = "feature", first_seen: str | None = None, max_degree: int = 2_000, max_pairs: int = 1_500_000, max_total: int = 25_000_000) -> DataFrame:
     """Every feature with its degree, pairs and verdict: used, single, degree, pairs or total.
 
     The limit on all pairs is first-fit in the order of ``first_seen`` (or the feature): a feature that doesn't fit uses
-    nothing up. It is folded only if the features together exceed it, over at most the features that pass the other
-    limits.
+    nothing up. Spark takes whole runs of leading features by running sums; only when those that can still fit are few
+    are they folded one by one.
     """
     order = first_seen or feature
     counted = edges.groupBy(feature).agg(F.count_distinct(entity).alias("degree"), F.min(order).alias("first_seen")).withColumn("pairs", F.expr("degree * (degree - 1) div 2"))
@@ -20,12 +22,41 @@ def guarded(edges: DataFrame, entity: str = "entity", feature: str = "feature",
     judged = counted.withColumn("verdict", verdict)
     if max_total <= 0 or (judged.where("verdict = 'used'").agg(F.sum("pairs")).first()[0] or 0) <= max_total:
         return judged
-    # More than max_total pairs: of features in order, sizes alone go through one fold.
-    ordered = judged.where("verdict = 'used'").agg(F.array_sort(F.collect_list(F.struct("first_seen", feature, "pairs"))).alias("f"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{edges.schema[feature].dataType.simpleString()}>").alias("taken"))
-    step = lambda acc, x: F.when(acc["used"] + x["pairs"] <= max_total, F.struct((acc["used"] + x["pairs"]).alias("used"), F.concat(acc["taken"], F.array(x[feature])).alias("taken"))).otherwise(acc)
-    taken = ordered.select(F.explode(F.aggregate("f", start, step)["taken"]).alias(feature)).withColumn("_in", F.lit(True))
-    return judged.join(taken, feature, "left").withColumn("verdict", F.when((F.col("verdict") == "used") & F.col("_in").isNull(), "total").otherwise(F.col("verdict"))).drop("_in")
+    taken = _first_fit(judged.where("verdict = 'used'").select("first_seen", F.col(feature).alias("f"), "pairs"), max_total)
+    marked = judged.join(taken.select(F.col("f").alias(feature), F.lit(True).alias("_in")), feature, "left")
+    return marked.withColumn("verdict", F.when((F.col("verdict") == "used") & F.col("_in").isNull(), "total").otherwise(F.col("verdict"))).drop("_in")
+
+
+def _first_fit(features: DataFrame, room: int, few: int = 100_000) -> DataFrame:
+    """(f) of the features (first_seen, f, pairs) that fit one after another into ``room`` pairs; one that doesn't uses nothing up.
+
+    A run of leading features whose running sum fits is taken whole; after it only smaller ones can fit, and so on. Running
+    sums are made within sorted partitions, whose totals are a row each.
+    """
+    spark = features.sparkSession
+    left, runs = features.where(F.col("pairs") <= room), []
+    while left.count() > few:
+        placed = stored(left.orderBy("first_seen", "f").withColumn("_part_", F.spark_partition_id()), "fit")
+        starts, begin = [(-1, 0)], 0
+        for r in placed.groupBy("_part_").agg(F.sum("pairs").alias("n")).orderBy("_part_").collect():  # a row for each partition
+            starts.append((r["_part_"], begin))
+            begin += r["n"]
+        offsets = F.broadcast(spark.createDataFrame(starts, "_part_ int, _start_ long"))
+        order = Window.partitionBy("_part_").orderBy("first_seen", "f")
+        summed = stored(placed.withColumn("_sum_", F.sum("pairs").over(order)).join(offsets, "_part_").withColumn("_sum_", F.col("_sum_") + F.col("_start_")), "fit")
+        fits = F.col("_sum_") <= room
+        runs.append(summed.where(fits).select("f"))
+        room -= summed.where(fits).agg(F.coalesce(F.max("_sum_"), F.lit(0))).first()[0]
+        left = summed.where(~fits & (F.col("pairs") <= room)).select("first_seen", "f", "pairs")
+    last = []
+    for r in left.orderBy("first_seen", "f").collect():  # ``few`` rows at most
+        if r["pairs"] <= room:
+            room -= r["pairs"]
+            last.append((r["f"],))
+    taken = spark.createDataFrame(last, features.select("f").schema)
+    for run in runs:
+        taken = taken.unionByName(run)
+    return taken
 
 
 def pair_scores(edges: DataFrame, entity: str = "entity", feature: str = "feature", weight: str = "weight", used: DataFrame | None = None) -> DataFrame:
@@ -41,19 +72,23 @@ def pair_scores(edges: DataFrame, entity: str = "entity", feature: str = "featur
 
 
 def projection_stats(judged: DataFrame) -> DataFrame:
-    """One row: features, pairs and how many of them each limit left out."""
+    """One row: features, pairs and edges, and how many of them each limit left out."""
     count = lambda v: F.count_if(F.col("verdict") == v)
     pairs = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("pairs"))), F.lit(0))
+    edges = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("degree"))), F.lit(0))
     return judged.agg(
         F.count("*").alias("features"), count("used").alias("features_used"), count("single").alias("features_single"), count("degree").alias("skipped_by_degree"), count("pairs").alias("skipped_by_pairs"), count("total").alias("skipped_by_total"),
-        pairs("used").alias("pairs_used"), pairs("degree").alias("pairs_skipped_by_degree"), pairs("pairs").alias("pairs_skipped_by_pairs"), pairs("total").alias("pairs_skipped_by_total"), F.coalesce(F.max("degree"), F.lit(0)).alias("max_degree"), F.coalesce(F.max("pairs"), F.lit(0)).alias("max_pairs"),
+        pairs("used").alias("pairs_used"), pairs("degree").alias("pairs_skipped_by_degree"), pairs("pairs").alias("pairs_skipped_by_pairs"), pairs("total").alias("pairs_skipped_by_total"),
+        edges("degree").alias("edges_skipped_by_degree"), edges("pairs").alias("edges_skipped_by_pairs"), edges("total").alias("edges_skipped_by_total"), F.coalesce(F.max("degree"), F.lit(0)).alias("max_degree"), F.coalesce(F.max("pairs"), F.lit(0)).alias("max_pairs"),
     )
 
 
 def closest(pairs: DataFrame, score: str, k: int = 20, threshold: float = 0.0, method: str | None = None) -> DataFrame:
     """(entity, neighbor, similarity_score, rank[, method]): the ``k`` best neighbours of each entity (all if k <= 0), ties by neighbour."""
     fit = pairs.where(F.col(score) >= F.lit(threshold))
-    both = fit.select(F.col("a").alias("entity"), F.col("b").alias("neighbor"), F.col(score).alias("s")).unionByName(fit.select(F.col("b").alias("entity"), F.col("a").alias("neighbor"), F.col(score).alias("s")))
+    # Both directions of a pair from one row, so that the pairs are made once.
+    way = lambda x, y: F.struct(F.col(x).alias("entity"), F.col(y).alias("neighbor"), F.col(score).alias("s"))
+    both = fit.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("_p")).select("_p.*")
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("s"), "neighbor")))
     if k > 0:
         ranked = ranked.where(F.col("rank") <= k)

@@ -51,15 +51,16 @@ def row_size(columns: list[str], present: frozenset[str] | None = None) -> Colum
 
 
 def stratum_key(present: frozenset[str]) -> Column:
-    """occupation||district||salary band; the group stands for an occupation column that isn't there."""
+    """occupation||district||salary band, in lower case; the group stands for an occupation that is blank, unknown or no column."""
 
     def text(name: str) -> Column:
         if name not in present:
             return F.lit("unknown")
-        value = strip(F.coalesce(F.col(name), F.lit("nan")))
+        value = F.lower(strip(F.coalesce(F.col(name), F.lit("nan"))))
         return F.when(value == "", "unknown").otherwise(value)
 
-    occupation = text("assigned_occupation_group" if "assigned_occupation_group" in present else "group")
+    named = text("assigned_occupation_group")
+    occupation = F.when(named == "unknown", text("group")).otherwise(named)
     return F.concat_ws("||", occupation, text("district"), salary_band(F.col("salary_mean_inr_month"), "salary_mean_inr_month" in present))
 
 
@@ -74,8 +75,8 @@ def choose(rows: DataFrame, with_quota: DataFrame, target: int, stratum: str = "
     return chosen.unionByName(rest.select(row, stratum))
 
 
-def stratified_subset(source: Canonical, target_bytes: int, seed: int = 42) -> tuple[DataFrame, dict[str, Any]]:
-    """(canonical rows of the subset in file order, summary). The same rows for the same file and seed."""
+def stratified_subset(source: Canonical, target_bytes: int, seed: int = 42, target_rows: int | None = None) -> tuple[DataFrame, dict[str, Any]]:
+    """(canonical rows of the subset in file order, summary): ``target_rows`` of them, or as many as make ``target_bytes``. The same rows for the same file and seed."""
     columns = [c for c in source.rows.columns if c != "row_idx"]
     parsed = parse_cells(source.rows)
     names = F.array_distinct(F.filter(F.transform("items", lambda i: normalize_text(i["text"])), lambda t: F.length(t) > 0))
@@ -83,7 +84,7 @@ def stratified_subset(source: Canonical, target_bytes: int, seed: int = 42) -> t
     total, average = rows.agg(F.count("*"), F.avg("size")).first()
     if not total:
         return source.rows, {"seed": seed, "total_rows": 0, "selected_rows": 0}
-    target = min(total, max(1, int(target_bytes // max(1.0, average))))
+    target = min(total, max(1, int(target_rows or target_bytes // max(1.0, average))))
     share = quotas(rows.groupBy("stratum").agg(F.count("*").alias("n")), target)
     frequency = stored(rows.select(F.explode("skills").alias("skill")).groupBy("skill").agg(F.count("*").alias("n")), "frequency")
     rare, common = frequency_cutoffs(frequency)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import time
 from dataclasses import dataclass, field
 from typing import Any
@@ -49,13 +50,11 @@ class _Clock:
 def run(spark: SparkSession, path: str, options: Options = Options()) -> Result:
     """Runs all stages. ValueError if no row gives a job."""
     clock = _Clock()
-    raw = tabular.read_csv(spark, path, tabular.sniff_encoding(spark, path, options.encodings))
-    source = tabular.canonical(stored(raw, "rows"))
+    source = tabular.canonical(tabular.read_csv(spark, path, tabular.sniff_encoding(spark, path, options.encodings)))
     chosen: dict[str, Any] | None = None
-    if options.subset_bytes:
-        rows, chosen = subset.stratified_subset(source, options.subset_bytes, options.subset_seed)
-        renumbered = tabular.numbered(rows.drop("row_idx"), "row_idx")
-        source = tabular.Canonical(stored(renumbered, "subset"), source.present, source.missing)
+    if options.subset_bytes or options.subset_rows:
+        rows, chosen = subset.stratified_subset(source, options.subset_bytes or 0, options.subset_seed, options.subset_rows)
+        source = tabular.Canonical(tabular.numbered(rows.drop("row_idx"), "row_idx"), source.present, source.missing)
     clock.stage("read")
     built = entities.build(source, options.default_similarity)
     jobs, skills, edges, errors = (stored(df, name) for df, name in ((built.jobs, "jobs"), (built.skills, "skills"), (built.edges, "edges"), (built.errors, "errors")))
@@ -84,7 +83,7 @@ def run(spark: SparkSession, path: str, options: Options = Options()) -> Result:
     validation = {"missing_required_fields": list(source.missing), "validation_error_counts": {k: counters[k] for k in ("missing_job_title", "missing_skills") if counters[k]}, "total_rows": counters["total_rows"], "valid_rows": counters["valid_rows"]}
     summary = {
         "num_jobs": n_jobs, "num_skills": n_skills, "num_edges": n_edges, "density": round(n_edges / (n_jobs * n_skills), 8) if n_skills else None, "num_components": sizes[0], "largest_component_size": sizes[1],
-        "parse_failure_count": counters["parse_failure_count"], "dedup_stats": {k: counters[k] for k in ("duplicate_job_rows", "duplicate_job_skill_edges")}, "projection_stats": projection.projection_stats(judged).first().asDict(),
+        "parse_failure_count": counters["parse_failure_count"], "dedup_stats": {k: counters[k] for k in ("duplicate_job_rows", "duplicate_job_skill_edges")}, "projection_stats": projection.projection_stats(judged).first().asDict() | {"pair_count": pairs.count()},
         "projected_graph": {"num_job_nodes": n_jobs, "num_job_edges": projected.count(), **notes}, "memory_warnings": warnings, "subset": chosen,
     }
     clock.stage("reports")
@@ -109,13 +108,26 @@ def main(arguments: list[str] | None = None) -> None:
     p.add_argument("--output-dir", required=True)
     p.add_argument("--profile", default="balanced")
     p.add_argument("--method", choices=("unweighted", "weighted", "both"))
-    for name, kind in (("top-k", int), ("threshold", float), ("max-feature-degree", int), ("max-pairs-per-feature", int), ("max-total-pairs", int), ("subset-bytes", int), ("subset-seed", int)):
+    for name, kind in (("top-k", int), ("threshold", float), ("max-feature-degree", int), ("max-pairs-per-feature", int), ("max-total-pairs", int), ("warn-edges", int), ("subset-bytes", int), ("subset-rows", int), ("subset-seed", int)):
         p.add_argument(f"--{name}", type=kind)
+    measures = ("betweenness", "closeness")
+    for name in measures:
+        p.add_argument(f"--disable-{name}", action="store_true")
+        p.add_argument(f"--{name}-max-vertices", type=int)
+        p.add_argument(f"--{name}-max-edges", type=int)
     given = vars(p.parse_args(arguments))
     source, folder, profile = (given.pop(k) for k in ("input", "output_dir", "profile"))
+    base, limits = Options.for_profile(profile), {}
+    for name in measures:
+        off, asked = given.pop(f"disable_{name}"), (given.pop(f"{name}_max_vertices"), given.pop(f"{name}_max_edges"))
+        known = getattr(base, f"{name}_limit") or getattr(Options(), f"{name}_limit")
+        if off:
+            limits[f"{name}_limit"] = None
+        elif any(x is not None for x in asked):
+            limits[f"{name}_limit"] = tuple(k if x is None else x for x, k in zip(asked, known, strict=True))
     spark = SparkSession.builder.appName("skillgraph").getOrCreate()
-    options = Options.for_profile(profile, **given)
-    write(spark, run(spark, source, options), folder, sampled=bool(options.subset_bytes))
+    options = dataclasses.replace(Options.for_profile(profile, **given), **limits)
+    write(spark, run(spark, source, options), folder, sampled=bool(options.subset_bytes or options.subset_rows))
 
 
 if __name__ == "__main__":

@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skillgraph.config import ALIASES
 from skillgraph.functions import cells, text
 from skillgraph.operators import entities, events, export, graph, lookup, paths, projection, quality, subset
 from skillgraph.operators.components import connected
-from skillgraph.sources import tabular
+from skillgraph.sources import exports, tabular
 from skillgraph.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,9 +112,9 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("""SELECT l_orderkey AS row_idx, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'Part ' || l_partkey, l_discount) - 1 AS BIGINT) AS place, 'part ' || l_partkey AS feature, CASE CAST(l_linenumber AS INT) % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 4 END AS bucket_score,
 ROUND(0.7 * LEAST(1.0, GREATEST(0.0, l_discount * 10)) + 0.3 * (CASE CAST(l_linenumber AS INT) % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 4 END) / 4.0, 6) AS edge_weight FROM lineitem""")
 def parse_feature_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = cells.parse_cells(_cells(spark, sf_dir)).select("row_idx", F.posexplode("items").alias("place", "i"))
-    score = text.bucket(F.col("i.bucket"))["score"]
-    return parsed.select("row_idx", F.col("place").cast("long").alias("place"), text.normalize_text(F.col("i.text")).alias("feature"), score.alias("bucket_score"), text.edge_weight(score, F.col("i.similarity")).alias("edge_weight"))
+    parsed = cells.items_of(cells.parse_cells(_cells(spark, sf_dir)), "row_idx").withColumnRenamed("item", "i")
+    scored = parsed.withColumn("bucket_score", text.bucket(F.col("i.bucket"))["score"])
+    return scored.select("row_idx", F.col("place").cast("long").alias("place"), text.normalize_text(F.col("i.text")).alias("feature"), "bucket_score", text.edge_weight(F.col("bucket_score"), F.col("i.similarity")).alias("edge_weight"))
 
 
 @_register("SELECT o_orderkey AS row_id, CASE CAST(o_orderkey % 4 AS INT) WHEN 1 THEN 'unable_to_parse_skills' ELSE 'parsed_but_no_valid_skill_objects' END AS reason, CASE CAST(o_orderkey % 4 AS INT) WHEN 1 THEN 'order ' || o_orderkey ELSE '[1, ' || o_orderkey || ']' END AS snippet FROM orders WHERE o_orderkey % 4 IN (1, 2)")
@@ -129,7 +130,7 @@ def parse_broken_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     cell = F.when(key % 2 == 1, F.concat(F.lit("see {'skill': 'Part "), key, F.lit("', bucket: Advanced} there"))).otherwise(F.concat(F.lit("[{'skill': 'Part "), key, F.lit("', 'bucket': None}]")))
     parsed = cells.parse_cells(_table(spark, sf_dir, "orders").select(key.alias("row_id"), cell.alias("skills")))
-    return parsed.select("row_id", F.explode("items").alias("i")).select("row_id", F.col("i.text").alias("feature"), F.col("i.bucket").alias("bucket"))
+    return cells.items_of(parsed, "row_id").select("row_id", F.col("item.text").alias("feature"), F.col("item.bucket").alias("bucket"))
 
 
 # --- scalars ---------------------------------------------------------------
@@ -172,7 +173,7 @@ def numeric_parse_salary_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", cell.alias("t")).select("c_custkey", text.parse_number(F.col("t")).alias("amount"), text.salary_band(F.col("t")).alias("band"))
 
 
-@_register("SELECT c_custkey, 'skill::' || substr(sha1(lower(c_name)), 1, 16) AS id, CASE WHEN c_custkey % 5 = 0 THEN 'row_' || c_custkey ELSE 'job_fallback::' || substr(sha1(lower(c_name) || '|' || lower(c_mktsegment) || '|'), 1, 20) END AS fallback, CAST(('0x' || substr(sha1('42:' || c_custkey), 1, 8)) AS UBIGINT)::DOUBLE / 4294967295 AS u FROM customer")
+@_register("SELECT c_custkey, 'skill::' || substr(sha1(lower(c_name)), 1, 16) AS id, 'job_fallback::' || substr(sha1(CASE WHEN c_custkey % 5 = 0 THEN 'row_' || c_custkey ELSE lower(c_name) || '|' || lower(c_mktsegment) || '|' END), 1, 20) AS fallback, CAST(('0x' || substr(sha1('42:' || c_custkey), 1, 8)) AS UBIGINT)::DOUBLE / 4294967295 AS u FROM customer")
 def deterministic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = F.col("c_custkey") % 5 == 0
     return _table(spark, sf_dir, "customer").select("c_custkey", text.hashed_id("skill", F.lower("c_name")).alias("id"), text.fallback_id(F.when(~blank, F.col("c_name")), F.when(~blank, F.concat(F.lit(" "), "c_mktsegment")), F.lit(None).cast("string"), F.col("c_custkey")).alias("fallback"), text.unit_hash(42, F.col("c_custkey")).alias("u"))
@@ -183,9 +184,9 @@ def json_attribute_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("k"))
 
 
-@_register("""SELECT p_partkey, '{"name":"' || p_name || '"' || CASE WHEN p_partkey % 2 = 0 THEN ',"size":' || p_size ELSE '' END || '}' AS attributes_json FROM part""")
+@_register("""SELECT p_partkey, '{"name":"' || p_name || '"' || CASE WHEN p_partkey % 2 = 0 THEN ',"size":' || p_size WHEN p_partkey % 3 = 0 THEN ',"price":' || p_size || '.5' ELSE '' END || '}' AS attributes_json FROM part""")
 def compact_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select("p_partkey", text.compact_json(F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).alias("size")).alias("attributes_json"))
+    return _table(spark, sf_dir, "part").select("p_partkey", text.compact_json(name=F.col("p_name"), size=F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")), price=F.when(F.col("p_partkey") % 2 != 0, F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") + F.lit(0.5).cast("double")).otherwise(F.lit(float("nan"))))).alias("attributes_json"))
 
 
 @_register("SELECT 'cell' AS inferred")
@@ -485,6 +486,133 @@ def row_size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", subset.row_size(["c_name", "segment"]).cast("long").alias("size"))
 
 
+# --- whole rows --------------------------------------------------------------
+
+
+def _raw_rows(spark: SparkSession, sf_dir: str) -> tabular.Canonical:
+    """A canonical row for each order: some without title, with blank, spaced, broken, literal or empty cells, some ids twice or missing."""
+    key = F.col("o_orderkey")
+    bad = key % 7
+    cell = (
+        F.when(bad == 0, F.lit(None)).when(bad == 1, "   ").when(bad == 2, F.concat(F.lit("order "), key)).when(bad == 3, F.concat(F.lit("[1, "), key, F.lit("]")))
+        .when(bad == 4, F.concat(F.lit("[{'skill': 'Part "), key % 50, F.lit("', 'bucket': 'Advanced'}]")))
+        .when(bad == 5, F.concat(F.lit('[{"skill":"Part '), key % 50, F.lit('","bucket":"critical","mapping_similarity":0.5},{"skill":" part  '), key % 50, F.lit('.","mapping_similarity":0.25}]')))
+        .otherwise(F.concat(F.lit('{"skill": "Part '), key % 20, F.lit('", "bucket": "proficient", "mapping_similarity": 1}')))
+    )
+    none = F.lit(None).cast("string")
+    columns = {"job_id": F.when(key % 3 != 0, F.concat(F.lit("j"), F.floor(key / 4))), "job_title": F.when(key % 11 != 0, F.col("o_orderpriority")).otherwise(F.lit(" nan ")), "skills": cell, "company_name": F.col("o_custkey").cast("string"), "posted_at": F.when(key % 2 == 0, "2025")}
+    rows = _table(spark, sf_dir, "orders").select(key.alias("row_idx"), *[columns.get(c, none).alias(c) for c in sorted(ALIASES)])
+    return tabular.Canonical(rows, frozenset(columns), ())
+
+
+_RAW = """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 7 AS bad, CASE WHEN o_orderkey % 3 <> 0 THEN 'j' || (o_orderkey // 4) ELSE 'job_fallback::' || substr(sha1(lower(o_orderpriority) || '|' || o_custkey || '|' || CASE WHEN o_orderkey % 2 = 0 THEN '2025' ELSE '' END), 1, 20) END AS job_id, o_orderpriority AS job_title, CAST(o_custkey AS VARCHAR) AS company_name, CASE WHEN o_orderkey % 2 = 0 THEN '2025' END AS posted_at FROM orders WHERE o_orderkey % 11 <> 0),
+v AS (SELECT * FROM r WHERE bad <> 1),
+i AS (SELECT k, job_id, 0 AS place, 'part ' || (k % 50) AS t, 3 AS score, NULL AS sim, 0.5 * 0.75 + 0.25 AS w FROM v WHERE bad = 4 UNION ALL SELECT k, job_id, 0, 'part ' || (k % 50), 4, 0.5, 0.7 * 0.5 + 0.3 FROM v WHERE bad = 5 UNION ALL SELECT k, job_id, 1, 'part ' || (k % 50), 0, 0.25, 0.7 * 0.25 FROM v WHERE bad = 5 UNION ALL SELECT k, job_id, 0, 'part ' || (k % 20), 2, 1, 0.7 + 0.3 * 0.5 FROM v WHERE bad = 6)"""
+
+
+@_register(f"""{_RAW} SELECT job_id, arg_min(job_title, k) AS job_title, arg_min(company_name, k) AS company_name, arg_min(posted_at, k) AS posted_at, COUNT(*) AS n_rows FROM v GROUP BY 1""")
+def build_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.build(_raw_rows(spark, sf_dir)).jobs.select("job_id", "job_title", "company_name", "posted_at", "n_rows")
+
+
+@_register(f"""{_RAW}, b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id, t ORDER BY ROUND(w, 6) DESC, k, place) AS n FROM i) SELECT job_id, 'skill::' || substr(sha1(t), 1, 16) AS skill_id, t AS skill_text_normalized, CAST(ROUND(w, 6) AS DOUBLE) AS edge_weight, k AS source_row_index FROM b WHERE n = 1""")
+def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.build(_raw_rows(spark, sf_dir)).edges.select("job_id", "skill_id", "skill_text_normalized", F.col("edge_weight").cast("double").alias("edge_weight"), "source_row_index")
+
+
+@_register(f"""{_RAW}, n AS (SELECT job_id, COUNT(*) AS n FROM v GROUP BY 1), e AS (SELECT job_id, t, COUNT(DISTINCT k) AS n FROM i GROUP BY 1, 2)
+SELECT 'total_rows' AS counter, COUNT(*) AS n FROM orders UNION ALL SELECT 'missing_job_title', COUNT(*) FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'missing_skills', COUNT(*) FROM r WHERE bad = 1
+UNION ALL SELECT 'valid_rows', COUNT(*) FROM v UNION ALL SELECT 'parse_failure_count', COUNT(*) FROM v WHERE bad IN (2, 3) UNION ALL SELECT 'duplicate_job_rows', CAST(SUM(n - 1) AS BIGINT) FROM n
+UNION ALL SELECT 'duplicate_job_skill_edges', CAST((SELECT COUNT(*) FROM i WHERE place = 1) + (SELECT SUM(n - 1) FROM e) AS BIGINT)""")
+def build_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.build(_raw_rows(spark, sf_dir)).counters
+
+
+@_register("""SELECT o_orderkey AS row_idx, CASE WHEN o_orderkey % 4 = 0 THEN 'group a' WHEN o_orderkey % 4 = 1 THEN 'group b' WHEN o_orderkey % 4 = 2 THEN 'nan' ELSE lower(o_orderpriority) END || '||' || lower(o_orderstatus) || '||' || CASE WHEN o_totalprice < 10000 THEN 'lt_10k' WHEN o_totalprice < 20000 THEN '10k_20k' WHEN o_totalprice < 50000 THEN '20k_50k' ELSE 'ge_50k' END AS stratum FROM orders""")
+def stratum_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    occupation = F.when(key % 4 == 0, "  ").when(key % 4 == 1, " UnKnown ").when(key % 4 == 2, F.lit(None)).otherwise(F.col("o_orderpriority"))
+    rows = _table(spark, sf_dir, "orders").select(key.alias("row_idx"), occupation.alias("assigned_occupation_group"), F.when(key % 4 == 0, "Group A").otherwise(" group B").alias("group"), F.concat(F.lit(" "), "o_orderstatus").alias("district"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("salary_mean_inr_month"))
+    return rows.select("row_idx", subset.stratum_key(frozenset(rows.columns)).alias("stratum"))
+
+
+def _customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("node"), F.lit("job").alias("node_type"), F.col("c_name").alias("label"))
+
+
+@_register("SELECT 'id' AS asked, CAST(c_custkey AS VARCHAR) AS node FROM customer WHERE c_custkey = 42 UNION ALL SELECT * FROM (SELECT 'label', CAST(c_custkey AS VARCHAR) AS node FROM customer WHERE lower(c_name) LIKE '%00007%' ORDER BY node LIMIT 20) UNION ALL SELECT * FROM (SELECT 'first', CAST(c_custkey AS VARCHAR) AS node FROM customer ORDER BY node LIMIT 20)")
+def job_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An id that is there, one that isn't (no rows, whatever the pattern), a pattern, and neither."""
+    nodes = _customer_nodes(spark, sf_dir)
+    asked = (("id", " 42 ", None), ("unknown", "nobody", "0"), ("label", " ", " 00007"), ("first", None, ""))
+    found = [graph.matching(nodes, i, p, 20).select(F.lit(name).alias("asked"), "node") for name, i, p in asked]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+@_register("""SELECT CAST(l_orderkey AS VARCHAR) AS source, 'p' || l_partkey AS target, 'requires_skill' AS relation, l_quantity AS weight, '{"skill_text_raw":"Part ' || l_partkey || '","skill_text_normalized":"part ' || l_partkey || '",' || CASE WHEN l_linenumber % 2 = 0 THEN '"bucket_raw":"' || l_returnflag || '",' ELSE '' END || '"bucket_normalized":"' || lower(l_returnflag) || '","bucket_score":' || CAST(l_linenumber AS INT) % 5 || ',"source_row_index":' || l_orderkey || '}' AS attributes_json FROM lineitem""")
+def edges_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem")
+    return export.edges_table(lines.select(
+        F.col("l_orderkey").cast("string").alias("job_id"), F.concat(F.lit("p"), "l_partkey").alias("skill_id"), F.col("l_quantity").alias("edge_weight"), F.concat(F.lit("Part "), "l_partkey").alias("skill_text_raw"), F.concat(F.lit("part "), "l_partkey").alias("skill_text_normalized"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("bucket_raw"), F.lower("l_returnflag").alias("bucket_normalized"), (F.col("l_linenumber").cast("int") % 5).alias("bucket_score"), F.lit(float("nan")).alias("mapping_similarity"), F.col("l_orderkey").alias("source_row_index"),
+    ))
+
+
+@_register("""WITH n AS (SELECT CAST(c_custkey AS VARCHAR) AS node FROM customer), e AS (SELECT CAST(o_orderkey % 40 AS VARCHAR) AS a, CAST(o_custkey AS VARCHAR) AS b, CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE CAST(o_orderkey % 9 AS DOUBLE) END AS weight FROM orders)
+SELECT a, b, weight FROM e WHERE a IN (SELECT node FROM n) AND b IN (SELECT node FROM n) AND a <> b""")
+def graph_from_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _customer_nodes(spark, sf_dir).withColumnRenamed("node", "node_id")
+    key = F.col("o_orderkey")
+    edges = _table(spark, sf_dir, "orders").select((key % 40).cast("string").alias("source"), F.col("o_custkey").cast("string").alias("target"), F.when(key % 3 == 0, "heavy").otherwise((key % 9).cast("string")).alias("weight"))
+    return exports.graph_tables(nodes.unionByName(nodes), edges)[1]
+
+
+@_register("SELECT 'Part ' || p_partkey AS query, CAST(p_partkey AS VARCHAR) AS skill_id, 'exact_normalized' AS match_type FROM part WHERE p_partkey IN (3, 5, 8)")
+def resolve_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a query between commas that name a feature; one named twice counts once."""
+    catalog = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("skill_id"), F.concat(F.lit("part "), "p_partkey").alias("skill_text_normalized"), F.concat(F.lit("Part "), "p_partkey").alias("label"))
+    hits, _ = lookup.resolve_skills(cells.split_query("Part 3, Part 5;PART  5.,nothing\nPart 8,part 3"), catalog)
+    return hits.select("query", "skill_id", "match_type")
+
+
+@_register(f"""{_guard_sql("CASE WHEN degree < 2 THEN 'single' WHEN degree > 28 THEN 'degree' WHEN degree * (degree - 1) // 2 > 300 THEN 'pairs' ELSE 'used' END").replace("SELECT feature, degree, CAST(pairs", "SELECT CAST(COALESCE(SUM(degree) FILTER (WHERE verdict = 'degree'), 0) AS BIGINT) AS edges_skipped_by_degree, CAST(COALESCE(SUM(degree) FILTER (WHERE verdict = 'pairs'), 0) AS BIGINT) AS edges_skipped_by_pairs FROM j --")}""")
+def projection_skipped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = projection.guarded(_supplier_edges(spark, sf_dir), max_degree=28, max_pairs=300, max_total=0)
+    return projection.projection_stats(judged).select("edges_skipped_by_degree", "edges_skipped_by_pairs")
+
+
+# --- the whole graph ---------------------------------------------------------
+
+_ALL = "SELECT DISTINCT 'e' || l_orderkey AS a, 'f' || l_partkey AS b FROM lineitem"
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.concat(F.lit("e"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("b")).agg(F.max("l_quantity").alias("weight"))
+
+
+@_register(f"""WITH RECURSIVE e AS ({_ALL}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), s AS (SELECT MIN(a) AS s FROM e), r(node) AS (SELECT s FROM s UNION SELECT u.b FROM r JOIN u ON u.a = r.node), n AS (SELECT DISTINCT a AS node FROM u)
+SELECT (SELECT COUNT(*) FROM n) AS nodes, (SELECT COUNT(*) FROM r) AS in_first FROM s""")
+def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the graph of all lines: how many nodes, and how many in the component of the least one."""
+    members = stored(connected(_whole(spark, sf_dir)), "members")
+    return members.agg(F.count("*").alias("nodes"), F.count_if(F.col("component") == F.lit(members.agg(F.min("node")).first()[0])).alias("in_first"))
+
+
+@_register(f"""WITH e AS ({_ALL}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), s AS (SELECT MIN(a) AS n FROM e), h1 AS (SELECT DISTINCT b AS n FROM u JOIN s ON a = n), h2 AS (SELECT DISTINCT b AS n FROM u JOIN h1 ON a = n WHERE b NOT IN (SELECT n FROM s UNION SELECT n FROM h1))
+SELECT n AS node, 0 AS hop FROM s UNION ALL SELECT n, 1 FROM h1 UNION ALL SELECT n, 2 FROM h2""")
+def ego_network_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = stored(_whole(spark, sf_dir), "edges")
+    return graph.ego(edges, edges.agg(F.min("a")).first()[0], 2, 1_000_000).select("node", "hop")
+
+
+@_register("SELECT 'e' || l_orderkey AS a, 'f' || l_partkey AS b, MAX(l_quantity) AS weight FROM lineitem GROUP BY 1, 2 ORDER BY weight DESC, a, b LIMIT 500")
+def induced_subgraph_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = stored(_whole(spark, sf_dir), "edges")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return graph.induced(edges, nodes, 500)
+
+
 # --- quality, exports and summaries ---------------------------------------
 
 

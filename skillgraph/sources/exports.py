@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillgraph.operators import graph
+
 # The names of what a run writes.
 OUTPUTS: dict[str, str] = {
     "nodes": "nodes.csv",
@@ -57,6 +59,17 @@ def attribute(name: str, column: str = "attributes_json") -> Any:
     return F.get_json_object(F.col(column), f"$.{name}")
 
 
+def graph_tables(nodes: DataFrame, edges: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node, node_type, label) and (a, b, weight) of exported tables: of repeated nodes the first by ``order`` (without one, the least);
+    a weight that isn't a number is 1; edges to unknown nodes or to themselves are left out. ValueError names lacking columns."""
+    rows = require(nodes, ("node_id", "node_type", "label"))
+    kept = F.struct(*([order] if order else []), F.col("node_type").cast("string").alias("node_type"), F.col("label").cast("string").alias("label"))
+    known = rows.groupBy(F.col("node_id").cast("string").alias("node")).agg(F.min(kept).alias("_k")).select("node", "_k.node_type", "_k.label")
+    weight = F.col("weight").cast("string").try_cast("double")
+    links = require(edges, ("source", "target", "weight")).select(F.col("source").cast("string").alias("a"), F.col("target").cast("string").alias("b"), F.coalesce(F.when(~F.isnan(weight), weight), F.lit(1.0)).alias("weight"))
+    return known, graph.usable_edges(links, known).select("a", "b", "weight")
+
+
 def jobs_catalog(nodes: DataFrame) -> DataFrame:
     """job_id, job_title, company_name, district, assigned_occupation_group, job_title_norm, company_name_norm of the job nodes."""
     jobs = require(nodes, ("node_id", "node_type", "label", "attributes_json")).where("node_type = 'job'")

@@ -11,15 +11,32 @@ from pyspark.sql import types as T
 
 from skillgraph.config import ALIASES, MISSING_TOKENS, REQUIRED
 from skillgraph.functions.text import header_name, header_names
+from skillgraph.storage import stored
 
 _OVERFLOW = "_overflow_"
 _SNIFF_BYTES = 512_000
 
 
+def _head(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first bytes of a file, or of the first file of a folder or pattern, from any store."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((s for s in store.globStatus(place) or []), key=lambda s: s.getPath().toString())
+    if found and found[0].isDirectory():
+        found = sorted((s for s in store.listStatus(found[0].getPath()) if s.isFile() and not s.getPath().getName().startswith(("_", "."))), key=lambda s: s.getPath().toString())
+    if not found:
+        return b""
+    stream = store.open(found[0].getPath())
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(min(size, found[0].getLen()))))
+    finally:
+        stream.close()
+
+
 def sniff_encoding(spark: SparkSession, path: str, candidates: tuple[str, ...] = ("utf-8-sig", "utf-8", "latin-1")) -> str:
-    """The first candidate that decodes the file's beginning, else latin-1. Spark reads the bytes, from any store."""
-    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, _SNIFF_BYTES)).first()
-    data = bytes(head[0]) if head else b""
+    """The first candidate that decodes the file's beginning, else latin-1. Only the beginning is read."""
+    data = _head(spark, path, _SNIFF_BYTES)
     for name in candidates:
         try:
             codecs.getincrementaldecoder(name)().decode(data, final=len(data) < _SNIFF_BYTES)
@@ -29,14 +46,22 @@ def sniff_encoding(spark: SparkSession, path: str, candidates: tuple[str, ...] =
     return "latin-1"
 
 
+def _breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some quoted cell goes on over a line's end: then a line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """All columns as text, a header line, quoted line breaks; rows with too many cells are left out, short ones filled with NULL.
 
-    Cell texts that stand for a missing value are NULL. _row_ numbers the rows of the files in order, from 0.
+    Cell texts that stand for a missing value are NULL. _row_ numbers the rows of the files in order, from 0. A file is read in
+    parallel splits unless a quoted cell goes on over a line's end.
     """
     charset = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
-    reader = spark.read.option("encoding", charset).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
-    headers = [h.lstrip("﻿") for h in reader.option("header", True).option("inferSchema", False).csv(path).columns]
+    whole = charset not in ("UTF-8", "ISO-8859-1") or _breaks_lines(spark, path)
+    reader = spark.read.option("encoding", charset).option("multiLine", whole).option("escape", '"').option("mode", "PERMISSIVE")
+    headers = [h.lstrip("\ufeff") for h in reader.option("header", True).option("inferSchema", False).csv(path).columns]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*[f"c{i}" for i in range(len(headers))], _OVERFLOW]])
     # The extra column tells long rows from whole ones; the header itself is read as a row and dropped by position.
     raw = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path).where(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
@@ -45,17 +70,20 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFra
 
 
 def numbered(df: DataFrame, name: str = "_row_") -> DataFrame:
-    """Rows numbered from 0 in the order of their partitions: each partition's start is the sum of those before it."""
-    placed = df.withColumn("_id_", F.monotonically_increasing_id()).withColumn("_part_", F.spark_partition_id())
+    """Rows numbered from 0 in the order of their partitions: each partition's start is the sum of those before it.
+
+    They are written first, with their places, so that counting and numbering see the same partitions (a sort that runs again
+    may cut its ranges elsewhere).
+    """
+    inner = [f"c{i}" for i in range(len(df.columns))]  # Parquet takes any content, but not any name
+    placed = stored(df.toDF(*inner).withColumn("_id_", F.monotonically_increasing_id()).withColumn("_part_", F.spark_partition_id()), "numbered")
     sizes = placed.groupBy("_part_").agg(F.count("*").alias("n"), F.min("_id_").alias("least")).collect()  # a row for each partition
-    start, begin = {}, 0
+    starts, begin = [(-1, 0)], 0
     for r in sorted(sizes, key=lambda r: r["_part_"]):
-        start[r["_part_"]] = begin - r["least"]
+        starts.append((r["_part_"], begin - r["least"]))
         begin += r["n"]
-    if not start:
-        return placed.withColumn(name, F.col("_id_")).drop("_id_", "_part_")
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("_part_"))
-    return placed.withColumn(name, F.col("_id_") + offset).drop("_id_", "_part_")
+    offsets = df.sparkSession.createDataFrame(starts, "_part_ int, _start_ long")
+    return placed.join(F.broadcast(offsets), "_part_").select(*inner, (F.col("_id_") + F.col("_start_")).alias("_n_")).toDF(*df.columns, name)
 
 
 @dataclass(frozen=True)

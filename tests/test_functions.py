@@ -1,8 +1,9 @@
+import hashlib
 import pytest
 from pyspark.sql import functions as F
 
 from skillgraph.config import Options
-from skillgraph.functions import text
+from skillgraph.functions import cells, text
 from skillgraph.functions.cells import NO_ITEMS, NO_PARSE, parse_cells, split_query
 from skillgraph.sources.tabular import numbered
 
@@ -41,7 +42,7 @@ def test_headers():
 def test_clean_and_ids(spark):
     assert one(spark, " None ", text.clean) is None
     assert one(spark, "acme", lambda c: text.hashed_id("skill", c)).startswith("skill::")
-    assert one(spark, " ", lambda c: text.fallback_id(c, c, c, F.lit(3))) == "row_3"
+    assert one(spark, " ", lambda c: text.fallback_id(c, c, c, F.lit(3))) == "job_fallback::" + hashlib.sha1(b"row_3").hexdigest()[:20]
 
 
 def test_salary_band(spark):
@@ -84,3 +85,19 @@ def test_options():
     assert Options.for_profile("quick").betweenness_limit is None
     assert Options.for_profile("nonsense", top_k="7", threshold="x").top_k == 7
     assert Options.for_profile("full").max_total_pairs == 70_000_000
+
+
+def test_similarity_that_is_missing(spark):
+    assert one(spark, None, text.clip_similarity) is None
+    assert [one(spark, v, text.clip_similarity) for v in ("NaN", "-2", "0.25", "7", "x")] == [None, 0.0, 0.25, 1.0, None]
+
+
+def test_compact_json_drops_nan(spark):
+    df = spark.createDataFrame([("NaN", float("nan"), 1.5, None)], "s string, x double, y double, z string")
+    assert df.select(text.compact_json("s", "x", "y", "z")).first()[0] == '{"s":"NaN","y":1.5}'
+
+
+def test_flat_cells_agree_with_plain_reading(spark):
+    rows = ['[{"skill":"a","bucket":"b","mapping_similarity":0.5}]', '[{"skill":5.0,"bucket":true}]', '[{"skill":"","name":"n"},{"skill_name":" x "}]', '[{"skill":"a"}] tail', '[{"skill":"a]","mapping_similarity":"0.5"}]', '{"skill":"a"}', "[]", '[{"skill":"a",}]', '[{"skill":"a"}, 3]', '[{"skill":null,"name":"0"}]', '[{"skill":"a","mapping_similarity":NaN}]', '[{"skill":"a","tags":["x"]}]']
+    got = {r["skills"]: ([tuple(i) for i in r["items"]], r["reason"]) for r in cells.parse_cells(spark.createDataFrame([(r,) for r in rows], "skills string")).collect()}
+    assert got == {r: cells.parse_cell(r) for r in rows}

@@ -35,12 +35,12 @@ def result(spark, source):
 
 def test_counts(result):
     s = result.summary
-    assert (s["num_jobs"], s["num_skills"], s["num_edges"]) == (4, 3, 4)
+    assert (s["num_jobs"], s["num_skills"], s["num_edges"]) == (5, 3, 4)
     assert s["dedup_stats"] == {"duplicate_job_rows": 1, "duplicate_job_skill_edges": 2}
     assert s["parse_failure_count"] == 1
-    assert result.validation == {"missing_required_fields": [], "validation_error_counts": {"missing_job_title": 1}, "total_rows": 7, "valid_rows": 5}
-    assert s["density"] == round(4 / 12, 8)
-    assert (s["num_components"], s["largest_component_size"]) == (3, 4)
+    assert result.validation == {"missing_required_fields": [], "validation_error_counts": {"missing_job_title": 1}, "total_rows": 7, "valid_rows": 6}
+    assert s["density"] == round(4 / 15, 8)
+    assert (s["num_components"], s["largest_component_size"]) == (4, 4)
     assert result.quality["all_passed"]
 
 
@@ -69,7 +69,7 @@ def test_outputs_and_lookups(spark, result, tmp_path):
     pipeline.write(spark, result, str(tmp_path), sampled=True)
     assert sorted(os.listdir(tmp_path)) == sorted(f"sample_{n}" for n in exports.OUTPUTS.values())
     report = json.loads("".join(r[0] for r in spark.read.text(exports.output_path(str(tmp_path), "graph_summary", True)).collect()))
-    assert report["num_jobs"] == 4
+    assert report["num_jobs"] == 5
     read = lambda name, cols: exports.read_table(spark, exports.output_path(str(tmp_path), name, True), cols)
     nodes, edges = read("nodes", ("node_id", "node_type", "label", "attributes_json")), read("edges", ("source", "target", "weight", "attributes_json"))
     topk = read("job_similarity_topk", ("job_id", "neighbor_job_id", "similarity_score", "rank", "method")).withColumn("rank", tabular.F.col("rank").cast("int"))
