@@ -144,8 +144,10 @@ def char_grams(texts: list[str], n: int, bits: int) -> tuple[np.ndarray, np.ndar
     """Hashed character n-grams of lower-cased texts, one after another, and where each text's begin."""
     lengths = np.array([len(t) for t in texts], np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < n:
+        return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
     ends = np.cumsum(lengths)
-    h = np.full(max(0, len(codes) - n + 1), 0x9E3779B1 * n & 0xFFFFFFFF, np.uint32)
+    h = np.full(len(codes) - n + 1, 0x9E3779B1 * n & 0xFFFFFFFF, np.uint32)
     for k in range(n):
         h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(15)

@@ -2,11 +2,12 @@
 
 1. Over all labelled training rows Spark counts, for each hashed n-gram, the
    toxic and the other texts that have it.
-2. The ``n_features`` n-grams that are most surely more frequent in toxic texts
-   stay, each scaled by its log-count ratio.
-3. A logistic regression on those features (present or absent) is fitted on
-   a bounded sample, ``sample_rows`` labelled rows with the least hash of
-   their id; the bound keeps what comes to the driver small.
+2. Every n-gram whose share among toxic texts differs from that among the others by
+   ``surety`` standard errors or more, up or down, is a feature, scaled by its log-count
+   ratio. Their number follows from the texts; 2^bits, the size of the tables, bounds it.
+3. A logistic regression on those features (present or absent) is learned online on
+   a bounded sample, ``sample_rows`` labelled rows with the least hash of their id
+   and text; the bound keeps what comes to the driver small.
 
 Defined cases: a null text is an empty one and gets the model's bias; a null
 label or id teaches nothing; without rows of both classes every score is the
@@ -76,52 +77,56 @@ def _features(model: ToxicityModel, texts: list[str], marked: np.ndarray) -> Ite
         yield np.unique(np.concatenate([g[s[i] : s[i + 1]] for g, s in found]))
 
 
-def _logistic(rows: list[list[int]], labels: np.ndarray, scale: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression on sparse 0/1 rows times ``scale``; Adam on the whole batch."""
-    lengths = np.array([len(r) for r in rows])
-    row = np.repeat(np.arange(len(rows)), lengths)
-    column = np.concatenate([np.asarray(r, np.int64) for r in rows]) if lengths.sum() else np.empty(0, np.int64)
-    w = np.zeros(len(scale) + 1)
-    rate = np.clip(labels.mean(), 1e-4, 1 - 1e-4)
-    w[-1] = np.log(rate / (1 - rate))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        z = np.bincount(row, (scale * w[:-1])[column], len(rows)) + w[-1]
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
-        g = np.append(scale * np.bincount(column, error[row], len(scale)) / len(rows) + penalty * w[:-1], error.mean())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def fit(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", orders: tuple[int, ...] = (5, 6), bits: int = 20, n_features: int = 4096, sample_rows: int = 20_000, penalty: float = 3e-4, steps: int = 200) -> ToxicityModel:
+def _logistic(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rate: float, epochs: int) -> tuple[np.ndarray, float]:
+    """Weights of present features times their ratios, and the bias: stochastic gradients with a step for each weight (AdaGrad)."""
+    w, square = np.zeros(len(ratio)), np.full(len(ratio), 1e-2)
+    share = np.clip(labels.mean(), 1e-4, 1 - 1e-4)
+    bias, bias_square = float(np.log(share / (1 - share))), 1.0
+    draw = np.random.default_rng(0)
+    for _ in range(epochs):
+        for i in draw.permutation(len(rows)).tolist():
+            own = rows[i]
+            error = 1 / (1 + np.exp(-np.clip(w[own] @ ratio[own] + bias, -30, 30))) - labels[i]
+            g = error * ratio[own]
+            square[own] += g * g
+            w[own] -= rate * g / np.sqrt(square[own])
+            bias_square += error * error
+            bias -= rate * error / np.sqrt(bias_square)
+    return w, bias
+
+
+def fit(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", orders: tuple[int, ...] = (5, 6), bits: int = 20, surety: float = 4.0, sample_rows: int = 20_000, rate: float = 0.05, epochs: int = 4) -> ToxicityModel:
     """Learns from every row with an id and a label of 0 or 1; the regression from ``sample_rows`` of them at most."""
-    labelled = labelled.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    labelled = labelled.select(F.xxhash64(id_column, text).alias("h"), F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     sizes = dict(labelled.groupBy("toxic").count().collect())
     empty = ToxicityModel(orders, bits, np.zeros(1 << bits), 0.0)
     if not sizes.get(0) or not sizes.get(1):
-        rate = np.clip(sizes.get(1, 0) / max(1, sum(sizes.values())), 1e-9, 1 - 1e-9)
-        return ToxicityModel(orders, bits, empty.weights, float(np.log(rate / (1 - rate))))
+        share = np.clip(sizes.get(1, 0) / max(1, sum(sizes.values())), 1e-9, 1 - 1e-9)
+        return ToxicityModel(orders, bits, empty.weights, float(np.log(share / (1 - share))))
     schema = T.StructType().add("bucket", T.IntegerType()).add("toxic", T.LongType()).add("other", T.LongType())
     counts = labelled.select("text", "toxic").mapInArrow(_counter(orders, bits), schema).groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    p, q = ((F.col(k) + 0.5) / (sizes[c] + 1) for k, c in (("toxic", 1), ("other", 0)))
-    surety = (F.col("p") - F.col("q")) / F.sqrt(F.col("p") * F.greatest(1 - F.col("p"), F.lit(1e-9)) / sizes[1] + F.col("q") * F.greatest(1 - F.col("q"), F.lit(1e-9)) / sizes[0])
-    best = counts.select("bucket", p.alias("p"), q.alias("q")).orderBy(F.desc(surety), "bucket").limit(n_features).collect()
+    rows = sizes[0] + sizes[1]
+    both = (F.col("toxic") + F.col("other") + 1) / (rows + 2)
+    apart = (F.col("toxic") + 0.5) / (sizes[1] + 1) - (F.col("other") + 0.5) / (sizes[0] + 1)
+    sure = F.abs(apart) >= surety * F.sqrt(both * (1 - both) * (1 / sizes[1] + 1 / sizes[0]))
+    best = counts.where(sure).orderBy("bucket").collect()
     buckets = np.array([r["bucket"] for r in best], np.int64)
-    ratio = np.log([r["p"] / r["q"] for r in best])
+    # One text's worth of both classes, by their shares, is added to each count.
+    ratio = np.array([np.log((r["toxic"] + sizes[1] / rows) / (sizes[1] + 1)) - np.log((r["other"] + sizes[0] / rows) / (sizes[0] + 1)) for r in best])
     marked = np.zeros(1 << bits, bool)
     marked[buckets] = True
     shared = labelled.sparkSession.sparkContext.broadcast(marked)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [f.tolist() for _, _, data, offsets in text_slices(batch.column("text")) for f in _features(empty, decoded(data, offsets), shared.value)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "features"])
-
-    cut = labelled.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    sample = labelled.where(F.xxhash64("doc_id") <= cut).select("text", "toxic").mapInArrow(extract, T.StructType().add("toxic", T.IntegerType()).add("features", T.ArrayType(T.IntegerType()))).limit(2 * sample_rows).collect()
-    place = {int(b): i for i, b in enumerate(buckets)}
-    w, bias = _logistic([[place[b] for b in r["features"]] for r in sample], np.array([r["toxic"] for r in sample], float), ratio, penalty, steps)
+            found = [f.astype("<i4").tobytes() for _, _, data, offsets in text_slices(batch.column("text")) for f in _features(empty, decoded(data, offsets), shared.value)]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("toxic"), pa.array(found, pa.binary())], ["h", "toxic", "features"])
+
+    cut = labelled.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    sample = labelled.where(F.col("h") <= cut).select("h", "text", "toxic").mapInArrow(extract, "h long, toxic int, features binary").limit(2 * sample_rows).collect()
+    sample = sorted(sample, key=lambda r: (r["h"], r["toxic"]))[:sample_rows]
+    learned = [np.searchsorted(buckets, np.frombuffer(r["features"], "<i4")) for r in sample]
+    w, bias = _logistic(learned, np.array([r["toxic"] for r in sample], float), ratio, rate, epochs)
     weights = np.zeros(1 << bits)
     weights[buckets] = w * ratio
     return ToxicityModel(orders, bits, weights, bias)
