@@ -83,13 +83,15 @@ def _hash_of(words: list[bytes]) -> np.ndarray:
     return word_hashes(np.frombuffer(b"".join(words), np.uint8), ends - lengths, ends)
 
 
-def build_vocabulary(words: list[bytes], counts: list[int], rest: int) -> Vocabulary:
-    """Codes of the words and of the escape, which stands for ``rest`` tokens and one more.
+def build_vocabulary(words: list[bytes], counts: list[int], rest: int, hashes: np.ndarray | None = None) -> Vocabulary:
+    """Codes of the words and of the escape, which stands for ``rest`` tokens and one more. Of long words the beginnings will do, with ``hashes`` of the whole.
 
     Words in alphabetical order are halved by weight again and again, so codes are about as long as Huffman's and words of
     like spelling, and so of one language, lie under one node, where contexts can tell them from the rest.
     """
-    order = sorted(range(len(words)), key=lambda i: words[i])
+    if hashes is None:
+        hashes = _hash_of(words) if words else np.empty(0, np.uint64)
+    order = sorted(range(len(words)), key=lambda i: (words[i], hashes[i]))
     symbol = np.array([0, *(i + 1 for i in order)])
     ends = np.concatenate([[0.0], np.cumsum([rest + 1.0, *(counts[i] for i in order)])])
     n = len(symbol)
@@ -111,7 +113,7 @@ def build_vocabulary(words: list[bytes], counts: list[int], rest: int) -> Vocabu
     nodes, bits = [x for p, _ in paths for x in p], [x for _, t in paths for x in t]
     size = 1 << max(4, (4 * n).bit_length())
     keys, symbols, longest = np.zeros(size, np.uint64), np.zeros(size, np.int32), 0
-    for s, h in enumerate(_hash_of(words).tolist() if words else [], 1):
+    for s, h in enumerate(hashes.tolist(), 1):
         at, steps = h & (size - 1), 0
         while symbols[at]:
             at, steps = (at + 1) & (size - 1), steps + 1
@@ -178,10 +180,10 @@ def _bits(vocabulary: Vocabulary, symbol: np.ndarray, contexts: list[np.ndarray]
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): how often each word of some texts occurs in those of them that teach, 0 for one that doesn't."""
+    """(word, h, n): each word of some texts, its hash, and how often it occurs in those of them that teach, 0 for one that doesn't."""
 
     def rows() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(_hash_of(list(held)).view(np.int64) if held else [], pa.int64()), pa.array(list(held.values()), pa.int64())], ["word", "h", "n"])
         held.clear()
         return made
 
@@ -332,17 +334,17 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", diviso
     fold = remainder(id_column, divisor)
     learns = (held_out + 1) % divisor
     source = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.when(fold == held_out, 2).when(fold == learns, 1).otherwise(0).alias("part"))
-    words = stored(source.select("text", "part").mapInArrow(_word_rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = stored(source.select("text", "part").mapInArrow(_word_rows, "word binary, h long, n long").groupBy("word").agg(F.min("h").alias("h"), F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    head = words.where("n > 0 and octet_length(word) <= 64").orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    head = words.where("n > 0").select("n", "h", F.substring("word", 1, 64).alias("start")).orderBy(F.desc("n"), "h").limit(vocabulary).collect()
     coded = sum(r["n"] for r in head)
-    built = build_vocabulary([bytes(r["word"]) for r in head], [r["n"] for r in head], total - coded)
-    floor = (head[-1]["n"], bytes(head[-1]["word"])) if len(head) == vocabulary else None
+    built = build_vocabulary([bytes(r["start"]) for r in head], [r["n"] for r in head], total - coded, np.array([r["h"] for r in head], np.int64).view(np.uint64))
+    floor = (head[-1]["n"], head[-1]["h"]) if len(head) == vocabulary else None
     del head
     known = spark.sparkContext.broadcast(built)
     training = source.where("part < 2").select("text", "part")
     mixer = trained(training, _text_streams(known, (0, 1)), training.where("part = 1"), _text_streams(known, (1,)), 3, TABLE_BITS)
-    others = words.where("octet_length(word) > 64 or n = 0") if floor is None else words.where((F.octet_length("word") > 64) | (F.col("n") < floor[0]) | ((F.col("n") == floor[0]) & (F.col("word") > F.lit(floor[1]))))
+    others = words.where("n = 0") if floor is None else words.where((F.col("n") < floor[0]) | ((F.col("n") == floor[0]) & (F.col("h") > floor[1])))
     if built.end:
         others = others.where(F.octet_length("word") > 0)
     learnt = words.where("n > 0 and octet_length(word) > 0").withColumn("part", (F.pmod(F.xxhash64("word"), F.lit(7)) == 0).cast("int"))

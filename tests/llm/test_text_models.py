@@ -44,7 +44,7 @@ def test_toxicity(spark):
 
 @pytest.mark.parametrize("vocabulary", [1 << 17, 20])
 def test_lm_scoring(spark, vocabulary):
-    rows = with_odd_rows([(i, prose(i, 80, 50)) for i in range(60)]) + [(5, prose(5, 80, 50)), (950, "w" * 300 + " " + prose(3, 10))]
+    rows = with_odd_rows([(i, prose(i, 80, 50)) for i in range(60)]) + [(5, prose(5, 80, 50)), (950, "w" * 300 + " " + prose(3, 10)), *[(960 + i, "v" * 200 + " " + "v" * 201) for i in range(9)]]
     got = lm_scoring.score(documents(spark, rows), vocabulary=vocabulary).collect()
     tokens = {i: [*spaced_words(lowered(t)), None] for i, t in rows}
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
@@ -72,3 +72,11 @@ def test_every_bit_of_a_code_has_contexts():
     bits, starts = lm_scoring._bits(built, symbol, [symbol.astype(np.uint32)])
     codes = {bytes(bits.bit[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)}
     assert len(codes) == len(symbol) and len(bits.contexts[0]) == len(bits.node) and bits.depth.max() < bitmix.DEPTHS
+
+
+def test_long_words_have_codes_of_their_own():
+    words = [b"x" * 64, b"x" * 64, b"y"]
+    built = lm_scoring.build_vocabulary(words, [5, 3, 1], 2, np.array([11, 7, 9], np.uint64))
+    assert built.find(np.array([11, 7, 9, 8], np.uint64)).tolist() == [1, 2, 3, 0]
+    codes = [built.code_bit[a:b].tolist() for a, b in zip(built.code_start[:-1], built.code_start[1:], strict=True)]
+    assert len({tuple(c) for c in codes}) == 4
