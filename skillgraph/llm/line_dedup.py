@@ -8,7 +8,7 @@
 3. ``bands`` bands of ``rows`` values retrieve candidates: of two lines of Jaccard
    similarity 0.8 the eight bands of three miss 3 in 1000, of more similar ones fewer.
    Lines of a small bucket all meet. Lines of a bucket of more than ``small``
-   distinct lines first meet its
+   distinct lines first meet two each of its
    leaders, the least lines under ``leaders`` hash functions of its own; then all
    pairs of the bucket that no links connect yet meet in tiles, where sizes and
    sketches leave out pairs that are certainly too unlike. So the size of a bucket
@@ -94,10 +94,11 @@ def signatures(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFra
 
 
 def _star_pairs(many: DataFrame, leaders: int, salt: int) -> DataFrame:
-    """Pairs (a, b) of the lines of buckets (key, h) with their bucket's leaders."""
+    """Pairs (a, b): each line of buckets (key, h) with two of its bucket's leaders, in every bucket it is in."""
     chosen = [F.min(F.struct(F.xxhash64("h", "key", F.lit(salt * leaders + i)).alias("r"), F.col("h").alias("h"))).getField("h") for i in range(leaders)]
     led = many.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
-    return many.join(led, "key").select("h", F.explode("leaders").alias("leader")).where("h <> leader").select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b"))
+    own = [F.get("leaders", F.pmod(F.xxhash64("key", "h", F.lit(salt)) + i, F.size("leaders")).cast("int")) for i in range(2)]
+    return many.join(led, "key").select("h", F.explode(F.array(*own)).alias("leader")).where("h <> leader").select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b"))
 
 
 def banded(signed: DataFrame) -> DataFrame:
