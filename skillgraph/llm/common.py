@@ -171,3 +171,22 @@ def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, starts[full], axis=0)
     return out
+
+
+def in_tiles(rows: DataFrame, keys: list[str], by: str, tile: int, broadcast_rows: int = 500_000) -> DataFrame:
+    """``rows`` with columns i, j and own, in groups by ``keys``, i and j that hold about two times ``tile`` rows at most.
+
+    A group of ``keys`` with up to ``tile`` rows stays as it is (0, 0, 0). A larger one is cut into tiles by a hash of
+    ``by``, and a row is there once for each pair i <= j of tiles with its own. Where i = j all rows are to meet, else those
+    of tile i with those of tile j: so every two rows of a group meet once, and no task gathers a group.
+    """
+    large = stored(rows.groupBy(*keys).agg(F.count("*").alias("_n_")).where(F.col("_n_") > tile).withColumn("_n_", F.ceil(F.col("_n_") / tile).cast("int")), "large")
+    none = F.lit(0)
+    n = large.count()
+    if not n:
+        return rows.select("*", none.alias("i"), none.alias("j"), none.alias("own"))
+    found = F.broadcast(large) if n <= broadcast_rows else large
+    few = rows.join(found.drop("_n_"), keys, "left_anti").select(*rows.columns, none.alias("i"), none.alias("j"), none.alias("own"))
+    many = rows.join(found, keys).withColumn("own", F.pmod(F.xxhash64(by), F.col("_n_")).cast("int"))
+    many = many.withColumn("_other_", F.explode(F.sequence(none, F.col("_n_") - 1)))
+    return few.unionByName(many.select(*rows.columns, F.least("own", "_other_").alias("i"), F.greatest("own", "_other_").alias("j"), "own"))

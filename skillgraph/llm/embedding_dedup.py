@@ -10,8 +10,8 @@
 3. Vectors meet by (label, filter). Pairs are verified in double precision.
    A pair that meets in several filters counts in the least common one, so
    links are counted, not listed; a spanning forest of a filter's links is passed on.
-   A filter with more than ``tile`` vectors is cut into pairs of tiles that are
-   dealt out anew.
+   Filters are counted first; one of more than ``tile`` vectors is cut into pairs
+   of tiles before it is dealt out, so that no task gathers it.
 
 Defined cases: a null id, label or vector, a zero vector and one with null or
 non-finite components link with nothing and stay; vectors of different lengths
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillgraph.llm.common import stored
+from skillgraph.llm.common import in_tiles, stored
 from skillgraph.llm.components import components
 from skillgraph.llm.simhash import forest
 
@@ -68,17 +68,6 @@ def decode(unit: np.ndarray, book: tuple[np.ndarray, np.ndarray], threshold: flo
     return out
 
 
-def _packed(ids: np.ndarray, counts: np.ndarray, filters: np.ndarray, vectors: np.ndarray) -> bytes:
-    return np.array([len(ids), filters.shape[1], vectors.shape[1]], np.int64).tobytes() + ids.tobytes() + counts.tobytes() + filters.tobytes() + vectors.tobytes()
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, w, d = np.frombuffer(blob, np.int64, 3).tolist()
-    ids, counts = np.frombuffer(blob, np.int64, n, 24), np.frombuffer(blob, np.int64, n, 24 + 8 * n)
-    filters = np.frombuffer(blob, np.int64, n * w, 24 + 16 * n).reshape(n, w)
-    return ids, counts, filters, np.frombuffer(blob, np.float64, n * d, 24 + 16 * n + 8 * n * w).reshape(n, d)
-
-
 def _linked(own: int, left: tuple, right: tuple | None, least: float) -> pa.RecordBatch | None:
     """Rows (a, b, n): edges of a spanning forest where b is given, else n more links of a."""
     ids, counts, filters, vectors = left
@@ -107,8 +96,7 @@ def _linked(own: int, left: tuple, right: tuple | None, least: float) -> pa.Reco
     a, b = forest(a, b)
     n, n2 = np.flatnonzero(links), np.flatnonzero(links2)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([a, ids[n], ids2[n2]])), pa.array([*b.tolist(), *[None] * (len(n) + len(n2))], pa.int64()), pa.array(np.concatenate([np.zeros(len(a), np.int64), links[n], links2[n2]])), pa.nulls(len(a) + len(n) + len(n2), pa.int64()), *[pa.nulls(len(a) + len(n) + len(n2), pa.binary())] * 2],
-        ["a", "b", "n", "own", "left", "right"],
+        [pa.array(np.concatenate([a, ids[n], ids2[n2]])), pa.array([*b.tolist(), *[None] * (len(n) + len(n2))], pa.int64()), pa.array(np.concatenate([np.zeros(len(a), np.int64), links[n], links2[n2]]))], ["a", "b", "n"]
     )
 
 
@@ -129,38 +117,33 @@ def _filter_rows(book_size: int, least_lists: float):
                     unit = raw / np.abs(raw).max(axis=1, keepdims=True)
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                     lists = decode(unit, book, threshold)
-                    lengths = [len(x) for x in lists]
-                    again = pa.array(np.repeat(some, lengths))
+                    own = pa.array(some)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("label").take(again), pa.array(np.repeat(width[some], lengths), pa.int32()), pa.array(np.concatenate(lists)), batch.column("least").take(again), batch.column("copies").take(again), pa.array([x for x in lists for _ in range(len(x))], pa.list_(pa.int64())), pa.array([x.tobytes() for x in unit], pa.binary()).take(pa.array(np.repeat(np.arange(len(some)), lengths)))],
-                        ["label", "width", "filter", "id", "copies", "filters", "vector"],
+                        [batch.column("label").take(own), pa.array(width[some], pa.int32()), batch.column("least").take(own), batch.column("copies").take(own), pa.array([x.tolist() for x in lists], pa.list_(pa.int64())), pa.array([x.tobytes() for x in unit], pa.binary())],
+                        ["label", "width", "id", "copies", "filters", "vector"],
                     )
 
     return run
 
 
-def _groups(least: float, tile: int):
-    """Reads rows ordered by (label, width, filter)."""
+def _groups(least: float):
+    """Reads rows ordered by (label, width, filter, i, j)."""
+    keys = ("label", "width", "filter", "i", "j")
 
     def group_work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        own = rows.column("filter")[0].as_py()
+        filter_, first, second = (rows.column(c)[0].as_py() for c in ("filter", "i", "j"))
         lists = rows.column("filters").to_pylist()
         filters = np.full((len(lists), max(map(len, lists))), -1, np.int64)
         for i, x in enumerate(lists):
             filters[i, : len(x)] = x
         vectors = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float64).reshape(len(lists), -1)
-        ids, copies = rows.column("id").to_numpy(), rows.column("copies").to_numpy()
-        if len(ids) <= tile:
-            found = _linked(own, (ids, copies, filters, vectors), None, least)
+        all_ = (rows.column("id").to_numpy(), rows.column("copies").to_numpy(), filters, vectors)
+        own = rows.column("own").to_numpy()
+        left, right = (all_, None) if first == second else (tuple(x[own == t] for x in all_) for t in (first, second))
+        if len(left[0]) and (right is None or len(right[0])):
+            found = _linked(filter_, left, right, least)
             if found is not None:
                 yield found
-            return
-        tiles = [_packed(*(x[s : s + tile] for x in (ids, copies, filters, vectors))) for s in range(0, len(ids), tile)]
-        for i, left in enumerate(tiles):
-            n = len(tiles) - i
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.nulls(n, pa.int64())] * 3, pa.array([own] * n, pa.int64()), pa.array([left] * n, pa.binary()), pa.array([None if i == j else tiles[j] for j in range(i, len(tiles))], pa.binary())], ["a", "b", "n", "own", "left", "right"]
-            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -169,7 +152,7 @@ def _groups(least: float, tile: int):
             if not n:
                 continue
             new = np.zeros(n, bool)
-            for name in ("label", "width", "filter"):
+            for name in keys:
                 c = batch.column(name)
                 new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
                 if held:
@@ -188,21 +171,6 @@ def _groups(least: float, tile: int):
     return run
 
 
-def _tiles(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = batch.filter(batch.column("a").is_valid())
-            if done.num_rows:
-                yield done.select(["a", "b", "n"])
-            rest = batch.filter(batch.column("left").is_valid())
-            for own, left, right in zip(*(rest.column(c).to_pylist() for c in ("own", "left", "right")), strict=True):
-                found = _linked(own, _unpacked(left), None if right is None else _unpacked(right), least)
-                if found is not None:
-                    yield found.select(["a", "b", "n"])
-
-    return run
-
-
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, lists: float = 12.0, tile: int = 1024) -> DataFrame:
     """id, n_links, component_id, kept for every row; links: cosine >= ``least`` in one label. Ids are integers."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("embedding"), F.col(label).alias("label"))
@@ -212,11 +180,13 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     distinct = stored(marked.where("usable").groupBy("label", "embedding").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "vectors")
     size = max(2, distinct.count())
     words = int(np.ceil(np.sqrt(size * lists / 6))) + 32
-    schema = T.StructType().add("label", rows.schema["label"].dataType).add("width", T.IntegerType()).add("filter", T.LongType()).add("id", T.LongType()).add("copies", T.LongType()).add("filters", T.ArrayType(T.LongType())).add("vector", T.BinaryType())
+    schema = T.StructType().add("label", rows.schema["label"].dataType).add("width", T.IntegerType()).add("id", T.LongType()).add("copies", T.LongType()).add("filters", T.ArrayType(T.LongType())).add("vector", T.BinaryType())
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = distinct.repartition(partitions, "least").mapInArrow(_filter_rows(words, lists), schema).repartition(partitions, "label", "width", "filter").sortWithinPartitions("label", "width", "filter", "id")
-    work = met.mapInArrow(_groups(least, tile), "a long, b long, n long, own long, left binary, right binary")
-    found = stored(work.repartition(partitions).mapInArrow(_tiles(least), "a long, b long, n long"), "links")
+    decoded = stored(distinct.repartition(partitions, "least").mapInArrow(_filter_rows(words, lists), schema), "decoded")
+    met = in_tiles(decoded.select("*", F.explode("filters").alias("filter")), ["label", "width", "filter"], "id", tile)
+    group = ["label", "width", "filter", "i", "j"]
+    dealt = met.repartition(partitions, *group).sortWithinPartitions(*group, "id")
+    found = stored(dealt.mapInArrow(_groups(least), "a long, b long, n long"), "links")
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "least")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "least")
     known = distinct.join(counts, "least", "left").join(roots, "least", "left").select("label", "embedding", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "least").alias("component_id"))

@@ -12,8 +12,8 @@
    of fingerprints, so that cells stay small at any size.
 4. Within a cell, pairs under the lower bound are verified exactly, and a
    spanning forest of the links is passed on; the links' components are those
-   of all links. A cell of more than ``tile`` fingerprints is cut into pairs of
-   tiles that are dealt out anew, so that none is one task's work.
+   of all links. Cells are counted first; one of more than ``tile`` fingerprints
+   is cut into pairs of tiles before it is dealt out, so that no task gathers it.
 
 Defined cases: a text without words has fingerprint zero and links like any
 other; null is empty; repeated rows each have a row; a null id can't be a
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillgraph.llm.common import lower_bytes, row_keys, stored, text_slices
+from skillgraph.llm.common import in_tiles, lower_bytes, row_keys, stored, text_slices
 from skillgraph.llm.components import components
 
 SEED = 42
@@ -137,70 +137,41 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-_WORK = T.StructType().add("a", T.LongType()).add("b", T.LongType()).add("left", T.BinaryType()).add("right", T.BinaryType())
+def _groups(radius: int):
+    """Reads rows (part, cell, i, j, own, fp) ordered by all but the last: edges of a forest of each group's links."""
 
-
-def _work(edges: tuple[np.ndarray, np.ndarray] | None, tiles: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    a, b = edges if edges is not None else (np.empty(0, np.uint64),) * 2
-    none = [None] * len(tiles)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([*a.view(np.int64).tolist(), *none], pa.int64()), pa.array([*b.view(np.int64).tolist(), *none], pa.int64()), pa.array([*[None] * len(a), *(x for x, _ in tiles)], pa.binary()), pa.array([*[None] * len(a), *(y for _, y in tiles)], pa.binary())],
-        ["a", "b", "left", "right"],
-    )
-
-
-def _cells(radius: int, tile: int):
-    """Reads (cell, fp) rows ordered by cell: links of small cells, and pairs of tiles of large ones."""
-
-    def cell_work(group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(group) <= tile:
-            a, b = _links(group, None, radius)
-            if len(a):
-                yield _work(forest(a, b), [])
+    def joined(first: int, second: int, group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own, fp = (np.concatenate(x) for x in zip(*group, strict=True))
+        left, right = (fp, None) if first == second else (fp[own == first], fp[own == second])
+        if not len(left) or (right is not None and not len(right)):
             return
-        tiles = [group[s : s + tile].tobytes() for s in range(0, len(group), tile)]
-        for i, left in enumerate(tiles):
-            yield _work(None, [(left, b"" if i == j else tiles[j]) for j in range(i, len(tiles))])
+        a, b = _links(left, right, radius)
+        if len(a):
+            x, y = forest(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: object = None
-        held: list[np.ndarray] = []
+        last: tuple | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, cell, fp = (batch.column(i).to_numpy() for i in range(3))
+            *keys, own, fp = (batch.column(i).to_numpy() for i in range(6))
             fp = fp.view(np.uint64)
-            cuts = np.flatnonzero((part[1:] != part[:-1]) | (cell[1:] != cell[:-1])) + 1
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             bounds = [0, *cuts.tolist(), len(fp)]
             sizes = np.diff(bounds)
             for k in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)).tolist():
-                key = (part[bounds[k]], cell[bounds[k]])
+                a, b = bounds[k], bounds[k + 1]
+                key = tuple(x[a] for x in keys)
                 if key != last and held:
-                    if sum(map(len, held)) > 1:
-                        yield from cell_work(np.concatenate(held))
+                    if sum(len(x) for x, _ in held) > 1:
+                        yield from joined(last[2], last[3], held)
                     held = []
                 last = key
-                held.append(fp[bounds[k] : bounds[k + 1]].copy())
-        if sum(map(len, held)) > 1:
-            yield from cell_work(np.concatenate(held))
-
-    return run
-
-
-def _tiles(radius: int):
-    """Passes links on and does the pairs of tiles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = batch.filter(batch.column("a").is_valid())
-            if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(0), done.column(1)], ["a", "b"])
-            rest = batch.filter(batch.column("left").is_valid())
-            for left, right in zip(rest.column("left").to_pylist(), rest.column("right").to_pylist(), strict=True):
-                a, b = _links(np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64) if right else None, radius)
-                if len(a):
-                    x, y = forest(a, b)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+                held.append((own[a:b].copy(), fp[a:b].copy()))
+        if sum(len(x) for x, _ in held) > 1:
+            yield from joined(last[2], last[3], held)
 
     return run
 
@@ -215,9 +186,9 @@ def links(distinct: DataFrame, radius: int = 4, keep: int | None = None, tile: i
     embedded = distinct.select("fp", _popcount_column().alias("counts"))
     cells = embedded.select("fp", F.posexplode(F.array(*[F.col("counts").bitwiseAND(F.lit(m)) for m in signed])).alias("part", "cell")).select(F.col("part").cast("int").alias("part"), "cell", "fp")
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.repartition(partitions, "part", "cell").sortWithinPartitions("part", "cell", "fp")
-    work = dealt.mapInArrow(_cells(radius, tile), _WORK)
-    return work.repartition(partitions).mapInArrow(_tiles(radius), "a long, b long").distinct()
+    group = ["part", "cell", "i", "j"]
+    dealt = in_tiles(cells, ["part", "cell"], "fp", tile).repartition(partitions, *group).sortWithinPartitions(*group, "own", "fp")
+    return dealt.select(*group, "own", "fp").mapInArrow(_groups(radius), "a long, b long").distinct()
 
 
 def _popcount_column():
