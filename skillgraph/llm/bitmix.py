@@ -147,16 +147,20 @@ def start_weights(predictors: int) -> np.ndarray:
 
 
 def learn_rows(shared, streams, predictors: int, step: int = 1 << 15):
-    """For mapInArrow: weights learned online over a task's bits, and what its adaptive map has counted."""
+    """For mapInArrow: weights learned online over a task's bits, and what its adaptive map has counted.
+
+    ``shared`` holds the tables that predict each of two parts, made without the part's own counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Mixer(shared.value, start_weights(predictors), np.empty(0))
-        weights, square = model.weights.astype(np.float64), np.full(model.weights.shape, 1e-3)
+        start = start_weights(predictors)
+        models = [Mixer(tables, start, np.empty(0)) for tables in shared.value]
+        weights, square = start.astype(np.float64), np.full(start.shape, 1e-3)
         seen = np.zeros((DEPTHS, _CELLS, 2))
         used = np.zeros(GATES)
         for batch in batches:
-            for _, run_of in streams(batch):
-                x_all, gate_all = inputs(model, run_of)
+            for part, run_of in streams(batch):
+                x_all, gate_all = inputs(models[part], run_of)
                 for a in range(0, len(run_of.node), step):
                     x, gate, bit = x_all[:, a : a + step], gate_all[a : a + step], run_of.bit[a : a + step]
                     z = mixed_logit(weights, x, gate)
@@ -175,9 +179,9 @@ def learn_rows(shared, streams, predictors: int, step: int = 1 << 15):
     return run
 
 
-def learned(df: DataFrame, tables: tuple[tuple[np.ndarray, np.ndarray], ...], streams) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and adaptive map: each task learns online, and weights are averaged by the bits that each gate saw."""
-    predictors = len(tables)
+def learned(df: DataFrame, tables: tuple[tuple[tuple[np.ndarray, np.ndarray], ...], ...], streams) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and adaptive map: each task learns online, and weights are averaged by the bits that each gate saw. ``tables`` predict part 0 and part 1."""
+    predictors = len(tables[0])
     shared = df.sparkSession.sparkContext.broadcast(tables)
     rows = df.mapInArrow(learn_rows(shared, streams, predictors), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     weights, refined = start_weights(predictors).astype(np.float64), np.tile(np.linspace(-12, 12, _CELLS), (DEPTHS, 1))
@@ -195,8 +199,8 @@ def learned(df: DataFrame, tables: tuple[tuple[np.ndarray, np.ndarray], ...], st
     return weights.astype(np.float32), refined.astype(np.float32)
 
 
-def trained(df: DataFrame, streams, learn: DataFrame, learn_streams, predictors: int, bits: int) -> Mixer:
-    """Counts of all of ``df``; weights from the rows of ``learn`` (its part 1), predicted without their own counts."""
+def trained(df: DataFrame, streams, predictors: int, bits: int) -> Mixer:
+    """Counts and weights from all of ``df``; while weights are learned, each of two parts is predicted by the other's counts."""
     counts = counted(df, streams, predictors, bits)
-    weights, refined = learned(learn, quantised(counts[0]), learn_streams)
+    weights, refined = learned(df, (quantised(counts[1]), quantised(counts[0])), streams)
     return Mixer(quantised(counts.sum(axis=0)), weights, refined)

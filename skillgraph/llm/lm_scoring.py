@@ -10,9 +10,9 @@ bits, and each bit is predicted by mixed context predictors (see ``bitmix``):
   last two, three and four bytes; or, at half the weight, its own frequency.
 
 Counts of words, of all contexts and of spellings cover all training texts.
-Mixing weights and the refining map are learned online on every seventh training
-text (and word), predicted from the others' counts. While a text is scored, its
-own weights go on adapting, from one run of ``RUN`` tokens to the next.
+Mixing weights and the refining map are learned online on all training texts (and
+words), each half of them predicted from the other half's counts. While a text is
+scored, its own weights go on adapting, from one run of ``RUN`` tokens to the next.
 
 The vocabulary and the tables have fixed sizes and are broadcast; rare words are
 counted and spelled once each, and meet their texts in a join.
@@ -208,11 +208,11 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _text_streams(shared, parts: tuple[int, ...]):
+def _text_streams(shared):
     def streams(batch: pa.RecordBatch) -> Iterator[tuple[int, Bits]]:
         vocabulary: Vocabulary = shared.value
         part = batch.column("part").to_numpy()
-        for p in parts:
+        for p in (0, 1):
             for _, _, data, offsets in text_slices(batch.column("text").filter(pa.array(part == p)), COUNTED):
                 t = _tokens(vocabulary, data, offsets)
                 yield p, _bits(vocabulary, t.symbol, _contexts(t))[0]
@@ -241,9 +241,9 @@ def _spelled(words: list[bytes]) -> tuple[Bits, np.ndarray]:
     return Bits(node, (each >> shift & 1).astype(np.uint8), depth, contexts, np.zeros(len(each), np.float32)), first * 8
 
 
-def _word_streams(batch: pa.RecordBatch, parts: tuple[int, ...] = (0, 1)) -> Iterator[tuple[int, Bits]]:
+def _word_streams(batch: pa.RecordBatch) -> Iterator[tuple[int, Bits]]:
     words, part = batch.column("word"), batch.column("part").to_numpy()
-    for p in parts:
+    for p in (0, 1):
         some = words.filter(pa.array(part == p)).to_pylist()
         for a in range(0, len(some), 1 << 13):
             yield p, _spelled(some[a : a + (1 << 13)])[0]
@@ -332,8 +332,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", diviso
     """
     spark = docs.sparkSession
     fold = remainder(id_column, divisor)
-    learns = (held_out + 1) % divisor
-    source = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.when(fold == held_out, 2).when(fold == learns, 1).otherwise(0).alias("part"))
+    source = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.when(fold == held_out, 2).otherwise((fold - held_out + divisor) % divisor % 2).cast("int").alias("part"))
     words = stored(source.select("text", "part").mapInArrow(_word_rows, "word binary, h long, n long").groupBy("word").agg(F.min("h").alias("h"), F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     head = words.where("n > 0").select("n", "h", F.substring("word", 1, 64).alias("start")).orderBy(F.desc("n"), "h").limit(vocabulary).collect()
@@ -343,12 +342,12 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", diviso
     del head
     known = spark.sparkContext.broadcast(built)
     training = source.where("part < 2").select("text", "part")
-    mixer = trained(training, _text_streams(known, (0, 1)), training.where("part = 1"), _text_streams(known, (1,)), 3, TABLE_BITS)
+    mixer = trained(training, _text_streams(known), 3, TABLE_BITS)
     others = words.where("n = 0") if floor is None else words.where((F.col("n") < floor[0]) | ((F.col("n") == floor[0]) & (F.col("h") > floor[1])))
     if built.end:
         others = others.where(F.octet_length("word") > 0)
-    learnt = words.where("n > 0 and octet_length(word) > 0").withColumn("part", (F.pmod(F.xxhash64("word"), F.lit(7)) == 0).cast("int"))
-    spelling = trained(learnt, _word_streams, learnt.where("part = 1"), lambda batch: _word_streams(batch, (1,)), 3, SPELL_BITS)
+    learnt = words.where("n > 0 and octet_length(word) > 0").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(2)).cast("int"))
+    spelling = trained(learnt, _word_streams, 3, SPELL_BITS)
     spelled = others.select("word", "n").mapInArrow(_spell_rows(spark.sparkContext.broadcast(spelling)), "h long, n long, spelling double")
     schema = f"row long, doc_id {docs.schema[id_column].dataType.simpleString()}, part int, n_tokens long, n_known long, logs double, coded double, n_bytes long, rare array<long>"
     first = stored(source.mapInArrow(_score_rows(known, spark.sparkContext.broadcast(mixer)), schema), "scores")
