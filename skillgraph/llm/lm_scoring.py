@@ -8,6 +8,8 @@ bits, and each bit is predicted by mixed context predictors (see ``bitmix``):
   The prior is the words' frequency.
 * Any other word is the escape and its spelling, byte by byte, under contexts of the
   last two, three and four bytes; or, at half the weight, its own frequency.
+* What followed the three words before elsewhere in the training texts is mixed in
+  token by token (see ``memory``); these counts grow with the input.
 
 Counts of words, of all contexts and of spellings cover all training texts.
 Mixing weights and the refining map are learned online on all training texts (and
@@ -15,7 +17,9 @@ words), each half of them predicted from the other half's counts. While a text i
 scored, its own weights go on adapting, from one run of ``RUN`` tokens to the next.
 
 The vocabulary and the tables have fixed sizes and are broadcast; rare words are
-counted and spelled once each, and meet their texts in a join.
+counted and spelled once each, and meet their texts in a join. Contexts of three words are
+counted where their tokens are dealt to, in as many blocks as there are tokens for.
+A training text's own tokens are left out of these one at a time, so only what stands elsewhere helps it.
 
 Defined cases: a null or empty text is the end alone; without training texts
 every count is 0; repeated rows are scored (and counted) each; a null id
@@ -32,9 +36,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from skillgraph.llm.bitmix import DEPTHS, Bits, Mixer, cost, inputs, mixed_logit, refined_logit, trained
 from skillgraph.llm.common import find_words, lower_bytes, remainder, stored, text_slices, word_hashes
+from skillgraph.llm.memory import BLOCK_TOKENS, as_rows, contexts, dealt, mix_blocks
 
 VOCABULARY = 1 << 17
 OWN_CLASS = 512  # so many words are contexts of their own
@@ -43,6 +49,7 @@ SLICE = 1 << 18
 COUNTED = 1 << 19  # bytes of text whose bits are counted at once
 SPELL_BITS = 20
 RUN = 256
+TEXT_COLUMNS = ["row", "doc_id", "part", "n_tokens", "n_known", "logs", "coded", "n_bytes", "rare"]
 _END = b""
 _BREAK = 0x20  # ends a spelling; no word holds it
 
@@ -266,7 +273,7 @@ def _spell_rows(shared):
 
 
 def _coded_cost(model: Mixer, vocabulary: Vocabulary, t: _Tokens, rate: float = 0.05) -> np.ndarray:
-    """Bits that each text's tokens cost, without spellings. Its own weights adapt from run to run."""
+    """Bits that each token costs, without spellings. A text's own weights adapt from run to run."""
     texts = len(t.first) - 1
     counts = np.diff(t.first)
     text = np.repeat(np.arange(texts), counts)
@@ -277,7 +284,7 @@ def _coded_cost(model: Mixer, vocabulary: Vocabulary, t: _Tokens, rate: float =
     owner = np.repeat(text[order], np.diff(starts))
     z0 = mixed_logit(model.weights, x, gate)
     own = np.zeros((len(x), texts), np.float32)
-    total = np.zeros(texts)
+    spent = np.zeros(len(owner) + 1)
     cuts = starts[np.searchsorted(step[order], np.arange(int(step.max(initial=0)) + 2))]
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         who, part = owner[a:b], x[:, a:b]
@@ -287,23 +294,27 @@ def _coded_cost(model: Mixer, vocabulary: Vocabulary, t: _Tokens, rate: float =
                 z += own[k][who] * part[k]
             np.clip(z, -12, 12, out=z)
         bit = bits.bit[a:b]
-        total += np.bincount(who, cost(refined_logit(model, z, bits.depth[a:b]), bit), texts)
+        spent[a + 1 : b + 1] = cost(refined_logit(model, z, bits.depth[a:b]), bit)
         if b < len(owner):
             error = bit - 1 / (1 + np.exp(-z))
             n = np.maximum(np.bincount(who, minlength=texts), 1)
             for k in range(len(x)):
                 own[k] += rate * np.bincount(who, error * part[k], texts) / np.sqrt(n)
-    return total
+    upto = np.cumsum(spent)[starts]
+    each = np.empty(len(order))
+    each[order] = upto[1:] - upto[:-1]
+    return each
 
 
-def _score_rows(vocabulary_of, model_of):
-    """Of each text: what needs the vocabulary only, and its other words by their hashes."""
+def _score_rows(vocabulary_of, model_of, schema: pa.Schema, blocks: int, frequent: int):
+    """Of each text: what needs the vocabulary only, and its other words by their hashes. Besides, its tokens by their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = vocabulary_of.value
         row = TaskContext.get().partitionId() << 33
         logs = np.log10(vocabulary.counts + 1.0)
         for batch in batches:
+            part = batch.column("part").to_numpy()
             for first, last, data, offsets in text_slices(batch.column("text"), SLICE):
                 t = _tokens(vocabulary, data, offsets)
                 size = np.diff(t.first)
@@ -312,23 +323,31 @@ def _score_rows(vocabulary_of, model_of):
                 rare = np.flatnonzero(~known)
                 cut = np.searchsorted(rare, t.first)
                 n = last - first
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + n)), batch.column("doc_id").slice(first, n), batch.column("part").slice(first, n), pa.array(size), pa.array(np.bincount(text, known, n).astype(np.int64)), pa.array(np.bincount(text, logs[t.symbol], n)),
-                        pa.array(_coded_cost(model_of.value, vocabulary, t)), pa.array(offsets[1:] - offsets[:-1]), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(t.hash[rare].view(np.int64))),
-                    ],
-                    ["row", "doc_id", "part", "n_tokens", "n_known", "logs", "coded", "n_bytes", "rare"],
+                spent = _coded_cost(model_of.value, vocabulary, t)
+                h, counted = contexts(t.hash, t.first, known & (t.symbol <= frequent))
+                at = np.flatnonzero(counted)
+                yield from as_rows(dealt(h[at], t.symbol[at], len(vocabulary.counts), spent[at], row + text[at], part[first:last][text[at]] < 2, blocks), schema)
+                yield from as_rows(
+                    pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.arange(row, row + n) % blocks), pa.array(np.arange(row, row + n)), batch.column("doc_id").slice(first, n), batch.column("part").slice(first, n), pa.array(size), pa.array(np.bincount(text, known, n).astype(np.int64)), pa.array(np.bincount(text, logs[t.symbol], n)),
+                            pa.array(np.bincount(text, spent, n)), pa.array(offsets[1:] - offsets[:-1]), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(t.hash[rare].view(np.int64))),
+                        ],
+                        ["block", *TEXT_COLUMNS],
+                    ),
+                    schema,
                 )
                 row += n
 
     return run
 
 
-def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", divisor: int = 7, held_out: int = 2, vocabulary: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", divisor: int = 7, held_out: int = 2, vocabulary: int = VOCABULARY, frequent: int = OWN_CLASS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of each row.
 
     Rows with crc32(id as text) mod ``divisor`` = ``held_out`` teach nothing. base_score is the add-one unigram log10
-    probability, score the mixed model's.
+    probability, score the mixed model's. Contexts of three words are counted but for those of the ``frequent`` most frequent
+    words alone, in blocks of about ``block_tokens`` tokens.
     """
     spark = docs.sparkSession
     fold = remainder(id_column, divisor)
@@ -349,13 +368,19 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", diviso
     learnt = words.where("n > 0 and octet_length(word) > 0").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(2)).cast("int"))
     spelling = trained(learnt, _word_streams, 3, SPELL_BITS)
     spelled = others.select("word", "n").mapInArrow(_spell_rows(spark.sparkContext.broadcast(spelling)), "h long, n long, spelling double")
-    schema = f"row long, doc_id {docs.schema[id_column].dataType.simpleString()}, part int, n_tokens long, n_known long, logs double, coded double, n_bytes long, rare array<long>"
-    first = stored(source.mapInArrow(_score_rows(known, spark.sparkContext.broadcast(mixer)), schema), "scores")
+    columns = f"row long, doc_id {docs.schema[id_column].dataType.simpleString()}, part int, n_tokens long, n_known long, logs double, coded double, n_bytes long, rare array<long>"
+    dealt_columns = f"block long, keys array<long>, spent array<float>, texts array<long>, {columns}"
+    blocks = max(1, -(-total // block_tokens))
+    tokens = source.mapInArrow(_score_rows(known, spark.sparkContext.broadcast(mixer), to_arrow_schema(spark.createDataFrame([], dealt_columns).schema), blocks, frequent), dealt_columns)
+    mixed = stored(tokens.groupBy("block").applyInArrow(mix_blocks(len(built.counts), TEXT_COLUMNS), f"{columns}, change double"), "scores")
+    first = mixed.where("change is null").drop("change")
     # Of the escape's words, half the weight goes by how often each was seen, half by its spelling.
     seen = F.col("n") / F.lit(float(max(1, total - coded)))
     spelled = spelled.withColumn("spelling", -F.log2(0.5 * F.pow(F.lit(2.0), -F.col("spelling")) + 0.5 * seen + F.lit(1e-300)))
     pairs = first.select("row", F.explode("rare").alias("h")).join(spelled, "h")
-    rest = pairs.groupBy("row").agg(F.sum("spelling").alias("spelling"), F.count_if(F.col("n") > 0).alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("more"))
+    more = pairs.select("row", "spelling", (F.col("n") > 0).cast("long").alias("known"), F.log10(F.col("n") + 1).alias("more"))
+    more = more.unionByName(mixed.where("change is not null").select("row", F.col("change").alias("spelling"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("more")))
+    rest = more.groupBy("row").agg(F.sum("spelling").alias("spelling"), F.sum("known").alias("known"), F.sum("more").alias("more"))
     joined = first.drop("rare").join(rest, "row", "left")
     bits = F.col("coded") + F.coalesce("spelling", F.lit(0.0))
     return joined.select(

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skillgraph.llm import bitmix, langid, lm_scoring, toxicity
+from skillgraph.llm import bitmix, langid, lm_scoring, memory, toxicity
 from skillgraph.llm.common import remainder
 from tests.llm.helpers import documents, lowered, prose, spaced_words, with_odd_rows
 
@@ -80,3 +80,47 @@ def test_long_words_have_codes_of_their_own():
     assert built.find(np.array([11, 7, 9, 8], np.uint64)).tolist() == [1, 2, 3, 0]
     codes = [built.code_bit[a:b].tolist() for a, b in zip(built.code_start[:-1], built.code_start[1:], strict=True)]
     assert len({tuple(c) for c in codes}) == 4
+
+
+def test_contexts_elsewhere_by_plain_counting():
+    """Counts and mixed costs of every token against plain loops over its text."""
+    draw = np.random.default_rng(3)
+    texts = [draw.integers(1, 6, draw.integers(0, 40)).tolist() for _ in range(60)] + [[], [7]]
+    texts += [texts[0], texts[5]]
+    teaches = [i % 3 > 0 for i in range(len(texts))]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    symbol = np.array([s for t in texts for s in t])
+    h, counted = memory.contexts((symbol * 77).astype(np.uint64), first, symbol <= 2)
+    places = [(i, k) for i, t in enumerate(texts) for k in range(len(t))]
+    before = [(*texts[i][max(0, k - 3) : k],) for i, k in places]
+    assert counted.tolist() == [any(s > 2 for s in b) for b in before]
+    text = np.array([i for i, _ in places])
+    at = np.flatnonzero(counted)
+    spent = draw.uniform(0.5, 9, len(at)).astype(np.float32)
+    batch = memory.dealt(h[at], symbol[at], 8, spent, text[at], np.array(teaches)[text[at]], 5)
+    assert batch.num_rows == 5
+    got = {}
+    for r in batch.to_pylist():
+        key, own, texts_of = np.array(r["keys"], np.int64).view(np.uint64), np.array(r["spent"], np.float64), np.array(r["texts"])
+        seen, same, different = memory.counts(key, (texts_of & 1).astype(bool), 4)
+        mixed = memory.remembered(own, seen, same, different, (texts_of & 1).astype(bool))
+        for row in zip((texts_of >> 1).tolist(), r["spent"], seen.tolist(), same.tolist(), different.tolist(), mixed.tolist(), strict=True):
+            got[row[:2]] = row[2:]
+    assert len(got) == len(at)
+    lessons = Counter((before[j], int(symbol[j])) for j in at if teaches[text[j]])
+    for j, cost in zip(at.tolist(), spent.tolist(), strict=True):
+        follows = Counter({s: n for (b, s), n in lessons.items() if b == before[j]})
+        follows[int(symbol[j])] -= teaches[text[j]]
+        seen, same, different, mixed = got[int(text[j]), cost]
+        assert (seen, same, different) == (sum(follows.values()), follows[int(symbol[j])], sum(n > 0 for n in follows.values()))
+        assert mixed == cost if not seen else mixed > 0
+
+
+@pytest.mark.parametrize("block_tokens", [1 << 20, 500])
+def test_texts_that_stand_elsewhere_too_cost_less(spark, block_tokens):
+    rows = [(i, prose(i, 120, 50)) for i in range(150)] + [(1000 + i, prose(i, 120, 50)) for i in range(0, 150, 5)]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in lm_scoring.score(documents(spark, rows), frequent=8, block_tokens=block_tokens).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    twice = [got[i] for i in range(0, 150, 5) if not held(1000 + i)]
+    once = [got[i] for i in range(150) if i % 5]
+    assert len(got) == len(rows) and max(twice) < min(once)
