@@ -369,7 +369,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", diviso
     spelling = trained(learnt, _word_streams, 3, SPELL_BITS)
     spelled = others.select("word", "n").mapInArrow(_spell_rows(spark.sparkContext.broadcast(spelling)), "h long, n long, spelling double")
     columns = f"row long, doc_id {docs.schema[id_column].dataType.simpleString()}, part int, n_tokens long, n_known long, logs double, coded double, n_bytes long, rare array<long>"
-    dealt_columns = f"block long, keys array<long>, spent array<float>, texts array<long>, {columns}"
+    dealt_columns = f"block long, keys array<long>, texts array<long>, sizes array<int>, {columns}"
     blocks = max(1, -(-total // block_tokens))
     tokens = source.mapInArrow(_score_rows(known, spark.sparkContext.broadcast(mixer), to_arrow_schema(spark.createDataFrame([], dealt_columns).schema), blocks, frequent), dealt_columns)
     mixed = stored(tokens.groupBy("block").applyInArrow(mix_blocks(len(built.counts), TEXT_COLUMNS), f"{columns}, change double"), "scores")

@@ -23,6 +23,7 @@ WORDS = 3
 BLOCK_TOKENS = 1 << 20
 _GATES = 15
 _STEPS = 6
+_COST_BITS = 16
 
 
 def contexts(own: np.ndarray, first: np.ndarray, frequent: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -44,24 +45,34 @@ def contexts(own: np.ndarray, first: np.ndarray, frequent: np.ndarray, words: in
 
 
 def dealt(h: np.ndarray, symbol: np.ndarray, symbols: int, spent: np.ndarray, text: np.ndarray, teaches: np.ndarray, blocks: int) -> pa.RecordBatch:
-    """Rows (block, keys, spent, texts), one for each block that some of the tokens lie in.
+    """Rows (block, keys, texts, sizes), one for each block that some of the tokens lie in.
 
-    A key is a context's lower bits before a symbol's; a text number is doubled, odd if its tokens teach.
+    A key holds a context's lower bits, the symbol and what the token cost, in 1024ths of a bit, 64 bits at most.
+    Texts come in runs of ``sizes`` tokens; their numbers are doubled, odd if their tokens teach.
     """
     block = (h >> np.uint64(34)) % np.uint64(blocks)
     order = np.argsort(block, kind="stable")
-    block = block[order]
+    block, text = block[order], (text * 2 + teaches)[order]
+    keys = (h << np.uint64(int(symbols).bit_length()) | symbol.astype(np.uint64)) << np.uint64(_COST_BITS) | np.clip(np.rint(spent * 1024), 0, (1 << _COST_BITS) - 1).astype(np.uint64)
+    runs = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (text[1:] != text[:-1])])) if len(block) else np.empty(0, np.intp)
     cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.empty(0, np.intp)
-    offsets = pa.array(np.append(cut, len(block)), pa.int32())
-    keys = h << np.uint64(int(symbols).bit_length()) | symbol.astype(np.uint64)
-    lists = [keys[order].view(np.int64), spent[order].astype(np.float32), (text * 2 + teaches)[order]]
-    return pa.RecordBatch.from_arrays([pa.array(block[cut].astype(np.int64)), *(pa.ListArray.from_arrays(offsets, pa.array(v)) for v in lists)], ["block", "keys", "spent", "texts"])
+    of_tokens, of_runs = pa.array(np.append(cut, len(block)), pa.int32()), pa.array(np.append(np.searchsorted(runs, cut), len(runs)), pa.int32())
+    sizes = np.diff(np.append(runs, len(block))).astype(np.int32)
+    lists = [(of_tokens, keys[order].view(np.int64)), (of_runs, text[runs]), (of_runs, sizes)]
+    return pa.RecordBatch.from_arrays([pa.array(block[cut].astype(np.int64)), *(pa.ListArray.from_arrays(o, pa.array(v)) for o, v in lists)], ["block", "keys", "texts", "sizes"])
 
 
 def _numbers(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([np.empty(0, column.type.value_type.to_pandas_dtype()), *(c.flatten().to_numpy() for c in column.chunks)])
 
 
+def taken(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens in rows of ``dealt``: context and symbol, what they cost, their texts, and whether they teach."""
+    table = pa.table(table)
+    keys, text = _numbers(table["keys"]).view(np.uint64), np.repeat(_numbers(table["texts"]), _numbers(table["sizes"]))
+    return keys >> np.uint64(_COST_BITS), (keys & np.uint64((1 << _COST_BITS) - 1)) / 1024, text >> 1, (text & 1).astype(bool)
+
+
 def counts(key: np.ndarray, teaches: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token, among the training tokens but itself: tokens of its context, those with its symbol, the context's different symbols."""
     order = np.argsort(key, kind="stable")
@@ -102,15 +113,13 @@ def mix_blocks(symbols: int, passed: list[str]):
         told = table.filter(table["keys"].is_valid())
         texts = table.filter(table["keys"].is_null()).select(passed)
         texts = texts.append_column("change", pa.nulls(len(texts), pa.float64()))
-        key = _numbers(told["keys"]).view(np.uint64)
-        spent, text = _numbers(told["spent"]).astype(np.float64), _numbers(told["texts"])
+        key, spent, text, teaches = taken(told)
         if not len(key):
             return texts
-        teaches = (text & 1).astype(bool)
         seen, same, different = counts(key, teaches, shift)
         some = np.flatnonzero(seen > 0)
         change = remembered(spent, seen, same, different, teaches)[some] - spent[some]
-        row, at = np.unique(text[some] >> 1, return_inverse=True)
+        row, at = np.unique(text[some], return_inverse=True)
         sums = {"row": pa.array(row, pa.int64()), "change": pa.array(np.bincount(at, change, len(row)))}
         made = [sums.get(f.name, pa.nulls(len(row), f.type)) for f in texts.schema]
         return pa.concat_tables([texts, pa.Table.from_arrays(made, schema=texts.schema)])

@@ -96,15 +96,15 @@ def test_contexts_elsewhere_by_plain_counting():
     assert counted.tolist() == [any(s > 2 for s in b) for b in before]
     text = np.array([i for i, _ in places])
     at = np.flatnonzero(counted)
-    spent = draw.uniform(0.5, 9, len(at)).astype(np.float32)
+    spent = draw.permutation(len(at)) / 1024 + 0.5
     batch = memory.dealt(h[at], symbol[at], 8, spent, text[at], np.array(teaches)[text[at]], 5)
     assert batch.num_rows == 5
     got = {}
-    for r in batch.to_pylist():
-        key, own, texts_of = np.array(r["keys"], np.int64).view(np.uint64), np.array(r["spent"], np.float64), np.array(r["texts"])
-        seen, same, different = memory.counts(key, (texts_of & 1).astype(bool), 4)
-        mixed = memory.remembered(own, seen, same, different, (texts_of & 1).astype(bool))
-        for row in zip((texts_of >> 1).tolist(), r["spent"], seen.tolist(), same.tolist(), different.tolist(), mixed.tolist(), strict=True):
+    for k in range(batch.num_rows):
+        key, own, of, lesson = memory.taken(batch.slice(k, 1))
+        seen, same, different = memory.counts(key, lesson, 4)
+        mixed = memory.remembered(own, seen, same, different, lesson)
+        for row in zip(of.tolist(), own.tolist(), seen.tolist(), same.tolist(), different.tolist(), mixed.tolist(), strict=True):
             got[row[:2]] = row[2:]
     assert len(got) == len(at)
     lessons = Counter((before[j], int(symbol[j])) for j in at if teaches[text[j]])
