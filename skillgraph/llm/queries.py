@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgraph.llm import decontamination, embedding_dedup, langid, licenses, line_dedup, lm_scoring, packing, simhash, substring_dedup, toxicity
-from skillgraph.llm.common import remainder
+from skillgraph.llm import centroids, decontamination, embedding_dedup, langid, licenses, line_dedup, lm_scoring, packing, quality_rules, simhash, source_audit, substring_dedup, toxicity
+from skillgraph.llm.common import remainder, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +68,23 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op3_language_id, op4_substring_dedup, op5_toxicity, op6_line_dedup, op7_decontamination, op8_license_scan, op9_embedding_near_dedup, op10_simhash_near_dedup)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(quality_rules.rule_statistics(_table(spark, sf_dir, "documents"), ("doc_id",)), "statistics")
+    labels = _table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    model = quality_rules.fit(found.join(labels, "doc_id"))
+    return quality_rules.judge(found, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, middles = centroids.ball_kmeans(_table(spark, sf_dir, "embeddings"))
+    sums = {r["cluster"]: int(r["s"]) for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}  # 16 rows
+    long = [x if x < 1 << 63 else None for x in (*(sums.get(i, 0) for i in range(len(middles))), sum(sums.values()))]
+    about = spark.createDataFrame([(i, long[i], long[-1], centroids.digest(c)) for i, c in enumerate(middles)], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(about), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op3_language_id, op4_substring_dedup, op5_toxicity, op6_line_dedup, op7_decontamination, op8_license_scan, op9_embedding_near_dedup, op10_simhash_near_dedup, op11_source_divergence, op12_quality_rules, op13_centroid_clustering)}
