@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillgraph.functions.alike import indel_ratio, may_reach
 from skillgraph.functions.text import normalize_text
 from skillgraph.sources.tabular import numbered
 
+#: Unknown skills that are looked for in one reading of the catalog.
+AT_ONCE = 16
 CANDIDATE = ("job_id", "job_title", "company_name", "district")
 
 
@@ -35,7 +39,10 @@ def resolve_job(jobs: DataFrame, job_id: str | None = None, title: str | None =
 
 
 def close_titles(jobs: DataFrame, title: str, n: int, cutoff: float = 0.5) -> DataFrame:
-    """Jobs whose title is one of the ``n`` most like ``title`` (sequence matching), of those at or over the cutoff."""
+    """Jobs whose title is one of the ``n`` most like ``title`` (sequence matching), of those at or over the cutoff.
+
+    Titles that by length and letters can't reach the cutoff aren't matched.
+    """
 
     @F.pandas_udf("double")
     def ratio(titles: pd.Series) -> pd.Series:
@@ -44,10 +51,10 @@ def close_titles(jobs: DataFrame, title: str, n: int, cutoff: float = 0.5) -> Da
         out = []
         for t in titles:
             matcher.set_seq1(t)
-            out.append(matcher.ratio() if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff else 0.0)
+            out.append(matcher.ratio())
         return pd.Series(out, dtype="float64")
 
-    best = jobs.select("job_title").distinct().withColumn("like", ratio("job_title")).where(F.col("like") >= cutoff).orderBy(F.desc("like"), F.desc("job_title")).limit(n)
+    best = jobs.where(may_reach(F.col("job_title"), title, cutoff)).select("job_title").distinct().withColumn("like", ratio("job_title")).where(F.col("like") >= cutoff).orderBy(F.desc("like"), F.desc("job_title")).limit(n)
     return jobs.join(F.broadcast(best), "job_title").orderBy(F.desc("like"), "job_id").drop("like")
 
 
@@ -74,22 +81,12 @@ def shared_features(edges: DataFrame, job_id: str, neighbors: DataFrame, shown:
     return theirs.groupBy("neighbor_job_id").agg(F.array_sort(F.collect_set("t")).alias("s")).select("neighbor_job_id", F.size("s").cast("long").alias("shared_skill_count"), F.array_join(F.slice("s", 1, shown), ", ").alias("shared_skills_preview"))
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """200 times the longest common subsequence over both lengths; two empty texts are alike."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        above = 0
-        for j, y in enumerate(b, 1):
-            above, row[j] = row[j], above + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
-
-
 def resolve_skills(queries: list[str], skills: DataFrame, cutoff: float = 85.0, suggestions: int = 5) -> tuple[DataFrame, DataFrame]:
     """(query, skill_id, skill_text_normalized, label, match_type) of the queries that name a skill, and (query, query_normalized, suggestions) of the others.
 
-    Of queries for one skill the first stays. Suggestions are the labels of the ``suggestions`` skills most like the query, of those at or over the cutoff.
+    Of queries for one skill the first stays. Suggestions are the labels of the ``suggestions`` skills most like the query, of those
+    at or over the cutoff. The catalog is read once for ``AT_ONCE`` queries; of its pairs with them, those that by length and
+    letters can't reach the cutoff are left out before any text is compared.
     """
     spark = skills.sparkSession
     asked = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "place int, query string").withColumn("query_normalized", normalize_text(F.col("query"))).where("length(query_normalized) > 0")
@@ -98,14 +95,15 @@ def resolve_skills(queries: list[str], skills: DataFrame, cutoff: float = 85.0,
     hits = met.groupBy("skill_id").agg(F.min(F.struct("place", "query", "skill_text_normalized", "label")).alias("h")).select("h.place", "h.query", "skill_id", "h.skill_text_normalized", "h.label", F.lit("exact_normalized").alias("match_type"))
     missed = asked.join(met.select("place"), "place", "left_anti")
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
     open_ = [(r["place"], r["query_normalized"]) for r in missed.collect()]  # at most the queries
-    like = catalog.select("skill_text_normalized", "label", F.explode(F.array(*[F.struct(F.lit(p).alias("place"), F.lit(q).alias("q")) for p, q in open_]) if open_ else F.array().cast("array<struct<place:int,q:string>>")).alias("x"))
-    scored = like.select("x.place", "label", "skill_text_normalized", ratio("x.q", "skill_text_normalized").alias("score"))
-    top = scored.withColumn("n", F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "skill_text_normalized"))).where((F.col("n") <= max(1, suggestions)) & (F.col("score") >= cutoff))
+    name = F.col("skill_text_normalized")
+    parts = []
+    for k in range(0, len(open_), AT_ONCE):
+        near = [F.when(may_reach(name, q, cutoff / 100), F.struct(F.lit(p).alias("place"), F.lit(q).alias("q"))) for p, q in open_[k : k + AT_ONCE]]
+        parts.append(catalog.select("skill_text_normalized", "label", F.explode(F.array_compact(F.array(*near))).alias("x")))
+    none = catalog.limit(0).select("skill_text_normalized", "label", F.struct(F.lit(0).alias("place"), F.lit("").alias("q")).alias("x"))
+    scored = reduce(DataFrame.unionByName, parts, none).select("x.place", "label", "skill_text_normalized", indel_ratio("x.q", "skill_text_normalized").alias("score")).where(F.col("score") >= cutoff)
+    top = scored.withColumn("n", F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "skill_text_normalized"))).where(F.col("n") <= max(1, suggestions))
     offered = top.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "label"))), lambda x: x["label"]).alias("suggestions"))
     return hits.orderBy("place").drop("place"), missed.join(offered, "place", "left").select("place", "query", "query_normalized", F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions")).orderBy("place").drop("place")
 

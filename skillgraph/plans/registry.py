@@ -333,10 +333,21 @@ def _skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.withColumn("label", text.pretty_label(F.col("skill_text_normalized")))
 
 
-@_register()
+def _suggested(cutoff: float, shown: int) -> str:
+    """Suggestions for a name with a letter too many, one with two changed, and nothing like any: common subsequences by recursion over the characters of each pair, a list for each row of the table."""
+    return f"""WITH RECURSIVE c AS (SELECT DISTINCT lower(p_name) AS t, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM part), m AS (SELECT MIN(t) AS f, MAX(t) AS l FROM c),
+q AS (SELECT 0 AS place, f || 'x' AS q FROM m UNION ALL SELECT 1, substr(l, 2) || 'zz' FROM m UNION ALL SELECT 2, 'nothing like it'),
+r(place, q, t, i, l) AS (SELECT place, q, t, 0, list_transform(range(0, length(q) + 1), lambda x: 0) FROM q, c
+ UNION ALL SELECT place, q, t, i + 1, list_reduce(list_transform(range(1, length(q) + 1), lambda j: [CASE WHEN q[j] = t[i + 1] THEN l[j] + 1 ELSE 0 END, l[j + 1]]), lambda a, x: list_append(a, greatest(x[1], x[2], a[len(a)])), [0]) FROM r WHERE i < length(t)),
+s AS (SELECT place, q, t, 200.0 * l[len(l)] / (length(q) + length(t)) AS score FROM r WHERE i = length(t)),
+n AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, t) AS n FROM s)
+SELECT q.q AS query, q.q AS query_normalized, coalesce(list(c.label ORDER BY n.n) FILTER (WHERE n.t IS NOT NULL), []) AS suggestions FROM q LEFT JOIN n ON n.place = q.place AND n.n <= {shown} AND score >= {cutoff} LEFT JOIN c ON c.t = n.t GROUP BY 1, 2"""
+
+
+@_register(_suggested(70, 5))
 def suggest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = _table(spark, sf_dir, "part").agg(F.min("p_name")).first()[0]
-    return lookup.resolve_skills([name + "x", "nothing like it"], _skills(spark, sf_dir), 70)[1]
+    first, last = _table(spark, sf_dir, "part").agg(F.min(F.lower("p_name")), F.max(F.lower("p_name"))).first()
+    return lookup.resolve_skills([first + "x", last[1:] + "zz", "nothing like it"], _skills(spark, sf_dir), 70)[1]
 
 
 _IDS = ("1", "3", "5", "8", "13", "21", "34", "55", "89", "144")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import codecs
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +17,8 @@ from skillgraph.storage import stored
 
 _OVERFLOW = "_overflow_"
 _SNIFF_BYTES = 512_000
+#: Places up to so many are broadcast (about 200 bytes each, 40 MB); more join by shuffle.
+BROADCAST_PLACES = 200_000
 
 
 def _head(spark: SparkSession, path: str, size: int) -> bytes:
@@ -46,27 +50,45 @@ def sniff_encoding(spark: SparkSession, path: str, candidates: tuple[str, ...] =
     return "latin-1"
 
 
-def _breaks_lines(spark: SparkSession, path: str) -> bool:
-    """Whether some quoted cell goes on over a line's end: then a line has an odd number of quotes."""
+def _files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """(files whose cells stay within lines, files with a quoted cell that goes on over a line's end: there, a line has an odd number of quotes)."""
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+    found = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max(quotes % 2).alias("odd")).collect()  # a row for each file
+    return tuple([unquote(r["file"]) for r in found if r["odd"] == odd] for odd in (0, 1))
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """All columns as text, a header line, quoted line breaks; rows with too many cells are left out, short ones filled with NULL.
 
-    Cell texts that stand for a missing value are NULL. _row_ numbers the rows of the files in order, from 0. A file is read in
-    parallel splits unless a quoted cell goes on over a line's end.
+    Cell texts that stand for a missing value are NULL. _row_ numbers the rows from 0, files in order of their paths. A file is
+    read in parallel splits unless a quoted cell of its own goes on over a line's end, or its encoding forbids it.
     """
     charset = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
-    whole = charset not in ("UTF-8", "ISO-8859-1") or _breaks_lines(spark, path)
-    reader = spark.read.option("encoding", charset).option("multiLine", whole).option("escape", '"').option("mode", "PERMISSIVE")
-    headers = [h.lstrip("\ufeff") for h in reader.option("header", True).option("inferSchema", False).csv(path).columns]
+    reader = spark.read.option("encoding", charset).option("escape", '"').option("mode", "PERMISSIVE").option("header", True)
+    headers = [h.lstrip("\ufeff") for h in reader.option("multiLine", True).option("inferSchema", False).csv(path).columns]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*[f"c{i}" for i in range(len(headers))], _OVERFLOW]])
-    # The extra column tells long rows from whole ones; the header itself is read as a row and dropped by position.
-    raw = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path).where(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
-    known = raw.select([F.when(~F.col(c).isin(*MISSING_TOKENS), F.col(c)).alias(c) for c in raw.columns])
-    return numbered(known.toDF(*headers))
+    split, whole = _files(spark, path) if charset in ("UTF-8", "ISO-8859-1") else ([], [path])
+    whole = whole if split or whole else [path]
+    # The extra column tells long rows from whole ones.
+    read = [reader.option("multiLine", over).option("enforceSchema", True).schema(schema).csv(files) for over, files in ((False, split), (True, whole)) if files]
+    places = [F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("_place_"), F.monotonically_increasing_id().alias("_id_")]
+    cells = [F.when(~F.col(c).isin(*MISSING_TOKENS), F.col(c)).alias(c) for c in schema.names[:-1]]
+    known = reduce(DataFrame.unionByName, [r.where(F.col(_OVERFLOW).isNull()).select(*cells, *places) for r in read])
+    return _counted_on(stored(known, "numbered"), "_place_").toDF(*headers, "_row_")
+
+
+def _counted_on(placed: DataFrame, place: str) -> DataFrame:
+    """``placed`` (columns, a place, _id_) without the last two, and a number from 0 in the order of places, within one by _id_.
+
+    Rows of a place have consecutive _id_, for they lie in one partition; each place begins at the sum of those before it.
+    Places are splits of files or partitions: few enough to be put in order at once.
+    """
+    columns = [c for c in placed.columns if c not in (place, "_id_")]
+    sizes = placed.groupBy(F.col(place).alias("_of_")).agg(F.count("*").alias("_n_"), F.min("_id_").alias("_least_"))
+    before = F.sum("_n_").over(Window.orderBy("_of_").rowsBetween(Window.unboundedPreceding, -1))
+    starts = stored(sizes.select("_of_", (F.coalesce(before, F.lit(0)) - F.col("_least_")).alias("_start_")), "places")
+    starts = F.broadcast(starts) if starts.count() <= BROADCAST_PLACES else starts
+    return placed.join(starts, F.col(place) == F.col("_of_")).select(*columns, (F.col("_id_") + F.col("_start_")).alias("_row_"))
 
 
 def numbered(df: DataFrame, name: str = "_row_") -> DataFrame:
@@ -76,14 +98,8 @@ def numbered(df: DataFrame, name: str = "_row_") -> DataFrame:
     may cut its ranges elsewhere).
     """
     inner = [f"c{i}" for i in range(len(df.columns))]  # Parquet takes any content, but not any name
-    placed = stored(df.toDF(*inner).withColumn("_id_", F.monotonically_increasing_id()).withColumn("_part_", F.spark_partition_id()), "numbered")
-    sizes = placed.groupBy("_part_").agg(F.count("*").alias("n"), F.min("_id_").alias("least")).collect()  # a row for each partition
-    starts, begin = [(-1, 0)], 0
-    for r in sorted(sizes, key=lambda r: r["_part_"]):
-        starts.append((r["_part_"], begin - r["least"]))
-        begin += r["n"]
-    offsets = df.sparkSession.createDataFrame(starts, "_part_ int, _start_ long")
-    return placed.join(F.broadcast(offsets), "_part_").select(*inner, (F.col("_id_") + F.col("_start_")).alias("_n_")).toDF(*df.columns, name)
+    placed = stored(df.toDF(*inner).withColumns({"_id_": F.monotonically_increasing_id(), "_place_": F.spark_partition_id()}), "numbered")
+    return _counted_on(placed, "_place_").toDF(*df.columns, name)
 
 
 @dataclass(frozen=True)

@@ -23,6 +23,30 @@ def test_cells_over_several_lines(spark, tmp_path):
     assert [(r["a"], r["b"], r["_row_"]) for r in tabular.read_csv(spark, str(tmp_path / "x.csv")).orderBy("_row_").collect()] == [("1", "x\ny", 0), ("2", "z", 1)]
 
 
+def test_files_in_order_of_their_paths(spark, tmp_path):
+    """Spark reads the larger file first; the numbers follow the paths. A quote over lines keeps only its own file whole."""
+    folder = tmp_path / "in put"
+    folder.mkdir()
+    (folder / "a.csv").write_text("a,b\n" + "".join(f"a{i},x\n" for i in range(3)))
+    (folder / "b.csv").write_text("a,b\n" + "".join(f"b{i},x\n" if i % 5 else f"b{i},x,too many\n" for i in range(3000)))
+    (folder / "c.csv").write_text('a,b\nc0,"two\nlines"\nc1\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        read = tabular.read_csv(spark, str(folder))
+        rows = sorted((r["_row_"], r["a"], r["b"]) for r in read.collect())
+        assert [len(x) for x in tabular._files(spark, str(folder))] == [2, 1]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    names = [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(3000) if i % 5] + ["c0", "c1"]
+    assert [(n, a) for n, a, _ in rows] == list(enumerate(names)) and [b for *_, b in rows[-2:]] == ["two\nlines", None]
+
+
+def test_a_file_without_rows(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n")
+    read = tabular.read_csv(spark, str(tmp_path / "x.csv"))
+    assert read.columns == ["a", "b", "_row_"] and read.count() == 0
+
+
 def test_encoding_by_the_beginning(spark, tmp_path):
     (tmp_path / "l.csv").write_bytes("é,b\n1,2\n".encode("latin-1"))
     (tmp_path / "u.csv").write_text("é,b\n1,2\n", encoding="utf-8")
