@@ -3,6 +3,8 @@
 A strict JSON list of flat objects, whose names and buckets are texts and whose
 similarities are numbers, is read by Spark's JSON parser. Only other cells (Python
 literals, text around a list, nested or broken objects) go through one Arrow UDF.
+Both give the same: an object's further fields are kept as texts, strings as they are,
+NULL for null, anything else as compact JSON.
 """
 
 from __future__ import annotations
@@ -19,10 +21,14 @@ from pyspark.sql import types as T
 
 from skillgraph.functions.text import strip
 
-ITEM = T.StructType([T.StructField("text", T.StringType()), T.StructField("bucket", T.StringType()), T.StructField("similarity", T.DoubleType())])
+ITEM = T.StructType([T.StructField("text", T.StringType()), T.StructField("bucket", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("extra", T.MapType(T.StringType(), T.StringType()))])
 RESULT = T.StructType([T.StructField("items", T.ArrayType(ITEM)), T.StructField("reason", T.StringType())])
 NO_PARSE, NO_ITEMS = "unable_to_parse_skills", "parsed_but_no_valid_skill_objects"
 
+# The keys that an object's name may have, in order, and those of its bucket and similarity.
+NAME_KEYS = ("skill", "name", "skill_name")
+KNOWN_KEYS = (*NAME_KEYS, "bucket", "mapping_similarity")
+
 _VALUE = r"""['"]?{key}['"]?\s*:\s*(?:"(?P<a>[^"]+)"|'(?P<b>[^']+)'|(?P<c>[^,}}\]]+))"""
 _FIELDS = {key: re.compile(_VALUE.format(key=key), re.IGNORECASE) for key in ("skill", "bucket")}
 _NUMBER = re.compile(r"""['"]?mapping_similarity['"]?\s*:\s*([0-9]*\.?[0-9]+)""", re.IGNORECASE)
@@ -66,7 +72,17 @@ def _number(value: Any) -> float | None:
     return None if x != x else x
 
 
-def parse_cell(text: str) -> tuple[list[tuple[str, str | None, float | None]], str | None]:
+def _text(value: Any) -> str:
+    """As text; half a surrogate pair, which UTF-8 can't hold, becomes a question mark."""
+    return str(value).encode("utf-8", "replace").decode()
+
+
+def _further(value: dict) -> dict[str, str | None]:
+    """The fields of an object that have no meaning of their own, as texts."""
+    return {_text(k): None if x is None else _text(x if isinstance(x, str) else json.dumps(x, separators=(",", ":"), ensure_ascii=False, default=str)) for k, x in value.items() if k not in KNOWN_KEYS}
+
+
+def parse_cell(text: str) -> tuple[list[tuple[str, str | None, float | None, dict[str, str | None]]], str | None]:
     """Items of one cell (already stripped, quotes straightened), and the reason if there are none."""
     whole = re.search(r"\[.*\]", text, re.DOTALL)
     values = next((x for t in (text, whole[0] if whole else text) if (x := _listed(_literal(t))) is not None), None)
@@ -78,23 +94,24 @@ def parse_cell(text: str) -> tuple[list[tuple[str, str | None, float | None]], s
     for value in values:
         if not isinstance(value, dict):
             continue
-        name = next((x for k in ("skill", "name", "skill_name") if (x := value.get(k))), None)
-        name = "" if name is None else str(name).strip()
+        name = next((x for k in NAME_KEYS if (x := value.get(k))), None)
+        name = "" if name is None else _text(name).strip()
         if name:
             bucket = value.get("bucket")
-            items.append((name, None if bucket is None else str(bucket).strip(), _number(value.get("mapping_similarity"))))
+            items.append((name, None if bucket is None else _text(bucket).strip(), _number(value.get("mapping_similarity")), _further(value)))
     return items, NO_ITEMS if values and not items else None
 
 
 @F.pandas_udf(RESULT)
 def _parse_hard(cells: pd.Series) -> pd.DataFrame:
     parsed = [parse_cell(c) if c is not None else ([], None) for c in cells]
-    return pd.DataFrame({"items": [[dict(zip(("text", "bucket", "similarity"), i, strict=True)) for i in items] for items, _ in parsed], "reason": [r for _, r in parsed]})
+    return pd.DataFrame({"items": [[dict(zip(ITEM.names, i, strict=True)) for i in items] for items, _ in parsed], "reason": [r for _, r in parsed]})
 
 
-_FLAT = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("skill", "name", "skill_name", "bucket", "mapping_similarity")]))
-#: Values that read differently as Python objects: names and buckets that aren't texts, similarities that aren't numbers.
-_TYPED = r'"(?:skill|name|skill_name|bucket)"\s*:\s*[^"\sn]|"mapping_similarity"\s*:\s*["tf\[{]'
+_FLAT = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
+#: Values that read differently as Python objects: names and buckets that aren't texts, similarities that aren't finite
+#: numbers, objects within objects, and further numbers that aren't whole.
+_TYPED = r'"(?:skill|name|skill_name|bucket)"\s*:\s*[^"\sn]|"mapping_similarity"\s*:\s*(?:["tf\[{IN+]|-\s*I)|:\s*\{|"(?!mapping_similarity")[^"]*"\s*:\s*(?:-?[0-9]+[.eE]|[+IN]|-\s*I)'
 
 
 def _flat_items(cell: Column) -> Column:
@@ -104,23 +121,31 @@ def _flat_items(cell: Column) -> Column:
 
 
 def _item(x: Column) -> Column:
-    named = F.coalesce(*[F.when(x[n] != "", x[n]) for n in ("skill", "name", "skill_name")])
+    named = F.coalesce(*[F.when(x[n] != "", x[n]) for n in NAME_KEYS])
     similarity = x["mapping_similarity"].try_cast("double")
-    return F.struct(strip(named).alias("text"), strip(x["bucket"]).alias("bucket"), F.when(~F.isnan(similarity), similarity).alias("similarity"))
+    extra = F.map_filter(x, lambda k, _: ~k.isin(*KNOWN_KEYS))
+    return F.struct(strip(named).alias("text"), strip(x["bucket"]).alias("bucket"), F.when(~F.isnan(similarity), similarity).alias("similarity"), extra.alias("extra"))
 
 
 def parse_cells(df: DataFrame, cell: str = "skills") -> DataFrame:
-    """``df`` with items (array of text, bucket, similarity) and reason (NULL, or why a cell has no items)."""
-    text = F.replace(F.translate(strip(F.col(cell)), "“”‘’", "\"\"''"), F.lit("\x00"), F.lit(""))
+    """``df`` with items (array of text, bucket, similarity, extra) and reason (NULL, or why a cell has no items).
+
+    Columns of ``df`` may have any names; those called items or reason give way.
+    """
+    inner = [f"c{i}" for i in range(len(df.columns))]
+    at = inner[df.columns.index(cell)]
+    text = F.replace(F.translate(strip(F.col(at)), "“”‘’", "\"\"''"), F.lit("\x00"), F.lit(""))
     usable = F.when(~F.lower(text).isin("", "nan", "none", "null"), text)
-    read = df.withColumn("_text_", usable).withColumn("_flat_", _flat_items(F.col("_text_")))
-    whole = F.col("_flat_").isNotNull() & F.forall("_flat_", lambda x: x.isNotNull())
-    marked = read.withColumn("_easy_", F.coalesce(whole, F.lit(False)))
-    parsed = marked.withColumn("_hard_", _parse_hard(F.when(~F.col("_easy_"), F.col("_text_"))))
-    good = F.filter(F.transform("_flat_", _item), lambda i: i["text"].isNotNull() & (F.length(i["text"]) > 0))
-    items = F.when(F.col("_easy_"), good).otherwise(F.coalesce(F.col("_hard_.items"), F.array().cast(T.ArrayType(ITEM))))
-    reason = F.when(~F.col("_easy_"), F.col("_hard_.reason")).when((F.size("_flat_") > 0) & (F.size("items") == 0), NO_ITEMS)
-    return parsed.withColumn("items", items).withColumn("reason", reason).select(*df.columns, "items", "reason")
+    read = df.toDF(*inner).withColumn("text", usable).withColumn("flat", _flat_items(F.col("text")))
+    # A key that an object has twice counts by its last value, which a map doesn't tell.
+    whole = F.col("flat").isNotNull() & F.forall("flat", lambda x: x.isNotNull() & (F.size(F.map_keys(x)) == F.size(F.array_distinct(F.map_keys(x)))))
+    marked = read.withColumn("easy", F.coalesce(whole, F.lit(False)))
+    parsed = marked.withColumn("hard", _parse_hard(F.when(~F.col("easy"), F.col("text"))))
+    good = F.filter(F.transform("flat", _item), lambda i: i["text"].isNotNull() & (F.length(i["text"]) > 0))
+    items = F.when(F.col("easy"), good).otherwise(F.coalesce(F.col("hard.items"), F.array().cast(T.ArrayType(ITEM))))
+    reason = F.when(~F.col("easy"), F.col("hard.reason")).when((F.size("flat") > 0) & (F.size("items") == 0), NO_ITEMS)
+    kept = [(c, name) for c, name in zip(inner, df.columns, strict=True) if name.lower() not in ("items", "reason")]
+    return parsed.withColumn("items", items).withColumn("reason", reason).select(*[c for c, _ in kept], "items", "reason").toDF(*[name for _, name in kept], "items", "reason")
 
 
 def items_of(parsed: DataFrame, *columns: str) -> DataFrame:

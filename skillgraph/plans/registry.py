@@ -133,6 +133,22 @@ def parse_broken_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.items_of(parsed, "row_id").select("row_id", F.col("item.text").alias("feature"), F.col("item.bucket").alias("bucket"))
 
 
+@_register("""SELECT o_orderkey AS row_id, 'Part ' || o_orderkey AS feature, CAST(CASE o_orderkey % 4 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END AS INT) AS n_extra, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderkey % 9 AS VARCHAR) END AS level, CASE WHEN o_orderkey % 4 < 2 THEN 'true' END AS must,
+CASE o_orderkey % 4 WHEN 0 THEN 'says "' || o_orderkey || '"' WHEN 1 THEN 'says ' || o_orderkey WHEN 3 THEN '{"of":[' || o_orderkey || ',1.5]}' END AS note, o_orderkey % 4 = 0 OR o_orderkey % 4 = 2 AS has_none FROM orders""")
+def parse_extra_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Further fields of objects: JSON (read by Spark), a Python literal, an object within text, one within another."""
+    key, level = F.col("o_orderkey"), F.col("o_orderkey") % 9
+    cell = (
+        F.when(key % 4 == 0, F.concat(F.lit('[{"skill":"Part '), key, F.lit('","level":'), level, F.lit(',"note":"says \\"'), key, F.lit('\\"","must":true,"none":null,"mapping_similarity":0.5,"empty":""}]')))
+        .when(key % 4 == 1, F.concat(F.lit("[{'skill': 'Part "), key, F.lit("', 'level': "), level, F.lit(", 'note': 'says "), key, F.lit("', 'must': True, 'other': 'x', 'bucket': 'Advanced'}]")))
+        .when(key % 4 == 2, F.concat(F.lit('see {"skill": "Part '), key, F.lit('", "level": '), level, F.lit(', "none": null} there')))
+        .otherwise(F.concat(F.lit('[{"skill":"Part '), key, F.lit('","note":{"of": ['), key, F.lit(", 1.5]}}]")))
+    )
+    items = cells.items_of(cells.parse_cells(_table(spark, sf_dir, "orders").select(key.alias("row_id"), cell.alias("skills"))), "row_id")
+    extra = F.col("item.extra")
+    return items.select("row_id", F.col("item.text").alias("feature"), F.size(extra).alias("n_extra"), extra["level"].alias("level"), extra["must"].alias("must"), extra["note"].alias("note"), F.map_contains_key(extra, "none").alias("has_none"))
+
+
 # --- scalars ---------------------------------------------------------------
 
 

@@ -99,5 +99,16 @@ def test_compact_json_drops_nan(spark):
 
 def test_flat_cells_agree_with_plain_reading(spark):
     rows = ['[{"skill":"a","bucket":"b","mapping_similarity":0.5}]', '[{"skill":5.0,"bucket":true}]', '[{"skill":"","name":"n"},{"skill_name":" x "}]', '[{"skill":"a"}] tail', '[{"skill":"a]","mapping_similarity":"0.5"}]', '{"skill":"a"}', "[]", '[{"skill":"a",}]', '[{"skill":"a"}, 3]', '[{"skill":null,"name":"0"}]', '[{"skill":"a","mapping_similarity":NaN}]', '[{"skill":"a","tags":["x"]}]']
+    rows += ['[{"skill":"a","level":3,"note":"x\\u00e9 y","must":true,"none":null,"Skill":"b","":""}]', '[{"skill":"a","part":{"of":[1.5,"x"]}}]', "[{'skill': 'a', 'level': 3, 'must': True, 5: 1.5}]", '[{"skill":"a","share":0.0001,"big":12345678.0}]']
+    rows += ['[{"skill":"a","level":1,"level":2}]', '[{"skill":"a","mapping_similarity":Infinity,"x":-Infinity}]', '[{"skill":"a","mapping_similarity":-Infinity}]', '[{"skill":"a\\ud800","x\\ud800":"\\ud800"}, {"name":"b"}]', 'see {"skill": "a", "level": 3} there']
     got = {r["skills"]: ([tuple(i) for i in r["items"]], r["reason"]) for r in cells.parse_cells(spark.createDataFrame([(r,) for r in rows], "skills string")).collect()}
     assert got == {r: cells.parse_cell(r) for r in rows}
+
+
+def test_columns_of_any_name(spark):
+    names = ["_text_", "text", "skills", "a.b", "FLAT", "items", "c0", "_hard_", "easy"]
+    df = spark.createDataFrame([("1", "2", '[{"skill":"s","x":1}]', "4", "5", "6", "7", "8", "9")], ", ".join(f"`{n}` string" for n in names))
+    got = parse_cells(df)
+    assert got.columns == [n for n in names if n != "items"] + ["items", "reason"]
+    row = got.first()
+    assert [row[i] for i in range(8)] == ["1", "2", '[{"skill":"s","x":1}]', "4", "5", "7", "8", "9"] and row["items"][0]["extra"] == {"x": "1"}
