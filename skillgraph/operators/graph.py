@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillgraph.functions.text import unit_hash
 from skillgraph.operators.components import connected
+from skillgraph.operators.selection import best_of_each
 from skillgraph.storage import stored
 
 
@@ -77,21 +79,26 @@ def rendered(edges: DataFrame, nodes: DataFrame, max_edges: int) -> tuple[DataFr
 
 
 def sample_nodes(nodes: DataFrame, edges: DataFrame, max_nodes: int, seed: int = 42, high_share: float = 0.35) -> DataFrame:
-    """A fixed sample of at most ``max_nodes`` nodes: each type by its share (one at least), the part ``high_share`` of it by degree, the rest by a hash."""
+    """A fixed sample of at most ``max_nodes`` nodes: each type by its share (one at least), the part ``high_share`` of it by degree, the rest by a hash.
+
+    Both parts are found by thresholds, so no type is sorted as a whole.
+    """
     max_nodes = max(1, max_nodes)
-    ranked = degrees(edges.withColumn("weight", F.lit(1)), nodes.select("node", "node_type")).select("node", "node_type", "degree")
+    ranked = stored(degrees(edges.withColumn("weight", F.lit(1)), nodes.select("node", "node_type")).select("node", "node_type", "degree"), "degrees")
     sizes = ranked.groupBy("node_type").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     if total <= max_nodes:
         return ranked
-    share = F.greatest(F.lit(1), F.round(F.col("n") * F.lit(max_nodes) / F.lit(total))).cast("int").alias("quota")
+    share = F.greatest(F.lit(1), F.round(F.col("n") * F.lit(max_nodes) / F.lit(total))).cast("int")
     quotas = sizes.select("node_type", F.least(share, F.col("n").cast("int")).alias("quota"))
-    by_degree = Window.partitionBy("node_type").orderBy(F.desc("degree"), "node")
-    by_hash = Window.partitionBy("node_type", "high").orderBy(F.xxhash64("node", F.lit(seed)), "node")
-    placed = ranked.join(F.broadcast(quotas), "node_type").withColumn("at", F.row_number().over(by_degree)).withColumn("top", F.least("quota", F.greatest(F.lit(1), F.round(F.col("quota") * F.lit(high_share)).cast("int"))))
-    chosen = placed.withColumn("high", F.col("at") <= F.col("top")).withColumn("draw", F.row_number().over(by_hash)).withColumn("in", F.col("high") | (F.col("draw") <= F.col("quota") - F.col("top")))
+    quotas = stored(quotas.withColumn("high", F.least("quota", F.greatest(F.lit(1), F.round(F.col("quota") * F.lit(high_share)).cast("int")))), "quotas")
+    high = stored(best_of_each(ranked, quotas.select("node_type", F.col("high").alias("quota")), "node_type", ("degree",), (F.asc("node"),)), "high")
+    drawn = ranked.withColumn("draw", -unit_hash(seed, F.col("node"))).join(F.broadcast(high.select("node")), "node", "left_anti")  # max_nodes at most, and one of each type
+    low = best_of_each(drawn, quotas.select("node_type", (F.col("quota") - F.col("high")).alias("quota")), "node_type", ("draw",), (F.asc("node"),)).drop("draw")
+    chosen = stored(high.unionByName(low), "sample")
     # What rounding leaves over is filled, or trimmed, by degree.
-    return chosen.orderBy(F.desc("in"), F.desc("degree"), "node").limit(max_nodes).select("node", "node_type", "degree")
+    rest = ranked.join(F.broadcast(chosen.select("node")), "node", "left_anti").orderBy(F.desc("degree"), "node").limit(max(0, max_nodes - chosen.count()))
+    return chosen.orderBy(F.desc("degree"), "node").limit(max_nodes).unionByName(rest)
 
 
 def hubs(edges: DataFrame, nodes: DataFrame, n: int = 300) -> DataFrame:

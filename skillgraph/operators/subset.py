@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skillgraph.functions.cells import parse_cells
 from skillgraph.functions.text import normalize_text, salary_band, strip, unit_hash
+from skillgraph.operators.selection import best_of_each
 from skillgraph.sources.tabular import Canonical
 from skillgraph.storage import stored
 
@@ -66,8 +67,7 @@ def stratum_key(present: frozenset[str]) -> Column:
 
 def choose(rows: DataFrame, with_quota: DataFrame, target: int, stratum: str = "stratum", score: str = "score", row: str = "row_idx") -> DataFrame:
     """Of each stratum the best rows by (score, row) within its quota; if that is short of ``target``, the best of the rest."""
-    ranked = rows.join(F.broadcast(with_quota.select(stratum, "quota")), stratum).withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(F.desc(score), F.desc(row))))
-    chosen = stored(ranked.where(F.col("_n") <= F.col("quota")).select(row, stratum), "chosen")
+    chosen = stored(best_of_each(rows.select(stratum, row, score), with_quota, stratum, (score, row)).select(row, stratum), "chosen")
     short = target - chosen.count()
     if short <= 0:
         return chosen

@@ -438,13 +438,6 @@ def induced_subgraph_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.induced(edges, nodes, 25)
 
 
-@_register()
-def stratified_node_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = stored(_sparse(spark, sf_dir), "edges")
-    nodes = edges.select(F.col("a").alias("node")).distinct().withColumn("node_type", F.lit("job")).unionByName(edges.select(F.col("b").alias("node")).distinct().withColumn("node_type", F.lit("skill")))
-    return graph.sample_nodes(nodes, edges, 200)
-
-
 def _customer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers who share five parts or more."""
     pairs = projection.pair_scores(_customer_edges(spark, sf_dir)).where("shared_count >= 5")
@@ -640,6 +633,17 @@ def induced_subgraph_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.induced(edges, nodes, 500)
 
 
+@_register(f"""WITH e AS ({_ALL}), d AS (SELECT node, kind, COUNT(*) AS degree FROM (SELECT a AS node, 'job' AS kind FROM e UNION ALL SELECT b, 'skill' FROM e) GROUP BY 1, 2), z AS (SELECT kind, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS total FROM d GROUP BY 1),
+q AS (SELECT kind, CAST(least(n, greatest(1, round(n * 1000 / total))) AS INT) AS quota FROM z), h AS (SELECT kind, quota, CAST(least(quota, greatest(1, round(quota * 0.35))) AS INT) AS high FROM q),
+t AS (SELECT d.*, quota, high, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, node) <= high AS top FROM d JOIN h USING (kind)),
+c AS (SELECT *, top OR row_number() OVER (PARTITION BY kind, top ORDER BY CAST(('0x' || substr(sha1('42:' || node), 1, 8)) AS UBIGINT)::DOUBLE / 4294967295, node) <= quota - high AS chosen FROM t)
+SELECT node, kind AS node_type, degree FROM c ORDER BY chosen DESC, degree DESC, node LIMIT 1000""")
+def stratified_node_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = stored(_whole(spark, sf_dir), "edges")
+    nodes = edges.select(F.col("a").alias("node")).distinct().withColumn("node_type", F.lit("job")).unionByName(edges.select(F.col("b").alias("node")).distinct().withColumn("node_type", F.lit("skill")))
+    return graph.sample_nodes(nodes, edges, 1_000)
+
+
 # --- quality, exports and summaries ---------------------------------------
 
 
