@@ -48,6 +48,16 @@ PROFILES: dict[str, tuple[tuple[int, int] | None, tuple[int, int], tuple[int, in
 PROFILE_NAMES = {"quick": "fast", "standard": "balanced", "full": "deep"}
 
 
+# Texts that stand for true and for false.
+TRUE_TEXTS, FALSE_TEXTS = ("1", "true", "yes", "y", "on"), ("0", "false", "no", "n", "off")
+
+
+def as_bool(value: Any, default: bool) -> bool:
+    """A truth value or a text for one; anything else is the default."""
+    text = str(value).strip().lower()
+    return True if text in TRUE_TEXTS else False if text in FALSE_TEXTS else default
+
+
 @dataclass(frozen=True)
 class Options:
     """What a run may set. A limit of None switches a measure off."""
@@ -65,6 +75,7 @@ class Options:
     subset_bytes: int | None = None
     subset_rows: int | None = None
     subset_seed: int = 42
+    directed: bool = False
     encodings: tuple[str, ...] = ("utf-8-sig", "utf-8", "latin-1")
 
     @staticmethod
@@ -78,7 +89,9 @@ class Options:
         for field, value in changes.items():
             if value is None or field not in kinds:
                 continue
-            if kinds[field] in (int, float, str):
+            if kinds[field] is bool:
+                value = as_bool(value, getattr(base, field))
+            elif kinds[field] in (int, float, str):
                 try:
                     value = kinds[field](value)
                 except (TypeError, ValueError):

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 
 from skillgraph.operators.components import connected
 from skillgraph.operators.graph import degrees
+from skillgraph.sources.tabular import numbered
 from skillgraph.storage import stored
 
 
+#: The widest limits of any profile: what the driver collects and broadcasts never holds more vertices and edges.
+MOST = (60_000, 4_000_000)
+
+
 def guard(vertices: int, edges: int, limit: tuple[int, int] | None, prefix: str = "") -> str | None:
     """Why a measure is left out, or None."""
     if limit is None:
@@ -27,14 +32,21 @@ def guard(vertices: int, edges: int, limit: tuple[int, int] | None, prefix: str
     return None
 
 
-def _adjacency(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names in order, and neighbours by vertex (bounded by the caller's guard)."""
-    pairs = edges.select("a", "b").toPandas()
-    names = np.unique(np.concatenate([pairs["a"], pairs["b"]])) if len(pairs) else np.empty(0, object)
-    a, b = np.searchsorted(names, pairs["a"]), np.searchsorted(names, pairs["b"])
+def _adjacency(edges: DataFrame, limit: tuple[int, int]) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(node, id) with ids from 0, and neighbours by id. Names stay in Spark; two numbers for each edge come to the driver.
+
+    ValueError for more vertices or edges than ``limit``: that bounds what is collected and broadcast.
+    """
+    nodes = numbered(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "id")
+    n, m = nodes.count(), edges.count()
+    if why := guard(n, m, limit):
+        raise ValueError(why)
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("id").cast("int").alias(f"{end}_id"))
+    pairs = edges.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a_id", "b_id").toArrow()
+    a, b = (pairs.column(c).to_numpy() for c in ("a_id", "b_id"))
     ends = np.concatenate([a, b])
     order = np.argsort(ends, kind="stable")
-    return names, np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=len(names)))]), np.concatenate([b, a])[order]
+    return nodes, np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=n))]), np.concatenate([b, a])[order]
 
 
 def _levels(start: np.ndarray, to: np.ndarray, source: int, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -58,15 +70,15 @@ def _levels(start: np.ndarray, to: np.ndarray, source: int, n: int) -> tuple[lis
     return levels, distance, paths, steps
 
 
-def path_measures(edges: DataFrame, betweenness: bool = True, closeness: bool = True) -> DataFrame:
+def path_measures(edges: DataFrame, betweenness: bool = True, limit: tuple[int, int] = MOST) -> DataFrame:
     """(node, betweenness, distance_sum, reached) of every vertex with an edge; undirected, unweighted, edges distinct.
 
-    Betweenness is not normalised; every pair of vertices counts once.
+    Betweenness is not normalised; every pair of vertices counts once. ValueError beyond ``limit`` vertices and edges.
     """
     spark = edges.sparkSession
-    names, start, to = _adjacency(edges)
+    nodes, start, to = _adjacency(stored(edges.select("a", "b"), "pairs"), limit)
     shared = spark.sparkContext.broadcast((start, to))
-    n = len(names)
+    n = len(start) - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         start, to = shared.value
@@ -88,8 +100,7 @@ def path_measures(edges: DataFrame, betweenness: bool = True, closeness: bool =
 
     parts = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
     found = spark.range(0, n, 1, parts).mapInPandas(run, "id long, betweenness double, distance_sum long, reached long").groupBy("id").agg(F.sum("betweenness").alias("betweenness"), F.sum("distance_sum").alias("distance_sum"), F.sum("reached").alias("reached"))
-    named = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "node": names.astype(str)}) if n else [], "id long, node string")
-    return named.join(found, "id").select("node", "betweenness", "distance_sum", "reached")
+    return nodes.join(found, "id").select("node", "betweenness", "distance_sum", "reached")
 
 
 def centrality(edges: DataFrame, nodes: DataFrame, betweenness_limit: tuple[int, int] | None, closeness_limit: tuple[int, int] | None) -> tuple[DataFrame, dict[str, str]]:
@@ -107,7 +118,7 @@ def centrality(edges: DataFrame, nodes: DataFrame, betweenness_limit: tuple[int,
     if why:
         table = table.withColumn("betweenness", F.lit(None).cast("double"))
     else:
-        between = path_measures(edges).select("node", "betweenness")
+        between = path_measures(edges, limit=betweenness_limit).select("node", "betweenness")
         table = table.join(between, "node", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
     members = stored(connected(edges, nodes), "members")
     top = members.groupBy("component").count().orderBy(F.desc("count"), "component").first()
@@ -117,5 +128,5 @@ def centrality(edges: DataFrame, nodes: DataFrame, betweenness_limit: tuple[int,
     notes["closeness"] = why or "computed"
     if why:
         return table.withColumn("closeness", F.lit(None).cast("double")), notes
-    near = path_measures(inside, betweenness=False).select("node", ((F.col("reached") - 1) / F.col("distance_sum")).alias("closeness"))
+    near = path_measures(inside, betweenness=False, limit=closeness_limit).select("node", ((F.col("reached") - 1) / F.col("distance_sum")).alias("closeness"))
     return table.join(near, "node", "left"), notes

@@ -75,6 +75,12 @@ def choose(rows: DataFrame, with_quota: DataFrame, target: int, stratum: str = "
     return chosen.unionByName(rest.select(row, stratum))
 
 
+def strata_counts(rows: DataFrame, chosen: DataFrame, stratum: str = "stratum") -> DataFrame:
+    """(stratum, total_rows, selected_rows): how many rows of each stratum there are, and how many were chosen."""
+    marked = rows.select(stratum, F.lit(1).alias("_all_"), F.lit(0).alias("_chosen_")).unionByName(chosen.select(stratum, F.lit(0).alias("_all_"), F.lit(1).alias("_chosen_")))
+    return marked.groupBy(stratum).agg(F.sum("_all_").alias("total_rows"), F.sum("_chosen_").alias("selected_rows"))
+
+
 def stratified_subset(source: Canonical, target_bytes: int, seed: int = 42, target_rows: int | None = None) -> tuple[DataFrame, dict[str, Any]]:
     """(canonical rows of the subset in file order, summary): ``target_rows`` of them, or as many as make ``target_bytes``. The same rows for the same file and seed."""
     columns = [c for c in source.rows.columns if c != "row_idx"]
@@ -91,5 +97,6 @@ def stratified_subset(source: Canonical, target_bytes: int, seed: int = 42, targ
     marks = rows.select("row_idx", F.explode("skills").alias("skill")).join(frequency, "skill").groupBy("row_idx").agg(F.max((F.col("n") <= rare).cast("int")).alias("rare"), F.max((F.col("n") >= common).cast("int")).alias("common"))
     score = unit_hash(seed, F.col("row_idx")) + 0.3 * F.coalesce("rare", F.lit(0)) + 0.1 * F.coalesce("common", F.lit(0)) + F.least(F.size("skills"), F.lit(20)) / 100.0
     chosen = stored(choose(rows.join(marks, "row_idx", "left").withColumn("score", score), share, target), "subset")
-    summary = {"seed": seed, "total_rows": total, "selected_rows": chosen.count(), "target_rows": target, "target_bytes": target_bytes, "average_row_bytes": round(average, 4), "rare_cutoff": rare, "common_cutoff": common, "strata": rows.select("stratum").distinct().count(), "selected_strata": chosen.select("stratum").distinct().count()}
+    strata = strata_counts(rows, chosen).agg(F.count("*"), F.count_if(F.col("selected_rows") > 0)).first()
+    summary = {"seed": seed, "total_rows": total, "selected_rows": chosen.count(), "target_rows": target, "target_bytes": target_bytes, "average_row_bytes": round(average, 4), "rare_cutoff": rare, "common_cutoff": common, "strata": strata[0], "selected_strata": strata[1]}
     return source.rows.join(chosen.select("row_idx"), "row_idx", "left_semi").orderBy("row_idx"), summary

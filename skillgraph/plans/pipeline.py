@@ -66,7 +66,8 @@ def run(spark: SparkSession, path: str, options: Options = Options()) -> Result:
     clock.stage("entities")
     links = edges.select(F.col("job_id").alias("a"), F.col("skill_id").alias("b"), F.col("edge_weight").alias("weight"))
     nodes = jobs.select(F.col("job_id").alias("node"), F.lit("job").alias("node_type"), F.col("job_title").alias("label")).unionByName(skills.select(F.col("skill_id").alias("node"), F.lit("skill").alias("node_type"), "label"))
-    metrics = graph.degrees(links, nodes).select(F.col("node").alias("node_id"), "node_type", "degree", F.col("strength").cast("double").alias("weighted_degree"))
+    ways = ("in_degree", "out_degree") if options.directed else ()
+    metrics = graph.degrees(links, nodes, directed=options.directed).select(F.col("node").alias("node_id"), "node_type", "degree", F.col("strength").cast("double").alias("weighted_degree"), *ways)
     sizes = connected(links, nodes).groupBy("component").count().agg(F.count("*"), F.max("count")).first()
     clock.stage("graph")
     judged = stored(projection.guarded(edges, "job_id", "skill_id", "first_seen", options.max_feature_degree, options.max_pairs_per_feature, options.max_total_pairs), "guard")
@@ -111,6 +112,7 @@ def main(arguments: list[str] | None = None) -> None:
     for name, kind in (("top-k", int), ("threshold", float), ("max-feature-degree", int), ("max-pairs-per-feature", int), ("max-total-pairs", int), ("warn-edges", int), ("subset-bytes", int), ("subset-rows", int), ("subset-seed", int)):
         p.add_argument(f"--{name}", type=kind)
     measures = ("betweenness", "closeness")
+    p.add_argument("--directed", nargs="?", const=True)
     for name in measures:
         p.add_argument(f"--disable-{name}", action="store_true")
         p.add_argument(f"--{name}-max-vertices", type=int)

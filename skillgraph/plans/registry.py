@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skillgraph.config import ALIASES
+from skillgraph.config import ALIASES, Options
 from skillgraph.functions import cells, text
 from skillgraph.operators import entities, events, export, graph, lookup, paths, projection, quality, subset
 from skillgraph.operators.components import connected
+from skillgraph.plans import pipeline
 from skillgraph.sources import exports, tabular
-from skillgraph.storage import stored
+from skillgraph.storage import scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -462,11 +463,24 @@ def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.where("closeness is not null").select("node", F.round("closeness", 9).alias("closeness"))
 
 
-@_register()
+def _betweenness(levels: int = 14) -> str:
+    """Numbers of shortest paths level by level from every vertex, then what each vertex adds to those before it, from the last level back."""
+    parts = ["u AS MATERIALIZED (SELECT a, b FROM g UNION ALL SELECT b, a FROM g)", "l0 AS MATERIALIZED (SELECT DISTINCT a AS s, a AS v, CAST(1 AS DOUBLE) AS n FROM u)"]
+    for k in range(1, levels + 1):
+        seen = f"SELECT s, v FROM l{k - 1}" + (f" UNION ALL SELECT s, v FROM l{k - 2}" if k > 1 else "")
+        parts.append(f"l{k} AS MATERIALIZED (SELECT x.s, u.b AS v, SUM(n) AS n FROM l{k - 1} x JOIN u ON u.a = x.v WHERE NOT EXISTS (SELECT 1 FROM ({seen}) o WHERE o.s = x.s AND o.v = u.b) GROUP BY 1, 2)")
+    parts.append(f"d{levels} AS MATERIALIZED (SELECT s, v, n, CAST(0 AS DOUBLE) AS d FROM l{levels})")
+    for k in range(levels - 1, 0, -1):
+        parts.append(f"d{k} AS MATERIALIZED (SELECT x.s, x.v, x.n, COALESCE(SUM(x.n / y.n * (1 + y.d)), 0) AS d FROM l{k} x JOIN u ON u.a = x.v LEFT JOIN d{k + 1} y ON y.s = x.s AND y.v = u.b GROUP BY 1, 2, 3)")
+    every = " UNION ALL ".join(f"SELECT v, d FROM d{k}" for k in range(1, levels + 1))
+    return f"{_CUSTOMER_GRAPH}, {', '.join(parts)}, t AS (SELECT v, SUM(d) / 2 AS b FROM ({every}) GROUP BY 1) SELECT a AS node, COUNT(*) AS degree, ROUND(COALESCE(MAX(t.b), 0), 4) AS betweenness FROM u LEFT JOIN t ON t.v = u.a GROUP BY 1"
+
+
+@_register(_betweenness())
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _customer_graph(spark, sf_dir)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    return paths.centrality(edges, nodes, (15_000, 1_000_000), None)[0].select("node", "degree", "betweenness")
+    return paths.centrality(edges, nodes, (15_000, 1_000_000), None)[0].select("node", "degree", F.round("betweenness", 4).alias("betweenness"))
 
 
 # --- subset ----------------------------------------------------------------
@@ -556,6 +570,59 @@ def stratum_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_idx", subset.stratum_key(frozenset(rows.columns)).alias("stratum"))
 
 
+@_register(f"""{_RAW} SELECT DISTINCT 'skill::' || substr(sha1(t), 1, 16) AS skill_id, t AS skill_text_normalized, 'P' || t[2:] AS skill_text_raw_example, 'P' || t[2:] AS label FROM i""")
+def build_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.build(_raw_rows(spark, sf_dir)).skills.select("skill_id", "skill_text_normalized", "skill_text_raw_example", "label")
+
+
+def _made_file(spark: SparkSession, sf_dir: str) -> str:
+    """The raw rows as delimited files, in order, under headers as users write them."""
+    path = scratch_path(spark, "made")
+    rows = _raw_rows(spark, sf_dir).rows.orderBy("row_idx").select(F.col("job_id").alias("Job ID"), F.col("job_title").alias("Job Title"), F.col("company_name").alias("Company"), F.col("posted_at").alias("Posted At"), F.col("skills").alias("Skills"))
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+@_register(f"""{_RAW}, e AS (SELECT job_id AS entity, t AS feature, MAX(CAST(ROUND(w, 6) AS DECIMAL(18,6))) AS weight FROM i GROUP BY 1, 2), p AS ({_PAIRS.format(e='e')}), x AS ({_topk_sql('e', 'shared_count', 5, 1, 'unweighted')} UNION ALL {_topk_sql('e', 'weighted_score', 5, 1, 'weighted')})
+SELECT entity AS job_id, neighbor AS neighbor_job_id, similarity_score, rank, method FROM x""")
+def pipeline_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run over files that Spark has written: reading, parsing, deduplication, projection, ranks."""
+    options = Options(top_k=5, threshold=1.0, max_feature_degree=10**6, max_pairs_per_feature=10**9, max_total_pairs=0, betweenness_limit=None, closeness_limit=None)
+    return pipeline.run(spark, _made_file(spark, sf_dir), options).topk
+
+
+def _subset_rows(spark: SparkSession, sf_dir: str) -> tabular.Canonical:
+    """Orders as canonical rows with one or two skills, in strata of priority, status and price."""
+    key, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    cell = F.concat(F.lit('[{"skill":"Part '), key % 50, F.lit('"}'), F.when(key % 3 == 0, F.concat(F.lit(',{"skill":"Part '), key % 7 + 60, F.lit('."}'))).otherwise(""), F.lit("]"))
+    columns = {"job_id": key.cast("string"), "job_title": F.lit("t"), "skills": cell, "assigned_occupation_group": F.col("o_orderpriority"), "district": F.col("o_orderstatus"), "salary_mean_inr_month": F.col("o_totalprice").cast("decimal(18,2)").cast("string")}
+    return tabular.Canonical(_table(spark, sf_dir, "orders").select(key.alias("row_idx"), *[columns.get(c, none).alias(c) for c in sorted(ALIASES)]), frozenset(columns), ())
+
+
+_SUBSET = """WITH s AS (SELECT o_orderkey AS row_idx, lower(o_orderpriority) || '||' || lower(o_orderstatus) || '||' || CASE WHEN o_totalprice < 10000 THEN 'lt_10k' WHEN o_totalprice < 20000 THEN '10k_20k' WHEN o_totalprice < 50000 THEN '20k_50k' ELSE 'ge_50k' END AS stratum,
+CASE WHEN o_orderkey % 3 = 0 THEN [o_orderkey % 50, o_orderkey % 7 + 60] ELSE [o_orderkey % 50] END AS skills FROM orders),
+f AS (SELECT skill, COUNT(*) AS n FROM (SELECT unnest(skills) AS skill FROM s) GROUP BY 1), l AS (SELECT LIST(n ORDER BY n) AS l, COUNT(*) AS c FROM f), k AS (SELECT GREATEST(1, l[GREATEST(1, CAST(FLOOR(c * 0.1) AS BIGINT))]) AS rare, GREATEST(1, l[GREATEST(1, CAST(FLOOR(c * 0.9) AS BIGINT))]) AS common FROM l),
+m AS (SELECT row_idx, MAX(CAST(n <= rare AS INT)) AS rare, MAX(CAST(n >= common AS INT)) AS common FROM (SELECT row_idx, unnest(skills) AS skill FROM s) JOIN f USING (skill), k GROUP BY 1),
+v AS (SELECT s.row_idx, stratum, CAST(('0x' || substr(sha1('42:' || s.row_idx), 1, 8)) AS UBIGINT)::DOUBLE / 4294967295 + CAST(0.3 AS DOUBLE) * rare + CAST(0.1 AS DOUBLE) * common + len(skills) / CAST(100 AS DOUBLE) AS score FROM s JOIN m USING (row_idx)),
+n AS (SELECT stratum, COUNT(*) AS n FROM s GROUP BY 1), t AS (SELECT least(600, SUM(n)) AS target, SUM(n) AS total FROM n), x AS (SELECT stratum, n, n / total * CAST(target AS DOUBLE) AS exact, target FROM n, t), q AS (SELECT *, CAST(FLOOR(exact) AS BIGINT) AS q FROM x),
+quota AS (SELECT stratum, n, q + CASE WHEN ROW_NUMBER() OVER (ORDER BY exact - q DESC, n DESC, stratum DESC) <= target - SUM(q) OVER () THEN 1 ELSE 0 END AS quota FROM q),
+c AS (SELECT row_idx, stratum, ROW_NUMBER() OVER (PARTITION BY stratum ORDER BY score DESC, row_idx DESC) <= quota AS chosen, score FROM v JOIN quota USING (stratum)),
+z AS (SELECT row_idx, stratum FROM c ORDER BY chosen DESC, score DESC, row_idx DESC LIMIT 600)"""
+
+
+@_register(f"{_SUBSET} SELECT CAST(row_idx AS VARCHAR) AS job_id FROM z")
+def stratified_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subset.stratified_subset(_subset_rows(spark, sf_dir), 0, 42, 600)[0].select("job_id")
+
+
+@_register(f"{_SUBSET} SELECT s.stratum, COUNT(*) AS total_rows, COUNT(z.row_idx) AS selected_rows FROM s LEFT JOIN z USING (row_idx) GROUP BY 1")
+def subset_strata_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _subset_rows(spark, sf_dir)
+    rows = source.rows.select("row_idx", subset.stratum_key(source.present).alias("stratum"))
+    chosen = subset.stratified_subset(source, 0, 42, 600)[0].select("row_idx")
+    return subset.strata_counts(rows, rows.join(chosen, "row_idx", "left_semi"))
+
+
 def _customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("node"), F.lit("job").alias("node_type"), F.col("c_name").alias("label"))
 
@@ -644,6 +711,118 @@ def stratified_node_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.sample_nodes(nodes, edges, 1_000)
 
 
+@_register("""WITH e AS (SELECT 'c' || o_custkey AS a, 'c' || (o_orderkey % 997) AS b, CAST(o_totalprice AS DECIMAL(18,2)) AS w FROM orders WHERE o_custkey <> o_orderkey % 997), x AS (SELECT a AS node, 0 AS i, w FROM e UNION ALL SELECT b, 1, w FROM e)
+SELECT node, COUNT(*) AS degree, COUNT(*) FILTER (WHERE i = 1) AS in_degree, COUNT(*) FILTER (WHERE i = 0) AS out_degree, CAST(SUM(w) AS DOUBLE) AS strength, CAST(COALESCE(SUM(w) FILTER (WHERE i = 1), 0) AS DOUBLE) AS in_strength, CAST(COALESCE(SUM(w) FILTER (WHERE i = 0), 0) AS DOUBLE) AS out_strength FROM x GROUP BY 1""")
+def directed_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and those that their orders' numbers point to: each end of an edge counts by its direction."""
+    key = F.col("o_orderkey") % 997
+    edges = _table(spark, sf_dir, "orders").where(F.col("o_custkey") != key).select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("c"), key).alias("b"), F.col("o_totalprice").cast("decimal(18,2)").alias("weight"))
+    found = graph.degrees(edges, directed=True)
+    return found.select("node", "degree", "in_degree", "out_degree", *[F.col(c).cast("double").alias(c) for c in ("strength", "in_strength", "out_strength")])
+
+
+_ORDER_GRAPH = "n AS (SELECT 'o' || o_orderkey AS node, 'order' AS kind FROM orders UNION ALL SELECT 'c' || c_custkey, 'customer' FROM customer), e AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b, o_totalprice AS w FROM orders)"
+_NATION_GRAPH = "n AS (SELECT 'c' || c_custkey AS node, 'customer' AS kind FROM customer UNION ALL SELECT 'n' || n_nationkey, 'nation' FROM nation), e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b, c_acctbal AS w FROM customer)"
+
+
+def _order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and their customers: a star for each customer."""
+    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    nodes = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.lit("order").alias("node_type"), F.lit("").alias("label")).unionByName(customers.select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.lit("customer").alias("node_type"), F.col("c_name").alias("label")))
+    return nodes, orders.select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"), F.col("o_totalprice").alias("weight"))
+
+
+def _nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    customers, nations = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "nation")
+    nodes = customers.select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.lit("customer").alias("node_type"), F.col("c_name").alias("label")).unionByName(nations.select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.lit("nation").alias("node_type"), F.col("n_name").alias("label")))
+    return nodes, customers.select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("n"), "c_nationkey").alias("b"), F.col("c_acctbal").alias("weight"))
+
+
+def _overview_sql(made: str) -> str:
+    return f"""WITH RECURSIVE {made}, u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, root) AS (SELECT node, node FROM n UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node), m AS (SELECT node, MIN(root) AS component FROM r GROUP BY 1), k AS (SELECT component, COUNT(*) AS size FROM m GROUP BY 1),
+d AS (SELECT node, kind, COUNT(u.b) AS degree FROM n LEFT JOIN u ON u.a = n.node GROUP BY 1, 2), g AS (SELECT (SELECT COUNT(*) FROM n) AS n, (SELECT COUNT(*) FROM e) AS m), p AS (SELECT n > 8000 OR m > 60000 AS sampled FROM g),
+z AS (SELECT kind, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS total FROM d GROUP BY 1), q AS (SELECT kind, CAST(least(n, greatest(1, round(n * 1000 / total))) AS INT) AS quota FROM z), h AS (SELECT kind, quota, CAST(least(quota, greatest(1, round(quota * 0.35))) AS INT) AS high FROM q),
+t AS (SELECT d.*, quota, high, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, node) <= high AS top FROM d JOIN h USING (kind)),
+c AS (SELECT *, top OR row_number() OVER (PARTITION BY kind, top ORDER BY CAST(('0x' || substr(sha1('42:' || node), 1, 8)) AS UBIGINT)::DOUBLE / 4294967295, node) <= quota - high AS chosen FROM t),
+s AS (SELECT node FROM c ORDER BY chosen DESC, degree DESC, node LIMIT 1000), x AS (SELECT node, kind FROM n WHERE NOT (SELECT sampled FROM p) OR node IN (SELECT node FROM s)),
+i AS (SELECT a, b FROM e WHERE a IN (SELECT node FROM x) AND b IN (SELECT node FROM x) ORDER BY w DESC, a, b LIMIT 300), w AS (SELECT MIN(degree) AS lo, (MAX(degree) - MIN(degree)) / 40 AS w FROM d),
+o AS (SELECT x.node, COUNT(y.node) AS n FROM x LEFT JOIN (SELECT a AS node FROM i UNION ALL SELECT b FROM i) y ON y.node = x.node GROUP BY 1)
+SELECT 'nodes' AS part, '' AS item, CAST(n AS BIGINT) AS n FROM g UNION ALL SELECT 'edges', '', m FROM g UNION ALL SELECT 'components', '', COUNT(*) FROM k UNION ALL SELECT 'sampled', '', CAST(sampled AS BIGINT) FROM p
+UNION ALL SELECT 'clipped', '', greatest(0, (SELECT COUNT(*) FROM e WHERE a IN (SELECT node FROM x) AND b IN (SELECT node FROM x)) - 300) UNION ALL SELECT 'type', kind, COUNT(*) FROM d GROUP BY kind
+UNION ALL SELECT 'bin', kind || ' ' || CAST(LEAST(40, FLOOR((degree - lo) / w) + 1) AS INT), COUNT(*) FROM d, w GROUP BY 2 UNION ALL SELECT * FROM (SELECT 'component', component, size FROM k ORDER BY size DESC, component LIMIT 20) UNION ALL SELECT 'shown', node, n FROM o"""
+
+
+def _overview(found: graph.Overview) -> DataFrame:
+    one = found.types.sparkSession.createDataFrame([(k, "", v) for k, v in (("nodes", found.nodes), ("edges", found.edges), ("components", found.components), ("sampled", int(found.sampled)), ("clipped", found.clipped))], "part string, item string, n long")
+    parts = [found.types.select(F.lit("type"), "node_type", "n"), found.histogram.select(F.lit("bin"), F.concat_ws(" ", "node_type", "bin"), "n"), found.largest.select(F.lit("component"), "component", "size"), found.shown.select(F.lit("shown"), "node", "rendered_degree")]
+    for p in parts:
+        one = one.union(p)
+    return one
+
+
+@_register(_overview_sql(_ORDER_GRAPH))
+def graph_overview_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked for whole; beyond the limits (from sf0.01 on) it is a sample."""
+    return _overview(graph.overview(*_order_graph(spark, sf_dir), whole=True, max_edges=300))
+
+
+@_register(_overview_sql(_NATION_GRAPH))
+def graph_overview_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overview(graph.overview(*_nation_graph(spark, sf_dir), whole=True, max_edges=300))
+
+
+@_register(f"WITH {_ORDER_GRAPH}, d AS (SELECT c_custkey, 'c' || c_custkey AS node FROM customer), k AS (SELECT least(node, coalesce(MIN('o' || o_orderkey), node)) AS component, COUNT(o_orderkey) + 1 AS size FROM d LEFT JOIN orders ON o_custkey = c_custkey GROUP BY node) SELECT component, size, CAST(row_number() OVER (ORDER BY size DESC, component) AS INT) AS rank FROM k QUALIFY rank <= 50")
+def component_sizes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _order_graph(spark, sf_dir)
+    return graph.top_components(graph.component_sizes(edges, nodes), 50)
+
+
+@_register("""WITH t AS (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY COUNT(*) DESC, least('c' || o_custkey, MIN('o' || o_orderkey)) LIMIT 1), n AS (SELECT 'c' || o_custkey AS node, COUNT(*) AS degree FROM orders JOIN t USING (o_custkey) GROUP BY 1 UNION ALL SELECT 'o' || o_orderkey, 1 FROM orders JOIN t USING (o_custkey)) SELECT node, degree FROM n ORDER BY degree DESC, node LIMIT 12""")
+def component_clip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _order_graph(spark, sf_dir)
+    members = stored(connected(edges, nodes), "members")
+    top = graph.top_components(members.groupBy("component").agg(F.count("*").alias("size")), 1).first()[0]
+    return graph.component_part(edges, members, top, 12)
+
+
+_HUBS = """WITH e AS (SELECT 'e' || l_orderkey AS a, 'f' || l_partkey AS b, MAX(l_quantity) AS weight FROM lineitem GROUP BY 1, 2), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), c AS (SELECT b AS center FROM e GROUP BY b ORDER BY COUNT(*) DESC, b LIMIT 3),
+p0 AS (SELECT center, center AS node, 0 AS hop, CAST(1 AS BIGINT) AS place FROM c),
+n1 AS (SELECT center, u.b AS node, MIN(place) AS parent FROM p0 JOIN u ON u.a = p0.node GROUP BY 1, 2), p1 AS (SELECT center, node, 1 AS hop, 1 + row_number() OVER (PARTITION BY center ORDER BY parent, node) AS place FROM n1 QUALIFY place <= 150),
+n2 AS (SELECT center, u.b AS node, MIN(place) AS parent FROM p1 JOIN u ON u.a = p1.node WHERE u.b <> center AND NOT EXISTS (SELECT 1 FROM p1 o WHERE o.center = p1.center AND o.node = u.b) GROUP BY 1, 2), h AS (SELECT center, 1 + COUNT(*) AS held FROM p1 GROUP BY 1),
+p2 AS (SELECT center, node, 2 AS hop, held + row_number() OVER (PARTITION BY center ORDER BY parent, node) AS place FROM n2 JOIN h USING (center) QUALIFY place <= 150), s AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)"""
+
+
+def _hub_networks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges = stored(_whole(spark, sf_dir), "edges")
+    nodes = edges.select(F.col("a").alias("node")).distinct().withColumn("node_type", F.lit("job")).unionByName(edges.select(F.col("b").alias("node")).distinct().withColumn("node_type", F.lit("skill"))).withColumn("label", F.upper("node"))
+    centers = graph.hubs(edges, nodes, 3).select(F.col("node").alias("center"))
+    return graph.hub_networks(edges, nodes, centers, 2, 150, 120)
+
+
+@_register(f"{_HUBS} SELECT center, node, CASE WHEN node LIKE 'e%' THEN 'job' ELSE 'skill' END AS node_type, upper(node) AS label, hop, CAST(place AS INT) AS place FROM s")
+def hub_network_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hub_networks(spark, sf_dir)[0]
+
+
+@_register(f"{_HUBS} SELECT s.center, a, b, weight FROM e JOIN s ON s.node = e.a JOIN s o ON o.center = s.center AND o.node = e.b QUALIFY row_number() OVER (PARTITION BY s.center ORDER BY weight DESC, a, b) <= 120")
+def hub_network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hub_networks(spark, sf_dir)[1]
+
+
+@_register("""WITH e AS (SELECT 'e' || l_orderkey AS a, 'f' || l_partkey AS b, MAX(l_quantity) AS w FROM lineitem GROUP BY 1, 2), d AS (SELECT node, COUNT(*) AS global_degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY 1),
+n AS (SELECT node, global_degree FROM d QUALIFY row_number() OVER (PARTITION BY node[1] ORDER BY global_degree DESC, node) <= 400), l AS (SELECT e.* FROM e JOIN n x ON x.node = a JOIN n y ON y.node = b), k AS (SELECT * FROM l ORDER BY w DESC, a, b LIMIT 100),
+c AS (SELECT node, SUM(x) AS local_degree, SUM(y) AS rendered_degree FROM (SELECT a AS node, 1 AS x, 0 AS y FROM l UNION ALL SELECT b, 1, 0 FROM l UNION ALL SELECT a, 0, 1 FROM k UNION ALL SELECT b, 0, 1 FROM k) GROUP BY 1)
+SELECT node, global_degree, CAST(COALESCE(local_degree, 0) AS BIGINT) AS local_degree, CAST(COALESCE(rendered_degree, 0) AS BIGINT) AS rendered_degree, greatest(0, (SELECT COUNT(*) FROM l) - 100) AS clipped FROM n LEFT JOIN c USING (node)""")
+def rendered_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees in the whole graph, among the busiest nodes of each kind, and in the heaviest edges among these."""
+    edges = stored(_whole(spark, sf_dir), "edges")
+    ranked = graph.degrees(edges).withColumn("kind", F.substring("node", 1, 1))
+    best = Window.partitionBy("kind").orderBy(F.desc("degree"), "node")
+    nodes = stored(ranked.withColumn("at", F.row_number().over(best)).where("at <= 400").select("node"), "busiest")
+    table, _, clipped = graph.rendered(edges, nodes, 100)
+    return table.select("node", "global_degree", "local_degree", "rendered_degree", F.lit(clipped).cast("long").alias("clipped"))
+
+
 # --- quality, exports and summaries ---------------------------------------
 
 

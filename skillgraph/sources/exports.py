@@ -47,6 +47,18 @@ def read_table(spark: SparkSession, path: str, required: tuple[str, ...]) -> Dat
     return require(df, required)
 
 
+def artifacts(spark: SparkSession, folder: str, sampled: bool = False) -> DataFrame:
+    """(artifact_name, file_path, mime_type, size_bytes) of the outputs that a run has left in ``folder``, in the order in which they are named."""
+    rows = []
+    for name, file in OUTPUTS.items():
+        path = output_path(folder, name, sampled)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if store.exists(place):
+            rows.append((name, path, "application/json" if file.endswith(".json") else "text/csv", store.getContentSummary(place).getLength()))
+    return spark.createDataFrame(rows, "artifact_name string, file_path string, mime_type string, size_bytes long")
+
+
 def require(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
     lacking = sorted(set(required) - set(df.columns))
     if lacking:
