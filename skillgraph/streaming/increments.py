@@ -2,12 +2,15 @@
 
 The batch operators do the work: of entities the first row wins and later ones fill
 its gaps, of edges the greatest weight wins, so a batch merges with what is stored
-by the same rules, in any number of batches.
+by the same rules, in any number of batches. The state lies in parts by a hash of
+the key: a batch reads and rewrites only those parts that its own keys fall into.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,43 +18,95 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from skillgraph.operators.entities import best_edges
+from skillgraph.storage import stored
 
 
-def merge_edges(stored: DataFrame | None, new: DataFrame, entity: str = "entity", feature: str = "feature", weight: str = "weight", order: tuple[str, ...] = ("row_idx",)) -> DataFrame:
+def merge_edges(known: DataFrame | None, new: DataFrame, entity: str = "entity", feature: str = "feature", weight: str = "weight", order: tuple[str, ...] = ("row_idx",)) -> DataFrame:
     """The best edge of each pair, of those stored and those new."""
-    both = new if stored is None else stored.unionByName(new.select(*stored.columns))
+    both = new if known is None else known.unionByName(new.select(*known.columns))
     return best_edges(both, entity, feature, weight, order)
 
 
-def _state(spark: SparkSession, folder: str) -> DataFrame | None:
-    """What the last finished batch has left: the newest version that its marker names."""
+def _store(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The file system of a path, and the path as it takes it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _lists(spark: SparkSession, folder: str) -> list[int]:
+    """Batches that have finished and whose list of parts is still there, in order."""
+    store, place = _store(spark, f"{folder}/parts")
+    names = [s.getPath().getName() for s in store.listStatus(place)] if store.exists(place) else []
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+
+def _parts(spark: SparkSession, folder: str, batch: int) -> dict[int, str]:
+    """Where each part of the state lies after a batch: number of the part to folder."""
+    store, place = _store(spark, f"{folder}/parts/{batch}.json")
+    stream = store.open(place)
     try:
-        marks = spark.read.schema("version string, batch long").json(f"{folder}/versions")
-        last = marks.orderBy(F.desc("batch")).first()
-    except Exception as error:  # the first batch finds no folder
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return None
-    return None if last is None else spark.read.parquet(f"{folder}/{last['version']}")
+        return {int(k): v for k, v in json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))).items()}
+    finally:
+        stream.close()
 
 
-def edge_stream(spark: SparkSession, source: str, schema: StructType, folder: str, max_files: int = 100) -> StreamingQuery:
-    """Keeps ``folder`` up to date with the item files (entity, feature, weight, row_idx) that appear in ``source``.
+def _put(spark: SparkSession, folder: str, batch: int, parts: dict[int, str]) -> None:
+    """Writes the list of parts beside its place and moves it there, so that it is whole or not there."""
+    store, made = _store(spark, f"{folder}/parts/{uuid.uuid4().hex}.tmp")
+    stream = store.create(made)
+    try:
+        stream.write(bytearray(json.dumps(parts, indent=0).encode()))
+    finally:
+        stream.close()
+    _, place = _store(spark, f"{folder}/parts/{batch}.json")
+    store.delete(place, False)
+    store.rename(made, place)
 
-    A batch writes a new version and then its marker; a batch that is run again writes the same rows anew.
-    """
-    items = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
 
-    def update(batch: DataFrame, number: int) -> None:
-        version = f"edges-{number}-{uuid.uuid4().hex}"
-        merge_edges(_state(batch.sparkSession, folder), batch).write.parquet(f"{folder}/{version}")
-        batch.sparkSession.createDataFrame([(version, number)], "version string, batch long").coalesce(1).write.mode("append").json(f"{folder}/versions")
+def _remove_old(spark: SparkSession, folder: str) -> None:
+    """Removes what neither the last state nor the one before it names: a reader may still be at the latter."""
+    known = _lists(spark, folder)
+    kept = {p for n in known[-2:] for p in _parts(spark, folder, n).values()}
+    for n in known[:-2]:
+        for path in {*_parts(spark, folder, n).values()} - kept:
+            store, place = _store(spark, path)
+            store.delete(place, True)
+        store, place = _store(spark, f"{folder}/parts/{n}.json")
+        store.delete(place, False)
 
-    return items.writeStream.foreachBatch(update).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    return spark.read.parquet(*paths) if paths else None
+
+
+def apply_batch(batch: DataFrame, folder: str, number: int, parts: int = 256) -> None:
+    """Merges items into the state in ``folder``. A batch that is run again gives the same state.
+
+    ``parts`` holds for a folder's whole life. At most that many numbers come to the driver.
+    """
+    spark = batch.sparkSession
+    known = _lists(spark, folder)
+    before = _parts(spark, folder, known[-1]) if known else {}
+    placed = stored(batch.withColumn("part", F.pmod(F.xxhash64("entity", "feature"), F.lit(parts)).cast("int")), "batch")
+    touched = sorted(r["part"] for r in placed.select("part").distinct().collect())
+    merged = merge_edges(_read(spark, [before[k] for k in touched if k in before]), placed.drop("part"))
+    version = f"{folder}/edges/{number}-{uuid.uuid4().hex}"
+    dealt = merged.withColumn("part", F.pmod(F.xxhash64("entity", "feature"), F.lit(parts)).cast("int"))
+    dealt.repartition("part").write.partitionBy("part").parquet(version)
+    _put(spark, folder, number, before | {k: f"{version}/part={k}" for k in touched})
+    _remove_old(spark, folder)
+
+
+def edge_stream(spark: SparkSession, source: str, schema: StructType, folder: str, max_files: int = 100, parts: int = 256) -> StreamingQuery:
+    """Keeps ``folder`` up to date with the item files (entity, feature, weight, row_idx) that appear in ``source``."""
+    items = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    return items.writeStream.foreachBatch(lambda batch, number: apply_batch(batch, folder, number, parts)).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
 
 
 def current_edges(spark: SparkSession, folder: str) -> DataFrame | None:
-    return _state(spark, folder)
+    """The edges after the last finished batch; None before the first."""
+    known = _lists(spark, folder)
+    return _read(spark, sorted(_parts(spark, folder, known[-1]).values())) if known else None
 
 
 def event_counts(events: DataFrame, width: str = "10 minutes", late: str = "10 minutes") -> DataFrame:

@@ -85,6 +85,7 @@ def test_options():
     assert Options.for_profile("quick").betweenness_limit is None
     assert Options.for_profile("nonsense", top_k="7", threshold="x").top_k == 7
     assert Options.for_profile("full").max_total_pairs == 70_000_000
+    assert [Options.for_profile(None, directed=x).directed for x in (" Yes ", "off", 1, 0, True, None, "perhaps")] == [True, False, True, False, True, False, False]
 
 
 def test_similarity_that_is_missing(spark):

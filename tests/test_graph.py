@@ -1,3 +1,4 @@
+import pathlib
 from itertools import combinations
 
 import pytest
@@ -99,3 +100,47 @@ def test_streamed_edges(spark, tmp_path):
         assert increments.edge_stream(spark, source, df.schema, folder).awaitTermination(120)
     rows = {(r["entity"], r["weight"], r["row_idx"]) for r in increments.current_edges(spark, folder).collect()}
     assert rows == {("a", 4.0, 2), ("b", 2.0, 1)}
+
+
+def test_a_batch_leaves_other_parts_alone(spark, tmp_path):
+    folder, schema = str(tmp_path), "entity string, feature string, weight double, row_idx long"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    every = [(f"e{i}", "x", 1.0, i) for i in range(40)]
+    assert increments.current_edges(spark, folder) is None
+    increments.apply_batch(batch(*every), folder, 0, 8)
+    first = increments._parts(spark, folder, 0)
+    written = {p: sorted((f.name, f.stat().st_mtime_ns) for f in pathlib.Path(p).iterdir()) for p in first.values()}
+    assert set(first) == set(range(8))
+    for number in (1, 1):  # run again: the same
+        increments.apply_batch(batch(("e3", "x", 5.0, 99), ("e3", "x", 0.5, 98)), folder, number, 8)
+    second = increments._parts(spark, folder, 1)
+    assert [k for k in second if second[k] != first[k]] == [k for k in second if any(r["entity"] == "e3" for r in spark.read.parquet(second[k]).collect())]
+    assert len({*second.values()} & {*first.values()}) == 7 and all(sorted((f.name, f.stat().st_mtime_ns) for f in pathlib.Path(p).iterdir()) == written[p] for p in first.values())
+    increments.apply_batch(batch(("new", "y", 1.0, 100)), folder, 2, 8)
+    assert increments._lists(spark, folder) == [1, 2]
+    gone = {*first.values()} - {*second.values()}
+    assert gone and not any(pathlib.Path(p).exists() for p in gone)
+    found = {(r["entity"], r["feature"]): (r["weight"], r["row_idx"]) for r in increments.current_edges(spark, folder).collect()}
+    assert found == {(e, f): (w, i) for e, f, w, i in every} | {("e3", "x"): (5.0, 99), ("new", "y"): (1.0, 100)}
+
+
+def test_directed_degrees(spark):
+    rows = {r["node"]: (r["degree"], r["in_degree"], r["out_degree"], r["strength"], r["in_strength"]) for r in graph.degrees(edges_of(spark, [("a", "b"), ("c", "b"), ("b", "a")]), spark.createDataFrame([(x,) for x in "abcd"], "node string"), directed=True).collect()}
+    assert rows == {"a": (2, 1, 1, 2.0, 1.0), "b": (3, 2, 1, 3.0, 2.0), "c": (1, 0, 1, 1.0, 0.0), "d": (0, 0, 0, 0.0, 0.0)}
+
+
+def test_searches_from_several_centers(spark):
+    edges = edges_of(spark, [("h", f"n{i}") for i in range(6)] + [("n0", "m"), ("m", "k"), ("x", "y"), ("x", "x")])
+    centers = spark.createDataFrame([("h",), ("m",), ("x",), ("nobody",), ("h",)], "center string")
+    rows = sorted((r["center"], r["place"], r["node"], r["hop"]) for r in graph.egos(edges, centers, 2, 4).collect())
+    assert rows == [("h", 1, "h", 0), ("h", 2, "n0", 1), ("h", 3, "n1", 1), ("h", 4, "n2", 1), ("m", 1, "m", 0), ("m", 2, "k", 1), ("m", 3, "n0", 1), ("m", 4, "h", 2), ("x", 1, "x", 0), ("x", 2, "y", 1)]
+    nodes = spark.createDataFrame([(x, "job", x.upper()) for x in ("h", "m", "k", "x", "y", *[f"n{i}" for i in range(6)])], "node string, node_type string, label string")
+    around, inside = graph.hub_networks(edges, nodes, centers, 1, 50, 2)
+    assert around.count() == 7 + 3 + 2 and around.where("label <> upper(node)").count() == 0
+    assert sorted((r["center"], r["a"], r["b"]) for r in inside.collect()) == [("h", "h", "n0"), ("h", "h", "n1"), ("m", "m", "k"), ("m", "n0", "m"), ("x", "x", "y")]
+
+
+def test_path_measures_have_limits(spark):
+    with pytest.raises(ValueError, match="guarded_by_size"):
+        paths.path_measures(edges_of(spark, [("a", "b"), ("b", "c")]), limit=(2, 9))
+    assert paths.path_measures(edges_of(spark, [("a", "b")]).limit(0)).count() == 0

@@ -68,6 +68,9 @@ def test_measures(result):
 def test_outputs_and_lookups(spark, result, tmp_path):
     pipeline.write(spark, result, str(tmp_path), sampled=True)
     assert sorted(os.listdir(tmp_path)) == sorted(f"sample_{n}" for n in exports.OUTPUTS.values())
+    listed = exports.artifacts(spark, str(tmp_path), True).collect()
+    assert [r["artifact_name"] for r in listed] == list(exports.OUTPUTS) and all(r["size_bytes"] > 0 for r in listed) and {r["mime_type"] for r in listed} == {"text/csv", "application/json"}
+    assert exports.artifacts(spark, str(tmp_path)).count() == 0
     report = json.loads("".join(r[0] for r in spark.read.text(exports.output_path(str(tmp_path), "graph_summary", True)).collect()))
     assert report["num_jobs"] == 5
     read = lambda name, cols: exports.read_table(spark, exports.output_path(str(tmp_path), name, True), cols)
