@@ -28,7 +28,7 @@ than a shingle is its own one shingle; a null text stays null; a document may
 lose all lines and then has the empty text; documents are told apart by id and
 text: those of one id (null too) with other texts are documents of their own, repeated
 rows with the same id and text are one document and treated alike; a null id comes
-first; other columns of documents pass through ``dedup_lines`` unchanged.
+first; other columns of documents pass through ``dedup_lines`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -230,14 +230,24 @@ def removed_lines(docs: DataFrame, **settings) -> DataFrame:
     return listed.select(*keys, marks.cast("binary").alias("gone"), F.size("at").cast("long").alias("n_gone"))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", broadcast_bytes: int = 32_000_000, **settings) -> DataFrame:
-    """``docs`` with the removed lines taken out of ``text``, and two more columns: _n_lines_ and _n_removed_."""
-    gone = stored(removed_lines(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")), **settings), "marks").select(F.col("k1").alias("_k1_"), F.col("k2").alias("_k2_"), F.col("gone").alias("_gone_"), F.col("n_gone").alias("_n_gone_"))
-    if gone.agg(F.coalesce(F.sum(F.octet_length("_gone_") + 40), F.lit(0))).first()[0] <= broadcast_bytes:
+def cleaned(docs: DataFrame, id_column: str = "doc_id", text: str = "text", broadcast_bytes: int = 32_000_000, **settings) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ..., with the removed lines taken out of the text, and n_lines and n_removed."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # so that no name of the caller's meets one of ours
+    at_id, at_text = (inner[docs.columns.index(c)] for c in (id_column, text))
+    own = docs.toDF(*inner)
+    gone = stored(removed_lines(own.select(F.col(at_id).alias("doc_id"), F.col(at_text).alias("text")), **settings), "marks")
+    if gone.agg(F.coalesce(F.sum(F.octet_length("gone") + 40), F.lit(0))).first()[0] <= broadcast_bytes:
         gone = F.broadcast(gone)
-    k1, k2 = row_keys(id_column, text)
-    split = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(split, lambda line, i: F.call_function("substring", F.col("_gone_"), i + 1, F.lit(1)) != F.lit(b"x")), "\n")
-    joined = docs.withColumns({"_k1_": k1, "_k2_": k2}).join(gone, ["_k1_", "_k2_"], "left")
-    counted = joined.withColumn("_n_lines_", F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn("_n_removed_", F.coalesce("_n_gone_", F.lit(0)).cast("long"))
-    return counted.withColumn(text, F.when(F.col("_gone_").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns, "_n_lines_", "_n_removed_")
+    k1, k2 = row_keys(at_id, at_text)
+    split = F.split(F.col(at_text), "\n")
+    kept = F.array_join(F.filter(split, lambda line, i: F.call_function("substring", F.col("gone"), i + 1, F.lit(1)) != F.lit(b"x")), "\n")
+    joined = own.withColumns({"k1": k1, "k2": k2}).join(gone, ["k1", "k2"], "left")
+    counted = joined.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_removed": F.coalesce("n_gone", F.lit(0)).cast("long")})
+    return counted.withColumn(at_text, F.when(F.col("gone").isNull(), F.col(at_text)).otherwise(kept)).select(*inner, "n_lines", "n_removed")
+
+
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", broadcast_bytes: int = 32_000_000, **settings) -> DataFrame:
+    """``docs`` with the removed lines taken out of ``text``, and two more columns: _n_lines_ and _n_removed_. Columns of ``docs`` that are called so give way; any other name is left alone."""
+    found = cleaned(docs, id_column, text, broadcast_bytes, **settings)
+    kept = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c.lower() not in ("_n_lines_", "_n_removed_")]
+    return found.select(*[c for c, _ in kept], "n_lines", "n_removed").toDF(*[c for _, c in kept], "_n_lines_", "_n_removed_")
