@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 All but the last return the columns of ``docs``; the last returns packed pieces
 with their token ids. ``run`` applies them to ``documents`` and writes what each
 keeps to the shared folder, so that none is computed twice.
+
+Defined cases: further columns of ``docs`` have any names and pass all stages but the last unchanged, except n_chars, which
+follows the text; what else holds for nulls, empty and long texts, ties, repeated rows and empty tables, each operator says.
 """
 
 from __future__ import annotations
@@ -21,42 +24,53 @@ LEAST_LANGUAGE = 0.5
 BROADCAST_ROWS = 2_000_000
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ..., so that no name of theirs meets one of ours, and what their id and text are called there."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), {c: f"c{docs.columns.index(c)}" for c in ("doc_id", "text")}
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns c0, c1, ..., and the keys of each row, k1 and k2."""
+    own, at = _numbered(docs)
+    k1, k2 = row_keys(at["doc_id"], at["text"])
+    return own.withColumns({"k1": k1, "k2": k2})
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` but for the rows with one of the keys (k1, k2)."""
-    gone = stored(gone.select(F.col("k1").alias("_k1_"), F.col("k2").alias("_k2_")).distinct(), "gone")
+    gone = stored(gone.select("k1", "k2").distinct(), "gone")
     listed = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    k1, k2 = row_keys("doc_id", "text")
-    return docs.withColumns({"_k1_": k1, "_k2_": k2}).join(listed, ["_k1_", "_k2_"], "left_anti").select(*docs.columns)
+    return _keyed(docs).join(listed, ["k1", "k2"], "left_anti").drop("k1", "k2").toDF(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known; the model learns from the rows that name theirs."""
     model = langid.fit(docs)
-    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name clashes with the model's
-    found = langid.predict(numbered, model, tuple(numbered.columns), f"c{docs.columns.index('text')}")
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*numbered.columns).toDF(*docs.columns)
+    own, at = _numbered(docs)
+    found = langid.predict(own, model, tuple(own.columns), at["text"])
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*own.columns).toDF(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated and nearly repeated lines out of all documents but the first that has them."""
-    cleaned = line_dedup.dedup_lines(docs)
+    found = line_dedup.cleaned(docs)
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_n_removed_") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+        n_chars, text = (f"c{docs.columns.index(c)}" for c in ("n_chars", "text"))
+        found = found.withColumn(n_chars, F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema["n_chars"].dataType))
+    return found.drop("n_lines", "n_removed").toDF(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: the one with the least id (null last). Rows of one id are told apart by their texts."""
     kept = _without(docs, simhash.others(simhash.near_duplicates(docs)))
-    k1, k2 = row_keys("doc_id", "text")
-    keyed = kept.withColumns({"_k1_": k1, "_k2_": k2})
-    again = stored(keyed.groupBy("_k1_", "_k2_").count().where("count > 1").select("_k1_", "_k2_"), "again")
+    keyed, own = _keyed(kept), [f"c{i}" for i in range(len(docs.columns))]
+    again = stored(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"), "again")
     if again.isEmpty():
         return kept
     # Rows with the same id and text: of those, the one whose other columns have the least hash.
-    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = keyed.join(again, ["_k1_", "_k2_"], "left_semi").groupBy("_k1_", "_k2_").agg(F.min_by(every, F.xxhash64(every)).alias("_row_")).select("_row_.*")
-    return keyed.join(again, ["_k1_", "_k2_"], "left_anti").select(*docs.columns).unionByName(one)
+    every = F.struct(*own)
+    one = keyed.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by(every, F.xxhash64(every)).alias("row")).select("row.*")
+    return keyed.join(again, ["k1", "k2"], "left_anti").select(*own).unionByName(one).toDF(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
