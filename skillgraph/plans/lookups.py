@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skillgraph.functions.cells import split_query
 from skillgraph.operators import lookup
+from skillgraph.shipping import ship
 from skillgraph.sources import exports
 
 NOT_RESOLVED = 2
@@ -64,7 +65,7 @@ def _job(given: argparse.Namespace, jobs: DataFrame) -> str | None:
 def main(arguments: list[str] | None = None) -> int:
     """Prints the answer; returns 0, or 2 if the query names no job or skill."""
     given = _arguments(arguments)
-    spark = SparkSession.builder.appName("skillgraph-lookup").getOrCreate()
+    spark = ship(SparkSession.builder.appName("skillgraph-lookup").getOrCreate())
     nodes = exports.read_table(spark, given.nodes_csv, ("node_id", "node_type", "label", "attributes_json"))
     edges = exports.edges_catalog(exports.read_table(spark, given.edges_csv, ("source", "target", "weight", "attributes_json"))) if given.edges_csv else None
     jobs = exports.jobs_catalog(nodes)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skillgraph.config import Options
 from skillgraph.operators import entities, export, graph, paths, projection, quality, subset
 from skillgraph.operators.components import connected
+from skillgraph.shipping import ship
 from skillgraph.sources import exports, tabular
 from skillgraph.storage import stored
 
@@ -127,7 +128,7 @@ def main(arguments: list[str] | None = None) -> None:
             limits[f"{name}_limit"] = None
         elif any(x is not None for x in asked):
             limits[f"{name}_limit"] = tuple(k if x is None else x for x, k in zip(asked, known, strict=True))
-    spark = SparkSession.builder.appName("skillgraph").getOrCreate()
+    spark = ship(SparkSession.builder.appName("skillgraph").getOrCreate())
     options = dataclasses.replace(Options.for_profile(profile, **given), **limits)
     write(spark, run(spark, source, options), folder, sampled=bool(options.subset_bytes or options.subset_rows))
 

@@ -18,6 +18,7 @@ from skillgraph.operators.components import connected
 from skillgraph.plans import pipeline
 from skillgraph.sources import exports, tabular
 from skillgraph.storage import scratch_path, stored
+from skillgraph.streaming import increments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -575,10 +576,18 @@ def build_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.build(_raw_rows(spark, sf_dir)).skills.select("skill_id", "skill_text_normalized", "skill_text_raw_example", "label")
 
 
-def _made_file(spark: SparkSession, sf_dir: str) -> str:
+@_register("""WITH c AS (SELECT o_orderkey % 7 AS bad FROM orders) SELECT 'skills' AS name, ROUND(COUNT(*) FILTER (WHERE bad >= 4) / COUNT(*) FILTER (WHERE bad <> 0), 9) AS rate FROM c UNION ALL SELECT unnest(['company_name', 'job_id', 'job_title', 'posted_at']), 0.0""")
+def feature_cell_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each column, the share of cells that look like lists of skill objects."""
+    rows = stored(_raw_rows(spark, sf_dir).rows.select("job_id", "job_title", "company_name", "posted_at", "skills"), "rows")
+    rates = tabular.cell_rates(rows, rows.columns, rows.count())
+    return spark.createDataFrame([(c, round(r, 9)) for c, r in rates.items()], "name string, rate double")
+
+
+def _made_file(spark: SparkSession, sf_dir: str, cells_name: str = "Skills") -> str:
     """The raw rows as delimited files, in order, under headers as users write them."""
     path = scratch_path(spark, "made")
-    rows = _raw_rows(spark, sf_dir).rows.orderBy("row_idx").select(F.col("job_id").alias("Job ID"), F.col("job_title").alias("Job Title"), F.col("company_name").alias("Company"), F.col("posted_at").alias("Posted At"), F.col("skills").alias("Skills"))
+    rows = _raw_rows(spark, sf_dir).rows.orderBy("row_idx").select(F.col("job_id").alias("Job ID"), F.col("job_title").alias("Job Title"), F.col("company_name").alias("Company"), F.col("posted_at").alias("Posted At"), F.col("skills").alias(cells_name))
     rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
@@ -623,6 +632,35 @@ def subset_strata_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subset.strata_counts(rows, rows.join(chosen, "row_idx", "left_semi"))
 
 
+@_register("""SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, CASE WHEN o_orderkey % 3 <> 0 THEN 'j' || (o_orderkey // 4) END AS job_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority ELSE ' nan ' END AS job_title, CAST(o_custkey AS VARCHAR) AS company_name, CASE WHEN o_orderkey % 2 = 0 THEN '2025' END AS posted_at,
+CASE o_orderkey % 7 WHEN 1 THEN '   ' WHEN 2 THEN 'order ' || o_orderkey WHEN 3 THEN '[1, ' || o_orderkey || ']' WHEN 4 THEN replace('[{"skill": "Part ' || (o_orderkey % 50) || '", "bucket": "Advanced"}]', '"', chr(39))
+WHEN 5 THEN '[{"skill":"Part ' || (o_orderkey % 50) || '","bucket":"critical","mapping_similarity":0.5},{"skill":" part  ' || (o_orderkey % 50) || '.","mapping_similarity":0.25}]' WHEN 6 THEN '{"skill": "Part ' || (o_orderkey % 20) || '", "bucket": "proficient", "mapping_similarity": 1}' END AS skills FROM orders""")
+def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files read back into canonical columns: headers by their aliases, the cell column by its content, rows numbered over all files."""
+    path = _made_file(spark, sf_dir, "Importance (JSON)")
+    source = tabular.canonical(tabular.read_csv(spark, path, tabular.sniff_encoding(spark, path)))
+    return source.rows.select("row_idx", "job_id", "job_title", "company_name", "posted_at", "skills")
+
+
+@_register("""SELECT o_orderkey AS row_id, 'Part "' || o_orderkey || '"' AS feature, 'it''s ' || (o_orderkey % 9) AS bucket, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0.25 END AS DOUBLE) AS similarity FROM orders""")
+def parse_curly_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curly quotes are straightened and NULs dropped; similarities beyond any number are clipped."""
+    key = F.col("o_orderkey")
+    cell = F.concat(F.lit("[{“skill”: “Part \\”"), key, F.lit("\\””, “bucket”: “it’s "), key % 9, F.lit("”, “mapping_similarity”: "), F.when(key % 2 == 0, "Infinity").otherwise("0.25"), F.lit("\x00}]"))
+    items = cells.items_of(cells.parse_cells(_table(spark, sf_dir, "orders").select(key.alias("row_id"), cell.alias("skills"))), "row_id")
+    return items.select("row_id", F.col("item.text").alias("feature"), F.col("item.bucket").alias("bucket"), text.clip_similarity(F.col("item.similarity")).alias("similarity"))
+
+
+@_register("SELECT CAST(l_orderkey AS VARCHAR) AS entity, CAST(l_partkey AS VARCHAR) AS feature, MAX(l_quantity) AS weight, MIN(l_orderkey) AS row_idx FROM lineitem GROUP BY 1, 2")
+def edge_stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines that arrive in six files, two in a batch."""
+    source, folder = scratch_path(spark, "arriving"), scratch_path(spark, "stream")
+    items = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("entity"), F.col("l_partkey").cast("string").alias("feature"), F.col("l_quantity").alias("weight"), F.col("l_orderkey").alias("row_idx"))
+    items.repartition(6).write.parquet(source)
+    increments.edge_stream(spark, source, items.schema, folder, max_files=2, parts=16).awaitTermination()
+    return increments.current_edges(spark, folder)
+
+
 def _customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("node"), F.lit("job").alias("node_type"), F.col("c_name").alias("label"))
 
@@ -898,3 +936,55 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.current(_table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@_register("SELECT 'skill' AS kind, 'p' || p_partkey AS id, p_name AS label, lower(p_name) AS normalized FROM part UNION ALL SELECT 'job', 'c' || c_custkey, c_name, lower(c_name) FROM customer")
+def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table written as delimited files and read back as the two catalogs."""
+    path = scratch_path(spark, "nodes")
+    exports.write_csv(nodes_export(spark, sf_dir), path)
+    read = exports.read_table(spark, path, ("node_id", "node_type", "label", "attributes_json"))
+    skills = exports.skills_catalog(read).select(F.lit("skill").alias("kind"), F.col("skill_id").alias("id"), "label", F.col("skill_text_normalized").alias("normalized"))
+    return skills.unionByName(exports.jobs_catalog(read).select(F.lit("job").alias("kind"), F.col("job_id").alias("id"), F.col("job_title").alias("label"), F.col("job_title_norm").alias("normalized")))
+
+
+@_register("""WITH n AS (SELECT CAST(o_orderkey AS VARCHAR) AS i FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT CAST(c_custkey AS VARCHAR) FROM customer), e AS (SELECT CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS s, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 5 = 1 THEN 'x' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS t FROM orders),
+c AS (SELECT COUNT(*) FILTER (WHERE s IS NULL) AS ns, COUNT(*) FILTER (WHERE t = '') AS nt, COUNT(*) FILTER (WHERE s IS NOT NULL AND s NOT IN (SELECT i FROM n)) AS os, COUNT(*) FILTER (WHERE t NOT IN (SELECT i FROM n)) AS ot FROM e),
+b AS (SELECT COUNT(*) AS b FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING MIN(l_linenumber) <> 1 OR MAX(l_linenumber) <> COUNT(*) OR COUNT(DISTINCT l_linenumber) <> COUNT(*)))
+SELECT 'no_null_endpoints' AS name, ns + nt = 0 AS passed, 'null sources ' || ns || ', null targets ' || nt AS message FROM c UNION ALL SELECT 'edge_nodes_exist', os + ot = 0, 'unknown sources ' || os || ', unknown targets ' || ot FROM c UNION ALL SELECT 'topk_rank_continuity', b = 0, 'groups with broken ranks ' || b FROM b
+UNION ALL SELECT 'all', ns + nt + os + ot + b = 0, '' FROM c, b""")
+def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three checks, of faulty edges and of ranks, and whether all passed."""
+    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    nodes = orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("node_id")).union(customers.select(F.col("c_custkey").cast("string"))).distinct()
+    ranks = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("job_id"), F.lit("m").alias("method"), F.col("l_linenumber").alias("rank"))
+    found = quality.report(nodes, _broken_edges(spark, sf_dir), ranks)
+    return spark.createDataFrame([*((k, c["passed"], c["message"]) for k, c in found["checks"].items()), ("all", found["all_passed"], "")], "name string, passed boolean, message string")
+
+
+@_register("""WITH s AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1), f AS (SELECT 'node_columns' AS name, 'missing: []' AS details UNION ALL SELECT 'edge_columns', 'missing: []' UNION ALL SELECT 'null_node_ids', '0 nodes' UNION ALL SELECT 'null_endpoints', '0 ends' UNION ALL SELECT 'endpoint_membership', '0 ends')
+SELECT * FROM f UNION ALL SELECT 'ego_network', '2 nodes' UNION ALL SELECT 'components', 'largest has ' || (MAX(n) + 1) || ' nodes' FROM s UNION ALL SELECT 'global_sample', least(100, (SELECT COUNT(*) FROM orders) + (SELECT COUNT(*) FROM customer)) || ' nodes'""")
+def graph_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight checks that passed, of orders and customers. The least end is an order, which has one neighbour."""
+    nodes, edges = _order_graph(spark, sf_dir)
+    found = quality.diagnostics(nodes.withColumnRenamed("node", "node_id"), edges.withColumnsRenamed({"a": "source", "b": "target"}))
+    return spark.createDataFrame([(c["check"], c["details"]) for c in found if c["status"] == "ok"], "name string, details string")
+
+
+@_register(f"""WITH {_NATION_GRAPH}, k AS (SELECT b, COUNT(*) AS n FROM e GROUP BY 1 ORDER BY n DESC LIMIT 1)
+SELECT 'betweenness' AS measure, 'guarded_by_size(v=' || (SELECT COUNT(*) FROM n) || ',e=' || (SELECT COUNT(*) FROM e) || ',v_limit=9,e_limit=1000000)' AS reason UNION ALL SELECT 'closeness', 'guarded_by_size(giant_v=' || (n + 1) || ',giant_e=' || n || ',v_limit=1000000,e_limit=3)' FROM k UNION ALL SELECT 'off', 'disabled_by_config'""")
+def centrality_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why measures are left out: the whole graph has too many vertices, its largest component too many edges, or nobody wants them."""
+    nodes, edges = _nation_graph(spark, sf_dir)
+    notes = paths.centrality(edges, nodes.select("node"), (9, 1_000_000), (1_000_000, 3))[1] | {"off": paths.guard(0, 0, None)}
+    return spark.createDataFrame(list(notes.items()), "measure string, reason string")
+
+
+@_register("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey = 42")
+def entity_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.point(_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", 42)
+
+
+@_register("SELECT user_id, CAST(SUM(length(props)) AS BIGINT) AS size FROM events GROUP BY 1")
+def bytes_received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.totals(_table(spark, sf_dir, "events").select("user_id", F.length("props").cast("long").alias("size")), "user_id", "size")

@@ -120,16 +120,27 @@ def resolve(columns: list[str]) -> dict[str, str]:
     return out
 
 
+# What a list of skill objects looks like.
+_LOOKS = "(?i)(['\"]skill['\"]\\s*:|['\"]bucket['\"]\\s*:|\\[\\s*\\{)"
+
+
+def cell_rates(df: DataFrame, columns: list[str], sample: int = 3_000) -> dict[str, float]:
+    """Of the first ``sample`` cells of each column that aren't NULL, the share that looks like lists of skill objects.
+
+    One job for all columns whose first ``sample`` rows hold enough cells; one more for each of the others.
+    """
+    cell = lambda c: F.col(f"`{c}`")
+    rate = lambda c: F.coalesce(F.avg(cell(c).rlike(_LOOKS).cast("int")), F.lit(0.0))
+    first = df.limit(sample).agg(F.count("*"), *[m for c in columns for m in (F.count(cell(c)), rate(c))]).first()
+    known = {c: (first[1 + 2 * i], first[2 + 2 * i]) for i, c in enumerate(columns)}
+    return {c: r if n == sample or first[0] < sample else df.where(cell(c).isNotNull()).limit(sample).agg(rate(c)).first()[0] for c, (n, r) in known.items()}
+
+
 def infer_cell_column(df: DataFrame, columns: list[str], sample: int = 3_000, least: float = 0.2) -> str | None:
-    """The column whose cells most often look like lists of skill objects, by its first ``sample`` cells; None below ``least``."""
-    looks = "(?i)(['\"]skill['\"]\\s*:|['\"]bucket['\"]\\s*:|\\[\\s*\\{)"
-    best, share = None, 0.0
-    for c in columns:
-        cells = df.where(F.col(f"`{c}`").isNotNull()).limit(sample)
-        rate = cells.agg(F.avg(F.col(f"`{c}`").rlike(looks).cast("int"))).first()[0] or 0.0
-        if rate > share:
-            best, share = c, rate
-    return best if share >= least else None
+    """The column whose cells most often look like lists of skill objects, the first of equal ones; None below ``least``."""
+    rates = cell_rates(df, columns, sample)
+    best = max(columns, key=lambda c: rates[c], default=None)
+    return best if best is not None and rates[best] >= least else None
 
 
 def canonical(df: DataFrame, row: str = "_row_") -> Canonical:

@@ -63,14 +63,18 @@ def _put(spark: SparkSession, folder: str, batch: int, parts: dict[int, str]) ->
     store.rename(made, place)
 
 
+def _remove(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths:
+        store, place = _store(spark, path)
+        store.delete(place, True)
+
+
 def _remove_old(spark: SparkSession, folder: str) -> None:
     """Removes what neither the last state nor the one before it names: a reader may still be at the latter."""
     known = _lists(spark, folder)
     kept = {p for n in known[-2:] for p in _parts(spark, folder, n).values()}
     for n in known[:-2]:
-        for path in {*_parts(spark, folder, n).values()} - kept:
-            store, place = _store(spark, path)
-            store.delete(place, True)
+        _remove(spark, {*_parts(spark, folder, n).values()} - kept)
         store, place = _store(spark, f"{folder}/parts/{n}.json")
         store.delete(place, False)
 
@@ -94,6 +98,9 @@ def apply_batch(batch: DataFrame, folder: str, number: int, parts: int = 256) ->
     dealt = merged.withColumn("part", F.pmod(F.xxhash64("entity", "feature"), F.lit(parts)).cast("int"))
     dealt.repartition("part").write.partitionBy("part").parquet(version)
     _put(spark, folder, number, before | {k: f"{version}/part={k}" for k in touched})
+    if known and known[-1] == number:  # run again: what the first run has written is named no more
+        earlier = {*_parts(spark, folder, known[-2]).values()} if len(known) > 1 else set()
+        _remove(spark, {before[k] for k in touched if k in before} - earlier)
     _remove_old(spark, folder)
 
 
