@@ -156,24 +156,27 @@ def verified(pairs: DataFrame, lines: DataFrame, shingle: int, least: float, bro
 
 
 def _apart(many: DataFrame, found: DataFrame) -> DataFrame:
-    """key, n, h, root, rest of the buckets whose lines are not all of one component yet; rest: outside the bucket's largest one."""
+    """key, n, n_rest, h, root, rest of the buckets whose lines are not all of one component yet; rest: outside the bucket's largest one."""
     placed = stored(many.join(components(found).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")), "placed")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = parts.groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    return stored(placed.join(main, "key").select("key", "n", "h", "root", (F.col("root") != F.col("main")).alias("rest")), "apart")
+    main = parts.groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("main"), F.count("*").alias("parts"), (F.sum("c") - F.max("c")).alias("n_rest")).where("parts > 1")
+    return stored(placed.join(main, "key").select("key", "n", "n_rest", "h", "root", (F.col("root") != F.col("main")).alias("rest")), "apart")
 
 
 def remaining(apart: DataFrame, sketched: DataFrame, least: float, tile: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of lines of one bucket and different components that can be as similar as ``least``.
 
-    Every line outside a bucket's largest component meets every line of the bucket, in tiles of about ``tile`` lines;
-    sizes and sketches leave out only pairs that are certainly less similar.
+    Every line outside a bucket's largest component meets every line of the bucket, both in tiles of about ``tile`` lines, so
+    no task holds more than two tiles of a bucket; sizes and sketches leave out only pairs that are certainly less similar.
     """
     names = ["h", "root", "size", *[f"k{i}" for i in range(_SKETCH)]]
-    full = apart.join(sketched, "h").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    left = full.where("rest").select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), *[F.col(c).alias(f"{c}_") for c in names])
-    right = full.select("key", F.pmod(F.xxhash64("h", F.lit(-1)), F.col("tiles")).cast("int").alias("tile"), "rest", *names)
-    met = left.join(right, ["key", "tile"]).where((F.col("root") != F.col("root_")) & (~F.col("rest") | (F.col("h_") < F.col("h"))) & _can_be_like(least))
+    cut = lambda c: F.ceil(F.col(c) / tile).cast("int")
+    own = lambda salt, c: F.pmod(F.xxhash64("h", F.lit(salt)), cut(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), cut(c) - 1))
+    full = apart.join(sketched, "h")
+    left = full.where("rest").select("key", own(-2, "n_rest").alias("i"), each("n").alias("j"), *[F.col(c).alias(f"{c}_") for c in names])
+    right = full.select("key", each("n_rest").alias("i"), own(-1, "n").alias("j"), "rest", *names)
+    met = left.join(right, ["key", "i", "j"]).where((F.col("root") != F.col("root_")) & (~F.col("rest") | (F.col("h_") < F.col("h"))) & _can_be_like(least))
     return met.select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b")).distinct()
 
 

@@ -154,3 +154,12 @@ def test_bands_meet_lines_near_the_bound(spark):
     name = {r[0]: r[1] for r in df.select("line", F.xxhash64("line")).collect()}
     keys = {r["h"]: set(r["keys"]) for r in line_dedup.signatures(df, *(with_default[n] for n in ("shingle", "bands", "rows"))).collect()}
     assert sum(bool(keys[name[a]] & keys[name[b]]) for a, b in want) >= 1495
+
+
+def test_lines_left_in_large_buckets_meet_in_tiles(spark):
+    """Tiles of three on both sides find what one tile finds."""
+    base = prose(4242, 40).split()
+    texts = [" ".join(w if k != i % 40 else f"x{i}" for k, w in enumerate(base)) for i in range(40)] + [prose(7, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [sorted(map(tuple, line_dedup.dedup_lines(docs, small=2, leaders=1, direct=0, tile=t).collect())) for t in (3, 1024)]
+    assert found[0] == found[1] and sum(r[-1] for r in found[0]) >= 30
