@@ -104,22 +104,35 @@ def write(spark: SparkSession, result: Result, folder: str, sampled: bool = Fals
         exports.write_json(spark, report, exports.output_path(folder, name, sampled))
 
 
-def main(arguments: list[str] | None = None) -> None:
+def parsed(arguments: list[str] | None = None) -> tuple[str, str, Options]:
+    """(input, output folder, options) of a command line."""
     p = argparse.ArgumentParser(description="Skill graph of a file of jobs")
     p.add_argument("--input", required=True)
     p.add_argument("--output-dir", required=True)
     p.add_argument("--profile", default="balanced")
-    p.add_argument("--method", choices=("unweighted", "weighted", "both"))
-    for name, kind in (("top-k", int), ("threshold", float), ("max-feature-degree", int), ("max-pairs-per-feature", int), ("max-total-pairs", int), ("warn-edges", int), ("subset-bytes", int), ("subset-rows", int), ("subset-seed", int)):
-        p.add_argument(f"--{name}", type=kind)
-    measures = ("betweenness", "closeness")
+    p.add_argument("--similarity-method", "--method", dest="method", choices=("unweighted", "weighted", "both"))
     p.add_argument("--directed", nargs="?", const=True)
+    # The names of flags; the shorter ones are this package's own.
+    numbers = {
+        "top_k": (int, "top-k", None), "threshold": (float, "similarity-threshold", "threshold"), "max_feature_degree": (int, "projection-max-skill-degree", "max-feature-degree"),
+        "max_pairs_per_feature": (int, "projection-max-pairs-per-skill", "max-pairs-per-feature"), "max_total_pairs": (int, "projection-max-total-pairs", "max-total-pairs"), "warn_edges": (int, "memory-warning-edge-threshold", "warn-edges"),
+        "subset_bytes": (int, "subset-bytes", None), "subset_rows": (int, "subset-target-rows", "subset-rows"), "subset_seed": (int, "subset-seed", None),
+    }
+    for field_name, (kind, *names) in numbers.items():
+        p.add_argument(*[f"--{n}" for n in names if n], dest=field_name, type=kind)
+    p.add_argument("--subset-mode", action="store_true", help="only a fixed part of the rows")
+    p.add_argument("--subset-target-size-mb", type=int, default=100, help="how much of it, unless rows or bytes are given")
+    p.add_argument("--chunksize", type=int, help="accepted; Spark splits files by itself")
+    measures = ("betweenness", "closeness")
     for name in measures:
         p.add_argument(f"--disable-{name}", action="store_true")
-        p.add_argument(f"--{name}-max-vertices", type=int)
-        p.add_argument(f"--{name}-max-edges", type=int)
+        for end in ("vertices", "edges"):
+            p.add_argument(f"--compute-{name}-max-{end}", f"--{name}-max-{end}", dest=f"{name}_max_{end}", type=int)
     given = vars(p.parse_args(arguments))
     source, folder, profile = (given.pop(k) for k in ("input", "output_dir", "profile"))
+    megabytes, wanted = given.pop("subset_target_size_mb"), given.pop("subset_mode")
+    if wanted and not (given["subset_bytes"] or given["subset_rows"]):
+        given["subset_bytes"] = megabytes << 20
     base, limits = Options.for_profile(profile), {}
     for name in measures:
         off, asked = given.pop(f"disable_{name}"), (given.pop(f"{name}_max_vertices"), given.pop(f"{name}_max_edges"))
@@ -128,8 +141,12 @@ def main(arguments: list[str] | None = None) -> None:
             limits[f"{name}_limit"] = None
         elif any(x is not None for x in asked):
             limits[f"{name}_limit"] = tuple(k if x is None else x for x, k in zip(asked, known, strict=True))
+    return source, folder, dataclasses.replace(Options.for_profile(profile, **given), **limits)
+
+
+def main(arguments: list[str] | None = None) -> None:
+    source, folder, options = parsed(arguments)
     spark = ship(SparkSession.builder.appName("skillgraph").getOrCreate())
-    options = dataclasses.replace(Options.for_profile(profile, **given), **limits)
     write(spark, run(spark, source, options), folder, sampled=bool(options.subset_bytes or options.subset_rows))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from skillgraph.config import Options
 from skillgraph.functions import cells, text
 from skillgraph.functions.cells import NO_ITEMS, NO_PARSE, parse_cells, split_query
+from skillgraph.plans.pipeline import parsed
 from skillgraph.sources.tabular import numbered
 
 
@@ -88,6 +89,16 @@ def test_options():
     assert [Options.for_profile(None, directed=x).directed for x in (" Yes ", "off", 1, 0, True, None, "perhaps")] == [True, False, True, False, True, False, False]
 
 
+def test_command_line_options():
+    base = ["--input", "i", "--output-dir", "o"]
+    assert parsed(base) == ("i", "o", Options.for_profile("balanced"))
+    _, _, o = parsed([*base, "--subset-mode", "--similarity-method", "weighted", "--similarity-threshold", "0.5", "--projection-max-skill-degree", "9", "--compute-closeness-max-edges", "7", "--disable-betweenness", "--chunksize", "5", "--directed", "no"])
+    assert (o.subset_bytes, o.method, o.threshold, o.max_feature_degree, o.closeness_limit, o.betweenness_limit, o.directed) == (100 << 20, "weighted", 0.5, 9, (30_000, 7), None, False)
+    _, _, o = parsed([*base, "--subset-mode", "--subset-target-rows", "40", "--method", "unweighted", "--directed"])
+    assert (o.subset_bytes, o.subset_rows, o.method, o.directed) == (None, 40, "unweighted", True)
+    assert parsed([*base, "--subset-mode", "--subset-target-size-mb", "2"])[2].subset_bytes == 2 << 20
+
+
 def test_similarity_that_is_missing(spark):
     assert one(spark, None, text.clip_similarity) is None
     assert [one(spark, v, text.clip_similarity) for v in ("NaN", "-2", "0.25", "7", "x")] == [None, 0.0, 0.25, 1.0, None]
