@@ -94,13 +94,24 @@ def signatures(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFra
 
 
 def _star_pairs(many: DataFrame, leaders: int, salt: int) -> DataFrame:
-    """Pairs (a, b): each line of buckets (key, h) with two of its bucket's leaders, in every bucket it is in."""
-    chosen = [F.min(F.struct(F.xxhash64("h", "key", F.lit(salt * leaders + i)).alias("r"), F.col("h").alias("h"))).getField("h") for i in range(leaders)]
-    led = many.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
-    own = [F.get("leaders", F.pmod(F.xxhash64("key", "h", F.lit(salt)) + i, F.size("leaders")).cast("int")) for i in range(2)]
+    """Pairs (a, b): each line of buckets (key, h, place) with two of its bucket's leaders, in every bucket it is in.
+
+    Leaders are half those of the greatest ``place``, half any; ties and choice are by hashes.
+    """
+    half = leaders // 2
+    drawn = [F.xxhash64("h", "key", F.lit(salt * leaders + i)) for i in range(leaders)]
+    least = lambda *by: F.min(F.struct(*[c.alias(f"r{i}") for i, c in enumerate(by)], F.col("h").alias("h"))).getField("h")
+    middle = F.array_distinct(F.array(*[least(-F.col("place"), r) for r in drawn[:half]]))
+    led = many.groupBy("key").agg(middle.alias("middle"), F.array_distinct(F.array(*[least(r) for r in drawn[half:]])).alias("any"))
+    own = [F.get(c, F.pmod(F.xxhash64("key", "h", F.lit(salt)), F.size(c)).cast("int")) for c in ("middle", "any")]
     return many.join(led, "key").select("h", F.explode(F.array(*own)).alias("leader")).where("h <> leader").select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b"))
 
 
+def _placed(many: DataFrame) -> DataFrame:
+    """``many`` (key, h, n) with place: how many lines are in a line's buckets. The middle of a group of alike lines is in most of their buckets, a line at its edge in few."""
+    return many.join(many.groupBy("h").agg(F.sum("n").alias("place")), "h")
+
+
 def banded(signed: DataFrame) -> DataFrame:
     """key, h, n: the buckets of more than one line, and how many lines each has."""
     each = signed.select("h", F.explode("keys").alias("key"))
@@ -111,7 +122,7 @@ def candidates(members: DataFrame, small: int, leaders: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of lines to be verified at first."""
     few = members.where(F.col("n") <= small).select("key", "h")
     pairs = few.join(few.withColumnRenamed("h", "b"), "key").where("h < b").select(F.col("h").alias("a"), "b")
-    return pairs.unionByName(_star_pairs(members.where(F.col("n") > small), leaders, 0)).distinct()
+    return pairs.unionByName(_star_pairs(_placed(members.where(F.col("n") > small)), leaders, 0)).distinct()
 
 
 def sketches(texts: DataFrame, shingle: int) -> DataFrame:
@@ -201,7 +212,7 @@ def links(lines: DataFrame, shingle: int = 12, bands: int = 8, rows: int = 3, le
             break
         left = work
         roots = apart.select("h", "root").distinct()
-        stars = _star_pairs(apart.select("key", "h"), leaders, salt).distinct()
+        stars = _star_pairs(_placed(apart.select("key", "h", "n")), leaders, salt).distinct()
         stars = stars.join(roots.select(F.col("h").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("h").alias("b"), F.col("root").alias("y")), "b").where("x <> y").select("a", "b")
         found = stored(found.unionByName(verified(stored(stars, "pairs"), lines, shingle, least, broadcast_rows)), "found")
     else:
