@@ -8,12 +8,12 @@
 3. ``bands`` bands of ``rows`` values retrieve candidates: of two lines of Jaccard
    similarity 0.8 the eight bands of three miss 3 in 1000, of more similar ones fewer.
    Lines of a small bucket all meet. Lines of a bucket of more than ``small``
-   distinct lines first meet two each of its
-   leaders, the least lines under ``leaders`` hash functions of its own; then all
+   distinct lines first meet two each of its ``leaders``: half of these are lines whose
+   buckets hold most lines, so the middle of a group of alike lines, half are any; then all
    pairs of the bucket that no links connect yet meet in tiles, where sizes and
-   sketches leave out pairs that are certainly too unlike. So the size of a bucket
-   changes no component; the pairs left grow with the square of a bucket whose
-   lines are mostly unlike.
+   wide sketches leave out pairs that are certainly too unlike. So the size of a bucket
+   changes no component; the comparisons of sketches left grow with the square of a bucket
+   whose lines are mostly unlike.
 4. Candidates are verified by the Jaccard similarity of all shingles, as 64-bit hashes. First
    sizes and sketches leave out pairs that are certainly too unlike; then the two texts
    meet, and the shingles that both have are counted.
@@ -41,8 +41,8 @@ from skillgraph.llm.components import components
 
 #: So many consecutive shingles of a line make one row while signatures are made.
 _RUN = 4
-#: Longs of a sketch; a power of two.
-_SKETCH = 8
+#: Longs of a sketch, and of a wide one, which tells more pairs apart that are a little too unlike; powers of two.
+_SKETCH, _WIDE = 8, 32
 
 
 def _masks(n: int) -> list[int]:
@@ -98,11 +98,11 @@ def _star_pairs(many: DataFrame, leaders: int, salt: int) -> DataFrame:
 
     Leaders are half those of the greatest ``place``, half any; ties and choice are by hashes.
     """
-    half = leaders // 2
+    half = (leaders + 1) // 2
     drawn = [F.xxhash64("h", "key", F.lit(salt * leaders + i)) for i in range(leaders)]
     least = lambda *by: F.min(F.struct(*[c.alias(f"r{i}") for i, c in enumerate(by)], F.col("h").alias("h"))).getField("h")
     middle = F.array_distinct(F.array(*[least(-F.col("place"), r) for r in drawn[:half]]))
-    led = many.groupBy("key").agg(middle.alias("middle"), F.array_distinct(F.array(*[least(r) for r in drawn[half:]])).alias("any"))
+    led = many.groupBy("key").agg(middle.alias("middle"), F.array_distinct(F.array(*[least(r) for r in drawn[half:] or drawn])).alias("any"))
     own = [F.get(c, F.pmod(F.xxhash64("key", "h", F.lit(salt)), F.size(c)).cast("int")) for c in ("middle", "any")]
     return many.join(led, "key").select("h", F.explode(F.array(*own)).alias("leader")).where("h <> leader").select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b"))
 
@@ -125,20 +125,21 @@ def candidates(members: DataFrame, small: int, leaders: int) -> DataFrame:
     return pairs.unionByName(_star_pairs(_placed(members.where(F.col("n") > small)), leaders, 0)).distinct()
 
 
-def sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """h, size, k0, k1, ...: of each text how many shingles it has, and the parity of their number at each of 64 * _SKETCH places.
+def sketches(texts: DataFrame, shingle: int, longs: int = _SKETCH) -> DataFrame:
+    """h, size, k0, k1, ...: of each text how many shingles it has, and the parity of their number at each of 64 * ``longs`` places.
 
     Two texts' parities differ at no more places than there are shingles that only one of the two has.
     """
-    # All shingles of a line lie in one partition from here on, so none of the two aggregations shuffles.
+    # All shingles of a line lie in one partition from here on, so none of the aggregations shuffles.
     each = _shingled(texts.repartition("h").select("h", _code(F.col("line")).alias("code")), shingle).distinct()
-    bit, at = F.expr("shiftleft(1L, cast(x & 63 as int))"), F.shiftrightunsigned("x", 6) % _SKETCH
-    return each.groupBy("h").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(at == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{i}") for i in range(_SKETCH)])
+    bit, at = F.expr("shiftleft(1L, cast(x & 63 as int))"), F.pmod(F.shiftrightunsigned("x", 6), F.lit(longs))
+    slots = each.groupBy("h", at.alias("at")).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("k"))
+    return slots.groupBy("h").agg(F.sum("n").alias("size"), *[F.coalesce(F.max(F.when(F.col("at") == i, F.col("k"))), F.lit(0).cast("long")).alias(f"k{i}") for i in range(longs)])
 
 
-def _can_be_like(least: float) -> Column:
+def _can_be_like(least: float, longs: int = _SKETCH) -> Column:
     """Whether two sketches (one's columns end in _) leave a similarity of ``least`` open."""
-    differ = sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"k{i}_"))) for i in range(_SKETCH)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"k{i}_"))) for i in range(longs)), F.lit(0))
     near = F.least("size", "size_") >= least * F.greatest("size", "size_")
     return near & (differ <= (1 - least) / (1 + least) * (F.col("size") + F.col("size_")) + 1e-6)
 
@@ -149,14 +150,16 @@ def _texts(lines: DataFrame, needed: DataFrame, broadcast_rows: int) -> DataFram
     return stored(lines.select(F.xxhash64("line").alias("h"), "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.max("line").alias("line")), "texts")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, shingle: int, least: float, broadcast_rows: int, task_shingles: int = 2_000_000) -> DataFrame:
-    """The stored pairs (a, b) whose lines' shingles have a Jaccard similarity of at least ``least``."""
-    needed = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "needed")
-    texts = _texts(lines, needed, broadcast_rows)
-    sketched = stored(sketches(texts, shingle), "sketches")
+def like_by_sketch(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
+    """a, b, sizes (of both together) of the pairs whose sketches leave a similarity of ``least`` open."""
     other = sketched.select(*[F.col(c).alias(f"{c}_") for c in sketched.columns])
     like = pairs.join(sketched, pairs["a"] == sketched["h"]).join(other, pairs["b"] == other["h_"]).where(_can_be_like(least))
-    open_ = stored(like.select(F.monotonically_increasing_id().alias("pair"), "a", "b", (F.col("size") + F.col("size_")).alias("sizes")), "open")
+    return like.select("a", "b", (F.col("size") + F.col("size_")).alias("sizes"))
+
+
+def verified(like: DataFrame, texts: DataFrame, shingle: int, least: float, task_shingles: int = 2_000_000) -> DataFrame:
+    """The pairs (a, b) of ``like`` (a, b, sizes) whose texts' shingles have a Jaccard similarity of at least ``least``."""
+    open_ = stored(like.select(F.monotonically_increasing_id().alias("pair"), "a", "b", "sizes"), "open")
     met = open_.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     sides = F.array(*[F.struct(F.lit(n).alias("side"), _code(F.col(c)).alias("code")) for n, c in ((1, "x"), (2, "y"))])
     # All shingles of a pair lie in one partition, so neither aggregation shuffles; a task holds about ``task_shingles``.
@@ -175,20 +178,20 @@ def _apart(many: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def remaining(apart: DataFrame, sketched: DataFrame, least: float, tile: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of lines of one bucket and different components that can be as similar as ``least``.
+    """Distinct a, b, sizes, a < b, of lines of one bucket and different components that can be as similar as ``least``. ``sketched``: wide sketches.
 
     Every line outside a bucket's largest component meets every line of the bucket, both in tiles of about ``tile`` lines, so
     no task holds more than two tiles of a bucket; sizes and sketches leave out only pairs that are certainly less similar.
     """
-    names = ["h", "root", "size", *[f"k{i}" for i in range(_SKETCH)]]
+    names = ["h", "root", "size", *[f"k{i}" for i in range(_WIDE)]]
     cut = lambda c: F.ceil(F.col(c) / tile).cast("int")
     own = lambda salt, c: F.pmod(F.xxhash64("h", F.lit(salt)), cut(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), cut(c) - 1))
     full = apart.join(sketched, "h")
     left = full.where("rest").select("key", own(-2, "n_rest").alias("i"), each("n").alias("j"), *[F.col(c).alias(f"{c}_") for c in names])
     right = full.select("key", each("n_rest").alias("i"), own(-1, "n").alias("j"), "rest", *names)
-    met = left.join(right, ["key", "i", "j"]).where((F.col("root") != F.col("root_")) & (~F.col("rest") | (F.col("h_") < F.col("h"))) & _can_be_like(least))
-    return met.select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b")).distinct()
+    met = left.join(right, ["key", "i", "j"]).where((F.col("root") != F.col("root_")) & (~F.col("rest") | (F.col("h_") < F.col("h"))) & _can_be_like(least, _WIDE))
+    return met.select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b"), (F.col("size") + F.col("size_")).alias("sizes")).distinct()
 
 
 def links(lines: DataFrame, shingle: int = 12, bands: int = 8, rows: int = 3, least: float = 0.8, small: int = 24, leaders: int = 8, broadcast_rows: int = 2_000_000, tile: int = 1024, direct: int = 200_000) -> DataFrame:
@@ -197,7 +200,11 @@ def links(lines: DataFrame, shingle: int = 12, bands: int = 8, rows: int = 3, le
     All that share a bucket of up to ``small`` lines; of larger buckets, as many as make the same components as all.
     """
     members = stored(banded(stored(signatures(lines, shingle, bands, rows), "signatures")), "members")
-    found = stored(verified(stored(candidates(members, small, leaders), "pairs"), lines, shingle, least, broadcast_rows), "found")
+    pairs = stored(candidates(members, small, leaders), "pairs")
+    # Every line of a bucket is in one of these pairs at least, so all later ones find their texts and sketches here.
+    texts = _texts(lines, stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "needed"), broadcast_rows)
+    sketched = stored(sketches(texts, shingle), "sketches")
+    found = stored(verified(like_by_sketch(pairs, sketched, least), texts, shingle, least), "found")
     many = members.where(F.col("n") > small)
     if many.isEmpty():
         return found
@@ -214,12 +221,11 @@ def links(lines: DataFrame, shingle: int = 12, bands: int = 8, rows: int = 3, le
         roots = apart.select("h", "root").distinct()
         stars = _star_pairs(_placed(apart.select("key", "h", "n")), leaders, salt).distinct()
         stars = stars.join(roots.select(F.col("h").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("h").alias("b"), F.col("root").alias("y")), "b").where("x <> y").select("a", "b")
-        found = stored(found.unionByName(verified(stored(stars, "pairs"), lines, shingle, least, broadcast_rows)), "found")
+        found = stored(found.unionByName(verified(like_by_sketch(stars, sketched, least), texts, shingle, least)), "found")
     else:
         apart = _apart(many, found)
-    sketched = stored(sketches(_texts(lines, stored(apart.select("h").distinct(), "needed"), broadcast_rows), shingle), "sketches")
-    pairs = stored(remaining(apart, sketched, least, tile), "pairs")
-    return found if pairs.isEmpty() else found.unionByName(verified(pairs, lines, shingle, least, broadcast_rows))
+    wide = stored(sketches(texts.join(apart.select("h").distinct(), "h", "left_semi"), shingle, _WIDE), "sketches")
+    return found.unionByName(verified(remaining(apart, wide, least, tile), texts, shingle, least))
 
 
 def removed_lines(docs: DataFrame, **settings) -> DataFrame:

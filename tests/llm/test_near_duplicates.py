@@ -163,3 +163,18 @@ def test_lines_left_in_large_buckets_meet_in_tiles(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = [sorted(map(tuple, line_dedup.dedup_lines(docs, small=2, leaders=1, direct=0, tile=t).collect())) for t in (3, 1024)]
     assert found[0] == found[1] and sum(r[-1] for r in found[0]) >= 30
+
+
+def test_sketches_tell_no_two_lines_further_apart_than_they_are(spark):
+    lines = [prose(1000 + i, 30) for i in range(12)]
+    lines += [lines[0].replace("ba", "bo", 2), lines[1][:-3], "short", "é" * 40]
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    grams = [{t[i : i + 12] for i in range(max(1, len(t) - 11))} for t in lines]
+    for longs in (8, 32):
+        got = {r["h"]: r for r in line_dedup.sketches(texts, 12, longs).collect()}
+        assert [got[i]["size"] for i in range(len(lines))] == [len(g) for g in grams]
+        for i in range(len(lines)):
+            for j in range(i):
+                differ = sum(bin((got[i][f"k{k}"] ^ got[j][f"k{k}"]) & (2**64 - 1)).count("1") for k in range(longs))
+                apart = len(grams[i] ^ grams[j])
+                assert differ <= apart and differ % 2 == apart % 2
