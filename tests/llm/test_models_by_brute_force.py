@@ -49,8 +49,9 @@ def test_toxicity_scores(spark):
     ratio = {}
     for b in set(counts[0]) | set(counts[1]):
         p, q, both = (counts[1][b] + 0.5) / (sizes[1] + 1), (counts[0][b] + 0.5) / (sizes[0] + 1), (counts[1][b] + counts[0][b] + 1) / (n + 2)
-        if abs(p - q) >= 4 * math.sqrt(both * (1 - both) * (1 / sizes[1] + 1 / sizes[0])):
-            ratio[b] = math.log((counts[1][b] + sizes[1] / n) / (sizes[1] + 1)) - math.log((counts[0][b] + sizes[0] / n) / (sizes[0] + 1))
+        errors = abs(p - q) / math.sqrt(both * (1 - both) * (1 / sizes[1] + 1 / sizes[0]))
+        ratio[b] = math.log((counts[1][b] + sizes[1] / n) / (sizes[1] + 1)) - math.log((counts[0][b] + sizes[0] / n) / (sizes[0] + 1))
+        ratio[b] *= errors**4 / (errors**4 + 6.0**4)
     assert min(ratio.values()) < 0 < max(ratio.values())  # both kinds of evidence
     from pyspark.sql import functions as F
 
@@ -60,15 +61,15 @@ def test_toxicity_scores(spark):
     share = sizes[1] / n
     bias, bias_square = math.log(share / (1 - share)), 1.0
     draw = np.random.default_rng(0)
-    for _ in range(4):
+    for _ in range(8):
         for at in draw.permutation(len(order)).tolist():
             own = [b for b in sets[order[at]] if b in ratio]
             error = 1 / (1 + math.exp(-(sum(w[b] * ratio[b] for b in own) + bias))) - labels[order[at]]
             for b in own:
                 square[b] += (error * ratio[b]) ** 2
-                w[b] -= 0.05 * error * ratio[b] / math.sqrt(square[b])
+                w[b] -= 0.2 * error * ratio[b] / math.sqrt(square[b])
             bias_square += error * error
-            bias -= 0.05 * error / math.sqrt(bias_square)
+            bias -= 0.2 * error / math.sqrt(bias_square)
     for r in toxicity.predict(docs, toxicity.fit(docs), ("doc_id",)).collect():
         want = 1 / (1 + math.exp(-(sum(w[b] * ratio[b] for b in sets[r["doc_id"]] if b in ratio) + bias)))
         assert math.isclose(r["score"], want, rel_tol=1e-6, abs_tol=1e-9)
@@ -97,3 +98,23 @@ def test_recall_of_embedding_links(spark, size):
     print("recall", size, found / pairs)
     assert found / pairs >= 0.9
     assert sum(r["n_links"] for r in got.values()) == 2 * found
+
+
+def test_toxicity_sample_bounds(spark):
+    """The regression's sample keeps both bounds, repeated rows of one hash too; every text of five characters has features."""
+    rows = [(i // 3, prose(i // 3, 20), int(i // 3 % 2)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "h long, text string, toxic int")
+    for most, features in ((7, 1 << 25), (90, 2000), (90, 1 << 25)):
+        found, labels = toxicity._sample(docs, (5, 6), 20, most, features)
+        want, spent = [], 0
+        for h, text, toxic in sorted(rows)[:most]:
+            spent += 2 * len(text)
+            if spent > features:
+                break
+            want.append((set(buckets(text, (5, 6), 20)), toxic))
+        assert [(set(f.tolist()), t) for f, t in zip(found, labels, strict=True)] == want
+    with pytest.raises(ValueError, match="sample_features"):
+        toxicity._sample(docs, (5, 6), 20, 5, 3)
+    model = toxicity.fit(docs.withColumnRenamed("h", "doc_id"))
+    scores = {r["score"] for r in toxicity.predict(spark.createDataFrame([(1, rows[0][1]), (2, rows[3][1]), (3, "")], "doc_id long, text string"), model, ("doc_id",)).collect()}
+    assert len(scores) == 3
