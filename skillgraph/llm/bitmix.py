@@ -38,7 +38,7 @@ class Bits:
 
 @dataclass(frozen=True)
 class Mixer:
-    tables: tuple[tuple[np.ndarray, np.ndarray], ...]  # per predictor, of each slot: logit, how often it has been seen
+    tables: tuple[tuple[np.ndarray, np.ndarray], ...]  # per predictor, of each slot for each of three parts: logit, how often it has been seen
     weights: np.ndarray  # gates x (1 + predictors)
     refined: np.ndarray  # depths x cells: logits
 
@@ -105,14 +105,21 @@ def quantised(counts: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
     return tuple(out)
 
 
-def inputs(model: Mixer, run_of: Bits) -> tuple[np.ndarray, np.ndarray]:
-    """(predictors + 1) x bits logits, and each bit's gate."""
+def by_part(counts: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Each predictor's slots for bits of part 0, by what part 1 has counted, then for those of part 1, by part 0, then for all others, by both."""
+    parts = [quantised(counts[1]), quantised(counts[0]), quantised(counts.sum(axis=0))]
+    return tuple((np.concatenate([p[k][0] for p in parts]), np.concatenate([p[k][1] for p in parts])) for k in range(counts.shape[1]))
+
+
+def inputs(model: Mixer, run_of: Bits, part: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(predictors + 1) x bits logits, and each bit's gate. ``part`` is that of all bits or of each: 0 or 1 if the tables have counted it, else 2."""
     x = np.empty((len(run_of.contexts) + 1, len(run_of.node)), np.float32)
     x[0] = run_of.prior
     gate = np.zeros(len(run_of.node), np.uint8)
     for k, context in enumerate(run_of.contexts):
         logit, seen = model.tables[k]
-        at = slots(context, run_of.node, int(len(logit)).bit_length() - 1)
+        size = len(logit) // 3
+        at = slots(context, run_of.node, size.bit_length() - 1) + np.uint32(size) * np.uint32(part)
         np.multiply(logit[at], np.float32(1 / _SCALE), out=x[k + 1])
         gate *= 3
         gate += seen[at]
@@ -149,18 +156,18 @@ def start_weights(predictors: int) -> np.ndarray:
 def learn_rows(shared, streams, predictors: int, step: int = 1 << 15):
     """For mapInArrow: weights learned online over a task's bits, and what its adaptive map has counted.
 
-    ``shared`` holds the tables that predict each of two parts, made without the part's own counts.
+    ``shared`` holds the tables by part; each part is predicted without its own counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = start_weights(predictors)
-        models = [Mixer(tables, start, np.empty(0)) for tables in shared.value]
+        model = Mixer(shared.value, start, np.empty(0))
         weights, square = start.astype(np.float64), np.full(start.shape, 1e-3)
         seen = np.zeros((DEPTHS, _CELLS, 2))
         used = np.zeros(GATES)
         for batch in batches:
             for part, run_of in streams(batch):
-                x_all, gate_all = inputs(models[part], run_of)
+                x_all, gate_all = inputs(model, run_of, part)
                 for a in range(0, len(run_of.node), step):
                     x, gate, bit = x_all[:, a : a + step], gate_all[a : a + step], run_of.bit[a : a + step]
                     z = mixed_logit(weights, x, gate)
@@ -179,9 +186,9 @@ def learn_rows(shared, streams, predictors: int, step: int = 1 << 15):
     return run
 
 
-def learned(df: DataFrame, tables: tuple[tuple[tuple[np.ndarray, np.ndarray], ...], ...], streams) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and adaptive map: each task learns online, and weights are averaged by the bits that each gate saw. ``tables`` predict part 0 and part 1."""
-    predictors = len(tables[0])
+def learned(df: DataFrame, tables: tuple[tuple[np.ndarray, np.ndarray], ...], streams) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and adaptive map: each task learns online, and weights are averaged by the bits that each gate saw."""
+    predictors = len(tables)
     shared = df.sparkSession.sparkContext.broadcast(tables)
     rows = df.mapInArrow(learn_rows(shared, streams, predictors), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     weights, refined = start_weights(predictors).astype(np.float64), np.tile(np.linspace(-12, 12, _CELLS), (DEPTHS, 1))
@@ -200,7 +207,6 @@ def learned(df: DataFrame, tables: tuple[tuple[tuple[np.ndarray, np.ndarray], ..
 
 
 def trained(df: DataFrame, streams, predictors: int, bits: int) -> Mixer:
-    """Counts and weights from all of ``df``; while weights are learned, each of two parts is predicted by the other's counts."""
-    counts = counted(df, streams, predictors, bits)
-    weights, refined = learned(df, (quantised(counts[1]), quantised(counts[0])), streams)
-    return Mixer(quantised(counts.sum(axis=0)), weights, refined)
+    """Counts and weights from all of ``df``; each of two parts is always predicted by the other's counts."""
+    tables = by_part(counted(df, streams, predictors, bits))
+    return Mixer(tables, *learned(df, tables, streams))

@@ -13,13 +13,15 @@ bits, and each bit is predicted by mixed context predictors (see ``bitmix``):
 
 Counts of words, of all contexts and of spellings cover all training texts.
 Mixing weights and the refining map are learned online on all training texts (and
-words), each half of them predicted from the other half's counts. While a text is
+words), each half of them predicted from the other half's counts. So are these texts when they are
+scored, so that no table holds what it predicts; other texts have the counts of both. While a text is
 scored, its own weights go on adapting, from one run of ``RUN`` tokens to the next.
 
 The vocabulary and the tables have fixed sizes and are broadcast; rare words are
 counted and spelled once each, and meet their texts in a join. Contexts of three words are
 counted where their tokens are dealt to, in as many blocks as there are tokens for.
-A training text's own tokens are left out of these one at a time, so only what stands elsewhere helps it.
+A training text's own tokens are left out of these, and of how often a rare word was seen, one at a time, so only what
+stands elsewhere helps it. The vocabulary and its codes hold all training tokens, its own too.
 
 Defined cases: a null or empty text is the end alone; without training texts
 every count is 0; repeated rows are scored (and counted) each; a null id
@@ -257,6 +259,8 @@ def _word_streams(batch: pa.RecordBatch) -> Iterator[tuple[int, Bits]]:
 
 
 def _spell_rows(shared):
+    """(h, n, spelling, apart): what each word's spelling costs, and, for one that training texts have once, what it costs without its own counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Mixer = shared.value
         for batch in batches:
@@ -264,24 +268,32 @@ def _spell_rows(shared):
             for a in range(0, len(words), 1 << 13):
                 some = words[a : a + (1 << 13)]
                 bits, first = _spelled(some)
-                x, gate = inputs(model, bits)
-                z = refined_logit(model, mixed_logit(model.weights, x, gate), bits.depth)
-                spent = np.add.reduceat(cost(z, bits.bit), first[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(_hash_of(some).view(np.int64)), batch.column("n").slice(a, len(some)), pa.array(spent)], ["h", "n", "spelling"])
+                spent = _spelling_cost(model, bits, first, 2)
+                apart, once = spent.copy(), np.flatnonzero(batch.column("n").slice(a, len(some)).to_numpy() == 1)
+                if len(once):
+                    bits, first = _spelled([some[i] for i in once.tolist()])
+                    part = batch.column("part").slice(a, len(some)).to_numpy()[once]
+                    apart[once] = _spelling_cost(model, bits, first, np.repeat(part, np.diff(first)))
+                yield pa.RecordBatch.from_arrays([pa.array(_hash_of(some).view(np.int64)), batch.column("n").slice(a, len(some)), pa.array(spent), pa.array(apart)], ["h", "n", "spelling", "apart"])
 
     return run
 
 
-def _coded_cost(model: Mixer, vocabulary: Vocabulary, t: _Tokens, rate: float = 0.05) -> np.ndarray:
-    """Bits that each token costs, without spellings. A text's own weights adapt from run to run."""
+def _spelling_cost(model: Mixer, bits: Bits, first: np.ndarray, part: int | np.ndarray) -> np.ndarray:
+    x, gate = inputs(model, bits, part)
+    return np.add.reduceat(cost(refined_logit(model, mixed_logit(model.weights, x, gate), bits.depth), bits.bit), first[:-1])
+
+
+def _coded_cost(model: Mixer, vocabulary: Vocabulary, t: _Tokens, part: np.ndarray, rate: float = 0.05) -> np.ndarray:
+    """Bits that each token costs, without spellings; ``part`` is that of each text. A text's own weights adapt from run to run."""
     texts = len(t.first) - 1
     counts = np.diff(t.first)
     text = np.repeat(np.arange(texts), counts)
     step = (np.arange(len(text)) - t.first[text]) // RUN
     order = np.argsort(step, kind="stable")
     bits, starts = _bits(vocabulary, t.symbol[order], [c[order] for c in _contexts(t)])
-    x, gate = inputs(model, bits)
     owner = np.repeat(text[order], np.diff(starts))
+    x, gate = inputs(model, bits, part.astype(np.uint32)[owner])
     z0 = mixed_logit(model.weights, x, gate)
     own = np.zeros((len(x), texts), np.float32)
     spent = np.zeros(len(owner) + 1)
@@ -323,7 +335,7 @@ def _score_rows(vocabulary_of, model_of, schema: pa.Schema, blocks: int, frequen
                 rare = np.flatnonzero(~known)
                 cut = np.searchsorted(rare, t.first)
                 n = last - first
-                spent = _coded_cost(model_of.value, vocabulary, t)
+                spent = _coded_cost(model_of.value, vocabulary, t, part[first:last])
                 h, counted = contexts(t.hash, t.first, known & (t.symbol <= frequent))
                 at = np.flatnonzero(counted)
                 yield from as_rows(dealt(h[at], t.symbol[at], len(vocabulary.counts), spent[at], row + text[at], part[first:last][text[at]] < 2, blocks), schema)
@@ -365,19 +377,19 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", diviso
     others = words.where("n = 0") if floor is None else words.where((F.col("n") < floor[0]) | ((F.col("n") == floor[0]) & (F.col("h") > floor[1])))
     if built.end:
         others = others.where(F.octet_length("word") > 0)
-    learnt = words.where("n > 0 and octet_length(word) > 0").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(2)).cast("int"))
-    spelling = trained(learnt, _word_streams, 3, SPELL_BITS)
-    spelled = others.select("word", "n").mapInArrow(_spell_rows(spark.sparkContext.broadcast(spelling)), "h long, n long, spelling double")
+    half = F.pmod(F.xxhash64("word"), F.lit(2)).cast("int").alias("part")
+    spelling = trained(words.where("n > 0 and octet_length(word) > 0").select("word", half), _word_streams, 3, SPELL_BITS)
+    spelled = others.select("word", "n", half).mapInArrow(_spell_rows(spark.sparkContext.broadcast(spelling)), "h long, n long, spelling double, apart double")
     columns = f"row long, doc_id {docs.schema[id_column].dataType.simpleString()}, part int, n_tokens long, n_known long, logs double, coded double, n_bytes long, rare array<long>"
     dealt_columns = f"block long, keys array<long>, texts array<long>, sizes array<int>, {columns}"
     blocks = max(1, -(-total // block_tokens))
     tokens = source.mapInArrow(_score_rows(known, spark.sparkContext.broadcast(mixer), to_arrow_schema(spark.createDataFrame([], dealt_columns).schema), blocks, frequent), dealt_columns)
     mixed = stored(tokens.groupBy("block").applyInArrow(mix_blocks(len(built.counts), TEXT_COLUMNS), f"{columns}, change double"), "scores")
     first = mixed.where("change is null").drop("change")
-    # Of the escape's words, half the weight goes by how often each was seen, half by its spelling.
-    seen = F.col("n") / F.lit(float(max(1, total - coded)))
-    spelled = spelled.withColumn("spelling", -F.log2(0.5 * F.pow(F.lit(2.0), -F.col("spelling")) + 0.5 * seen + F.lit(1e-300)))
-    pairs = first.select("row", F.explode("rare").alias("h")).join(spelled, "h")
+    # Of the escape's words, half the weight goes by how often each was seen (by a training text, elsewhere), half by its spelling.
+    weighed = lambda spent, n: -F.log2(0.5 * F.pow(F.lit(2.0), -F.col(spent)) + 0.5 * n / F.lit(float(max(1, total - coded))) + F.lit(1e-300))
+    spelled = spelled.select("h", "n", weighed("spelling", F.col("n")).alias("spelling"), weighed("apart", F.greatest(F.col("n") - 1, F.lit(0))).alias("apart"))
+    pairs = first.select("row", "part", F.explode("rare").alias("h")).join(spelled, "h").withColumn("spelling", F.when(F.col("part") < 2, F.col("apart")).otherwise(F.col("spelling")))
     more = pairs.select("row", "spelling", (F.col("n") > 0).cast("long").alias("known"), F.log10(F.col("n") + 1).alias("more"))
     more = more.unionByName(mixed.where("change is not null").select("row", F.col("change").alias("spelling"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("more")))
     rest = more.groupBy("row").agg(F.sum("spelling").alias("spelling"), F.sum("known").alias("known"), F.sum("more").alias("more"))

@@ -124,3 +124,26 @@ def test_texts_that_stand_elsewhere_too_cost_less(spark, block_tokens):
     twice = [got[i] for i in range(0, 150, 5) if not held(1000 + i)]
     once = [got[i] for i in range(150) if i % 5]
     assert len(got) == len(rows) and max(twice) < min(once)
+
+
+def test_a_text_is_predicted_without_its_own_counts(spark):
+    """Training texts and held-out ones of the same kind, none a copy, cost about the same; so does a slot by plain counting."""
+    counts = np.random.default_rng(5).integers(0, 9, (2, 1, 16, 2)).astype(np.int32)
+    model = bitmix.Mixer(bitmix.by_part(counts), bitmix.start_weights(1), np.empty(0))
+    bits = bitmix.Bits(np.arange(40, dtype=np.uint32), np.zeros(40, np.uint8), np.zeros(40, np.int32), [np.arange(40, dtype=np.uint32) * np.uint32(7)], np.zeros(40, np.float32))
+    part = np.arange(40) % 3
+    x, _ = bitmix.inputs(model, bits, part.astype(np.uint32))
+    at = bitmix.slots(bits.contexts[0], bits.node, 4)
+    for i in range(40):
+        none, some = (counts[1], counts[0], counts.sum(axis=0))[part[i]][0, at[i]]
+        assert abs(x[1, i] - np.log((some + 0.4) / (none + 0.4))) < 0.04
+        assert x[1, i] == bitmix.inputs(model, bits, int(part[i]))[0][1, i]
+    # Words of one small set, so that no held-out text pays for unknown ones.
+    draw = np.random.default_rng(6)
+    words = np.array(prose(1, 60, 300).split())
+    rows = [(i, " ".join(draw.choice(words, 120))) for i in range(300)]
+    got = lm_scoring.score(documents(spark, rows)).collect()
+    assert all(r["n_known"] == r["n_tokens"] for r in got)
+    mean = {held: np.mean([r["score"] / r["n_tokens"] for r in got if r["held_out"] == held]) for held in (True, False)}
+    print(mean)
+    assert abs(mean[True] - mean[False]) < 0.05
