@@ -101,9 +101,10 @@ def _sample(labelled: DataFrame, orders: tuple[int, ...], bits: int, sample_rows
     # Rows of one id and text share a hash; those of the last hash are let through by their number and cut here.
     cut, spare = sizes[rows - 1]["h"], F.col("h") < sizes[rows - 1]["h"]
     last = labelled.where(F.col("h") == cut).orderBy("toxic").limit(rows)
-    told = labelled.where(spare).unionByName(last).select("h", "text", "toxic").mapInArrow(_extractor(orders, bits), "h long, toxic int, features binary").collect()
-    told = sorted(told, key=lambda r: (r["h"], r["toxic"]))[:rows]
-    return [np.frombuffer(r["features"], "<i4") for r in told], np.array([r["toxic"] for r in told], float)
+    told = labelled.where(spare).unionByName(last).select("h", "text", "toxic").mapInArrow(_extractor(orders, bits), "h long, toxic int, features binary").toArrow()
+    toxic, features = told["toxic"].to_numpy(), told["features"]
+    order = np.lexsort((toxic, told["h"].to_numpy()))[:rows]
+    return [np.frombuffer(features[i].as_buffer(), "<i4") for i in order.tolist()], toxic[order].astype(float)
 
 
 def _logistic(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rate: float, epochs: int) -> tuple[np.ndarray, float]:
@@ -124,7 +125,7 @@ def _logistic(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rat
     return w, bias
 
 
-def fit(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", orders: tuple[int, ...] = (5, 6), bits: int = 20, surety: float = 6.0, sample_rows: int = 10_000, sample_features: int = 1 << 25, rate: float = 0.2, epochs: int = 8) -> ToxicityModel:
+def fit(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", orders: tuple[int, ...] = (5, 6), bits: int = 20, surety: float = 6.0, sample_rows: int = 10_000, sample_features: int = 1 << 24, rate: float = 0.2, epochs: int = 8) -> ToxicityModel:
     """Learns from every row with an id and a label of 0 or 1; the regression from ``sample_rows`` of them at most, with ``sample_features`` features at most."""
     labelled = labelled.select(F.xxhash64(id_column, text).alias("h"), F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     sizes = dict(labelled.groupBy("toxic").count().collect())
