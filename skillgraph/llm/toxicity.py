@@ -125,7 +125,7 @@ def _logistic(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rat
     return w, bias
 
 
-def fit(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", orders: tuple[int, ...] = (5, 6), bits: int = 20, surety: float = 6.0, sample_rows: int = 10_000, sample_features: int = 1 << 24, rate: float = 0.2, epochs: int = 8) -> ToxicityModel:
+def fit(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", orders: tuple[int, ...] = (5, 6), bits: int = 20, surety: float = 8.0, sample_rows: int = 10_000, sample_features: int = 1 << 24, rate: float = 0.2, epochs: int = 8) -> ToxicityModel:
     """Learns from every row with an id and a label of 0 or 1; the regression from ``sample_rows`` of them at most, with ``sample_features`` features at most."""
     labelled = labelled.select(F.xxhash64(id_column, text).alias("h"), F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     sizes = dict(labelled.groupBy("toxic").count().collect())

@@ -51,7 +51,7 @@ def test_toxicity_scores(spark):
         p, q, both = (counts[1][b] + 0.5) / (sizes[1] + 1), (counts[0][b] + 0.5) / (sizes[0] + 1), (counts[1][b] + counts[0][b] + 1) / (n + 2)
         errors = abs(p - q) / math.sqrt(both * (1 - both) * (1 / sizes[1] + 1 / sizes[0]))
         ratio[b] = math.log((counts[1][b] + sizes[1] / n) / (sizes[1] + 1)) - math.log((counts[0][b] + sizes[0] / n) / (sizes[0] + 1))
-        ratio[b] *= errors**4 / (errors**4 + 6.0**4)
+        ratio[b] *= errors**4 / (errors**4 + 8.0**4)
     assert min(ratio.values()) < 0 < max(ratio.values())  # both kinds of evidence
     from pyspark.sql import functions as F
 
