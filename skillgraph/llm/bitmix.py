@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,18 @@ class Mixer:
     refined: np.ndarray  # depths x cells: logits
 
 
+@dataclass(frozen=True)
+class Trained:
+    """A mixer whose tables are broadcast once, for learning and for scoring."""
+
+    tables: Broadcast
+    weights: np.ndarray
+    refined: np.ndarray
+
+    def mixer(self) -> Mixer:
+        return Mixer(self.tables.value, self.weights, self.refined)
+
+
 def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     h = (context ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(15)
@@ -186,10 +199,8 @@ def learn_rows(shared, streams, predictors: int, step: int = 1 << 15):
     return run
 
 
-def learned(df: DataFrame, tables: tuple[tuple[np.ndarray, np.ndarray], ...], streams) -> tuple[np.ndarray, np.ndarray]:
+def learned(df: DataFrame, shared: Broadcast, streams, predictors: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and adaptive map: each task learns online, and weights are averaged by the bits that each gate saw."""
-    predictors = len(tables)
-    shared = df.sparkSession.sparkContext.broadcast(tables)
     rows = df.mapInArrow(learn_rows(shared, streams, predictors), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     weights, refined = start_weights(predictors).astype(np.float64), np.tile(np.linspace(-12, 12, _CELLS), (DEPTHS, 1))
     if rows:
@@ -206,7 +217,7 @@ def learned(df: DataFrame, tables: tuple[tuple[np.ndarray, np.ndarray], ...], st
     return weights.astype(np.float32), refined.astype(np.float32)
 
 
-def trained(df: DataFrame, streams, predictors: int, bits: int) -> Mixer:
+def trained(df: DataFrame, streams, predictors: int, bits: int) -> Trained:
     """Counts and weights from all of ``df``; each of two parts is always predicted by the other's counts."""
-    tables = by_part(counted(df, streams, predictors, bits))
-    return Mixer(tables, *learned(df, tables, streams))
+    tables = df.sparkSession.sparkContext.broadcast(by_part(counted(df, streams, predictors, bits)))
+    return Trained(tables, *learned(df, tables, streams, predictors))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from skillgraph.llm.bitmix import DEPTHS, Bits, Mixer, cost, inputs, mixed_logit, refined_logit, trained
+from skillgraph.llm.bitmix import DEPTHS, Bits, Mixer, Trained, cost, inputs, mixed_logit, refined_logit, trained
 from skillgraph.llm.common import find_words, lower_bytes, remainder, stored, text_slices, word_hashes
 from skillgraph.llm.memory import BLOCK_TOKENS, as_rows, contexts, dealt, mix_blocks
 
@@ -258,11 +258,11 @@ def _word_streams(batch: pa.RecordBatch) -> Iterator[tuple[int, Bits]]:
             yield p, _spelled(some[a : a + (1 << 13)])[0]
 
 
-def _spell_rows(shared):
+def _spell_rows(spelling: Trained):
     """(h, n, spelling, apart): what each word's spelling costs, and, for one that training texts have once, what it costs without its own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Mixer = shared.value
+        model = spelling.mixer()
         for batch in batches:
             words = batch.column("word").to_pylist()
             for a in range(0, len(words), 1 << 13):
@@ -318,11 +318,12 @@ def _coded_cost(model: Mixer, vocabulary: Vocabulary, t: _Tokens, part: np.ndarr
     return each
 
 
-def _score_rows(vocabulary_of, model_of, schema: pa.Schema, blocks: int, frequent: int):
+def _score_rows(vocabulary_of, trained_mixer: Trained, schema: pa.Schema, blocks: int, frequent: int):
     """Of each text: what needs the vocabulary only, and its other words by their hashes. Besides, its tokens by their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = vocabulary_of.value
+        model = trained_mixer.mixer()
         row = TaskContext.get().partitionId() << 33
         logs = np.log10(vocabulary.counts + 1.0)
         for batch in batches:
@@ -335,7 +336,7 @@ def _score_rows(vocabulary_of, model_of, schema: pa.Schema, blocks: int, frequen
                 rare = np.flatnonzero(~known)
                 cut = np.searchsorted(rare, t.first)
                 n = last - first
-                spent = _coded_cost(model_of.value, vocabulary, t, part[first:last])
+                spent = _coded_cost(model, vocabulary, t, part[first:last])
                 h, counted = contexts(t.hash, t.first, known & (t.symbol <= frequent))
                 at = np.flatnonzero(counted)
                 yield from as_rows(dealt(h[at], t.symbol[at], len(vocabulary.counts), spent[at], row + text[at], part[first:last][text[at]] < 2, blocks), schema)
@@ -379,11 +380,11 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", diviso
         others = others.where(F.octet_length("word") > 0)
     half = F.pmod(F.xxhash64("word"), F.lit(2)).cast("int").alias("part")
     spelling = trained(words.where("n > 0 and octet_length(word) > 0").select("word", half), _word_streams, 3, SPELL_BITS)
-    spelled = others.select("word", "n", half).mapInArrow(_spell_rows(spark.sparkContext.broadcast(spelling)), "h long, n long, spelling double, apart double")
+    spelled = others.select("word", "n", half).mapInArrow(_spell_rows(spelling), "h long, n long, spelling double, apart double")
     columns = f"row long, doc_id {docs.schema[id_column].dataType.simpleString()}, part int, n_tokens long, n_known long, logs double, coded double, n_bytes long, rare array<long>"
     dealt_columns = f"block long, keys array<long>, texts array<long>, sizes array<int>, {columns}"
     blocks = max(1, -(-total // block_tokens))
-    tokens = source.mapInArrow(_score_rows(known, spark.sparkContext.broadcast(mixer), to_arrow_schema(spark.createDataFrame([], dealt_columns).schema), blocks, frequent), dealt_columns)
+    tokens = source.mapInArrow(_score_rows(known, mixer, to_arrow_schema(spark.createDataFrame([], dealt_columns).schema), blocks, frequent), dealt_columns)
     mixed = stored(tokens.groupBy("block").applyInArrow(mix_blocks(len(built.counts), TEXT_COLUMNS), f"{columns}, change double"), "scores")
     first = mixed.where("change is null").drop("change")
     # Of the escape's words, half the weight goes by how often each was seen (by a training text, elsewhere), half by its spelling.
