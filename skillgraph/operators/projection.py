@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skillgraph.storage import stored
+from skillgraph.storage import stored, tasks_for
+
+#: A feature's entities are listed in parts of about this many.
+LISTED = 1_000
+#: Pairs that one task adds up, by a count made first (about 100 bytes each).
+PAIRS_AT_ONCE = 2_000_000
 
 
 def guarded(edges: DataFrame, entity: str = "entity", feature: str = "feature", first_seen: str | None = None, max_degree: int = 2_000, max_pairs: int = 1_500_000, max_total: int = 25_000_000) -> DataFrame:
@@ -103,3 +109,119 @@ def similarity(pairs: DataFrame, method: str = "both", k: int = 20, threshold: f
         raise ValueError(f"unknown method: {method}")
     frames = [closest(pairs, s, k, threshold, m) for m, s in scores.items() if method in (m, "both")]
     return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+
+
+def _profiles(edges: DataFrame) -> DataFrame:
+    """(a, rep, n) of every entity of the edges (a, f, w): the least entity with the same features and weights, and how many there are of these.
+
+    Sets of edges are told apart by their number and the sums of 128 bits of hash, in four parts, so that no sum overflows.
+    """
+    marks = [part(F.xxhash64(*c)) for c in (("f", "w"), (F.lit(1), "w", "f")) for part in (lambda h: F.shiftrightunsigned(h, 32), lambda h: h.bitwiseAND(F.lit((1 << 32) - 1)))]
+    names = ["_n", *[f"_x{i}" for i in range(len(marks))]]
+    own = edges.groupBy("a").agg(F.count("*").alias("_n"), *[F.sum(m).alias(name) for m, name in zip(marks, names[1:], strict=True)])
+    same = own.groupBy(*names).agg(F.min("a").alias("rep"), F.count("*").alias("n"))
+    return own.join(same, names).select("a", "rep", "n")
+
+
+def _narrowest(least: int, most: int) -> str:
+    """The type of whole numbers that holds a range with the fewest bytes."""
+    return next(t for t, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)) if -(1 << bits) <= least and most < 1 << bits)
+
+
+def _compact(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (a, f, w) with numbered entities, and decimal weights as whole numbers, in the fewest bytes that hold them; how many of a weight's places were kept.
+
+    Whole numbers also add up faster. Weights whose sums might overflow stay decimals.
+    """
+    kinds = {c: edges.schema[c].dataType for c in ("a", "w")}
+    whole, asked = isinstance(kinds["a"], T.LongType), [F.approx_count_distinct("f").alias("features")]
+    if whole:
+        asked += [F.min("a").alias("low"), F.max("a").alias("high")]
+    places = kinds["w"].scale if isinstance(kinds["w"], T.DecimalType) else None
+    if places is not None:
+        asked += [F.max(F.abs("w")).alias("most"), *[F.count_if(F.round("w", i) != F.col("w")).alias(f"p{i}") for i in range(places)]]
+    found = edges.agg(*asked).first()
+    if whole and found["low"] is not None:
+        edges = edges.withColumn("a", F.col("a").cast(_narrowest(found["low"], found["high"])))
+    if places is None or found["most"] is None:
+        return edges, 0
+    places = next((i for i in range(places) if not found[f"p{i}"]), places)
+    most = int(found["most"] * 10**places)
+    if 2 * found["features"] * most >= 1 << 62:
+        return edges, 0
+    return edges.withColumn("w", (F.col("w") * F.lit(10**places)).cast(_narrowest(-most, most))), places
+
+
+def _parts(edges: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(edges with part, lists (f, part, bs, ws) of the entities of ``listed``, number of pairs that they make). An edge stands once for each part of its feature's list."""
+    sizes = listed.groupBy("f").agg(F.count("*").alias("n"))
+    pairs = edges.groupBy("f").agg(F.count("*").alias("m")).join(sizes, "f").agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+    long = stored(sizes.where(F.col("n") > LISTED).select("f", F.ceil(F.col("n") / LISTED).cast("int").alias("parts")), "long")
+    cut = lambda df: df.join(F.broadcast(long), "f", "left") if not long.isEmpty() else df.withColumn("parts", F.lit(1))
+    parts = F.coalesce("parts", F.lit(1))
+    lists = cut(listed).withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).groupBy("f", "part").agg(F.collect_list(F.struct("b", "v")).alias("l")).select("f", "part", F.col("l.b").alias("bs"), F.col("l.v").alias("vs"))
+    return cut(edges).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"), lists, pairs
+
+
+def similar(edges: DataFrame, method: str = "both", k: int = 20, threshold: float = 0.0, entity: str = "entity", feature: str = "feature", weight: str = "weight", used: DataFrame | None = None) -> DataFrame:
+    """What ``similarity`` gives of ``pair_scores``, without a table of pairs: (entity, neighbor, similarity_score, rank, method).
+
+    Every edge takes the list of its feature's entities to its own entity, in one shuffle; there pairs are added up and ranked,
+    in as many tasks as their number wants. Names are compared as texts.
+
+    Entities with the same features and weights have the same neighbours but for themselves. If that halves their number at
+    least, one of each kind is compared, with the first k + 1 of each kind: no more of it can be among the k best of anyone.
+    """
+    scores = {"unweighted": "shared_count", "weighted": "weighted_score"}
+    if method != "both" and method not in scores:
+        raise ValueError(f"unknown method: {method}")
+    scores = {m: s for m, s in scores.items() if method in (m, "both")}
+    own = edges.select(F.col(entity).alias("a"), F.col(feature).alias("f"), F.col(weight).alias("w")).where("a is not null and f is not null")
+    if used is not None:
+        own = own.join(used.select(F.col(feature).alias("f")), "f", "left_semi")
+    own = stored(own, "edges")
+    name = own.schema["a"].dataType
+    own, scale = _compact(own)
+    members, mine, listed = None, own, own.select(F.col("a").alias("b"), "f", F.col("w").alias("v"))
+    if k > 0:
+        members = stored(_profiles(own), "profiles")
+        entities, kinds = members.agg(F.count("*"), F.count_if(F.col("a") == F.col("rep"))).first()
+        if 2 * kinds > entities:
+            members = None
+    own = own.withColumn("many", F.lit(False))
+    if members is not None:
+        first = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("a").cast("string")))
+        shown = members.withColumn("at", first).where(F.col("at") <= k + 1).select(F.col("a").alias("b"), F.col("rep").alias("a"))
+        own = stored(mine.join(members.where("a = rep").select("a", (F.col("n") > 1).alias("many")), "a"), "kinds")
+        listed = stored(own.join(shown, "a").select("b", "f", F.col("w").alias("v")), "listed")
+    parted, lists, pairs = _parts(own, listed)
+    if "weighted" not in scores:
+        parted, lists = parted.drop("w"), lists.drop("vs")
+    sent = parted.join(lists, ["f", "part"]).drop("f", "part").repartition(tasks_for(own.sparkSession, pairs, PAIRS_AT_ONCE), "a")
+    met = sent.select("*", F.posexplode("bs").alias("_i", "b")).where((F.col("a") != F.col("b")) | F.col("many"))
+    sums = [F.count("*").alias("shared_count")] if "unweighted" in scores else []
+    if "weighted" in scores:
+        sums.append(F.sum(F.least("w", F.get("vs", F.col("_i")))).alias("weighted_score"))
+    summed = met.groupBy("a", "b").agg(*sums)
+    value = {"unweighted": F.col("shared_count"), "weighted": F.col("weighted_score")}
+    double = {"unweighted": F.col("shared_count").cast("double"), "weighted": F.col("weighted_score").cast("double") / F.lit(float(10**scale))}
+    room = k if members is None else k + 1
+    ranked, hits = summed, []
+    for m in scores:
+        fits = double[m] >= F.lit(threshold)
+        by = F.desc(F.when(fits, value[m])) if len(scores) > 1 else F.desc(value[m])
+        ranked = (ranked if len(scores) > 1 else ranked.where(fits)).withColumn(m, F.row_number().over(Window.partitionBy("a").orderBy(by, F.col("b").cast("string"))))
+        if k > 0:
+            fits = fits & (F.col(m) <= room)
+        hits.append((fits, F.struct(F.col("b").alias("neighbor"), F.round(double[m], 6).alias("similarity_score"), F.col(m).alias("rank"), F.lit(m).alias("method"))))
+    if len(hits) == 1:
+        found = ranked.where(hits[0][0]).select("a", hits[0][1].alias("h")).select("a", "h.*")
+    else:
+        found = ranked.where(hits[0][0] | hits[1][0]).select("a", F.explode(F.array_compact(F.array(*[F.when(fits, hit) for fits, hit in hits]))).alias("h")).select("a", "h.*")
+    if members is None:
+        return found.select(F.col("a").cast(name).alias("entity"), F.col("neighbor").cast(name).alias("neighbor"), "similarity_score", "rank", "method")
+    best = found.groupBy("a", "method").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbor", "similarity_score"))).alias("l"))  # k + 1 at most
+    each = members.select(F.col("a").alias("entity"), F.col("rep").alias("a")).join(best, "a")
+    others = F.slice(F.filter("l", lambda x: x["neighbor"] != F.col("entity")), 1, k)
+    placed = each.select("entity", "method", F.posexplode(others).alias("at", "x"))
+    return placed.select(F.col("entity").cast(name).alias("entity"), F.col("x.neighbor").cast(name).alias("neighbor"), F.col("x.similarity_score").alias("similarity_score"), (F.col("at") + 1).alias("rank"), "method")

@@ -56,13 +56,23 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.best_edges(_items(spark, sf_dir), "entity", "feature", "weight", ("row_idx", "place"))
 
 
-def _customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and parts: far fewer entities, with many shared parts."""
-    own = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("entity"))
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("feature"), F.col("l_quantity").cast("decimal(18,6)").alias("weight"))
+def _order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of orders and parts under their numbers, which are shorter than texts."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_partkey").alias("feature"), F.col("l_quantity").cast("decimal(18,6)").alias("weight"))
+    return entities.best_edges(lines, "entity", "feature", "weight", ())
+
+
+def _customer_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and parts, under their numbers: far fewer entities, with many shared parts."""
+    own = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("entity"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("feature"), F.col("l_quantity").cast("decimal(18,6)").alias("weight"))
     return lines.join(own, "l_orderkey").groupBy("entity", "feature").agg(F.max("weight").alias("weight"))
 
 
+def _customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customer_parts(spark, sf_dir).select(F.col("entity").cast("string").alias("entity"), F.col("feature").cast("string").alias("feature"), "weight")
+
+
 _CUSTOMER_EDGES = "SELECT CAST(o_custkey AS VARCHAR) AS entity, CAST(l_partkey AS VARCHAR) AS feature, MAX(CAST(l_quantity AS DECIMAL(18,6))) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"
 
 
@@ -271,6 +281,10 @@ def _with_pairs(edges: str) -> str:
     return f"WITH e AS ({edges}), p AS ({_PAIRS.format(e='e')})"
 
 
+def _named(found: DataFrame) -> DataFrame:
+    return found.withColumns({c: F.col(c).cast("string") for c in ("entity", "neighbor")})
+
+
 @_register(f"{_with_pairs(_EDGES)} {_topk_sql('e', 'shared_count', 20, 0, 'unweighted')}")
 def topk_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.similarity(projection.pair_scores(_edges(spark, sf_dir)), "unweighted", 20)
@@ -278,7 +292,7 @@ def topk_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"{_with_pairs(_EDGES)} {_topk_sql('e', 'weighted_score', 5, 0, 'weighted')}")
 def topk_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projection.similarity(projection.pair_scores(_edges(spark, sf_dir)), "weighted", 5)
+    return _named(projection.similar(_order_parts(spark, sf_dir), "weighted", 5))
 
 
 @_register(f"{_with_pairs(_CUSTOMER_EDGES)} {_topk_sql('e', 'shared_count', 10, 3, 'unweighted')} UNION ALL {_topk_sql('e', 'weighted_score', 10, 3, 'weighted')}")
