@@ -297,8 +297,7 @@ def topk_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"{_with_pairs(_CUSTOMER_EDGES)} {_topk_sql('e', 'shared_count', 10, 3, 'unweighted')} UNION ALL {_topk_sql('e', 'weighted_score', 10, 3, 'weighted')}")
 def topk_both_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = stored(projection.pair_scores(_customer_edges(spark, sf_dir)), "pairs")
-    return projection.similarity(pairs, "both", 10, 3.0)
+    return _named(projection.similar(_customer_parts(spark, sf_dir), "both", 10, 3.0))
 
 
 # --- lookups ---------------------------------------------------------------
