@@ -287,7 +287,7 @@ def _named(found: DataFrame) -> DataFrame:
 
 @_register(f"{_with_pairs(_EDGES)} {_topk_sql('e', 'shared_count', 20, 0, 'unweighted')}")
 def topk_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projection.similarity(projection.pair_scores(_edges(spark, sf_dir)), "unweighted", 20)
+    return _named(projection.similar(_order_parts(spark, sf_dir), "unweighted", 20))
 
 
 @_register(f"{_with_pairs(_EDGES)} {_topk_sql('e', 'weighted_score', 5, 0, 'weighted')}")
