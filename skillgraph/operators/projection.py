@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,16 +67,34 @@ def _first_fit(features: DataFrame, room: int, few: int = 100_000) -> DataFrame:
     return taken
 
 
+def _links(edges: DataFrame, entity: str, feature: str, weight: str, used: DataFrame | None) -> DataFrame:
+    """(a, f, w) of the edges that may take part, stored, since they are read several times."""
+    own = edges.select(F.col(entity).alias("a"), F.col(feature).alias("f"), F.col(weight).alias("w")).where("a is not null and f is not null")
+    if used is not None:
+        own = own.join(used.select(F.col(feature).alias("f")), "f", "left_semi")
+    return stored(own, "edges")
+
+
 def pair_scores(edges: DataFrame, entity: str = "entity", feature: str = "feature", weight: str = "weight", used: DataFrame | None = None) -> DataFrame:
     """(a, b, shared_count, weighted_score) of entities that share features, a < b; the score sums the lesser weights.
 
     Weights are decimals, so sums don't depend on their order. ``used``: the features that may take part.
+
+    Every edge takes those of its feature's entities that come after its own to that, in one shuffle, to as many tasks as the
+    number of pairs wants.
     """
-    part = edges.select(F.col(entity).alias("a"), F.col(feature).alias("f"), F.col(weight).alias("w"))
-    if used is not None:
-        part = part.join(used.select(F.col(feature).alias("f")), "f", "left_semi")
-    other = part.select(F.col("a").alias("b"), "f", F.col("w").alias("v"))
-    return part.join(other, "f").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared_count"), F.sum(F.least("w", "v")).alias("weighted_score"))
+    own = _links(edges, entity, feature, weight, used)
+    name, kind = own.schema["a"].dataType, T.DecimalType(min(38, own.schema["w"].dataType.precision + 10), own.schema["w"].dataType.scale) if isinstance(own.schema["w"].dataType, T.DecimalType) else None
+    own, places = _compact(own)
+    parted, lists, pairs = _parts(own, own.select(F.col("a").alias("b"), "f", F.col("w").alias("v")))
+    later = F.zip_with("bs", "vs", lambda b, v: F.struct(b.alias("b"), v.alias("v")))
+    sent = parted.join(lists, ["f", "part"]).withColumn("l", F.filter(later, lambda x: x["b"] > F.col("a"))).where(F.size("l") > 0).select("a", "w", F.col("l.b").alias("bs"), F.col("l.v").alias("vs"))
+    met = sent.repartition(tasks_for(own.sparkSession, pairs // 2, PAIRS_AT_ONCE), "a").select("*", F.posexplode("bs").alias("_i", "b"))
+    summed = met.groupBy("a", "b").agg(F.count("*").alias("shared_count"), F.sum(F.least("w", F.get("vs", F.col("_i")))).alias("weighted_score"))
+    score = F.col("weighted_score")
+    if isinstance(summed.schema["weighted_score"].dataType, T.LongType) and kind is not None:
+        score = (score.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-places))).cast(kind)
+    return summed.select(F.col("a").cast(name).alias("a"), F.col("b").cast(name).alias("b"), "shared_count", score.alias("weighted_score"))
 
 
 def projection_stats(judged: DataFrame) -> DataFrame:
@@ -176,10 +196,7 @@ def similar(edges: DataFrame, method: str = "both", k: int = 20, threshold: floa
     if method != "both" and method not in scores:
         raise ValueError(f"unknown method: {method}")
     scores = {m: s for m, s in scores.items() if method in (m, "both")}
-    own = edges.select(F.col(entity).alias("a"), F.col(feature).alias("f"), F.col(weight).alias("w")).where("a is not null and f is not null")
-    if used is not None:
-        own = own.join(used.select(F.col(feature).alias("f")), "f", "left_semi")
-    own = stored(own, "edges")
+    own = _links(edges, entity, feature, weight, used)
     name = own.schema["a"].dataType
     own, scale = _compact(own)
     members, mine, listed = None, own, own.select(F.col("a").alias("b"), "f", F.col("w").alias("v"))

@@ -234,7 +234,13 @@ def bipartite_degree_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"{_WITH} SELECT a, b, shared_count, CAST(weighted_score AS DOUBLE) AS weighted_score FROM ({_PAIRS.format(e='e')})")
 def projection_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projection.pair_scores(_edges(spark, sf_dir)).withColumn("weighted_score", F.col("weighted_score").cast("double"))
+    return _text_pairs(projection.pair_scores(_order_parts(spark, sf_dir))).withColumn("weighted_score", F.col("weighted_score").cast("double"))
+
+
+def _text_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of numbers as pairs of texts, the lesser text first."""
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    return pairs.withColumns({"a": F.least(a, b), "b": F.greatest(a, b)})
 
 
 _SUPPLIER_EDGES = "SELECT CAST(l_suppkey AS VARCHAR) AS entity, CAST(l_partkey AS VARCHAR) AS feature, MAX(CAST(l_quantity AS DECIMAL(18,6))) AS weight FROM lineitem GROUP BY 1, 2"

@@ -44,3 +44,17 @@ def test_large_weights_stay_decimals(spark):
     edges = spark.createDataFrame(rows, "entity string, feature string, weight decimal(18,6)")
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(projection.similar(edges, "weighted", 5)) == rows(projection.similarity(projection.pair_scores(edges), "weighted", 5).select("entity", "neighbor", "similarity_score", "rank", "method"))
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch, kind):
+    """More pairs than a task should hold go to more tasks than the session's shuffles have; they are those of a plain join."""
+    monkeypatch.setattr(projection, "LISTED", 7)
+    monkeypatch.setattr(projection, "PAIRS_AT_ONCE", 300)
+    edges = _edges(spark, kind, 3)
+    edges.createOrReplaceTempView("edges_of_pairs")
+    found = projection.pair_scores(edges)
+    assert found.rdd.getNumPartitions() > 4
+    want = spark.sql("select x.entity, y.entity, count(*), sum(least(x.weight, y.weight)) from edges_of_pairs x join edges_of_pairs y on x.feature = y.feature and x.entity < y.entity group by 1, 2")
+    assert found.schema["weighted_score"].dataType == want.schema[3].dataType
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
