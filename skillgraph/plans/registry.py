@@ -461,7 +461,7 @@ def induced_subgraph_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _customer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers who share five parts or more."""
-    pairs = projection.pair_scores(_customer_edges(spark, sf_dir)).where("shared_count >= 5")
+    pairs = _text_pairs(projection.pair_scores(_customer_parts(spark, sf_dir)).where("shared_count >= 5"))
     return stored(pairs.select("a", "b", F.col("shared_count").cast("double").alias("weight")), "graph")
 
 
