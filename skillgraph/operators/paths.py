@@ -103,15 +103,21 @@ def path_measures(edges: DataFrame, betweenness: bool = True, limit: tuple[int,
     return nodes.join(found, "id").select("node", "betweenness", "distance_sum", "reached")
 
 
-def centrality(edges: DataFrame, nodes: DataFrame, betweenness_limit: tuple[int, int] | None, closeness_limit: tuple[int, int] | None) -> tuple[DataFrame, dict[str, str]]:
+def centrality(edges: DataFrame, nodes: DataFrame, betweenness_limit: tuple[int, int] | None, closeness_limit: tuple[int, int] | None, counted: tuple[int, DataFrame] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """(node, degree, strength, betweenness, closeness) and why a measure is missing.
 
     Closeness holds for the largest component only (of equal ones, that of the least node), as (n - 1) / sum of distances;
-    a measure that the limits leave out is NULL.
+    a measure that the limits leave out is NULL. ``counted``: the number of edges and the (node, degree, strength) of their
+    ends, where these are known; edges are then made only for a measure.
     """
-    edges = stored(edges.select("a", "b", "weight"), "graph")
-    v, e = nodes.count(), edges.count()
-    table = degrees(edges, nodes)
+    if counted is None or closeness_limit is not None:
+        edges = stored(edges.select("a", "b", "weight"), "graph")
+    if counted is None:
+        e, table = edges.count(), degrees(edges, nodes)
+    else:
+        e, known = counted
+        table = nodes.join(known, "node", "left").withColumns({c: F.coalesce(c, F.lit(0).cast(known.schema[c].dataType)) for c in ("degree", "strength")})
+    v = nodes.count()
     notes = {}
     why = guard(v, e, betweenness_limit)
     notes["betweenness"] = why or "computed"
@@ -120,6 +126,9 @@ def centrality(edges: DataFrame, nodes: DataFrame, betweenness_limit: tuple[int,
     else:
         between = path_measures(edges, limit=betweenness_limit).select("node", "betweenness")
         table = table.join(between, "node", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+    if closeness_limit is None:
+        notes["closeness"] = guard(0, 0, None)
+        return table.withColumn("closeness", F.lit(None).cast("double")), notes
     members = stored(connected(edges, nodes), "members")
     top = members.groupBy("component").count().orderBy(F.desc("count"), "component").first()
     giant = members.where(F.col("component") == top[0]).select("node") if top else members.select("node")

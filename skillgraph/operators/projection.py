@@ -242,3 +242,39 @@ def similar(edges: DataFrame, method: str = "both", k: int = 20, threshold: floa
     others = F.slice(F.filter("l", lambda x: x["neighbor"] != F.col("entity")), 1, k)
     placed = each.select("entity", "method", F.posexplode(others).alias("at", "x"))
     return placed.select(F.col("entity").cast(name).alias("entity"), F.col("x.neighbor").cast(name).alias("neighbor"), F.col("x.similarity_score").alias("similarity_score"), (F.col("at") + 1).alias("rank"), "method")
+
+
+def kind_pairs(edges: DataFrame, entity: str = "entity", feature: str = "feature", weight: str = "weight", used: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``pair_scores`` gives without a row for each pair of copies: (pairs, members).
+
+    members: entity, rep, n, the least entity with the same features and weights and how many there are of these. pairs: a, b,
+    shared_count, weighted_score of reps, a < b, and n_pairs, how many pairs of entities have this score; a = b for pairs of
+    entities of one kind.
+    """
+    own = _links(edges, entity, feature, weight, used)
+    members = stored(_profiles(own).withColumnRenamed("a", "entity"), "members")
+    kinds = members.where("entity = rep").select("rep", "n")
+    mine = stored(own.join(kinds.select(F.col("rep").alias("a"), "n"), "a"), "kinds")
+    scores = pair_scores(mine, "a", "f", "w")
+    within = mine.where("n > 1").groupBy("a").agg(F.count("*").alias("shared_count"), F.sum("w").cast(scores.schema["weighted_score"].dataType).alias("weighted_score"))
+    size = lambda end: kinds.select(F.col("rep").alias(end), F.col("n").alias(f"_{end}"))
+    between = scores.join(size("a"), "a").join(size("b"), "b").withColumn("n_pairs", F.col("_a") * F.col("_b"))
+    alike = within.join(size("a"), "a").withColumn("b", F.col("a")).withColumn("n_pairs", F.expr("_a * (_a - 1) div 2"))
+    columns = ("a", "b", "shared_count", "weighted_score", "n_pairs")
+    return between.select(*columns).unionByName(alike.select(*columns)), members
+
+
+def each_pair(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs of entities that pairs of kinds stand for, a < b: other columns are those of their kinds."""
+    of = lambda end: members.select(F.col("rep").alias(end), F.col("entity").alias(f"_{end}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b").where("a <> b or _a < _b")
+    return met.withColumns({"a": F.least("_a", "_b"), "b": F.greatest("_a", "_b")}).drop("_a", "_b")
+
+
+def kind_degrees(pairs: DataFrame, members: DataFrame, weight: str) -> DataFrame:
+    """(node, degree, strength) of every entity in a pair, from pairs of kinds."""
+    sizes = members.where("entity = rep").select("rep", F.col("n").alias("_n"))
+    ways = pairs.select("a", "b", weight).unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), weight))
+    met = ways.join(sizes.withColumnRenamed("rep", "b"), "b").withColumn("_n", F.when(F.col("a") == F.col("b"), F.col("_n") - 1).otherwise(F.col("_n")))
+    kinds = met.groupBy("a").agg(F.sum("_n").alias("degree"), F.sum(F.col("_n") * F.col(weight)).alias("strength"))
+    return members.select(F.col("entity").alias("node"), F.col("rep").alias("a")).join(kinds, "a").select("node", "degree", "strength")

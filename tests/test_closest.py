@@ -58,3 +58,16 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch, kind):
     want = spark.sql("select x.entity, y.entity, count(*), sum(least(x.weight, y.weight)) from edges_of_pairs x join edges_of_pairs y on x.feature = y.feature and x.entity < y.entity group by 1, 2")
     assert found.schema["weighted_score"].dataType == want.schema[3].dataType
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pairs_of_kinds_stand_for_all_pairs(spark):
+    edges = _edges(spark, str, 4)
+    pairs, members = projection.kind_pairs(edges)
+    whole = projection.pair_scores(edges)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert pairs.count() * 4 < whole.count() == pairs.selectExpr("sum(n_pairs)").first()[0]
+    each = projection.each_pair(pairs, members)
+    assert rows(each.select(*whole.columns)) == rows(whole)
+    for w in ("shared_count", "weighted_score"):
+        ends = whole.selectExpr("a", w).union(whole.selectExpr("b", w))
+        assert rows(projection.kind_degrees(pairs, members, w)) == rows(ends.groupBy("a").agg({"a": "count", w: "sum"}).selectExpr("a", "`count(a)`", f"`sum({w})`"))
