@@ -144,3 +144,34 @@ def test_path_measures_have_limits(spark):
     with pytest.raises(ValueError, match="guarded_by_size"):
         paths.path_measures(edges_of(spark, [("a", "b"), ("b", "c")]), limit=(2, 9))
     assert paths.path_measures(edges_of(spark, [("a", "b")]).limit(0)).count() == 0
+
+
+def test_components_of_hubs_and_edges_in_many_tasks(spark, monkeypatch):
+    from skillgraph.operators import components
+
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", 40)
+    pairs = [("m", f"x{i}") for i in range(150)] + [(f"x{i}", f"y{i % 7}") for i in range(90)] + [(f"q{i}", f"q{i + 1}") for i in range(40)] + [("solo", "solo"), ("q0", None)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if b is not None and a != b:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    want = {x: root(x) for x in parent}
+    plain = connected(edges_of(spark, [p for p in pairs if p[1] is not None]))
+    assert {r["node"]: r["component"] for r in plain.collect()} == want and plain.count() == len(want)
+    monkeypatch.setattr(components, "LOOKED_AT", 1)
+    monkeypatch.setattr(components, "HUB", 20)
+    seen = []
+    find = components._hubs
+    monkeypatch.setattr(components, "_hubs", lambda edges: seen.append(find(edges)) or seen[-1])
+    split = connected(spark.createDataFrame(pairs + pairs, "a string, b string"), spark.createDataFrame([("m",), ("alone",), ("x3",), ("m",)], "node string"))
+    assert {r["node"]: r["component"] for r in split.collect()} == {"m": want["m"], "x3": want["x3"], "alone": "alone"}
+    assert any(h is not None and h.where("a = 'm'").count() == 1 for h in seen)
+    # No more edges than so many meet in a task, whatever the session's number of shuffles.
+    assert components._tasks(spark, 4_000) == 100
