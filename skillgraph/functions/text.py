@@ -13,6 +13,13 @@ from skillgraph.config import BUCKET_SCORES
 #: White space of any script.
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _SPACE = f"[{_WHITE}]+"
+#: That of ASCII, which is found much faster.
+_PLAIN_WHITE = "".join(c for c in _WHITE if c < "\x80")
+_PLAIN_SPACE = f"[{_PLAIN_WHITE}]+"
+
+
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
 
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -22,7 +29,12 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space (of any script) at either end."""
-    return F.btrim(c, F.lit(_WHITE))
+    return F.when(_ascii(c), F.btrim(c, F.lit(_PLAIN_WHITE))).otherwise(F.btrim(c, F.lit(_WHITE)))
+
+
+def _spaced(c: Column) -> Column:
+    """Any white space as one space."""
+    return F.when(_ascii(c), F.regexp_replace(c, _PLAIN_SPACE, " ")).otherwise(F.regexp_replace(c, _SPACE, " "))
 
 
 def clean(c: Column) -> Column:
@@ -32,7 +44,7 @@ def clean(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Lower case, single spaces, no space or punctuation at the end; NULL is empty."""
-    text = F.regexp_replace(F.lower(strip(F.coalesce(c, F.lit("")))), _SPACE, " ")
+    text = _spaced(F.lower(strip(F.coalesce(c, F.lit("")))))
     return F.rtrim(text, F.lit(" \t\n\x0b\x0c\r.,;:!?-_/"))
 
 
@@ -73,8 +85,10 @@ def _bucket_score(c: Column) -> Column:
 
 def bucket(c: Column) -> Column:
     """struct(text, score): a bucket's normal spelling and its score of 0 to 4; an unknown one scores by the words in it."""
-    text = F.regexp_replace(F.replace(F.lower(strip(F.coalesce(c, F.lit("unknown")))), F.lit("_"), F.lit(" ")), _SPACE, " ")
-    return once(text, lambda t: once(F.trim(F.regexp_replace(t, "[^0-9a-z]+", " ")), lambda plain: _scored(t, plain)))
+    text = _spaced(F.replace(F.lower(strip(F.coalesce(c, F.lit("unknown")))), F.lit("_"), F.lit(" ")))
+    known = _bucket_score(text)
+    by_words = once(text, lambda t: once(F.trim(F.regexp_replace(t, "[^0-9a-z]+", " ")), lambda plain: _scored(t, plain)))
+    return F.when(known.isNotNull(), F.struct(text.alias("text"), known.cast("int").alias("score"))).otherwise(by_words)
 
 
 def _scored(text: Column, plain: Column) -> Column:
