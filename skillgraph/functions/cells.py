@@ -14,7 +14,7 @@ import json
 import re
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +44,10 @@ def _literal(text: str) -> Any:
     return None
 
 
+#: No list or object begins so: it is a word, a number, a text, or several of them.
+_BARE = re.compile("[A-Za-z0-9'\"]")
+
+
 def _listed(value: Any) -> list | None:
     return [value] if isinstance(value, dict) else value if isinstance(value, list) else None
 
@@ -85,7 +89,8 @@ def _further(value: dict) -> dict[str, str | None]:
 def parse_cell(text: str) -> tuple[list[tuple[str, str | None, float | None, dict[str, str | None]]], str | None]:
     """Items of one cell (already stripped, quotes straightened), and the reason if there are none."""
     whole = re.search(r"\[.*\]", text, re.DOTALL)
-    values = next((x for t in (text, whole[0] if whole else text) if (x := _listed(_literal(t))) is not None), None)
+    tried = (text, whole[0]) if whole and whole[0] != text else (text,)
+    values = next((x for t in tried if not _BARE.match(t) and (x := _listed(_literal(t))) is not None), None)
     if values is None:
         values = [x for f in re.findall(r"\{[^{}]*\}", text) if (x := _recovered(f))]
         if not values:
@@ -102,16 +107,36 @@ def parse_cell(text: str) -> tuple[list[tuple[str, str | None, float | None, dic
     return items, NO_ITEMS if values and not items else None
 
 
-@F.pandas_udf(RESULT)
-def _parse_hard(cells: pd.Series) -> pd.DataFrame:
-    parsed = [parse_cell(c) if c is not None else ([], None) for c in cells]
-    return pd.DataFrame({"items": [[dict(zip(ITEM.names, i, strict=True)) for i in items] for items, _ in parsed], "reason": [r for _, r in parsed]})
+_ARROW_ITEM = pa.struct([("text", pa.string()), ("bucket", pa.string()), ("similarity", pa.float64()), ("extra", pa.map_(pa.string(), pa.string()))])
+_ARROW = pa.struct([("items", pa.list_(_ARROW_ITEM)), ("reason", pa.string())])
+
+
+@F.arrow_udf(RESULT)
+def _parse_hard(cells: pa.Array) -> pa.Array:
+    if cells.null_count == len(cells):  # all were easy
+        return pa.nulls(len(cells), _ARROW)
+    columns: tuple[list, ...] = ([], [], [])
+    keys, values, reasons, ends, key_ends = [], [], [], [0], [0]
+    for c in cells.to_pylist():
+        items, reason = parse_cell(c) if c is not None else ((), None)
+        for *known, extra in items:
+            for column, value in zip(columns, known, strict=True):
+                column.append(value)
+            keys.extend(extra)
+            values.extend(extra.values())
+            key_ends.append(len(keys))
+        ends.append(len(columns[0]))
+        reasons.append(reason)
+    further = pa.MapArray.from_arrays(pa.array(key_ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+    known = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)]
+    item = pa.StructArray.from_arrays([*known, further], names=ITEM.names)
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), item), pa.array(reasons, pa.string())], names=RESULT.names)
 
 
 _FLAT = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
 #: Values that read differently as Python objects: names and buckets that aren't texts, similarities that aren't finite
 #: numbers, objects within objects, and further numbers that aren't whole.
-_TYPED = r'"(?:skill|name|skill_name|bucket)"\s*:\s*[^"\sn]|"mapping_similarity"\s*:\s*(?:["tf\[{IN+]|-\s*I)|:\s*\{|"(?!mapping_similarity")[^"]*"\s*:\s*(?:-?[0-9]+[.eE]|[+IN]|-\s*I)'
+_TYPED = r'"(?:(?:skill|name|skill_name|bucket)"\s*+:\s*+[^"\sn]|mapping_similarity"\s*+:\s*+(?:["tf\[{IN+]|-\s*+I)|(?!mapping_similarity")[^"]*+"\s*+:\s*+(?:-?[0-9]++[.eE]|[+IN]|-\s*+I))|:\s*+\{'
 
 
 def _flat_items(cell: Column) -> Column:
@@ -134,9 +159,12 @@ def parse_cells(df: DataFrame, cell: str = "skills") -> DataFrame:
     """
     inner = [f"c{i}" for i in range(len(df.columns))]
     at = inner[df.columns.index(cell)]
-    text = F.replace(F.translate(strip(F.col(at)), "“”‘’", "\"\"''"), F.lit("\x00"), F.lit(""))
-    usable = F.when(~F.lower(text).isin("", "nan", "none", "null"), text)
-    read = df.toDF(*inner).withColumn("text", usable).withColumn("flat", _flat_items(F.col("text")))
+    # Quotes are straightened, and words looked at, only where there can be any: other characters than ASCII, short texts.
+    bare = strip(F.col(at))
+    straight = F.when(F.octet_length("bare") == F.length("bare"), F.col("bare")).otherwise(F.translate("bare", "“”‘’", "\"\"''"))
+    text = F.replace(straight, F.lit("\x00"), F.lit(""))
+    usable = F.when((F.length("text") > 4) | ~F.lower("text").isin("", "nan", "none", "null"), F.col("text"))
+    read = df.toDF(*inner).withColumn("bare", bare).withColumn("text", text).drop("bare").withColumn("text", usable).withColumn("flat", _flat_items(F.col("text")))
     # A key that an object has twice counts by its last value, which a map doesn't tell.
     whole = F.col("flat").isNotNull() & F.forall("flat", lambda x: x.isNotNull() & (F.size(F.map_keys(x)) == F.size(F.array_distinct(F.map_keys(x)))))
     marked = read.withColumn("easy", F.coalesce(whole, F.lit(False)))
@@ -153,6 +181,11 @@ def items_of(parsed: DataFrame, *columns: str) -> DataFrame:
     return parsed.select(*columns, F.posexplode_outer("items").alias("place", "item")).where("place is not null")
 
 
+def faults_of(parsed: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and reason of the cells without items. An explode, for Spark would split a plain filter and read the cells again below, by a formula that holds the whole cell hundreds of times."""
+    return parsed.select(*columns, F.explode_outer(F.array("reason")).alias("reason")).where("reason is not null")
+
+
 def split_query(text: str) -> list[str]:
     """Parts of a query between commas, semicolons and line ends; of parts that differ in case only, the first."""
     parts: dict[str, str] = {}

@@ -113,11 +113,20 @@ def validation_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- cells -----------------------------------------------------------------
 
+#: Cells that a task parses. Tables tell little of that by their bytes: many keys lie in few splits.
+CELLS_AT_ONCE = 40_000
+
+
+def _dealt(df: DataFrame, key: str, rows_a_cell: int = 1) -> DataFrame:
+    """``df`` dealt out by ``key``, from which cells are made then, in as many tasks as its rows want."""
+    return df.repartition(max(1, -(-df.count() // (CELLS_AT_ONCE * rows_a_cell))), key)
+
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cell for each order: its lines as a JSON list."""
     item = F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("Part "), "l_partkey").alias("skill"), F.element_at(F.array(*map(F.lit, ("Advanced", "Proficient", "critical"))), F.col("l_linenumber").cast("int") % 3 + 1).alias("bucket"), (F.col("l_discount") * 10).alias("mapping_similarity"))
-    grouped = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("i"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
+    grouped = _dealt(lines, "l_orderkey", 4).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("i"))
     return grouped.select(F.col("l_orderkey").alias("row_idx"), F.to_json(F.transform("i", lambda x: F.struct(x["skill"].alias("skill"), x["bucket"].alias("bucket"), x["mapping_similarity"].alias("mapping_similarity")))).alias("skills"))
 
 
@@ -133,15 +142,15 @@ def parse_feature_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     cell = F.when(key % 4 == 1, F.concat(F.lit("order "), key)).when(key % 4 == 2, F.concat(F.lit("[1, "), key, F.lit("]"))).when(key % 4 == 3, F.concat(F.lit("see {'skill': 'Part "), key, F.lit("', bucket: Advanced} there"))).otherwise(F.concat(F.lit("[{'skill': 'Part "), key, F.lit("', 'bucket': None}]")))
-    parsed = cells.parse_cells(_table(spark, sf_dir, "orders").select(key.alias("row_id"), cell.alias("skills")))
-    return parsed.where("reason is not null").select("row_id", "reason", F.substring("skills", 1, 500).alias("snippet"))
+    parsed = cells.parse_cells(_dealt(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(key.alias("row_id"), cell.alias("skills")))
+    return cells.faults_of(parsed, "row_id", "skills").select("row_id", "reason", F.substring("skills", 1, 500).alias("snippet"))
 
 
 @_register("SELECT o_orderkey AS row_id, 'Part ' || o_orderkey AS feature, CASE WHEN o_orderkey % 2 = 1 THEN 'Advanced' END AS bucket FROM orders")
 def parse_broken_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     cell = F.when(key % 2 == 1, F.concat(F.lit("see {'skill': 'Part "), key, F.lit("', bucket: Advanced} there"))).otherwise(F.concat(F.lit("[{'skill': 'Part "), key, F.lit("', 'bucket': None}]")))
-    parsed = cells.parse_cells(_table(spark, sf_dir, "orders").select(key.alias("row_id"), cell.alias("skills")))
+    parsed = cells.parse_cells(_dealt(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(key.alias("row_id"), cell.alias("skills")))
     return cells.items_of(parsed, "row_id").select("row_id", F.col("item.text").alias("feature"), F.col("item.bucket").alias("bucket"))
 
 
@@ -156,7 +165,7 @@ def parse_extra_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 4 == 2, F.concat(F.lit('see {"skill": "Part '), key, F.lit('", "level": '), level, F.lit(', "none": null} there')))
         .otherwise(F.concat(F.lit('[{"skill":"Part '), key, F.lit('","note":{"of": ['), key, F.lit(", 1.5]}}]")))
     )
-    items = cells.items_of(cells.parse_cells(_table(spark, sf_dir, "orders").select(key.alias("row_id"), cell.alias("skills"))), "row_id")
+    items = cells.items_of(cells.parse_cells(_dealt(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(key.alias("row_id"), cell.alias("skills"))), "row_id")
     extra = F.col("item.extra")
     return items.select("row_id", F.col("item.text").alias("feature"), F.size(extra).alias("n_extra"), extra["level"].alias("level"), extra["must"].alias("must"), extra["note"].alias("note"), F.map_contains_key(extra, "none").alias("has_none"))
 
@@ -666,7 +675,7 @@ def parse_curly_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curly quotes are straightened and NULs dropped; similarities beyond any number are clipped."""
     key = F.col("o_orderkey")
     cell = F.concat(F.lit("[{“skill”: “Part \\”"), key, F.lit("\\””, “bucket”: “it’s "), key % 9, F.lit("”, “mapping_similarity”: "), F.when(key % 2 == 0, "Infinity").otherwise("0.25"), F.lit("\x00}]"))
-    items = cells.items_of(cells.parse_cells(_table(spark, sf_dir, "orders").select(key.alias("row_id"), cell.alias("skills"))), "row_id")
+    items = cells.items_of(cells.parse_cells(_dealt(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(key.alias("row_id"), cell.alias("skills"))), "row_id")
     return items.select("row_id", F.col("item.text").alias("feature"), F.col("item.bucket").alias("bucket"), text.clip_similarity(F.col("item.similarity")).alias("similarity"))
 
 

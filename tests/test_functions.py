@@ -124,3 +124,31 @@ def test_columns_of_any_name(spark):
     assert got.columns == [n for n in names if n != "items"] + ["items", "reason"]
     row = got.first()
     assert [row[i] for i in range(8)] == ["1", "2", '[{"skill":"s","x":1}]', "4", "5", "7", "8", "9"] and row["items"][0]["extra"] == {"x": "1"}
+
+
+def test_white_space_of_any_script(spark):
+    for raw in ("  A  b　", " \tA \x1f\n b\x1c", "A b", "é é ", "", "　"):
+        assert one(spark, raw, text.strip) == raw.strip()
+        assert one(spark, raw, text.normalize_text) == " ".join(raw.lower().split())
+
+
+def test_faults_are_told_from_cells_that_are_read_once(spark):
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CELLS)], "row_idx int, skills string").repartition(2, "row_idx")
+    found = cells.faults_of(parse_cells(df), "row_idx")
+    assert {r["row_idx"]: r["reason"] for r in found.collect()} == {i: c[2] for i, c in enumerate(CELLS) if c[2]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1  # a plain filter on the reason has it dozens of times, below the parsing
+
+
+def test_broken_cells_come_back_as_they_were_read(spark):
+    rows = ["x {'skill': 'A', bucket: Low} y", "[{'skill': 'B', 'k': None, 'n': [1]}, {'name': 'C'}]", None, "order 7", "'[1]'", "7 [{'skill': 'D'}]"]
+    got = parse_cells(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, skills string").coalesce(1)).collect()
+    assert {r["i"]: ([tuple(i) for i in r["items"]], r["reason"]) for r in got} == {i: cells.parse_cell(r) if r else ([], None) for i, r in enumerate(rows)}
+    assert [len(r["items"]) for r in sorted(got, key=lambda r: r["i"])] == [1, 2, 0, 0, 0, 1]
+
+
+def test_cells_are_dealt_by_rows(spark, monkeypatch):
+    from skillgraph.plans import registry
+
+    monkeypatch.setattr(registry, "CELLS_AT_ONCE", 100)
+    assert registry._dealt(spark.range(0, 1000, 1, 1), "id").rdd.getNumPartitions() == 10
