@@ -120,6 +120,9 @@ def resolve(columns: list[str]) -> dict[str, str]:
     return out
 
 
+#: Rows up to so many are limited in one task; of more, the first ones are told by their numbers.
+LIMITED_ROWS = 100_000
+
 # What a list of skill objects looks like.
 _LOOKS = "(?i)(['\"]skill['\"]\\s*:|['\"]bucket['\"]\\s*:|\\[\\s*\\{)"
 
@@ -131,9 +134,11 @@ def cell_rates(df: DataFrame, columns: list[str], sample: int = 3_000) -> dict[s
     """
     cell = lambda c: F.col(f"`{c}`")
     rate = lambda c: F.coalesce(F.avg(cell(c).rlike(_LOOKS).cast("int")), F.lit(0.0))
-    first = df.limit(sample).agg(F.count("*"), *[m for c in columns for m in (F.count(cell(c)), rate(c))]).first()
+    head = lambda d: d.limit(sample) if sample <= LIMITED_ROWS else numbered(d, "_at_").where(F.col("_at_") < sample)
+    whole = sample > LIMITED_ROWS and df.count() <= sample
+    first = (df if whole else head(df)).agg(F.count("*"), *[m for c in columns for m in (F.count(cell(c)), rate(c))]).first()
     known = {c: (first[1 + 2 * i], first[2 + 2 * i]) for i, c in enumerate(columns)}
-    return {c: r if n == sample or first[0] < sample else df.where(cell(c).isNotNull()).limit(sample).agg(rate(c)).first()[0] for c, (n, r) in known.items()}
+    return {c: r if whole or n == sample or first[0] < sample else head(df.where(cell(c).isNotNull())).agg(rate(c)).first()[0] for c, (n, r) in known.items()}
 
 
 def infer_cell_column(df: DataFrame, columns: list[str], sample: int = 3_000, least: float = 0.2) -> str | None:

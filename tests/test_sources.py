@@ -100,3 +100,16 @@ def test_command_lines(spark, tmp_path, capsys):
     printed = capsys.readouterr().out
     assert "job_id=j1" in printed and "query=nothing" in printed
     assert lookups.main([*skills, "--job-id", "j2"]) == 0 and lookups.main([*skills, "--skills", "nothing"]) == 2
+
+
+def test_rates_of_many_rows_are_not_limited_in_one_task(spark, monkeypatch):
+    from skillgraph.sources import tabular
+
+    monkeypatch.setattr(tabular, "LIMITED_ROWS", 10)
+    rows = [('[{"skill":"a"}]' if i < 20 else "x", None if i % 2 else ('{"bucket": 1}' if i < 40 else '"bucket": 1')) for i in range(60)]
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(1)
+    limit, limits = type(df).limit, []
+    monkeypatch.setattr(type(df), "limit", lambda self, n: limits.append(n) or limit(self, n))
+    assert tabular.cell_rates(df, ["a", "b"], 60) == {"a": 20 / 60, "b": 1.0}
+    assert tabular.cell_rates(df, ["a", "b"], 25) == {"a": 20 / 25, "b": 1.0}
+    assert max(limits, default=0) <= 1  # first() alone
