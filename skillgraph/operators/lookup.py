@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import difflib
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillgraph.functions.alike import indel_ratio, may_reach
+from skillgraph.functions.alike import common_length, indel_ratio, may_reach
 from skillgraph.functions.text import normalize_text
 from skillgraph.sources.tabular import numbered
+from skillgraph.storage import stored
 
 #: Unknown skills that are looked for in one reading of the catalog.
 AT_ONCE = 16
+#: Titles that a task compares.
+TITLES_AT_ONCE = 50_000
 CANDIDATE = ("job_id", "job_title", "company_name", "district")
 
 
@@ -41,21 +47,30 @@ def resolve_job(jobs: DataFrame, job_id: str | None = None, title: str | None =
 def close_titles(jobs: DataFrame, title: str, n: int, cutoff: float = 0.5) -> DataFrame:
     """Jobs whose title is one of the ``n`` most like ``title`` (sequence matching), of those at or over the cutoff.
 
-    Titles that by length and letters can't reach the cutoff aren't matched.
+    Titles that by length and letters can't reach the cutoff aren't matched, nor those that a task can tell to be behind its
+    own ``n`` best: matching blocks are a common subsequence, so no longer than the longest one, which is found for many at once.
     """
 
     @F.pandas_udf("double")
-    def ratio(titles: pd.Series) -> pd.Series:
+    def ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = difflib.SequenceMatcher()
         matcher.set_seq2(title)
-        out = []
-        for t in titles:
-            matcher.set_seq1(t)
-            out.append(matcher.ratio())
-        return pd.Series(out, dtype="float64")
-
-    best = jobs.where(may_reach(F.col("job_title"), title, cutoff)).select("job_title").distinct().withColumn("like", ratio("job_title")).where(F.col("like") >= cutoff).orderBy(F.desc("like"), F.desc("job_title")).limit(n)
-    return jobs.join(F.broadcast(best), "job_title").orderBy(F.desc("like"), "job_id").drop("like")
+        best: list[float] = []  # a heap
+        for titles in batches:
+            texts = titles.tolist()
+            bounds = 2.0 * common_length(title, texts) / np.maximum(1, np.array([len(t) for t in texts], np.int64) + len(title))
+            out = np.full(len(texts), np.nan)
+            for i in np.argsort(-bounds, kind="stable"):
+                if len(best) >= max(1, n) and bounds[i] < best[0]:
+                    break
+                matcher.set_seq1(texts[i])
+                out[i] = matcher.ratio()
+                (heapq.heappush if len(best) < max(1, n) else heapq.heappushpop)(best, out[i])
+            yield pd.Series(out)
+
+    titles = jobs.where(may_reach(F.col("job_title"), title, cutoff)).select("job_title").repartition(max(1, -(-jobs.count() // TITLES_AT_ONCE)), "job_title").distinct()
+    best = titles.withColumn("like", ratio("job_title")).where(F.col("like").isNotNull() & ~F.isnan("like") & (F.col("like") >= cutoff)).orderBy(F.desc("like"), F.desc("job_title")).limit(max(0, n))
+    return jobs.join(F.broadcast(stored(best, "titles")), "job_title").orderBy(F.desc("like"), "job_id").drop("like")
 
 
 def closest_jobs(similarity: DataFrame, jobs: DataFrame, job_id: str, method: str = "unweighted", limit: int = 20, edges: DataFrame | None = None) -> DataFrame:

@@ -66,3 +66,15 @@ def test_close_titles(spark):
         at = {t: f"j{i}" for i, t in enumerate(titles)}
         expected.sort(key=lambda t: (-difflib.SequenceMatcher(None, t, query).ratio(), at[t]))  # jobs of equal titles by id
         assert [r["job_title"] for r in lookup.close_titles(jobs, query, 5).collect()] == expected
+
+
+def test_close_titles_leave_out_what_is_behind_the_best(spark, monkeypatch):
+    from skillgraph.operators import lookup
+
+    titles = [f"Customer#{i:09d}" for i in range(3_000)]
+    title = "Costumer#00000042x"
+    want = sorted(((difflib.SequenceMatcher(None, t, title).ratio(), t) for t in titles), reverse=True)[:4]
+    jobs = spark.createDataFrame([(t, t) for t in titles], "job_id string, job_title string")
+    assert [r["job_title"] for r in lookup.close_titles(jobs, title, 4).collect()] == [t for _, t in sorted(want, key=lambda x: (-x[0], x[1]))]
+    monkeypatch.setattr(lookup, "TITLES_AT_ONCE", 1_000)
+    assert lookup.close_titles(jobs, title, 4).count() == 4 and lookup.close_titles(jobs, title, 0).count() == 0
