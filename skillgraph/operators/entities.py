@@ -11,27 +11,40 @@ from pyspark.sql import functions as F
 from skillgraph.functions.cells import items_of, parse_cells
 from skillgraph.functions.text import bucket, clean, clip_similarity, edge_weight, fallback_id, hashed_id, normalize_text, parse_number, pretty_label
 from skillgraph.sources.tabular import Canonical
-from skillgraph.storage import stored
+from skillgraph.storage import stored, tasks_for
 
 WEIGHT = "decimal(18,6)"
+#: Items that a task sorts or tells apart.
+ITEMS_AT_ONCE = 1_000_000
 
 
-def best_edges(items: DataFrame, entity: str, feature: str, weight: str, order: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+def best_edges(items: DataFrame, entity: str, feature: str, weight: str, order: tuple[str, ...], keep: tuple[str, ...] = (), dealt: tuple[str, ...] = ()) -> DataFrame:
     """One edge for each (entity, feature): the greatest weight, of equal ones the earliest by ``order``.
 
-    A minimum of structs, so that it is summed before the shuffle.
+    ``dealt``: columns that follow from these two, by which the items are dealt out already. A minimum of structs, so that it is summed before the shuffle.
     """
     best = F.min(F.struct((-F.col(weight)).alias("_w"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)]))
-    grouped = items.groupBy(entity, feature).agg(best.alias("_b"))
-    return grouped.select(entity, feature, (-F.col("_b._w")).cast(items.schema[weight].dataType).alias(weight), *[F.col(f"_b._o{i}").alias(o) for i, o in enumerate(order)], *[F.col(f"_b._k{i}").alias(k) for i, k in enumerate(keep)])
+    grouped = items.groupBy(entity, feature, *dealt).agg(best.alias("_b"))
+    return grouped.select(entity, feature, *dealt, (-F.col("_b._w")).cast(items.schema[weight].dataType).alias(weight), *[F.col(f"_b._o{i}").alias(o) for i, o in enumerate(order)], *[F.col(f"_b._k{i}").alias(k) for i, k in enumerate(keep)])
 
 
 def duplicate_edges(items: DataFrame, entity: str, feature: str, weight: str, row: str, place: str) -> DataFrame:
     """One row, duplicate_edges: items of a row no better than one before them there, and further rows of an edge."""
-    before = Window.partitionBy(row, entity, feature).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    within = items.withColumn("_m", F.max(weight).over(before)).agg(F.count_if(F.col("_m") >= F.col(weight)).alias("n"))
-    across = items.groupBy(entity, feature).agg((F.count_distinct(row) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    return within.unionByName(across).agg(F.sum("n").cast("long").alias("duplicate_edges"))
+    own = items.select(F.col(entity).alias("e"), F.col(feature).alias("f"), F.col(row).alias("r"), F.col(place).alias("p"), F.col(weight).alias("w"))
+    dealt = own.repartition(tasks_for(items.sparkSession, items.count(), ITEMS_AT_ONCE), "e", "f")
+    in_row, in_edge = Window.partitionBy("e", "f", "r").orderBy("p"), Window.partitionBy("e", "f").orderBy("r", "p")  # one sort for both
+    seen = dealt.select("r", "w", F.max("w").over(in_row.rowsBetween(Window.unboundedPreceding, -1)).alias("m"), F.row_number().over(in_row).alias("i"), F.row_number().over(in_edge).alias("j"))
+    again = F.count_if(F.col("m") >= F.col("w")) + F.count_if((F.col("i") == 1) & F.col("r").isNotNull()) - F.count_if(F.col("j") == 1)
+    return seen.agg(again.cast("long").alias("duplicate_edges"))
+
+
+def graph_size(items: DataFrame, entity: str, feature: str) -> DataFrame:
+    """One row, entities, features and edges: how many different ones. Edges are told apart where all items of an entity are."""
+    n = tasks_for(items.sparkSession, items.count(), ITEMS_AT_ONCE)
+    own = items.select(F.col(entity).alias("e"), F.col(feature).alias("f")).repartition(n, "e")
+    edges = own.groupBy("e", "f").agg(F.lit(1)).groupBy("e").agg(F.count("*").alias("n")).agg(F.count("e").alias("entities"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))
+    features = own.select("f").distinct().agg(F.count("f").alias("features"))
+    return edges.crossJoin(features).select("entities", "features", "edges")
 
 
 def first_known(rows: DataFrame, key: str, order: str, columns: tuple[str, ...]) -> DataFrame:

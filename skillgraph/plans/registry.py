@@ -85,7 +85,8 @@ def edge_dedup_max_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT COUNT(DISTINCT l_orderkey) - 1 AS n FROM lineitem GROUP BY l_orderkey, l_partkey)
 SELECT CAST((SELECT COUNT(*) FROM w WHERE m >= q) + (SELECT SUM(n) FROM c) AS BIGINT) AS duplicate_edges""")
 def edge_duplicate_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.duplicate_edges(_items(spark, sf_dir), "entity", "feature", "weight", "row_idx", "place")
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("place"))
+    return entities.duplicate_edges(lines, "l_orderkey", "l_partkey", "l_quantity", "l_orderkey", "place")  # orders and parts under their numbers
 
 
 _UPSERT = "SELECT CAST(user_id AS VARCHAR) AS entity, event_id AS row_idx, CASE WHEN event_id % 3 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 5 <> 0 THEN value END AS amount FROM events"
@@ -922,7 +923,7 @@ def qa_rank_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"{_WITH} SELECT COUNT(DISTINCT entity) AS entities, COUNT(DISTINCT feature) AS features, COUNT(*) AS edges, ROUND(COUNT(*) / (COUNT(DISTINCT entity) * COUNT(DISTINCT feature)), 8) AS density FROM e")
 def graph_summary_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _edges(spark, sf_dir).agg(F.count_distinct("entity").alias("entities"), F.count_distinct("feature").alias("features"), F.count("*").alias("edges"))
+    counts = entities.graph_size(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
     return counts.withColumn("density", F.round(F.col("edges") / (F.col("entities") * F.col("features")), 8))
 
 

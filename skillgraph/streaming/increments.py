@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from skillgraph.operators.entities import best_edges
-from skillgraph.storage import stored
+from skillgraph.operators.entities import ITEMS_AT_ONCE, best_edges
+from skillgraph.storage import stored, tasks_for
 
 
 def merge_edges(known: DataFrame | None, new: DataFrame, entity: str = "entity", feature: str = "feature", weight: str = "weight", order: tuple[str, ...] = ("row_idx",)) -> DataFrame:
@@ -91,12 +91,16 @@ def apply_batch(batch: DataFrame, folder: str, number: int, parts: int = 256) ->
     spark = batch.sparkSession
     known = _lists(spark, folder)
     before = _parts(spark, folder, known[-1]) if known else {}
-    placed = stored(batch.withColumn("part", F.pmod(F.xxhash64("entity", "feature"), F.lit(parts)).cast("int")), "batch")
+    part = F.pmod(F.xxhash64("entity", "feature"), F.lit(parts)).cast("int")
+    placed = stored(batch.withColumn("part", part), "batch")
     touched = sorted(r["part"] for r in placed.select("part").distinct().collect())
-    merged = merge_edges(_read(spark, [before[k] for k in touched if k in before]), placed.drop("part"))
+    old, new = _read(spark, [before[k] for k in touched if k in before]), placed.drop("part")
+    both = new if old is None else old.unionByName(new.select(*old.columns))
+    n = tasks_for(spark, placed.count() + (0 if old is None else old.count()), ITEMS_AT_ONCE)
+    # A part goes to several tasks, by its pairs, where there are more tasks than parts.
+    dealt = both.withColumn("part", part).withColumn("_at", F.pmod(F.xxhash64("feature", "entity"), F.lit(-(-n // parts)))).repartition(n, "part", "_at")
     version = f"{folder}/edges/{number}-{uuid.uuid4().hex}"
-    dealt = merged.withColumn("part", F.pmod(F.xxhash64("entity", "feature"), F.lit(parts)).cast("int"))
-    dealt.repartition("part").write.partitionBy("part").parquet(version)
+    best_edges(dealt, "entity", "feature", "weight", ("row_idx",), dealt=("part", "_at")).drop("_at").write.partitionBy("part").parquet(version)
     _put(spark, folder, number, before | {k: f"{version}/part={k}" for k in touched})
     if known and known[-1] == number:  # run again: what the first run has written is named no more
         earlier = {*_parts(spark, folder, known[-2]).values()} if len(known) > 1 else set()

@@ -175,3 +175,43 @@ def test_components_of_hubs_and_edges_in_many_tasks(spark, monkeypatch):
     assert any(h is not None and h.where("a = 'm'").count() == 1 for h in seen)
     # No more edges than so many meet in a task, whatever the session's number of shuffles.
     assert components._tasks(spark, 4_000) == 100
+
+
+def test_duplicates_and_size_are_counted_in_one_sort(spark):
+    rows = [(1, "a", 1.0, 0), (1, "a", 2.0, 1), (1, "a", 2.0, 2), (2, "a", 1.0, 0), (2, "b", 1.0, 1), (3, None, 1.0, 0), (3, None, 0.5, 1), (None, "a", 1.0, 0)]
+    items = spark.createDataFrame([("e", *r) for r in rows], "entity string, row long, feature string, weight double, place int")
+    want = 2 + (2 - 1) + (1 - 1) + (1 - 1)  # in a row: 2.0 again, 0.5 after 1.0; (e, a) in rows 1 and 2; (e, b); (e, null)
+    found = entities.duplicate_edges(items, "entity", "feature", "weight", "row", "place")
+    assert found.first()[0] == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Sort [") == 1
+    size = entities.graph_size(items.withColumn("entity", F.col("row")), "entity", "feature")
+    assert tuple(size.first()) == (3, 2, 5)
+    assert "REPARTITION_BY_NUM" in size._jdf.queryExecution().executedPlan().toString()
+    assert tuple(entities.graph_size(items.limit(0), "row", "feature").first()) == (0, 0, 0)
+
+
+def test_a_part_is_merged_in_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(increments, "ITEMS_AT_ONCE", 50)
+    rows = [(f"e{i % 90}", f"f{i % 7}", float(i % 11), i) for i in range(900)]
+    for number in (0, 1):
+        increments.apply_batch(spark.createDataFrame(rows[number::2], "entity string, feature string, weight double, row_idx long"), str(tmp_path / "state"), number, parts=2)
+    got = {(r["entity"], r["feature"]): (r["weight"], r["row_idx"]) for r in increments.current_edges(spark, str(tmp_path / "state")).collect()}
+    want = {}
+    for e, f, w, i in rows:
+        if (e, f) not in want or w > want[e, f][0]:
+            want[e, f] = (w, i)
+    assert got == want
+    assert len(list((tmp_path / "state" / "edges").glob("1-*/part=0/*.parquet"))) > 2
+
+
+def test_diagnostics_join_edges_and_nodes_once(spark, monkeypatch):
+    from skillgraph.operators import quality
+
+    made = []
+    keep = quality.stored
+    monkeypatch.setattr(quality, "stored", lambda df, name: made.append(name) or keep(df, name))
+    nodes = spark.createDataFrame([("a", "job", "A"), ("b", "skill", "B"), ("c", "job", "C")], "node_id string, node_type string, label string")
+    edges = spark.createDataFrame([("a", "b", 1.0)], "source string, target string, weight double")
+    found = {c["check"]: (c["status"], c["details"]) for c in quality.diagnostics(nodes, edges)}
+    assert made == ["nodes", "links"] and found["components"] == ("ok", "largest has 2 nodes") and found["ego_network"] == ("ok", "2 nodes") and found["global_sample"] == ("ok", "3 nodes")
