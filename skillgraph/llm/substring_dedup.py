@@ -146,7 +146,8 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     places = found.groupBy(*keys).agg(F.array_sort(F.collect_set("place")).alias("places"))
     none = F.array().cast("array<int>")
     marked = docs.join(places, keys, "left").select("doc_id", *keys, "text", F.coalesce("places", none).alias("places"))
-    windows = marked.where(F.size("places") > 0).drop("doc_id").mapInArrow(_window_rows(size, gram), T.StructType([*_KEYS.fields]).add("window", T.LongType()).add("start", T.IntegerType()))
+    # All columns stay, so that the texts are shuffled once for both uses.
+    windows = marked.where(F.size("places") > 0).mapInArrow(_window_rows(size, gram), T.StructType([*_KEYS.fields]).add("window", T.LongType()).add("start", T.IntegerType()))
     single = windows.groupBy("window").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("k1", "k2", "start")]).where("n = 1")
     singles = single.groupBy(*keys).agg(F.collect_set("start").alias("singles"))
     schema = T.StructType([docs.schema["doc_id"]]).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_text", T.StringType()).add("spans", T.ArrayType(T.StructType().add("start", T.LongType()).add("stop", T.LongType())))

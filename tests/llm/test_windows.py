@@ -31,6 +31,21 @@ def test_substring_dedup(spark):
     assert substring_dedup.remove_repeated(documents(spark, [])).count() == 0
 
 
+def test_substring_dedup_shuffles_texts_once(spark):
+    """The texts meet their anchors' places for windows and for the result in one shuffle."""
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        found = substring_dedup.remove_repeated(documents(spark, [(i, prose(i % 7, 60)) for i in range(20)]))
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum("ReusedExchange" in line and " text#" in line for line in plan) == 1
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_decontamination(spark, limit):
     items = [(1, prose(700, 30)), (2, prose(701, 12)), (3, "Ba né"), (4, None), (5, "!!"), (6, prose(700, 30)), (None, prose(704, 20)), (10, prose(702, 10))]
