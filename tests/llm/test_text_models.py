@@ -3,6 +3,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,28 @@ def test_a_text_is_predicted_without_its_own_counts(spark):
     mean = {held: np.mean([r["score"] / r["n_tokens"] for r in got if r["held_out"] == held]) for held in (True, False)}
     print(mean)
     assert abs(mean[True] - mean[False]) < 0.05
+
+
+def test_blocks_send_groups_no_row_for_each_text():
+    """What a block changes of many texts comes in one row for each group, and each text gets the sum of all blocks."""
+    passed = ["row", "doc_id"]
+    draw = np.random.default_rng(8)
+    n, tokens, blocks, groups = 3000, 30_000, 6, 4
+    row = np.arange(n) + (5 << 33)
+    text = np.sort(draw.integers(0, n - 500, tokens))
+    h, symbol = draw.integers(0, 200, tokens).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), draw.integers(1, 4, tokens)
+    told = memory.dealt(h, symbol, 8, draw.uniform(1, 9, tokens), row[text], text % 3 > 0, blocks)
+    schema = pa.schema([*told.schema, ("row", pa.int64()), ("doc_id", pa.string())])
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(n) % blocks), pa.array(row), pa.array([f"d{i}" for i in range(n)])], ["block", *passed])
+    table = pa.Table.from_batches([b for x in (told, rows) for b in memory.as_rows(x, schema)])
+    mixed = pa.concat_tables([memory.mix_blocks(8, groups, passed)(table.filter(pc.equal(table["block"], b))) for b in range(blocks)])
+    assert len(mixed) <= n + blocks * groups
+    found = pa.concat_tables([memory.sum_groups(passed)(mixed.filter(pc.equal(mixed["group"], g))) for g in range(groups)])
+    want = np.zeros(n)
+    for k in range(told.num_rows):
+        key, own, of, lesson = memory.taken(told.slice(k, 1))
+        seen, same, different = memory.counts(key, lesson, 4)
+        np.add.at(want, of - row[0], memory.remembered(own, seen, same, different, lesson) - own)
+    got = dict(zip(found["doc_id"].to_pylist(), found["change"].to_pylist(), strict=True))
+    assert len(found) == len(got) == n and np.abs(want).min() == 0 < np.abs(want).max()
+    assert all(math.isclose(got[f"d{i}"], want[i], rel_tol=1e-5, abs_tol=1e-5) for i in range(n))
