@@ -60,13 +60,13 @@ def as_bool(value: Any, default: bool) -> bool:
 
 @dataclass(frozen=True)
 class Options:
-    """What a run may set. A limit of None switches a measure off."""
+    """What a run may set. A limit of None switches a measure off; no degree (None), no pairs (0) leave no feature out."""
 
     top_k: int = 20
     threshold: float = 0.0
     method: str = "both"
     default_similarity: float = 0.5
-    max_feature_degree: int = 2_000
+    max_feature_degree: int | None = 2_000
     max_pairs_per_feature: int = 1_500_000
     max_total_pairs: int = 25_000_000
     betweenness_limit: tuple[int, int] | None = (15_000, 1_000_000)

@@ -625,7 +625,7 @@ def _made_file(spark: SparkSession, sf_dir: str, cells_name: str = "Skills") ->
 SELECT entity AS job_id, neighbor AS neighbor_job_id, similarity_score, rank, method FROM x""")
 def pipeline_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run over files that Spark has written: reading, parsing, deduplication, projection, ranks."""
-    options = Options(top_k=5, threshold=1.0, max_feature_degree=10**6, max_pairs_per_feature=10**9, max_total_pairs=0, betweenness_limit=None, closeness_limit=None)
+    options = Options(top_k=5, threshold=1.0, max_feature_degree=None, max_pairs_per_feature=0, max_total_pairs=0, betweenness_limit=None, closeness_limit=None)
     return pipeline.run(spark, _made_file(spark, sf_dir), options).topk
 
 

@@ -71,3 +71,21 @@ def test_pairs_of_kinds_stand_for_all_pairs(spark):
     for w in ("shared_count", "weighted_score"):
         ends = whole.selectExpr("a", w).union(whole.selectExpr("b", w))
         assert rows(projection.kind_degrees(pairs, members, w)) == rows(ends.groupBy("a").agg({"a": "count", w: "sum"}).selectExpr("a", "`count(a)`", f"`sum({w})`"))
+
+
+def test_no_feature_is_too_large(spark):
+    """Sixty thousand entities of one feature make more than a billion pairs; none is left out."""
+    edges = spark.range(60_000).selectExpr("cast(id as string) as entity", "'f' as feature")
+    assert [r["verdict"] for r in projection.guarded(edges, max_degree=None, max_pairs=0, max_total=0).collect()] == ["used"]
+
+
+def test_pipeline_topk_has_no_limits(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from skillgraph.plans import registry
+
+    seen = []
+    monkeypatch.setattr(registry, "_made_file", lambda *_: "")
+    monkeypatch.setattr(registry.pipeline, "run", lambda _, path, options: seen.append(options) or SimpleNamespace(topk=None))
+    registry.pipeline_topk(spark, "")
+    assert (seen[0].max_feature_degree, seen[0].max_pairs_per_feature, seen[0].max_total_pairs) == (None, 0, 0)
