@@ -1,7 +1,8 @@
 """Closeness and betweenness by breadth-first search from every vertex.
 
-The graph must pass the size limits first; then its adjacency, of bounded size, is
-broadcast, and the sources are dealt to tasks.
+Where the adjacency is of bounded size it is broadcast, and the sources are dealt to
+tasks. Closeness of larger graphs is found by joins, many sources at a time, with the
+same results.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 from skillgraph.operators.components import connected
 from skillgraph.operators.graph import degrees
 from skillgraph.sources.tabular import numbered
-from skillgraph.storage import stored
+from skillgraph.storage import released, scratch_path, stored, tasks_for
 
 
 #: The widest limits of any profile: what the driver collects and broadcasts never holds more vertices and edges.
 MOST = (60_000, 4_000_000)
+#: In larger graphs: longs of a row, with a bit for each source; rows that a level sends at a time, about, and those of a task.
+WORDS, ROWS_AT_ONCE, ROWS_OF_A_TASK = 8, 50_000_000, 500_000
 
 
 def guard(vertices: int, edges: int, limit: tuple[int, int] | None, prefix: str = "") -> str | None:
@@ -103,6 +106,76 @@ def path_measures(edges: DataFrame, betweenness: bool = True, limit: tuple[int,
     return nodes.join(found, "id").select("node", "betweenness", "distance_sum", "reached")
 
 
+def _spread(ways: DataFrame, start: DataFrame, tasks: int) -> DataFrame:
+    """(v, distance_sum, reached) of the vertices that the sources of ``start`` reach: ``start`` holds (v, k, seen and front of each word).
+
+    A row (v, k) tells by bits which sources of block k have met v. Each level sends the newly met ones to all neighbours, where
+    they are put together by OR; distances are the same both ways, so what v adds up is the sum of its own distances.
+    """
+    words = range(WORDS)
+    now, level = stored(start.withColumn("far", F.lit(0).cast("long")), "reached"), 0
+    while not now.where("front").isEmpty():
+        level += 1
+        sent = now.where("front").select(F.col("v").alias("u"), "k", *[f"f{i}" for i in words]).join(ways, "u").drop("u")
+        met = sent.repartition(tasks, "v", "k").groupBy("v", "k").agg(*[F.bit_or(f"f{i}").alias(f"m{i}") for i in words])
+        own = now.select("v", "k", "far", *[f"s{i}" for i in words]).repartition(tasks, "v", "k")
+        seen = own.join(met, ["v", "k"], "full").na.fill(0)
+        new = seen.select("v", "k", "far", *[f"s{i}" for i in words], *[F.col(f"m{i}").bitwiseAND(F.bitwise_not(f"s{i}")).alias(f"f{i}") for i in words])
+        fresh = sum((F.bit_count(f"f{i}") for i in words), F.lit(0))
+        after = stored(new.select("v", "k", (F.col("far") + F.lit(level) * fresh).alias("far"), (fresh > 0).alias("front"), *[F.col(f"s{i}").bitwiseOR(F.col(f"f{i}")).alias(f"s{i}") for i in words], *[f"f{i}" for i in words]), "reached")
+        released(now)
+        now = after
+    return now.groupBy("v").agg(F.sum("far").alias("distance_sum"), F.sum(sum((F.bit_count(f"s{i}") for i in words), F.lit(0))).cast("long").alias("reached"))
+
+
+def distance_sums(edges: DataFrame) -> DataFrame:
+    """(node, distance_sum, reached) of every vertex with an edge, as ``path_measures`` gives them, of a graph of any size.
+
+    Nothing is collected or broadcast, and no task holds the graph: as many blocks of sources go together as make about
+    ``ROWS_AT_ONCE`` rows a level, one after another. Work is edges times vertices, since all pairs of vertices are looked at.
+    """
+    spark = edges.sparkSession
+    nodes = stored(numbered(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "id"), "vertices")
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
+    one = stored(edges.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a_id", "b_id"), "ways")
+    ways = one.toDF("u", "v").unionByName(one.toDF("v", "u"))
+    n, rows = nodes.count(), 2 * one.count()
+    block, path = 64 * WORDS, scratch_path(spark, "distances")
+    step = block * max(1, ROWS_AT_ONCE // max(1, rows))
+    bit, word = F.expr("shiftleft(1L, cast(v % 64 as int))"), F.expr(f"v div 64 % {WORDS}")
+    bits = lambda name: [F.when(word == i, bit).otherwise(F.lit(0).cast("long")).alias(f"{name}{i}") for i in range(WORDS)]
+    for first in range(0, n, step):
+        sources = nodes.where((F.col("id") >= first) & (F.col("id") < first + step)).select(F.col("id").alias("v"))
+        start = sources.select("v", F.expr(f"v div {block}").alias("k"), F.lit(True).alias("front"), *bits("s"), *bits("f"))
+        tasks = tasks_for(spark, rows * -(-min(step, n - first) // block), ROWS_OF_A_TASK)
+        _spread(ways, start, tasks).write.mode("append").parquet(path)
+    if not n:
+        return nodes.select("node", F.lit(0).cast("long").alias("distance_sum"), F.lit(0).cast("long").alias("reached"))
+    found = spark.read.schema("v long, distance_sum long, reached long").parquet(path).groupBy("v").agg(F.sum("distance_sum").alias("distance_sum"), F.sum("reached").alias("reached"))
+    return nodes.join(found.withColumnRenamed("v", "id"), "id").select("node", "distance_sum", "reached")
+
+
+def _largest(edges: DataFrame, nodes: DataFrame) -> tuple[int, DataFrame]:
+    """How many vertices the largest component has (of equal ones, that of the least node), and its edges."""
+    members = stored(connected(edges, nodes), "members")
+    top = members.groupBy("component").count().orderBy(F.desc("count"), "component").first()
+    giant = members.where(F.col("component") == top[0]).select("node") if top else members.select("node")
+    return top[1] if top else 0, edges.join(giant.withColumnRenamed("node", "a"), "a", "left_semi")
+
+
+def _nearness(edges: DataFrame, n: int, m: int) -> DataFrame:
+    """(node, closeness) of a connected graph of n vertices and m edges: (n - 1) / sum of distances."""
+    sums = distance_sums(edges) if guard(n, m, MOST) else path_measures(edges, betweenness=False)
+    return sums.select("node", ((F.col("reached") - 1) / F.col("distance_sum")).alias("closeness"))
+
+
+def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, closeness) of the vertices of the largest component, of a graph of any size."""
+    n, inside = _largest(edges, nodes)
+    inside = stored(inside.select("a", "b"), "largest")
+    return _nearness(inside, n, inside.count())
+
+
 def centrality(edges: DataFrame, nodes: DataFrame, betweenness_limit: tuple[int, int] | None, closeness_limit: tuple[int, int] | None, counted: tuple[int, DataFrame] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """(node, degree, strength, betweenness, closeness) and why a measure is missing.
 
@@ -129,13 +202,10 @@ def centrality(edges: DataFrame, nodes: DataFrame, betweenness_limit: tuple[int,
     if closeness_limit is None:
         notes["closeness"] = guard(0, 0, None)
         return table.withColumn("closeness", F.lit(None).cast("double")), notes
-    members = stored(connected(edges, nodes), "members")
-    top = members.groupBy("component").count().orderBy(F.desc("count"), "component").first()
-    giant = members.where(F.col("component") == top[0]).select("node") if top else members.select("node")
-    inside = edges.join(giant.withColumnRenamed("node", "a"), "a", "left_semi")
-    why = guard(top[1] if top else 0, inside.count(), closeness_limit, "giant_")
+    n, inside = _largest(edges, nodes)
+    m = inside.count()
+    why = guard(n, m, closeness_limit, "giant_")
     notes["closeness"] = why or "computed"
     if why:
         return table.withColumn("closeness", F.lit(None).cast("double")), notes
-    near = path_measures(inside, betweenness=False, limit=closeness_limit).select("node", ((F.col("reached") - 1) / F.col("distance_sum")).alias("closeness"))
-    return table.join(near, "node", "left"), notes
+    return table.join(_nearness(inside, n, m), "node", "left"), notes

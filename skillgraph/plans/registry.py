@@ -489,8 +489,7 @@ m AS (SELECT s, MIN(t) AS c, COUNT(*) AS n, SUM(k) AS total FROM d GROUP BY s),
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _customer_graph(spark, sf_dir)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    table, _ = paths.centrality(edges, nodes, None, (60_000, 4_000_000))
-    return table.where("closeness is not null").select("node", F.round("closeness", 9).alias("closeness"))
+    return paths.closeness(edges, nodes).select("node", F.round("closeness", 9).alias("closeness"))
 
 
 def _betweenness(levels: int = 14) -> str:

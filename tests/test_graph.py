@@ -36,6 +36,22 @@ def test_guards(spark):
     assert notes == {"betweenness": "guarded_by_size(v=2,e=1,v_limit=1,e_limit=9)", "closeness": "disabled_by_config"}
 
 
+@pytest.mark.parametrize("words,at_once", [(1, 1), (2, 1_000_000)])
+def test_closeness_beyond_the_limits(spark, monkeypatch, words, at_once):
+    """A graph too large to be broadcast has the same closeness: 70 vertices in a ring with chords, and a smaller component."""
+    pairs = [(f"n{i:03d}", f"n{(i + 1) % 70:03d}") for i in range(70)] + [(f"n{i:03d}", f"n{i * 7 % 70:03d}") for i in range(1, 70, 3)] + [("x", "y"), ("y", "z")]
+    edges = edges_of(spark, {(min(p), max(p)) for p in pairs if p[0] != p[1]})
+    nodes = edges.selectExpr("explode(array(a, b)) as node").distinct()
+    want = {r["node"]: r["closeness"] for r in paths.closeness(edges, nodes).collect()}
+    monkeypatch.setattr(paths, "MOST", (1, 1))
+    monkeypatch.setattr(paths, "WORDS", words)
+    monkeypatch.setattr(paths, "ROWS_AT_ONCE", at_once)
+    assert len(want) == 70 and {r["node"]: r["closeness"] for r in paths.closeness(edges, nodes).collect()} == want
+    sums = {r["node"]: (r["distance_sum"], r["reached"]) for r in paths.distance_sums(edges_of(spark, [("x", "y"), ("y", "z"), ("p", "q")])).collect()}
+    assert sums == {"x": (3, 3), "y": (2, 3), "z": (3, 3), "p": (1, 2), "q": (1, 2)}
+    assert paths.closeness(edges.limit(0), nodes.limit(0)).count() == 0
+
+
 def test_betweenness_of_a_square(spark):
     rows = {r["node"]: r["betweenness"] for r in paths.path_measures(edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d")])).collect()}
     assert rows == {x: 0.5 for x in "abcd"}
