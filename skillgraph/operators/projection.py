@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import partial
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skillgraph.functions import meeting
 from skillgraph.storage import stored, tasks_for
 
 #: A feature's entities are listed in parts of about this many.
@@ -86,7 +88,7 @@ def pair_scores(edges: DataFrame, entity: str = "entity", feature: str = "featur
     """
     own = _links(edges, entity, feature, weight, used)
     name, kind = own.schema["a"].dataType, T.DecimalType(min(38, own.schema["w"].dataType.precision + 10), own.schema["w"].dataType.scale) if isinstance(own.schema["w"].dataType, T.DecimalType) else None
-    own, places = _compact(own)
+    own, places, whole = _compact(own)
     parted, lists, pairs = _parts(own, own.select(F.col("a").alias("b"), "f", F.col("w").alias("v")))
     later = F.zip_with("bs", "vs", lambda b, v: F.struct(b.alias("b"), v.alias("v")))
     sent = parted.join(lists, ["f", "part"]).withColumn("l", F.filter(later, lambda x: x["b"] > F.col("a"))).where(F.size("l") > 0).select("a", "w", F.col("l.b").alias("bs"), F.col("l.v").alias("vs"))
@@ -149,8 +151,8 @@ def _narrowest(least: int, most: int) -> str:
     return next(t for t, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)) if -(1 << bits) <= least and most < 1 << bits)
 
 
-def _compact(edges: DataFrame) -> tuple[DataFrame, int]:
-    """Edges (a, f, w) with numbered entities, and decimal weights as whole numbers, in the fewest bytes that hold them; how many of a weight's places were kept.
+def _compact(edges: DataFrame) -> tuple[DataFrame, int, bool]:
+    """Edges (a, f, w) with numbered entities, and decimal weights as whole numbers, in the fewest bytes that hold them; how many of a weight's places were kept; whether all weights are such whole numbers, none NULL.
 
     Whole numbers also add up faster. Weights whose sums might overflow stay decimals.
     """
@@ -160,17 +162,17 @@ def _compact(edges: DataFrame) -> tuple[DataFrame, int]:
         asked += [F.min("a").alias("low"), F.max("a").alias("high")]
     places = kinds["w"].scale if isinstance(kinds["w"], T.DecimalType) else None
     if places is not None:
-        asked += [F.max(F.abs("w")).alias("most"), *[F.count_if(F.round("w", i) != F.col("w")).alias(f"p{i}") for i in range(places)]]
+        asked += [F.max(F.abs("w")).alias("most"), F.count_if(F.col("w").isNull()).alias("none"), *[F.count_if(F.round("w", i) != F.col("w")).alias(f"p{i}") for i in range(places)]]
     found = edges.agg(*asked).first()
     if whole and found["low"] is not None:
         edges = edges.withColumn("a", F.col("a").cast(_narrowest(found["low"], found["high"])))
     if places is None or found["most"] is None:
-        return edges, 0
+        return edges, 0, False
     places = next((i for i in range(places) if not found[f"p{i}"]), places)
     most = int(found["most"] * 10**places)
     if 2 * found["features"] * most >= 1 << 62:
-        return edges, 0
-    return edges.withColumn("w", (F.col("w") * F.lit(10**places)).cast(_narrowest(-most, most))), places
+        return edges, 0, False
+    return edges.withColumn("w", (F.col("w") * F.lit(10**places)).cast(_narrowest(-most, most))), places, not found["none"]
 
 
 def _parts(edges: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -184,6 +186,35 @@ def _parts(edges: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame, i
     return cut(edges).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"), lists, pairs
 
 
+def _met(own: DataFrame, later: bool = False) -> tuple[DataFrame, int]:
+    """(rows (a, w, bs, vs): an edge and entities of its feature with their weights, number of pairs that these make).
+
+    ``later``: only entities greater than a. Lists are cut into their edges' rows where they are made; only those of features with
+    more than ``LISTED`` entities are made in parts and meet their edges in a join.
+    """
+    spark = own.sparkSession
+    sizes = stored(own.groupBy("f").agg(F.count("*").alias("n")), "sizes")
+    pairs, most = (x or 0 for x in sizes.agg(F.sum(F.col("n") * F.col("n")), F.max("n")).first())
+    pairs = (pairs - own.count()) // 2 if later else pairs
+    listed = lambda df: df.select(F.col("a").alias("b"), "f", F.col("w").alias("v"))
+    short, long = own, None
+    if most > LISTED:
+        known = F.broadcast(sizes.where(F.col("n") > LISTED).select("f"))
+        short, long = own.join(known, "f", "left_anti"), own.join(known, "f", "left_semi")
+    dealt = listed(short).repartition(tasks_for(spark, pairs, 10 * PAIRS_AT_ONCE), "f")
+    lists = dealt.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("b", "v"))).alias("l")).select(F.col("l.b").alias("bs"), F.col("l.v").alias("vs"))
+    each = lists.select("bs", "vs", F.posexplode("bs").alias("_i", "a")).withColumn("w", F.get("vs", F.col("_i")))
+    rest = (lambda c: F.slice(c, F.col("_i") + 2, F.size(c)).alias(c)) if later else F.col
+    found = (each.where(F.col("_i") < F.size("bs") - 1) if later else each).select("a", "w", rest("bs"), rest("vs"))
+    if long is not None:
+        parted, lists, _ = _parts(long, listed(long))
+        met = parted.join(lists, ["f", "part"])
+        if later:
+            met = met.withColumn("l", F.filter(F.arrays_zip("bs", "vs"), lambda x: x["bs"] > F.col("a"))).where(F.size("l") > 0).withColumns({"bs": F.col("l.bs"), "vs": F.col("l.vs")})
+        found = found.unionByName(met.select("a", "w", "bs", "vs"))
+    return found, pairs
+
+
 def similar(edges: DataFrame, method: str = "both", k: int = 20, threshold: float = 0.0, entity: str = "entity", feature: str = "feature", weight: str = "weight", used: DataFrame | None = None) -> DataFrame:
     """What ``similarity`` gives of ``pair_scores``, without a table of pairs: (entity, neighbor, similarity_score, rank, method).
 
@@ -199,23 +230,52 @@ def similar(edges: DataFrame, method: str = "both", k: int = 20, threshold: floa
     scores = {m: s for m, s in scores.items() if method in (m, "both")}
     own = _links(edges, entity, feature, weight, used)
     name = own.schema["a"].dataType
-    own, scale = _compact(own)
+    own, scale, whole = _compact(own)
     members, mine, listed = None, own, own.select(F.col("a").alias("b"), "f", F.col("w").alias("v"))
     if k > 0:
         members = stored(_profiles(own), "profiles")
         entities, kinds = members.agg(F.count("*"), F.count_if(F.col("a") == F.col("rep"))).first()
         if 2 * kinds > entities:
             members = None
-    own = own.withColumn("many", F.lit(False))
     if members is not None:
         first = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("a").cast("string")))
         shown = members.withColumn("at", first).where(F.col("at") <= k + 1).select(F.col("a").alias("b"), F.col("rep").alias("a"))
         own = stored(mine.join(members.where("a = rep").select("a", (F.col("n") > 1).alias("many")), "a"), "kinds")
         listed = stored(own.join(shown, "a").select("b", "f", F.col("w").alias("v")), "listed")
-    parted, lists, pairs = _parts(own, listed)
+        parted, lists, pairs = _parts(own, listed)
+        sent = parted.join(lists, ["f", "part"]).drop("f", "part")
+    else:
+        sent, pairs = _met(own)
+        sent = sent.withColumn("many", F.lit(False))
     if "weighted" not in scores:
-        parted, lists = parted.drop("w"), lists.drop("vs")
-    sent = parted.join(lists, ["f", "part"]).drop("f", "part").repartition(tasks_for(own.sparkSession, pairs, PAIRS_AT_ONCE), "a")
+        sent = sent.drop("w", "vs")
+    sent = sent.repartition(tasks_for(own.sparkSession, pairs, PAIRS_AT_ONCE), "a")
+    room = k if members is None else k + 1
+    if isinstance(name, T.LongType) and (whole or "weighted" not in scores):
+        found = _ranked(sent, list(scores), room if k > 0 else 0, threshold, scale)
+    else:
+        found = _ranked_names(sent, list(scores), room if k > 0 else 0, threshold, scale)
+    if members is None:
+        return found.select(F.col("a").cast(name).alias("entity"), F.col("neighbor").cast(name).alias("neighbor"), "similarity_score", "rank", "method")
+    best = found.groupBy("a", "method").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbor", "similarity_score"))).alias("l"))  # k + 1 at most
+    each = members.select(F.col("a").alias("entity"), F.col("rep").alias("a")).join(best, "a")
+    others = F.slice(F.filter("l", lambda x: x["neighbor"] != F.col("entity")), 1, k)
+    placed = each.select("entity", "method", F.posexplode(others).alias("at", "x"))
+    return placed.select(F.col("entity").cast(name).alias("entity"), F.col("x.neighbor").cast(name).alias("neighbor"), F.col("x.similarity_score").alias("similarity_score"), (F.col("at") + 1).alias("rank"), "method")
+
+
+def _ranked(sent: DataFrame, scores: list[str], room: int, threshold: float, scale: int) -> DataFrame:
+    """(a, neighbor, similarity_score, rank, method) of numbered entities with whole weights: a task adds up and ranks its pairs as arrays.
+
+    It holds the different neighbours of its entities, which are dealt out by the number of pairs.
+    """
+    best = sent.mapInArrow(partial(meeting.ranked, scores=scores, room=room, threshold=threshold, unit=float(10**scale)), "a long, neighbor long, value long, rank int, method string")
+    double = F.when(F.col("method") == "weighted", F.col("value").cast("double") / F.lit(float(10**scale))).otherwise(F.col("value").cast("double"))
+    return best.select("a", "neighbor", F.round(double, 6).alias("similarity_score"), "rank", "method")
+
+
+def _ranked_names(sent: DataFrame, scores: list[str], room: int, threshold: float, scale: int) -> DataFrame:
+    """What ``_ranked`` gives, for entities of any type and weights of any."""
     met = sent.select("*", F.posexplode("bs").alias("_i", "b")).where((F.col("a") != F.col("b")) | F.col("many"))
     sums = [F.count("*").alias("shared_count")] if "unweighted" in scores else []
     if "weighted" in scores:
@@ -223,26 +283,17 @@ def similar(edges: DataFrame, method: str = "both", k: int = 20, threshold: floa
     summed = met.groupBy("a", "b").agg(*sums)
     value = {"unweighted": F.col("shared_count"), "weighted": F.col("weighted_score")}
     double = {"unweighted": F.col("shared_count").cast("double"), "weighted": F.col("weighted_score").cast("double") / F.lit(float(10**scale))}
-    room = k if members is None else k + 1
     ranked, hits = summed, []
     for m in scores:
         fits = double[m] >= F.lit(threshold)
         by = F.desc(F.when(fits, value[m])) if len(scores) > 1 else F.desc(value[m])
         ranked = (ranked if len(scores) > 1 else ranked.where(fits)).withColumn(m, F.row_number().over(Window.partitionBy("a").orderBy(by, F.col("b").cast("string"))))
-        if k > 0:
+        if room > 0:
             fits = fits & (F.col(m) <= room)
         hits.append((fits, F.struct(F.col("b").alias("neighbor"), F.round(double[m], 6).alias("similarity_score"), F.col(m).alias("rank"), F.lit(m).alias("method"))))
     if len(hits) == 1:
-        found = ranked.where(hits[0][0]).select("a", hits[0][1].alias("h")).select("a", "h.*")
-    else:
-        found = ranked.where(hits[0][0] | hits[1][0]).select("a", F.explode(F.array_compact(F.array(*[F.when(fits, hit) for fits, hit in hits]))).alias("h")).select("a", "h.*")
-    if members is None:
-        return found.select(F.col("a").cast(name).alias("entity"), F.col("neighbor").cast(name).alias("neighbor"), "similarity_score", "rank", "method")
-    best = found.groupBy("a", "method").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbor", "similarity_score"))).alias("l"))  # k + 1 at most
-    each = members.select(F.col("a").alias("entity"), F.col("rep").alias("a")).join(best, "a")
-    others = F.slice(F.filter("l", lambda x: x["neighbor"] != F.col("entity")), 1, k)
-    placed = each.select("entity", "method", F.posexplode(others).alias("at", "x"))
-    return placed.select(F.col("entity").cast(name).alias("entity"), F.col("x.neighbor").cast(name).alias("neighbor"), F.col("x.similarity_score").alias("similarity_score"), (F.col("at") + 1).alias("rank"), "method")
+        return ranked.where(hits[0][0]).select("a", hits[0][1].alias("h")).select("a", "h.*")
+    return ranked.where(hits[0][0] | hits[1][0]).select("a", F.explode(F.array_compact(F.array(*[F.when(fits, hit) for fits, hit in hits]))).alias("h")).select("a", "h.*")
 
 
 def kind_pairs(edges: DataFrame, entity: str = "entity", feature: str = "feature", weight: str = "weight", used: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -89,3 +89,9 @@ def test_pipeline_topk_has_no_limits(spark, monkeypatch):
     monkeypatch.setattr(registry.pipeline, "run", lambda _, path, options: seen.append(options) or SimpleNamespace(topk=None))
     registry.pipeline_topk(spark, "")
     assert (seen[0].max_feature_degree, seen[0].max_pairs_per_feature, seen[0].max_total_pairs) == (None, 0, 0)
+
+
+def test_pairs_of_numbers_are_no_rows(spark):
+    """Numbered entities: pairs are added up and ranked as arrays, so no window sorts them and no row is made for each."""
+    plan = projection.similar(_edges(spark, int, 1), "both", 3, 1.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and "weighted_score" not in plan
