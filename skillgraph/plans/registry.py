@@ -59,7 +59,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of orders and parts under their numbers, which are shorter than texts."""
     lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_partkey").alias("feature"), F.col("l_quantity").cast("decimal(18,6)").alias("weight"))
-    return entities.best_edges(lines, "entity", "feature", "weight", ())
+    return entities.best_edges(lines.repartition("entity"), "entity", "feature", "weight", ())  # an entity's edges lie together
 
 
 def _customer_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

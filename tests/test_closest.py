@@ -95,3 +95,23 @@ def test_pairs_of_numbers_are_no_rows(spark):
     """Numbered entities: pairs are added up and ranked as arrays, so no window sorts them and no row is made for each."""
     plan = projection.similar(_edges(spark, int, 1), "both", 3, 1.5)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan and "weighted_score" not in plan
+
+
+@pytest.mark.parametrize("kind", [int, str])
+@pytest.mark.parametrize("listed", [7, 1_000])
+def test_pairs_that_meet_once_cross_no_network(spark, monkeypatch, kind, listed):
+    """Entities with two features each: only pairs that share both are added up. With edges that come twice every pair is."""
+    monkeypatch.setattr(projection, "LISTED", listed)
+    draw = random.Random(3)
+    rows = [(kind(e), f"f{f:02d}", Decimal(draw.choice((5, 10, 15))) / 10) for e in range(300) for f in draw.sample(range(20), 2)]
+    rows.append((kind(7), None, Decimal(1)))
+    twice, seen = projection._twice, []
+    monkeypatch.setattr(projection, "_twice", lambda *args: seen.append(twice(*args)) or seen[-1])
+    for some in (rows, rows + rows[:1]):
+        edges = spark.createDataFrame(some, f"entity {'long' if kind is int else 'string'}, feature string, weight decimal(18,6)")
+        edges.createOrReplaceTempView("edges_that_meet")
+        found = projection.pair_scores(edges)
+        want = spark.sql("select x.entity as a, y.entity as b, count(*), sum(least(x.weight, y.weight)) from edges_that_meet x join edges_that_meet y on x.feature = y.feature and x.entity < y.entity group by 1, 2")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+        assert found.schema["weighted_score"].dataType == want.schema[3].dataType
+    assert 100 < seen[0].select("a", "b").distinct().count() < 543 and seen[1] is None
