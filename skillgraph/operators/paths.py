@@ -1,8 +1,7 @@
 """Closeness and betweenness by breadth-first search from every vertex.
 
 Where the adjacency is of bounded size it is broadcast, and the sources are dealt to
-tasks. Closeness of larger graphs is found by joins, many sources at a time, with the
-same results.
+tasks. Larger graphs go by joins, many sources at a time, with the same results.
 """
 
 from __future__ import annotations
@@ -128,6 +127,14 @@ def _spread(ways: DataFrame, start: DataFrame, tasks: int) -> DataFrame:
     return now.groupBy("v").agg(F.sum("far").alias("distance_sum"), F.sum(sum((F.bit_count(f"s{i}") for i in words), F.lit(0))).cast("long").alias("reached"))
 
 
+def _numbered_ways(edges: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """(vertices (node, id), edges both ways (u, v) by id, how many vertices, how many ways)."""
+    nodes = stored(numbered(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "id"), "vertices")
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
+    one = stored(edges.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a_id", "b_id"), "ways")
+    return nodes, one.toDF("u", "v").unionByName(one.toDF("v", "u")), nodes.count(), 2 * one.count()
+
+
 def distance_sums(edges: DataFrame) -> DataFrame:
     """(node, distance_sum, reached) of every vertex with an edge, as ``path_measures`` gives them, of a graph of any size.
 
@@ -135,11 +142,7 @@ def distance_sums(edges: DataFrame) -> DataFrame:
     ``ROWS_AT_ONCE`` rows a level, one after another. Work is edges times vertices, since all pairs of vertices are looked at.
     """
     spark = edges.sparkSession
-    nodes = stored(numbered(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "id"), "vertices")
-    of = lambda end: nodes.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
-    one = stored(edges.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a_id", "b_id"), "ways")
-    ways = one.toDF("u", "v").unionByName(one.toDF("v", "u"))
-    n, rows = nodes.count(), 2 * one.count()
+    nodes, ways, n, rows = _numbered_ways(edges)
     block, path = 64 * WORDS, scratch_path(spark, "distances")
     step = block * max(1, ROWS_AT_ONCE // max(1, rows))
     bit, word = F.expr("shiftleft(1L, cast(v % 64 as int))"), F.expr(f"v div 64 % {WORDS}")
@@ -155,6 +158,47 @@ def distance_sums(edges: DataFrame) -> DataFrame:
     return nodes.join(found.withColumnRenamed("v", "id"), "id").select("node", "distance_sum", "reached")
 
 
+def _shares(ways: DataFrame, sources: DataFrame, tasks: int) -> DataFrame:
+    """(v, share) of what the shortest paths from ``sources`` (s) give to each vertex on their way.
+
+    Numbers of shortest paths are counted level by level; then each level gives to the one before it.
+    """
+    levels = [stored(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("n")), "level")]
+    while True:
+        sent = levels[-1].withColumnRenamed("v", "u").join(ways, "u").select("s", "v", "n").repartition(tasks, "s", "v")
+        new = sent.groupBy("s", "v").agg(F.sum("n").alias("n"))
+        for known in levels[-2:]:  # a neighbour lies one level off at most
+            new = new.join(known.select("s", "v"), ["s", "v"], "left_anti")
+        levels.append(stored(new, "level"))
+        if levels[-1].isEmpty():
+            break
+    given = shares = stored(levels[-2].withColumn("share", F.lit(0.0)), "share")
+    for level in levels[-3:0:-1]:
+        back = given.select("s", F.col("v").alias("u"), ((F.col("share") + 1) / F.col("n")).alias("part")).join(ways, "u").repartition(tasks, "s", "v").groupBy("s", "v").agg(F.sum("part").alias("part"))
+        given = stored(level.join(back, ["s", "v"], "left").select("s", "v", "n", (F.col("n") * F.coalesce("part", F.lit(0.0))).alias("share")), "share")
+        shares = shares.unionByName(given)
+    found = stored(shares.groupBy("v").agg(F.sum("share").alias("share")), "shares")
+    for df in [*levels, shares]:
+        released(df)
+    return found
+
+
+def path_shares(edges: DataFrame) -> DataFrame:
+    """(node, betweenness) of every vertex with an edge, as ``path_measures`` gives it, of a graph of any size; see ``distance_sums``."""
+    spark = edges.sparkSession
+    nodes, ways, n, rows = _numbered_ways(edges)
+    path, step = scratch_path(spark, "betweenness"), max(1, ROWS_AT_ONCE // max(1, rows))
+    for first in range(0, n, step):
+        sources = nodes.where((F.col("id") >= first) & (F.col("id") < first + step)).select(F.col("id").alias("s"))
+        found = _shares(ways, sources, tasks_for(spark, rows * min(step, n - first), ROWS_OF_A_TASK))
+        found.write.mode("append").parquet(path)
+        released(found)
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"))
+    found = spark.read.schema("v long, share double").parquet(path).groupBy(F.col("v").alias("id")).agg((F.sum("share") / 2).alias("betweenness"))
+    return nodes.join(found, "id", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+
+
 def _largest(edges: DataFrame, nodes: DataFrame) -> tuple[int, DataFrame]:
     """How many vertices the largest component has (of equal ones, that of the least node), and its edges."""
     members = stored(connected(edges, nodes), "members")
@@ -169,6 +213,17 @@ def _nearness(edges: DataFrame, n: int, m: int) -> DataFrame:
     return sums.select("node", ((F.col("reached") - 1) / F.col("distance_sum")).alias("closeness"))
 
 
+def _betweenness(edges: DataFrame, table: DataFrame, n: int, m: int) -> DataFrame:
+    """``table`` (node, ...) with the betweenness of each node in a graph of n vertices and m edges."""
+    between = path_shares(edges) if guard(n, m, MOST) else path_measures(edges)
+    return table.join(between.select("node", "betweenness"), "node", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, degree, strength, betweenness), of a graph of any size."""
+    return _betweenness(edges, degrees(edges, nodes), nodes.count(), edges.count())
+
+
 def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, closeness) of the vertices of the largest component, of a graph of any size."""
     n, inside = _largest(edges, nodes)
@@ -197,8 +252,7 @@ def centrality(edges: DataFrame, nodes: DataFrame, betweenness_limit: tuple[int,
     if why:
         table = table.withColumn("betweenness", F.lit(None).cast("double"))
     else:
-        between = path_measures(edges, limit=betweenness_limit).select("node", "betweenness")
-        table = table.join(between, "node", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+        table = _betweenness(edges, table, v, e)
     if closeness_limit is None:
         notes["closeness"] = guard(0, 0, None)
         return table.withColumn("closeness", F.lit(None).cast("double")), notes

@@ -509,7 +509,7 @@ def _betweenness(levels: int = 14) -> str:
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _customer_graph(spark, sf_dir)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    return paths.centrality(edges, nodes, (15_000, 1_000_000), None)[0].select("node", "degree", F.round("betweenness", 4).alias("betweenness"))
+    return paths.betweenness(edges, nodes).select("node", "degree", F.round("betweenness", 4).alias("betweenness"))
 
 
 # --- subset ----------------------------------------------------------------

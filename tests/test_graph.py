@@ -52,6 +52,19 @@ def test_closeness_beyond_the_limits(spark, monkeypatch, words, at_once):
     assert paths.closeness(edges.limit(0), nodes.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [200, 1_000_000])
+def test_betweenness_beyond_the_limits(spark, monkeypatch, at_once):
+    pairs = [(f"n{i:02d}", f"n{(i + 1) % 12:02d}") for i in range(12)] + [("n00", "n05"), ("n02", "n09"), ("x", "y"), ("y", "z")]
+    edges = edges_of(spark, {(min(p), max(p)) for p in pairs})
+    nodes = edges.selectExpr("explode(array(a, b)) as node").distinct()
+    rows = lambda: sorted((r["node"], r["degree"], round(r["betweenness"], 6)) for r in paths.betweenness(edges, nodes).collect())
+    want = rows()
+    monkeypatch.setattr(paths, "MOST", (1, 1))
+    monkeypatch.setattr(paths, "ROWS_AT_ONCE", at_once)
+    assert len(want) == 15 and ("y", 2, 1.0) in want and rows() == want
+    assert paths.betweenness(edges.limit(0), nodes.limit(0)).count() == 0
+
+
 def test_betweenness_of_a_square(spark):
     rows = {r["node"]: r["betweenness"] for r in paths.path_measures(edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d")])).collect()}
     assert rows == {x: 0.5 for x in "abcd"}
